@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from catloom.llm import exact_dedup, hash_tree, secret_scan
+from catloom.llm import bottomk, byte_bpe, embed_graph, exact_dedup, hash_tree, langid, mixing, orc_tokens, quality, secret_scan
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
+    "op2_pruned_graph_near_dedup": embed_graph.op2_pruned_graph_near_dedup,
+    "op3_bottomk_near_dedup": bottomk.op3_bottomk_near_dedup,
+    "op4_byte_bpe": byte_bpe.op4_byte_bpe,
+    "op5_compression_quality": quality.op5_compression_quality,
     "op6_hash_tree_shards": hash_tree.op6_hash_tree_shards,
+    "op7_naive_bayes_langid": langid.op7_naive_bayes_langid,
+    "op8_orc_tokens": orc_tokens.op8_orc_tokens,
+    "op9_pfair_mixing": mixing.op9_pfair_mixing,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
