@@ -51,10 +51,10 @@ def letters() -> np.ndarray:
 def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """``(bucket, text)`` of each n-gram that is not all blank; n-grams don't cross texts."""
     lowered = [t.lower() for t in texts]
-    joined = " ".join(lowered)
+    joined = "".join([f" {t} " for t in lowered])
     points = letters()[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
     sizes = np.array([len(t) for t in lowered], dtype=np.int64)
-    owner = np.repeat(np.arange(len(texts)), sizes + 1)[: len(points)]
+    owner = np.repeat(np.arange(len(texts)), sizes + 2)
     wide = points.astype(np.uint64)
     pair = wide[:-1] * np.uint64(0x1F0001) + wide[1:]
     solid = (points[:-1] != 32) | (points[1:] != 32)
