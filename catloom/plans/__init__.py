@@ -1 +1 @@
-
+"""Named queries; importing the modules registers them."""

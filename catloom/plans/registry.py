@@ -28,3 +28,8 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def load() -> None:
+    """Import every module of queries."""
+    from catloom.plans import classify_queries, product_queries, request_queries, url_queries  # noqa: F401

@@ -1 +1 @@
-
+"""Captured tables as inputs, and written outputs."""
