@@ -27,13 +27,13 @@ def jsonld(spark, sf, form):
 def _jsonld_query(form, extra_sql, *cols):
     @query(f"jsonld_{form}", f"{P} SELECT key, name, brand, price{extra_sql} FROM p")
     def run(spark, sf):
-        return jsonld(spark, sf, form).select("key", "name", "brand", "price", *cols)
+        return jsonld(spark, sf, form).selectExpr("key", "name", "brand", "price", *cols)
 
     return run
 
 
-_jsonld_query("offer", ", CASE WHEN size % 3 = 0 THEN false ELSE true END AS available, 'BRL' AS currency, 'S' || CAST(key AS VARCHAR) AS sku, 2 AS n_images", "available", "currency", "sku", F.size("images").alias("n_images"))
-_jsonld_query("aggregate", ", listed AS price_original, 1 AS n_images", "price_original", F.size("images").alias("n_images"))
+_jsonld_query("offer", ", CASE WHEN size % 3 = 0 THEN false ELSE true END AS available, 'BRL' AS currency, 'S' || CAST(key AS VARCHAR) AS sku, 2 AS n_images", "available", "currency", "sku", "size(images) AS n_images")
+_jsonld_query("aggregate", ", listed AS price_original, 1 AS n_images", "price_original", "size(images) AS n_images")
 _jsonld_query("list_offers", "")
 _jsonld_query("capital_offers", "")
 _jsonld_query("graph", ", CASE WHEN size % 3 = 0 THEN false ELSE true END AS available", "available")
