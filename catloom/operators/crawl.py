@@ -10,15 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Checkpoint to the session's folder; a local one only where none is named."""
-    spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="catloom-checkpoint-"))
-    return df.checkpoint()
+from catloom.operators.ranks import cut
 
 
 def reach(seeds: DataFrame, edges: DataFrame, most_rounds: int = 20, most_nodes: int | None = None) -> DataFrame:
@@ -27,17 +19,17 @@ def reach(seeds: DataFrame, edges: DataFrame, most_rounds: int = 20, most_nodes:
     With ``most_nodes`` no new round starts once so many nodes were visited.
     """
     frontier = seeds.select("node").distinct()
-    visited = _cut(frontier.withColumn("depth", F.lit(0)))
+    visited = cut(frontier.withColumn("depth", F.lit(0)))
     frontier = visited.select("node")
     for depth in range(1, most_rounds + 1):
         new = edges.join(frontier, edges.src == F.col("node")).select(F.col("dst").alias("node")).distinct()
-        new = _cut(new.join(visited.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
+        new = cut(new.join(visited.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
         found = new.count()
         if not found:
             break
         visited = visited.union(new)
         if depth % 4 == 0:
-            visited = _cut(visited)
+            visited = cut(visited)
         if most_nodes is not None and visited.count() >= most_nodes:
             break
         frontier = new.select("node")

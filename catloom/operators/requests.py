@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from catloom.operators.ranks import global_positions
+
 #: Limiter rules: (least 429s, factor, floor), (least error rate, factor, floor), (rate below, factor); fixed values.
 ADAPTIVE = {
     "standard": {"many": (2, 0.5, 20), "errors": (0.2, 0.7, 30), "calm": (0.05, 1.1)},
@@ -161,7 +163,7 @@ def session_pool(log: DataFrame, key: list[str], order: list[str], ok: str, size
 def queue_order(requests: DataFrame, key: str, priority: str, seq: str) -> DataFrame:
     """Each key once (its first request), with ``turn``: high priority first, then first in."""
     first = requests.withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy(seq))).where("__r = 1").drop("__r")
-    return first.withColumn("turn", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc(priority), seq)))
+    return global_positions(first, [F.desc(priority), F.col(seq)], "turn")
 
 
 def retry_outcome(attempts: DataFrame, key: list[str], order: list[str], ok: str, most: int = 3) -> DataFrame:
