@@ -8,13 +8,13 @@ key picks the one to look in.) Decoding looks the ids up in a literal array of
 byte strings and concatenates them.
 
 The corpus counts its distinct pieces once; the most frequent ones, at most
-``CACHE``, are folded once and held as a second literal map. The bound holds
-for any corpus; every other piece is folded where it stands, so nothing is
-dropped and no text is ever shuffled.
+``CACHE`` (about 25 MB, whatever the corpus), are folded once and broadcast as
+a table of pieces and ids. Arrow batches of pieces look themselves up in it;
+the pieces that are not there are folded where they stand, each once for a
+document, so nothing is dropped and no text is ever shuffled.
 
-The fold takes quadratic time in a piece. Rows with a run of ``LONG_RUN``
-characters without or of white space may have longer pieces; these rows alone
-go through the tiktoken library in Arrow batches, which gives the same ids.
+The fold takes quadratic time in a piece. Pieces of more than ``LONGEST`` bytes
+go to the tiktoken library instead, which gives the same ids.
 
 Defined cases: a null or empty text has no ids and decodes to no bytes;
 repeated rows are encoded each; an empty table gives an empty result; columns
@@ -27,14 +27,18 @@ import base64
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from catloom.llm.common import discard, stash
 from catloom.shipping import ship_package
 
-CACHE = 50_000
-LONG_RUN = 512
+CACHE = 1_000_000
+LONGEST = 512
+WORDS = 1 << 19
 BUCKETS = 1 << 14
 RANK_FILE = "byte_bpe_50k.tiktoken"
 
@@ -60,15 +64,16 @@ def default_pattern() -> str:
 class Lookup:
     """A literal map as an array of small maps, by a hash of the key."""
 
-    def __init__(self, spark: SparkSession, table: dict, kind: str):
+    def __init__(self, spark: SparkSession, table: dict[str, int]):
         keys = spark.createDataFrame(pa.table({"k": pa.array(list(table), pa.string())}))
         buckets: list[dict] = [{} for _ in range(BUCKETS)]
         for k, b in keys.select("k", F.pmod(F.hash("k"), F.lit(BUCKETS))).toArrow().to_pandas().itertuples(index=False):
             buckets[b][k] = table[k]
-        self.literal = F.from_json(F.lit(json.dumps(buckets)), f"array<map<string,{kind}>>")
+        self.literal = F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")
 
-    def __call__(self, key: Column) -> Column:
-        return self.literal[F.pmod(F.hash(key), F.lit(BUCKETS))][key]
+    @staticmethod
+    def at(literal: Column, key: Column) -> Column:
+        return literal[F.pmod(F.hash(key), F.lit(BUCKETS))][key]
 
 
 def let(value: Column, body) -> Column:
@@ -81,10 +86,13 @@ def pieces(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit("(?U)" + pattern), F.lit(0))
 
 
-def folded(word: Column, rank: Lookup) -> Column:
-    """Ids of one piece."""
+def folded(word: Column, literal: Column) -> Column:
+    """Ids of one piece; ``literal`` is that of the rank map."""
     raw = F.hex(word.cast("binary"))
 
+    def rank(key: Column) -> Column:
+        return Lookup.at(literal, key)
+
     def merged(parts: Column, at: Column) -> Column:
         joined = F.concat(parts[at - 1], parts[at])
         return F.concat(F.slice(parts, F.lit(1), at - 1), F.array(joined), F.slice(parts, at + 2, F.size(parts)))
@@ -95,52 +103,110 @@ def folded(word: Column, rank: Lookup) -> Column:
         return let(first, lambda at: F.when(at == 0, parts).otherwise(merged(parts, at)))
 
     singles = F.regexp_extract_all(raw, F.lit(".."), F.lit(0))
-    ids = F.aggregate(F.sequence(F.lit(2), (F.length(raw) / 2).cast("int")), singles, step, lambda parts: F.transform(parts, rank))
-    return F.coalesce(F.when(rank(raw).isNotNull(), F.array(rank(raw))), ids)
+    return F.aggregate(F.sequence(F.lit(2), (F.length(raw) / 2).cast("int")), singles, step, lambda parts: F.transform(parts, rank))
+
+
+def all_folded(words: Column, rank: Lookup) -> Column:
+    """Ids of each piece of an array; the rank map stands in the plan once."""
+    return let(rank.literal, lambda m: F.transform(words, lambda w: folded(w, m)))
+
+
+def _gather(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Positions of the runs ``starts[i] .. starts[i] + sizes[i]``, one after another."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes) + np.repeat(starts, sizes)
 
 
-def _by_library(path: str, pattern: str):
+def _look_up(shared, path: str, pattern: str):
+    """``doc_id, words`` to ``doc_id, ids, left``: -1 - k stands for the k-th piece of ``left``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
-        known = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={})
+        words, bounds, values = shared.value
+        library = None
         for batch in batches:
-            ids = [known.encode_ordinary(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+            lists = batch.column(1)
+            cuts = lists.offsets.to_numpy()
+            lo = 0
+            while lo < len(lists):
+                hi = max(lo + 1, int(np.searchsorted(cuts, cuts[lo] + WORDS, side="right")) - 1)
+                hi = min(hi, len(lists))
+                own = lists.values.slice(cuts[lo], cuts[hi] - cuts[lo])
+                at = pc.index_in(own, value_set=words).fill_null(-1).to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(hi - lo), np.diff(cuts[lo : hi + 1]))
+                missing = np.flatnonzero(at < 0)
+                encoded = own.take(pa.array(missing)).dictionary_encode()
+                codes, texts = encoded.indices.to_numpy(), encoded.dictionary
+                far = pc.greater(pc.binary_length(texts), LONGEST).to_numpy(zero_copy_only=False).astype(bool)
+                by_library: dict[int, list[int]] = {}
+                if far.any():
+                    library = library or tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={})
+                    by_library = {int(c): library.encode_ordinary(texts[int(c)].as_py()) for c in np.flatnonzero(far)}
+                pairs, which = np.unique(row[missing] * max(1, len(texts)) + codes, return_inverse=True)
+                pair_row, pair_code = pairs // max(1, len(texts)), pairs % max(1, len(texts))
+                first = np.searchsorted(pair_row, np.arange(hi - lo + 1))
+                mark = -1 - (np.arange(len(pairs)) - first[pair_row])
+                sizes = np.ones(len(at), dtype=np.int64)
+                known = at >= 0
+                sizes[known] = bounds[at[known] + 1] - bounds[at[known]]
+                for c, ids in by_library.items():
+                    sizes[missing[codes == c]] = len(ids)
+                ends = np.cumsum(sizes)
+                ids = np.empty(ends[-1] if len(ends) else 0, dtype=np.int32)
+                ids[_gather((ends - sizes)[known], sizes[known])] = values[_gather(bounds[at[known]], sizes[known])]
+                ids[(ends - sizes)[missing]] = mark[which]
+                for c, own_ids in by_library.items():
+                    for i in missing[codes == c]:
+                        ids[ends[i] - sizes[i] : ends[i]] = own_ids
+                totals = np.concatenate([[0], ends])[cuts[lo : hi + 1] - cuts[lo]]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(lo, hi - lo),
+                        pa.ListArray.from_arrays(pa.array(totals.astype(np.int32)), pa.array(ids)),
+                        pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pc.if_else(pa.array(far[pair_code]), "", texts.take(pa.array(pair_code)))),
+                    ],
+                    names=["doc_id", "ids", "left"],
+                )
+                lo = hi
 
     return run
 
 
-def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", cache: int = CACHE) -> DataFrame:
-    """Id and ``ids``, the token ids of the whole text."""
-    spark, path, pattern = docs.sparkSession, path or default_path(), pattern or default_pattern()
-    ship_package(spark)
-    table = {k.hex().upper(): v for k, v in read_ranks(path).items()}
-    rank = Lookup(spark, table, "int")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    long_run = F.col("t").rlike(r"(?U)\S{%d}|\s{%d}" % (LONG_RUN, LONG_RUN))
-    short = rows.where(~long_run)
-
-    counts = short.select(F.explode(pieces(F.col("t"), pattern)).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    levels = counts.groupBy(F.floor(F.log2("n") * 8).alias("level")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("level")).collect()
+def common_pieces(words: DataFrame, rank: Lookup, cache: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The most frequent pieces, at most ``cache``, with bounds and values of their ids.
+
+    The least frequency comes from a histogram by steps of a power of two, so
+    no more than the pieces that are kept come to the driver.
+    """
+    counts = stash(words.select(F.explode("words").alias("w")).where(F.length("w") <= LONGEST // 4).groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "pieces")
+    level = F.floor(F.log2("n") * 8)
     least, held = None, 0
-    for r in levels:
-        held += r["words"]
+    for r in counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("pieces")).orderBy(F.desc("level")).collect():
+        held += r["pieces"]
         if held > cache:
             break
         least = r["level"]
-    known = {}
-    if least is not None:
-        common = counts.where(F.floor(F.log2("n") * 8) >= least)
-        for r in common.select("w", folded(F.col("w"), rank).alias("ids")).toArrow().to_pylist():
-            known[r["w"]] = r["ids"]
-    cached = Lookup(spark, known, "array<int>")
-
-    words = pieces(F.col("t"), pattern)
-    ids = F.flatten(F.transform(words, lambda w: F.coalesce(cached(w), folded(w, rank))))
-    by_fold = short.select("doc_id", ids.alias("ids"))
-    by_library = rows.where(long_run).mapInArrow(_by_library(path, pattern), f"doc_id {dict(docs.dtypes)[id_col]}, ids array<int>")
-    return by_fold.union(by_library)
+    kept = counts.where(level >= least) if least is not None else counts.limit(0)
+    found = kept.select("w", all_folded(F.array("w"), rank)[0].alias("ids")).toArrow()
+    discard(counts)
+    ids = found.column("ids").combine_chunks()
+    return found.column("w").combine_chunks().cast(pa.string()), ids.offsets.to_numpy(), ids.values.to_numpy().astype(np.int32)
+
+
+def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", cache: int = CACHE) -> DataFrame:
+    """Id and ``ids``, the token ids of the whole text."""
+    spark, path, pattern = docs.sparkSession, path or default_path(), pattern or default_pattern()
+    ship_package(spark)
+    rank = Lookup(spark, {k.hex().upper(): v for k, v in read_ranks(path).items()})
+    words = docs.select(F.col(id_col).alias("doc_id"), pieces(F.coalesce(F.col(text_col), F.lit("")), pattern).alias("words"))
+    shared = spark.sparkContext.broadcast(common_pieces(words, rank, cache))
+    found = words.mapInArrow(_look_up(shared, path, pattern), f"doc_id {dict(docs.dtypes)[id_col]}, ids array<int>, left array<string>")
+
+    def filled(own: Column) -> Column:
+        return F.flatten(F.transform("ids", lambda i: F.when(i < 0, own[-1 - i]).otherwise(F.array(i))))
+
+    return found.select("doc_id", F.when(F.size("left") == 0, F.col("ids")).otherwise(let(all_folded(F.col("left"), rank), filled)).alias("ids"))
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
