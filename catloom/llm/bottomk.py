@@ -10,13 +10,17 @@
    ``size - ceil(size / 2) + 1`` rarest values need a list (the prefix rule,
    rarest first by the number of sketches that retain a value). Values of
    passages that many documents share are the least rare and drop out.
-3. Each list is a star at first: its smallest member against the others. After
-   these links are joined to components, the lists whose members are in
-   different components give the pairs across components. A large group of
-   near copies costs a star and not all its pairs, and no link is lost: pairs
-   left out are in one component already.
-4. Candidates pass a size filter and the union-sketch estimate (the k smallest
-   of both sketches, the share in both, at ``SLACK`` below the threshold or
+3. Each list is a star at first: a leader, drawn by a hash of list and member,
+   against the others. A document of a large group of near copies so meets as
+   many leaders as it has lists, and the group is joined in a round or two, at
+   the cost of its list rows and not of its pairs. After ``STARS`` rounds,
+   each followed by labels of the least node within three hops, the lists that
+   still hold several labels give the pairs of different labels; the join
+   itself asks for alike sketches and for the pair's first common list, so it
+   makes a row for each candidate and no more. No link is lost: pairs left out
+   have one label, and so one component, already.
+4. Candidates pass a size filter and the union-sketch estimate (the ``WIDE``
+   smallest of both, the share in both, at ``SLACK`` below the threshold or
    more), and are then verified by exact Jaccard on the full sets.
 
 Sets are held as 64-bit hashes; two different shingles of one pair of documents
@@ -31,9 +35,10 @@ columns other than id and text are ignored.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catloom.llm.common import components, discard, stash
@@ -41,7 +46,11 @@ from catloom.llm.shingles import set_keys, shingle_sets
 from catloom.shipping import ship_package
 
 K = 64
-SLACK = 0.25
+#: Length of the sketches that the estimate compares, and its slack: 4.4 standard deviations at the threshold.
+WIDE = 256
+SLACK = 0.12
+#: Rounds of stars before the pairs across components.
+STARS = 2
 MAX_BATCH_IDS = 1 << 20
 
 
@@ -86,18 +95,55 @@ def _close(a: str, b: str, share: tuple[int, int]) -> str:
     return f"{share[1]} * least({a}, {b}) >= {share[0]} * greatest({a}, {b})"
 
 
-def _verified(pairs: DataFrame, suspects: DataFrame, sets: DataFrame, k: int, share: tuple[int, int]) -> DataFrame:
-    """The links among ``pairs(a, b)``: sketch estimate first, then the full sets."""
-    sketch = suspects.select("node", "sketch")
-    near = (
-        pairs.join(sketch.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a")
-        .join(sketch.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
-        .withColumn("union", F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k))
-        .where(F.size(F.array_intersect("union", F.array_intersect("sa", "sb"))) >= (share[0] / share[1] - SLACK) * F.size("union"))
-        .select("a", "b")
-    )
+def _alike(a: str, b: str, share: tuple[int, int]) -> Column:
+    """Union-sketch estimate: of the ``WIDE`` smallest of both, enough are in both; exact for unions within ``WIDE``."""
+    union, least = F.array_sort(F.array_union(a, b)), share[0] / share[1]
+    inner = F.array_intersect(a, b)
+    exact = lambda u: F.size(inner) * share[1] >= F.size(u) * share[0]
+    cut = lambda u: F.slice(u, 1, WIDE)
+    return F.exists(F.array(union), lambda u: F.when(F.size(u) <= WIDE, exact(u)).otherwise(F.size(F.array_intersect(cut(u), inner)) >= (least - SLACK) * WIDE))
+
+
+def _placed(lists: DataFrame, joined: DataFrame | None) -> DataFrame:
+    """List rows ``node, n, v`` with ``c``, the component so far; only lists with several components."""
+    rows = lists.withColumn("c", F.col("node")) if joined is None else lists.join(joined, "node", "left").select("node", "n", "v", F.coalesce("component", "node").alias("c"))
+    open_ = rows.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("v")
+    return rows.join(open_, "v")
+
+
+def _stars(rows: DataFrame, turn: int, share: tuple[int, int]) -> DataFrame:
+    """``a, b``: each list's leader with its members of other components.
+
+    Leaders are drawn by a hash of list and node, so a document meets as many
+    different leaders as it has lists.
+    """
+    lead = rows.groupBy("v").agg(F.min_by(F.struct("node", "n", "c"), F.xxhash64("v", "node", F.lit(turn))).alias("lead"))
+    pairs = rows.join(lead, "v").where("c <> lead.c").where(_close("n", "lead.n", share))
+    return pairs.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
+
+
+def _estimated(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """The ``pairs(a, b)`` whose sketches are alike."""
+    sketch = sets.select("node", F.slice("hashes", 1, WIDE).alias("s"))
+    both = pairs.join(sketch.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sketch.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    return both.where(_alike("sa", "sb", share)).select("a", "b")
+
+
+def _across(rows: DataFrame, suspects: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """``a, b``: pairs of one list with different labels and alike sketches, each from their first common list."""
+    sketch = sets.select("node", F.slice("hashes", 1, WIDE).alias("sketch"))
+    wide = rows.join(suspects.select("node", "prefix"), "node").join(sketch, "node")
+    a, b = wide.alias("a"), wide.alias("b")
+    first = F.array_min(F.array_intersect("a.prefix", "b.prefix")) == F.col("a.v")
+    sizes = F.expr(_close("a.n", "b.n", share))
+    near = F.when(sizes & first, _alike("a.sketch", "b.sketch", share)).otherwise(False)
+    return a.join(b, (F.col("a.v") == F.col("b.v")) & (F.col("a.c") < F.col("b.c")) & near).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """The links among ``pairs(a, b)`` by the full sets."""
     return (
-        near.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb")), "b")
+        pairs.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb")), "b")
         .join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), "a")
         .withColumn("both", F.size(F.array_intersect("ha", "hb")))
         .where(F.col("both") * share[1] >= (F.size("ha") + F.size("hb") - F.col("both")) * share[0])
@@ -106,6 +152,16 @@ def _verified(pairs: DataFrame, suspects: DataFrame, sets: DataFrame, k: int, sh
     )
 
 
+def _labels(links: DataFrame, hops: int = 3) -> DataFrame:
+    """``node, component``: the least node within some hops; equal labels are one component, different ones may be."""
+    both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    out = both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("u")).alias("component"))
+    for _ in range(hops - 1):
+        near = both.join(out, both.v == out.node).groupBy("u").agg(F.min("component").alias("c"))
+        out = near.select(F.col("u").alias("node"), F.least("c", "u").alias("component"))
+    return stash(out, "labels")
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, share: tuple[int, int] = (75, 100), k: int = K
 ) -> DataFrame:
@@ -130,40 +186,28 @@ def near_duplicates(
     size, hits = F.size("sketch"), F.size("hits")
     room = size - F.ceil(size / 2) + 1 - (size - hits)
     suspects = stash(
-        classes.join(listed, "node").where(room > 0).select("node", "n", "sketch", F.transform(F.slice("hits", 1, room.cast("int")), lambda h: h["v"]).alias("prefix")),
+        classes.join(listed, "node").where(room > 0).select("node", "n", F.transform(F.slice("hits", 1, room.cast("int")), lambda h: h["v"]).alias("prefix")),
         "suspects",
     )
     lists = suspects.select("node", "n", F.explode("prefix").alias("v"))
-    alone = lists.groupBy("v").agg(F.min(F.struct("node", "n")).alias("lead"), F.count(F.lit(1)).alias("df")).where("df > 1")
-    stars = stash(
-        lists.join(alone, "v")
-        .where("node <> lead.node")
-        .where(_close("n", "lead.n", share))
-        .select(F.col("lead.node").alias("a"), F.col("node").alias("b"))
-        .distinct(),
-        "stars",
-    )
     wanted = suspects.select(F.col("node.rep").alias("doc_id")).distinct()
-    full = slim.join(wanted, "doc_id", "left_semi").mapInArrow(_emit(words, k, True), SCHEMA)
+    full = slim.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id", "t"]).mapInArrow(_emit(words, k, True), SCHEMA)
     sets = stash(full.select(F.struct(F.col("doc_id").alias("rep"), "k1").alias("node"), "hashes"), "sets")
 
-    links = stash(_verified(stars, suspects, sets, k, share), "links")
-    joined = stash(components(links), "joined")
-    placed = lists.join(joined, "node", "left").select("node", "n", "v", F.coalesce("component", "node").alias("c"))
-    mixed = placed.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("v")
-    placed = placed.join(mixed, "v")
-    a, b = placed.alias("a"), placed.alias("b")
-    across = (
-        a.join(b, (F.col("a.v") == F.col("b.v")) & (F.col("a.c") < F.col("b.c")) & F.expr(_close("a.n", "b.n", share)))
-        .select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b"))
-        .distinct()
-        .join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    )
-    more = stash(_verified(across, suspects, sets, k, share), "across")
-    if not more.isEmpty():
-        discard(joined)
-        joined = stash(components(links.union(more)), "joined")
-    discard(suspects, stars, sets, links, more)
+    links, labels = [], None
+    for turn in range(STARS):
+        pairs = _stars(_placed(lists, labels), turn, share)
+        new = stash(_verified(_estimated(pairs, sets, share), sets, share), "links")
+        links.append(new)
+        if new.isEmpty():
+            break
+        if labels is not None:
+            discard(labels)
+        labels = _labels(reduce(DataFrame.union, links))
+    across = stash(_across(_placed(lists, labels), suspects, sets, share), "across")
+    links.append(stash(_verified(across, sets, share), "links"))
+    joined = stash(components(reduce(DataFrame.union, links)), "joined")
+    discard(suspects, sets, across, *links, *([] if labels is None else [labels]))
 
     placed = classes.join(joined, "node", "left").select("n", "k1", "k2", F.coalesce("component.rep", "node.rep").alias("c"))
     linked = F.col("n") > 0
