@@ -20,6 +20,7 @@ first; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import array
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -39,6 +40,7 @@ KNOWN = 300_000
 LONGEST = 64
 SLICE = 1 << 20
 _tokenizers: dict[str, object] = {}
+_encoders: dict[str, Encoder] = {}
 
 
 def default_path() -> str:
@@ -58,31 +60,83 @@ def _tokenizer(path: str):
     return _tokenizers[path]
 
 
-class Encoder:
-    """Encodes whole texts by their runs between blanks."""
+def byte_letters() -> dict[int, str]:
+    """Byte-level form: the letter that stands for each byte, for ``str.translate`` over Latin-1 text."""
+    out, extra = {}, 0
+    for b in range(256):
+        if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255:
+            out[b] = chr(b)
+        else:
+            out[b] = chr(256 + extra)
+            extra += 1
+    return out
+
+
+class Encoder(dict):
+    """Encodes whole texts by their runs between blanks; the dictionary holds the runs met so far.
+
+    A run of plain Latin letters with a tail of plain signs is two pieces to
+    the tokenizer's own pattern, so the letters go straight to its model, once
+    for all tails and capitals; any other run goes through the whole tokenizer.
+    """
+
+    plain = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+    #: Blank to ``str.split`` but not to the tokenizer.
+    separators = re.compile("[\x1c-\x1f]")
 
     def __init__(self, path: str):
-        self.tokenizer, self.known = _tokenizer(path), {"": ()}
-
-    def ids(self, texts: list[str]) -> list[array.array]:
-        runs = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        new = list(set().union(*runs) - self.known.keys())
-        if len(self.known) + len(new) > KNOWN:
-            self.known = {"": ()}
-            new = list(set().union(*runs) - self.known.keys())
-        for lo in range(0, len(new), 4096):
-            part = new[lo : lo + 4096]
-            self.known.update((w, tuple(e.ids)) for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True))
-        out = [array.array("i", chain.from_iterable(map(self.known.__getitem__, r))) for r in runs]
-        for w in new:
-            if len(w) > LONGEST:
-                del self.known[w]
-        return out
+        super().__init__({"": ()})
+        self.tokenizer, self.stems = _tokenizer(path), {}
+        self.model, self.letters = self.tokenizer.model, byte_letters()
+
+    def __missing__(self, run: str) -> tuple[int, ...]:
+        parts = self.plain.fullmatch(run) if len(run) <= LONGEST else None
+        if parts is None:
+            own = tuple(self.tokenizer.encode(run, add_special_tokens=False).ids)
+        else:
+            own = self._stem(parts[1].lower())
+            if parts[2]:
+                own = own + self[parts[2]] if parts[2] in self else own + self._sign(parts[2])
+        if len(run) <= LONGEST:
+            self[run] = own
+        return own
+
+    def _sign(self, signs: str) -> tuple[int, ...]:
+        self[signs] = tuple(self.tokenizer.encode(signs, add_special_tokens=False).ids)
+        return self[signs]
+
+    def _stem(self, stem: str) -> tuple[int, ...]:
+        own = self.stems.get(stem)
+        if own is None:
+            raw = stem.encode("utf-8").decode("latin-1").translate(self.letters)
+            own = self.stems[stem] = tuple([t.id for t in self.model.tokenize(raw)])
+        return own
+
+    def ids(self, texts: list[str], end: tuple[int, ...] = ()) -> tuple[array.array, list[int]]:
+        """All ids, each text's followed by ``end``, and where each text ends."""
+        out, ends = array.array("i"), []
+        for t in texts:
+            runs = t.split() if self.separators.search(t) is None else t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+            out.extend(chain.from_iterable(map(self.__getitem__, runs)))
+            out.extend(end)
+            ends.append(len(out))
+        if len(self) > KNOWN:
+            self.clear()
+        if len(self.stems) > KNOWN:
+            self.stems.clear()
+        return out, ends
+
+
+def _encoder(path: str) -> Encoder:
+    """One for a worker process, whatever the number of its tasks."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def _encode(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, before = Encoder(path), TaskContext.get().partitionId(), 0
+        encoder, part, before = _encoder(path), TaskContext.get().partitionId(), 0
         for batch in batches:
             texts = batch.column(1).to_pylist()
             lo = 0
@@ -91,12 +145,10 @@ def _encode(path: str, end_id: int):
                 while hi < len(texts) and (hi == lo or held + len(texts[hi]) <= SLICE):
                     held += len(texts[hi])
                     hi += 1
-                own = encoder.ids(texts[lo:hi])
-                for a in own:
-                    a.append(end_id)
-                sizes = np.array([len(a) for a in own], dtype=np.int64)
-                ends = np.cumsum(sizes)
-                values = np.concatenate([np.frombuffer(a, dtype=np.int32) for a in own])
+                flat, stops = encoder.ids(texts[lo:hi], (end_id,))
+                ends = np.array(stops, dtype=np.int64)
+                sizes = np.diff(ends, prepend=0)
+                values = np.frombuffer(flat, dtype=np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(values))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo), pa.array([part] * (hi - lo), pa.int32()), pa.array(before + ends - sizes), lists],
