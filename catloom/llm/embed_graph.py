@@ -12,8 +12,8 @@
 4. Cells are gathered into regions. In a region every node is searched for: a
    greedy beam search from the cells' medoids over the united lists, which
    then expands through everything within the range plus a margin. Regions
-   above ``BLOCK_ROWS`` are searched by pairs of blocks, so no task holds a
-   hot region. Links are verified in double precision; each link is counted in
+   above ``BLOCK_ROWS`` are compared exactly by pairs of blocks, so no task
+   holds a hot region and no edge to another block is missed. Links are verified in double precision; each link is counted in
    one region and block pair only. A task gives its nodes' link counts and a
    spanning forest, never all pairs.
 5. Audit: of the nodes with an id divisible by 100, up to ``AUDIT_ROWS`` are
@@ -221,40 +221,73 @@ def _build(table: pa.Table) -> pa.Table:
     return pa.table({"rep": rep, "h": h, "near": pa.array(near, pa.list_(pa.struct([("rep", pa.int64()), ("h", pa.int64())])))})
 
 
+class Tally:
+    """Links and a spanning forest of one task's nodes, gathered from blocks of pairs."""
+
+    def __init__(self, mult: np.ndarray, regions: list[list[int]], region: int) -> None:
+        n = len(mult)
+        self.mult = mult.astype(np.float64)
+        self.links, self.root = np.zeros(n), np.arange(n)
+        # a pair that shares a smaller region is counted there
+        smaller = sorted({g for own in regions for g in own if g < region})
+        column = {g: k for k, g in enumerate(smaller)}
+        self.before = np.zeros((n, len(smaller)), dtype=np.float32)
+        for i, own in enumerate(regions):
+            self.before[i, [column[g] for g in own if g < region]] = 1
+
+    def add(self, rows: np.ndarray, cols: np.ndarray, hit: np.ndarray, both: bool) -> None:
+        """The linked pairs of ``rows`` and ``cols``; ``both`` counts them for the columns too."""
+        counted = hit & ((self.before[rows] @ self.before[cols].T) == 0) if self.before.shape[1] else hit
+        self.links[rows] += counted @ self.mult[cols]
+        if both:
+            self.links[cols] += self.mult[rows] @ counted
+        r, c = np.nonzero(hit & (self.root[rows][:, None] != self.root[cols][None, :]))
+        if len(r):
+            self.root = forest(self.root[rows[r]], self.root[cols[c]], len(self.root))[self.root]
+
+
 def _search(least: float, beam: int):
-    """One block pair of a region: ``rep, h, links, root_rep, root_h`` by node."""
+    """One block pair of a region: ``rep, h, links, root_rep, root_h`` by node.
+
+    A region of one block has all edges of its shards and is searched by the
+    graph. Block pairs of larger regions lack the edges to the other blocks, so
+    they are compared exactly.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("rep", "ascending"), ("h", "ascending")])
         x = unit_rows(table.column("v"))
         n = len(x)
         rep, h, mult = (table.column(c).to_numpy() for c in ("rep", "h", "m"))
-        region, lo, hi = (table.column(c)[0].as_py() for c in ("region", "lo", "hi"))
+        region, lo, hi, blocks = (table.column(c)[0].as_py() for c in ("region", "lo", "hi", "blocks"))
         block = table.column("block").to_numpy()
-        cell, fit = table.column("cell").to_numpy(), table.column("fit").to_numpy()
-        at = {key: i for i, key in enumerate(zip(rep.tolist(), h.tolist(), strict=True))}
-        lists = [np.array([at[k] for k in ((e["rep"], e["h"]) for e in own or []) if k in at], dtype=np.int64) for own in table.column("near").to_pylist()]
-        graph = padded(lists)
-        order = np.lexsort((np.arange(n), -fit, cell))
-        medoids = order[np.concatenate([[True], cell[order][1:] != cell[order][:-1]])]
-        found = np.zeros((n, n), dtype=bool)
-        for a in range(0, n, QUERIES):
-            rows = np.arange(a, min(a + QUERIES, n))
-            found[rows] = range_search(x, graph, medoids, rows, least, beam)
-        found |= found.T
-        np.fill_diagonal(found, False)
-        u, v = np.nonzero(found)
-        root = forest(u, v, n)
-        others = [set(r) for r in table.column("regions").to_pylist()]
-        first = np.array([min(o) for o in others])
-        double = np.array([len(o) > 1 for o in others])
-        counted = (block[u] != block[v]) if lo != hi else np.ones(len(u), dtype=bool)
-        unsure = np.flatnonzero(counted & double[u] & double[v] & ((first[u] < region) | (first[v] < region)))
-        for i in unsure:
-            counted[i] = min(others[u[i]] & others[v[i]]) == region
-        links = np.zeros(n, dtype=np.int64)
-        np.add.at(links, u[counted], mult[v[counted]])
-        return pa.table({"rep": rep, "h": h, "links": links, "root_rep": rep[root], "root_h": h[root]})
+        tally = Tally(mult, table.column("regions").to_pylist(), region)
+        if blocks > 1:
+            left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+            for a in range(0, len(left), QUERIES):
+                rows = left[a : a + QUERIES]
+                hit = x[rows] @ x[right].T >= least
+                if lo == hi:
+                    hit[np.arange(len(rows)), np.arange(a, a + len(rows))] = False
+                tally.add(rows, right, hit, lo != hi)
+        else:
+            cell, fit = table.column("cell").to_numpy(), table.column("fit").to_numpy()
+            at = {key: i for i, key in enumerate(zip(rep.tolist(), h.tolist(), strict=True))}
+            lists = [np.array([at[k] for k in ((e["rep"], e["h"]) for e in own or []) if k in at], dtype=np.int64) for own in table.column("near").to_pylist()]
+            graph = padded(lists)
+            order = np.lexsort((np.arange(n), -fit, cell))
+            medoids = order[np.concatenate([[True], cell[order][1:] != cell[order][:-1]])]
+            found = np.zeros((n, n), dtype=bool)
+            for a in range(0, n, QUERIES):
+                rows = np.arange(a, min(a + QUERIES, n))
+                found[rows] = range_search(x, graph, medoids, rows, least, beam)
+            found |= found.T
+            np.fill_diagonal(found, False)
+            for a in range(0, n, QUERIES):
+                rows = np.arange(a, min(a + QUERIES, n))
+                tally.add(rows, np.arange(n), found[rows], False)
+        root = tally.root
+        return pa.table({"rep": rep, "h": h, "links": tally.links.astype(np.int64), "root_rep": rep[root], "root_h": h[root]})
 
     return run
 
@@ -297,7 +330,8 @@ def _pass(nodes: DataFrame, dim: int, total: int, sample: np.ndarray, least: flo
     members = graph.select("rep", "h", "m", "v", "near", "regions", "fit", F.col("cells")[0].alias("cell"), F.explode("regions").alias("region"))
     sizes = routed.select(F.explode("regions").alias("g")).groupBy("g").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
     placed = members.join(sizes, F.col("region") == F.col("g")).withColumn("block", F.pmod(F.xxhash64("rep", "h", F.lit("block")), F.col("blocks")).cast("int"))
-    pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+    slim = placed.withColumn("near", F.when(F.col("blocks") == 1, F.col("near")))
+    pairs = slim.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "*", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")
     )
     found = pairs.groupBy("region", "lo", "hi").applyInArrow(_search(least, beam), "rep long, h long, links long, root_rep long, root_h long")

@@ -69,3 +69,21 @@ def test_graph_search_reaches_far_groups():
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     hit = range_search(x, padded(robust_graph(x)), np.array([0]), np.arange(len(x)), 0.9, 16)
     assert hit.sum() >= 0.99 * (x @ x.T >= 0.9).sum()
+
+
+def test_many_blocks_lose_no_links(spark, monkeypatch):
+    from catloom.llm import embed_graph
+
+    monkeypatch.setattr(embed_graph, "BLOCK_ROWS", 8)
+    rng = np.random.default_rng(3)
+    # distinct near copies along a ring: each links with some neighbours only, so few edges survive a block pair
+    angle = np.linspace(0, 2 * np.pi, 600, endpoint=False)
+    x = np.concatenate([np.stack([np.cos(angle), np.sin(angle)], axis=1), 0.01 * rng.normal(size=(600, 14))], axis=1)
+    x = np.concatenate([x, rng.normal(size=(200, 16))])
+    # no id is divisible by 100, so no audit widens the search
+    ids = [100 * k + 1 for k in range(len(x))]
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_vectors(frame, least=0.995).collect()}
+    want = brute(ids, x, 0.995)
+    assert sum(got[i][0] for i in ids) >= 0.99 * sum(w[0] for w in want.values())
+    assert sum(got[i][1] == want[i][1] for i in ids) >= 0.99 * len(ids)
