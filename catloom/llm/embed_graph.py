@@ -16,9 +16,12 @@
    holds a hot region and no edge to another block is missed. Links are verified in double precision; each link is counted in
    one region and block pair only. A task gives its nodes' link counts and a
    spanning forest, never all pairs.
-5. Audit: of the nodes with an id divisible by 100, up to ``AUDIT_ROWS`` are
-   compared with all nodes by brute force. Below ``least_recall`` the search
-   is repeated with more overlap and a wider beam. The recall is returned.
+5. Audit: of the nodes with an id divisible by 100, about ``AUDIT_ROWS`` are
+   compared with all nodes by brute force. If the mean recall of the nodes of
+   a size class (links by powers of two) is below ``least_recall``, the search
+   is repeated with more overlap and a wider beam, twice at most, and then
+   done exactly: every node is compared with all blocks of the regions that
+   can hold a vector within the range. The mean recall by node is returned.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite
 components link with nothing; so do rows without an id; vectors of different
@@ -31,7 +34,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catloom.llm.common import components, discard, stash
@@ -227,7 +230,7 @@ class Tally:
     def __init__(self, mult: np.ndarray, regions: list[list[int]], region: int) -> None:
         n = len(mult)
         self.mult = mult.astype(np.float64)
-        self.links, self.root = np.zeros(n), np.arange(n)
+        self.links, self.near, self.root = np.zeros(n), np.zeros(n), np.arange(n)
         # a pair that shares a smaller region is counted there
         smaller = sorted({g for own in regions for g in own if g < region})
         column = {g: k for k, g in enumerate(smaller)}
@@ -239,15 +242,24 @@ class Tally:
         """The linked pairs of ``rows`` and ``cols``; ``both`` counts them for the columns too."""
         counted = hit & ((self.before[rows] @ self.before[cols].T) == 0) if self.before.shape[1] else hit
         self.links[rows] += counted @ self.mult[cols]
+        self.near[rows] += counted.sum(axis=1)
         if both:
             self.links[cols] += self.mult[rows] @ counted
+            self.near[cols] += counted.sum(axis=0)
         r, c = np.nonzero(hit & (self.root[rows][:, None] != self.root[cols][None, :]))
         if len(r):
             self.root = forest(self.root[rows[r]], self.root[cols[c]], len(self.root))[self.root]
 
+    def table(self, rep: np.ndarray, h: np.ndarray) -> pa.Table:
+        links, near = self.links.astype(np.int64), self.near.astype(np.int64)
+        return pa.table({"rep": rep, "h": h, "links": links, "near": near, "root_rep": rep[self.root], "root_h": h[self.root]})
+
+
+FOUND = "rep long, h long, links long, near long, root_rep long, root_h long"
+
 
 def _search(least: float, beam: int):
-    """One block pair of a region: ``rep, h, links, root_rep, root_h`` by node.
+    """One block pair of a region: ``rep, h, links, near, root_rep, root_h`` by node.
 
     A region of one block has all edges of its shards and is searched by the
     graph. Block pairs of larger regions lack the edges to the other blocks, so
@@ -286,29 +298,116 @@ def _search(least: float, beam: int):
             for a in range(0, n, QUERIES):
                 rows = np.arange(a, min(a + QUERIES, n))
                 tally.add(rows, np.arange(n), found[rows], False)
-        root = tally.root
-        return pa.table({"rep": rep, "h": h, "links": tally.links.astype(np.int64), "root_rep": rep[root], "root_h": h[root]})
+        return tally.table(rep, h)
 
     return run
 
 
 def _audit(queries: np.ndarray, keys: list[tuple[int, int]], least: float):
-    """Links of each query by brute force over this task's nodes."""
+    """Links of each query, and the distinct vectors of them, by brute force over this task's nodes."""
 
     def run(batches):
-        total = np.zeros(len(keys), dtype=np.int64)
+        links, near = np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=np.int64)
         for batch in batches:
             x = unit_rows(batch.column("v"))
-            total += ((queries @ x.T) >= least) @ batch.column("m").to_numpy()
+            hit = (queries @ x.T) >= least
+            links += hit @ batch.column("m").to_numpy()
+            near += hit.sum(axis=1)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(total)], names=["rep", "h", "true_links"]
+            [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(links), pa.array(near)],
+            names=["rep", "h", "true_links", "true_near"],
         )
 
     return run
 
 
+def recalls_of(links: np.ndarray, true_links: np.ndarray, near: np.ndarray, true_near: np.ndarray) -> tuple[np.ndarray, float]:
+    """Recall of each audited node that links, and the least mean over a size class (power of two of its distinct vectors).
+
+    A node's recall is the smaller of that of its links and that of the distinct
+    vectors it links with, so neither many copies nor a large group hides others.
+    """
+    own = true_near > 0
+    recall = np.minimum(links[own] / true_links[own], near[own] / true_near[own])
+    size = np.floor(np.log2(true_near[own])).astype(int)
+    return recall, min((float(recall[size == k].mean()) for k in np.unique(size)), default=1.0)
+
+
+def _visits(cells: np.ndarray, region_of: np.ndarray, least: float):
+    """Adds each node's home region and all regions that can hold a vector linked with it.
+
+    A linked vector is within the chord ``t``. If its nearest centroid is ``c``,
+    then for the node's own nearest ``d`` holds ``x.d - x.c <= t |d - c|``.
+    """
+    t = float(np.sqrt(max(0.0, 2 - 2 * least))) + 1e-7
+
+    def run(batches):
+        for batch in batches:
+            x = unit_rows(batch.column("v"))
+            home, visits = np.zeros(len(x), dtype=np.int32), []
+            for a in range(0, len(x), QUERIES):
+                sims = x[a : a + QUERIES] @ cells.T
+                own = sims.argmax(axis=1)
+                apart = np.sqrt(np.maximum(0.0, ((cells**2).sum(axis=1)[own][:, None] + (cells**2).sum(axis=1) - 2 * cells[own] @ cells.T)))
+                can = sims.max(axis=1)[:, None] - sims <= t * apart + 1e-7
+                home[a : a + len(own)] = region_of[own]
+                visits += [np.unique(region_of[c]).astype(np.int32) for c in can]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("rep", "h", "m", "v")), pa.array(home), pa.array(visits, pa.list_(pa.int32()))],
+                names=["rep", "h", "m", "v", "home", "visits"],
+            )
+
+    return run
+
+
+def _compare(least: float):
+    """One block of a region's members against one block of its visitors, exactly; links go to the visitors."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("rep", "ascending"), ("h", "ascending")])
+        x = unit_rows(table.column("v"))
+        rep, h, mult = (table.column(c).to_numpy() for c in ("rep", "h", "m"))
+        member = table.column("member").to_numpy(zero_copy_only=False)
+        guests, own = np.flatnonzero(~member), np.flatnonzero(member)
+        tally = Tally(mult, [[]] * len(x), 0)
+        for a in range(0, len(guests), QUERIES):
+            rows = guests[a : a + QUERIES]
+            hit = x[rows] @ x[own].T >= least
+            tally.add(rows, own, hit & ~((rep[rows][:, None] == rep[own]) & (h[rows][:, None] == h[own])), False)
+        return tally.table(rep, h)
+
+    return run
+
+
+def _exact(nodes: DataFrame, total: int, sample: np.ndarray, least: float) -> DataFrame:
+    """As ``_pass``, but with every link: each node is compared with all blocks of the regions that can hold one."""
+    cells = kmeans(sample, int(min(MAX_CELLS, max(1, -(-total // (SHARD_ROWS // 2))))))
+    groups = kmeans(cells, max(1, -(-len(cells) // CELLS_PER_REGION)))
+    region_of = (cells @ groups.T).argmax(axis=1)
+    routed = stash(nodes.mapInArrow(_visits(cells, region_of, least), "rep long, h long, m long, v array<double>, home int, visits array<int>"), "visits")
+    members = routed.groupBy(F.col("home").alias("g")).agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("members"))
+    visitors = routed.select(F.explode("visits").alias("k")).groupBy("k").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("visitors"))
+    sizes = F.broadcast(members.join(visitors, F.col("g") == F.col("k")))
+    asking = routed.select("rep", "h", "m", "v", F.explode("visits").alias("region"), F.lit(False).alias("member"))
+    placed = asking.union(routed.select("rep", "h", "m", "v", "home", F.lit(True))).join(sizes, F.col("region") == F.col("g"))
+
+    def block(count: str) -> Column:
+        return F.pmod(F.xxhash64("rep", "h", F.lit("block")), F.col(count)).cast("int")
+
+    def every(count: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+
+    slim = ["rep", "h", "m", "v", "region", "member"]
+    pairs = placed.where("member").select(*slim, block("members").alias("lo"), every("visitors").alias("hi")).union(
+        placed.where("NOT member").select(*slim, every("members").alias("lo"), block("visitors").alias("hi"))
+    )
+    out = stash(pairs.groupBy("region", "lo", "hi").applyInArrow(_compare(least), FOUND), "found")
+    discard(routed)
+    return out
+
+
 def _pass(nodes: DataFrame, dim: int, total: int, sample: np.ndarray, least: float, overlap: int, beam: int) -> DataFrame:
-    """Nodes of one length: ``rep, h, links, root_rep, root_h``, one row for each search of a node."""
+    """Nodes of one length: ``rep, h, links, near, root_rep, root_h``, one row for each search of a node."""
     cells = kmeans(sample, int(min(MAX_CELLS, max(1, -(-total // (SHARD_ROWS // 2))))))
     groups = kmeans(cells, max(1, -(-len(cells) // CELLS_PER_REGION)))
     region_of = (cells @ groups.T).argmax(axis=1)
@@ -334,7 +433,7 @@ def _pass(nodes: DataFrame, dim: int, total: int, sample: np.ndarray, least: flo
     pairs = slim.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "*", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")
     )
-    found = pairs.groupBy("region", "lo", "hi").applyInArrow(_search(least, beam), "rep long, h long, links long, root_rep long, root_h long")
+    found = pairs.groupBy("region", "lo", "hi").applyInArrow(_search(least, beam), FOUND)
     out = stash(found, "found")
     discard(routed)
     return out
@@ -350,7 +449,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     rows = slim.select("vec_id", F.when(usable, F.col("v")).alias("v"))
     nodes = rows.where("v IS NOT NULL").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("m"))
     nodes = stash(nodes.select("rep", F.xxhash64("v").alias("h"), "m", "v", F.size("v").alias("d")), "nodes")
-    empty = spark.createDataFrame([], "rep long, h long, links long, root_rep long, root_h long")
+    empty = spark.createDataFrame([], FOUND)
     results, recalls = [], []
     for dim, total in [tuple(r) for r in nodes.groupBy("d").count().orderBy("d").collect()]:
         of_dim = nodes.where(F.col("d") == dim).select("rep", "h", "m", "v")
@@ -359,18 +458,25 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
         asked = of_dim.where(F.pmod("rep", F.lit(100)) == 0)
         asked = asked.where(draw < AUDIT_ROWS / max(1, asked.count())).select("rep", "h", "m", "v").toArrow()
         width, reach = overlap, beam
-        for attempt in range(3):
-            found = _pass(of_dim, dim, total, sample if len(sample) else np.ones((1, dim)), least, width, reach)
+        for attempt in range(4):
+            some = sample if len(sample) else np.ones((1, dim))
+            found = _pass(of_dim, dim, total, some, least, width, reach) if attempt < 3 else _exact(of_dim, total, some, least)
             if not len(asked):
-                recalls.append((1, 1))
                 break
             keys = list(zip(asked.column("rep").to_pylist(), asked.column("h").to_pylist(), strict=True))
-            truth = of_dim.mapInArrow(_audit(unit_rows(asked.column("v")), keys, least), "rep long, h long, true_links long").groupBy("rep", "h").agg(F.sum("true_links").alias("t"))
-            own = asked.column("m").to_pylist()
-            got = found.groupBy("rep", "h").agg(F.sum("links").alias("links")).join(truth, ["rep", "h"]).agg(F.sum("links").alias("g"), F.sum("t").alias("t")).first()
-            true_links = got["t"] - sum(own)
-            if got["g"] >= least_recall * true_links or attempt == 2:
-                recalls.append((got["g"], true_links))
+            audit = _audit(unit_rows(asked.column("v")), keys, least)
+            truth = of_dim.mapInArrow(audit, "rep long, h long, true_links long, true_near long").groupBy("rep", "h")
+            own = pa.table({"rep": asked.column("rep"), "h": asked.column("h"), "m": asked.column("m")})
+            got = (
+                found.groupBy("rep", "h").agg(F.sum("links").alias("links"), F.sum("near").alias("near"))
+                .join(truth.agg(F.sum("true_links").alias("t"), F.sum("true_near").alias("tn")), ["rep", "h"])
+                .join(F.broadcast(spark.createDataFrame(own)), ["rep", "h"])
+                .select("links", (F.col("t") - F.col("m")).alias("t"), "near", (F.col("tn") - 1).alias("tn"))
+                .toArrow()
+            )
+            recall, worst = recalls_of(*(got.column(c).to_numpy().astype(np.float64) for c in ("links", "t", "near", "tn")))
+            if worst >= least_recall or attempt == 3:
+                recalls.append(recall)
                 break
             discard(found)
             width, reach = width + 2, reach * 2
@@ -378,7 +484,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     found = empty
     for r in results:
         found = found.union(r)
-    hits, real = sum(g for g, _ in recalls), sum(t for _, t in recalls)
+    audited = np.concatenate([np.ones(0), *recalls])
     edges = found.select(F.struct("rep", "h").alias("u"), F.struct(F.col("root_rep").alias("rep"), F.col("root_h").alias("h")).alias("v"))
     joined = stash(components(edges), "joined")
     counts = found.groupBy("rep", "h").agg(F.sum("links").alias("links"))
@@ -393,7 +499,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("c", "vec_id").alias("component_id"),
         F.coalesce("c", "vec_id").eqNullSafe(F.col("vec_id")).alias("kept"),
-        F.lit(hits / real if real else 1.0).alias("audit_recall"),
+        F.lit(float(audited.mean()) if len(audited) else 1.0).alias("audit_recall"),
     )
 
 

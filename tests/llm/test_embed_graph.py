@@ -87,3 +87,47 @@ def test_many_blocks_lose_no_links(spark, monkeypatch):
     want = brute(ids, x, 0.995)
     assert sum(got[i][0] for i in ids) >= 0.99 * sum(w[0] for w in want.values())
     assert sum(got[i][1] == want[i][1] for i in ids) >= 0.99 * len(ids)
+
+
+def test_failed_retries_end_exactly(spark, monkeypatch):
+    from catloom.llm import embed_graph
+
+    for name, value in (("SHARD_ROWS", 8), ("CELLS_PER_REGION", 1)):
+        monkeypatch.setattr(embed_graph, name, value)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(800, 16))
+    x[:400] = x[0] + 0.02 * rng.normal(size=(400, 16))
+    x[401:800:2] = x[400:800:2] + 0.42 * rng.normal(size=(200, 16))
+    ids = [100 * k for k in range(len(x))]
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    rows = near_vectors(frame, overlap=1, beam=1).collect()
+    got, want = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in rows}, brute(ids, x)
+    small = [i for i in ids[400:] if want[i][0]]
+    assert len(small) > 100
+    assert np.mean([got[i][0] / want[i][0] for i in small]) >= 0.99
+    assert rows[0].audit_recall >= 0.99
+
+
+def test_exact_search_finds_every_link(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from catloom.llm import embed_graph
+
+    for name, value in (("SHARD_ROWS", 32), ("BLOCK_ROWS", 50), ("CELLS_PER_REGION", 2)):
+        monkeypatch.setattr(embed_graph, name, value)
+    x = made(700, 4)[:-20]
+    frame = spark.createDataFrame([(i, i * 7, 1, v.tolist()) for i, v in enumerate(x)], "rep long, h long, m long, v array<double>")
+    found = embed_graph._exact(frame, len(x), embed_graph.unit_rows(frame.toArrow().column("v")), 0.9)
+    got = {r.rep: r.n for r in found.groupBy("rep").agg(F.sum("links").alias("n")).collect()}
+    assert got == {i: w[0] for i, w in brute(list(range(len(x))), x).items()}
+
+
+def test_a_hot_group_does_not_hide_small_ones():
+    from catloom.llm.embed_graph import recalls_of
+
+    # 99 queries of a hot group with all links, one query with neither of its two
+    links, truth = np.array([1000.0] * 99 + [0.0]), np.array([1000.0] * 99 + [2.0])
+    recall, worst = recalls_of(links, truth, links, truth)
+    assert worst == 0 and recall.mean() == 0.99
+    # a million found copies do not hide nine missed vectors
+    assert recalls_of(np.array([1e6]), np.array([1e6 + 9]), np.array([1.0]), np.array([10.0]))[1] == 0.1
