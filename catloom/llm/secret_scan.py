@@ -3,7 +3,9 @@ r"""Secret scans: three fixed patterns and a randomness test battery. Native: no
 Base kinds ``assign``, ``access`` and ``hex`` are leftmost non-overlapping
 matches of their patterns, of a least length. The battery adds spans:
 
-1. Candidates are the maximal runs of ``[A-Za-z0-9+/_=-]`` of ``MIN_LEN`` or more.
+1. Candidates are the maximal runs of ``[A-Za-z0-9+/_-]`` of ``MIN_LEN`` or more,
+   with the ``=`` that end them; an inner ``=`` cuts. A run that fits no encoding
+   is cut into the maximal runs of each alphabet.
 2. Each is given the smallest alphabet that holds all its characters (hex,
    base32, base62, base64, base64url), and its characters become codes in it.
 3. Three tests hold it against uniform independent codes: chi-squared of the
@@ -41,7 +43,8 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 MIN_VALUE = 12
 MIN_LEN = 20
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}" % MIN_LEN
+#: Signs after a run are part of it only where they end it: inner ones join names and values.
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}(?:=+(?![A-Za-z0-9+/_=-]))?" % MIN_LEN
 ALPHA = 0.001
 RATE = 0.05
 TEXT_RATE = 2.0
@@ -57,6 +60,12 @@ ENCODINGS = (
     ("rand_base64", r"^[A-Za-z0-9+/]+={0,2}$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
     ("rand_base64url", r"^[A-Za-z0-9_-]+={0,2}$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
 )
+FITS = "|".join(f"(?:{pattern})" for _, pattern, _ in ENCODINGS)
+#: Maximal runs of each alphabet, for candidates that fit no encoding.
+PARTS = tuple(
+    f"(?<![{own}])[{own}]{{{MIN_LEN},}}{pad}"
+    for own, pad in (("0-9a-f", ""), ("0-9A-F", ""), ("A-Z2-7", "(?:=+$)?"), ("A-Za-z0-9", ""), ("A-Za-z0-9+/", "(?:={1,2}$)?"), ("A-Za-z0-9_-", "(?:={1,2}$)?"))
+)
 KINDS = (*BASE_KINDS, *(name for name, _, _ in ENCODINGS))
 
 
@@ -162,6 +171,17 @@ def battery(codes: Column, size: int) -> Column:
     return let(codes, tests)
 
 
+def runs(text: Column) -> Column:
+    """``array<struct<start, hit>>`` of the strings that the battery tests."""
+
+    def parts(h: Column) -> Column:
+        cut = [F.transform(occurrences(h["hit"], p), lambda o: F.struct((h["start"] + o["start"]).alias("start"), o["hit"].alias("hit"))) for p in PARTS]
+        return F.array_distinct(F.concat(*cut))
+
+    whole = F.transform(occurrences(text, CANDIDATE), lambda h: F.when(h["hit"].rlike(FITS), F.array(h)).otherwise(parts(h)))
+    return F.flatten(whole)
+
+
 def candidates(text: Column) -> Column:
     """Battery candidates: ``array<struct<start, end, kind, rank, length, step>>``; ``step`` is p on the grid."""
 
@@ -187,7 +207,7 @@ def candidates(text: Column) -> Column:
             F.lit(None).cast("struct<start:int,end:int,kind:string,rank:int,length:int,step:int>"),
         )
 
-    return F.filter(F.transform(occurrences(text, CANDIDATE), judged), lambda c: c.isNotNull())
+    return F.filter(F.transform(runs(text), judged), lambda c: c.isNotNull())
 
 
 def thresholds(found: DataFrame, rate: float = RATE) -> dict[tuple[str, int], int]:

@@ -68,3 +68,26 @@ def test_battery_tells_random_from_text(spark):
 def test_odd_rows(odd, none):
     assert scan_secrets(odd).count() == odd.count()
     assert scan_secrets(none).count() == 0
+
+
+def test_joined_secrets_are_candidates(spark):
+    draw = random.Random(11)
+    base64 = string.ascii_letters + string.digits + "+/"
+
+    def secret(chars, n=64):
+        return "".join(draw.choices(chars, k=n))
+
+    def mixed():
+        return secret(base64, 40) + "+/" + secret(base64, 24)
+
+    texts = []
+    for _ in range(20):
+        s = [mixed(), secret(base64[:62]), mixed(), mixed(), secret(base64[:62]), mixed() + "=="]
+        texts += [(f"AWS_SECRET_ACCESS_KEY={s[0]}", s[:1]), (f"--key={s[1]}={s[2]}", s[1:3]), (f"name_-{s[3]}_x", s[3:4]), (f"sig={s[4]}&x={s[5]}", s[4:6])]
+    frame = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    for r in scan_secrets(frame).collect():
+        text, _ = texts[r.doc_id]
+        texts[r.doc_id] = (text, texts[r.doc_id][1], [text[x.start : x.end] for x in r.spans if x.rank > 2])
+    for form in range(4):
+        own = [(s, found) for _, wanted, found in texts[form::4] for s in wanted]
+        assert sum(s in found for s, found in own) >= 0.9 * len(own)
