@@ -12,24 +12,27 @@ matches of their patterns, of a least length. The battery adds spans:
    alphabet counts, runs above and below the alphabet's middle, and lag-1
    serial correlation. Their Bonferroni combination must not reject at
    ``ALPHA``: what rejects is text, a path or a pattern, and gets p = 1.
-4. The evidence against text is the number of equal pairs of codes: text has
-   at least ``TEXT_RATE / alphabet`` of its pairs equal, a random string
-   ``1 / alphabet``. The p-value is the chance of so few equal pairs in text
-   (square-root transform of a Poisson count). Short strings have few pairs and
-   so cannot reach a small p.
+4. There are two pieces of evidence against text. Text has at least
+   ``TEXT_RATE / alphabet`` of its pairs of codes equal, a random string
+   ``1 / alphabet``: the chance of so few equal pairs (square-root transform of a
+   Poisson count). And a text model (steps between character classes and between
+   letters, fixed values) gives the likelihood ratio of text to random, which
+   bounds the chance of such a ratio in text and is small from 20 characters on.
+   The p-value is twice the smaller one.
 5. Length-aware false-discovery control: Benjamini-Hochberg at ``RATE`` within
    each stratum of encoding and length class (power of two), over all
-   candidates of the table. The p-values are rounded up to a fixed grid, so a
+   distinct candidates of the table. The p-values are rounded up to a fixed grid, so a
    stratum's threshold comes from a histogram of bounded size and never from
    collected p-values.
 
 Offsets are code points, end exclusive. Defined cases: a null or empty text has
-no span; repeated rows count as candidates each; an empty table gives an empty
+no span; equal candidates count once; an empty table gives an empty
 result; columns other than id and text are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -51,6 +54,20 @@ TEXT_RATE = 2.0
 #: Grid steps for each power of ten of p, and the smallest power kept apart.
 STEPS, DEEPEST = 20, 60
 
+#: Characters of the text model, and its chances from class to class (rows: lower, upper, digit, sign, start).
+MODEL_CHARS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-"
+CLASS_STEPS = ((0.9, 0.04, 0.02, 0.04), (0.5, 0.42, 0.03, 0.05), (0.1, 0.08, 0.7, 0.12), (0.55, 0.2, 0.2, 0.05), (0.5, 0.3, 0.15, 0.05))
+#: -ln of the chance of a letter after the start and after each letter, in quarters from 'a'; counted over words of program texts.
+LETTER_STEPS = (
+    "lnkmmmpplusnmnnmuljloqnuuvwnlmvtpwnwqimkwnwikiqqtsqwjsnrivvulnvhtvlrvmmsjvwvmujwpuivvknwmlsvguwnrinvvwtw"
+    "lttnetuvhvvouskuwqmrmtuvrwmuljoorvswvnnjtoshjlvqsmswkvsskktwgwwmutitwlpokwvwqwnutufuqljwwmrlnswlkqlsuwvt"
+    "gwvufvwviwvsrthvwosmqwwwsvppmoooowvwtlmfkpvoljwpwswqlwruewwvpvpvvvgrwsptgwvwuwnvrresruiwumtmrsuqjrpulwtw"
+    "jutogruviwvjvtkswtmnnuuwlvhnusfvwvkwusotjiwuosnwwwtwlulkjqiumwrrurlswvkhpqvwswspnlsqswqwrnlgpmwhnmlpnuwv"
+    "ivtshuvtmwvjvujlvipkovuwowuuvtuvwvvvwsvtvvsotubvwvwwjtqpfsovjwrsoojswmllpttwowovotgttnjvsqssmmvtkglvswpw"
+    "kvqsgsvjhwvqtumrwklnovsvovonoqlqpwnwwjlislwjjjwwwvwwguvwduuwiwwwtunuwuuvvwuwvvhttriuwihwwqvmkvwkntvvrtww"
+    "lrirjqvsjwwrrwriwuqgvvunqusqpslruulwwonlmgwpiivrowsslurvcuvujwwrptmuwtsuuwvvrt"
+)
+
 BASE_KINDS = ("assign", "access", "hex")
 #: Encoding, pattern of the whole candidate, alphabet in code order (fixed values).
 ENCODINGS = (
@@ -119,8 +136,36 @@ def upper_tail(z: Column) -> Column:
     return F.when(z >= 0, tail).otherwise(1 - tail)
 
 
-def battery(codes: Column, size: int) -> Column:
-    """p-value that the codes are text and not random, 1 if a randomness test rejects."""
+def text_steps() -> list[float]:
+    """-ln of the text model's chance of each character (column) after each character and at the start (row)."""
+    sizes = (26, 26, 10, 4)
+
+    def kind(c: str) -> int:
+        return 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
+
+    out = []
+    for a in (*MODEL_CHARS, ""):
+        row = ord(a.lower()) - ord("a") + 1 if a.isalpha() else 0
+        for c in MODEL_CHARS:
+            within = (ord(LETTER_STEPS[row * 26 + ord(c.lower()) - ord("a")]) - ord("a")) / 4 if c.isalpha() else math.log(sizes[kind(c)])
+            out.append(within - math.log(CLASS_STEPS[kind(a) if a else 4][kind(c)]))
+    return out
+
+
+def surprise(bare: Column) -> Column:
+    """-ln of the chance of the string under the text model."""
+    width = len(MODEL_CHARS)
+    steps = F.split(F.lit(",".join(f"{x:.4f}" for x in text_steps())), ",").cast("array<double>")
+
+    def summed(codes: Column) -> Column:
+        before = F.concat(F.array(F.lit(width)), F.slice(codes, 1, F.size(codes) - 1))
+        return F.aggregate(F.zip_with(before, codes, lambda a, b: F.get(steps, a * width + b)), F.lit(0.0), lambda acc, x: acc + x)
+
+    return let(F.transform(F.split(bare, ""), lambda c: F.instr(F.lit(MODEL_CHARS), c) - 1), summed)
+
+
+def battery(codes: Column, size: int, text: Column) -> Column:
+    """p-value that the codes are text and not random, 1 if a randomness test rejects; ``text`` is their ``surprise``."""
 
     half = size // 2
 
@@ -155,6 +200,7 @@ def battery(codes: Column, size: int) -> Column:
         n, flat = s["n"], (s["high"] == 0) | (s["high"] == s["n"])
         runs_sd = F.sqrt((s["expected"] - 1) * (s["expected"] - 2) / (n - 1))
         return F.struct(
+            n.alias("n"),
             ((s["squares"] * size / n - n - (size - 1)) / F.sqrt(2.0 * (size - 1) * (n - 1) / n)).alias("chi"),
             F.when(flat, F.lit(99.0)).otherwise(F.abs((s["runs"] - s["expected"]) / runs_sd)).alias("runs"),
             F.when(s["spread"] == 0, F.lit(99.0)).otherwise(F.abs((s["lagged"] / s["spread"] + 1 / n) * F.sqrt(n))).alias("serial"),
@@ -163,7 +209,8 @@ def battery(codes: Column, size: int) -> Column:
 
     def decided(z: Column) -> Column:
         uniform = F.least(let(z["chi"], upper_tail), 2 * let(z["runs"], upper_tail), 2 * let(z["serial"], upper_tail)) * 3
-        return F.when(uniform < ALPHA, F.lit(1.0)).otherwise(let(z["few"], upper_tail))
+        likely = F.exp(F.least(F.lit(math.log(size)) * z["n"] - text, F.lit(0.0)))
+        return F.when(uniform < ALPHA, F.lit(1.0)).otherwise(F.least(2 * F.least(let(z["few"], upper_tail), likely), F.lit(1.0)))
 
     def tests(x: Column) -> Column:
         return let(let(let(counted(x), spread_out), scores), decided)
@@ -183,14 +230,14 @@ def runs(text: Column) -> Column:
 
 
 def candidates(text: Column) -> Column:
-    """Battery candidates: ``array<struct<start, end, kind, rank, length, step>>``; ``step`` is p on the grid."""
+    """Battery candidates: ``array<struct<start, end, kind, rank, length, step, key>>``; ``step`` is p on the grid."""
 
     def judged(h: Column) -> Column:
         def one(name: str, alphabet: str) -> Column:
             bare = F.rtrim(h["hit"], F.lit("="))
             bare = F.lower(bare) if name == "rand_hex" else bare
             codes = F.transform(F.split(bare, ""), lambda c: F.instr(F.lit(alphabet), c) - 1)
-            p = F.when(F.length(bare) < MIN_LEN, F.lit(1.0)).otherwise(battery(codes, len(alphabet)))
+            p = F.when(F.length(bare) < MIN_LEN, F.lit(1.0)).otherwise(let(surprise(F.rtrim(h["hit"], F.lit("="))), lambda t: battery(codes, len(alphabet), t)))
             step = F.least(F.floor(-F.log10(F.greatest(p, F.lit(1e-300))) * STEPS), F.lit(DEEPEST * STEPS))
             return F.struct(
                 h["start"].cast("int").alias("start"),
@@ -199,12 +246,13 @@ def candidates(text: Column) -> Column:
                 F.lit(KINDS.index(name)).alias("rank"),
                 F.floor(F.log2(F.length(h["hit"]).cast("double"))).cast("int").alias("length"),
                 F.greatest(step, F.lit(0)).cast("int").alias("step"),
+                F.xxhash64(h["hit"]).alias("key"),
             )
 
         return reduce(
             lambda out, e: F.when(h["hit"].rlike(e[1]), one(e[0], e[2])).otherwise(out),
             reversed(ENCODINGS),
-            F.lit(None).cast("struct<start:int,end:int,kind:string,rank:int,length:int,step:int>"),
+            F.lit(None).cast("struct<start:int,end:int,kind:string,rank:int,length:int,step:int,key:bigint>"),
         )
 
     return F.filter(F.transform(runs(text), judged), lambda c: c.isNotNull())
@@ -216,7 +264,8 @@ def thresholds(found: DataFrame, rate: float = RATE) -> dict[tuple[str, int], in
     ``found`` has ``cands``. What comes to the driver is a row for each stratum
     with discoveries, at most 5 encodings by 31 length classes.
     """
-    bins = found.select(F.explode("cands").alias("c")).groupBy("c.kind", "c.length", "c.step").agg(F.count(F.lit(1)).alias("n"))
+    once = found.select(F.explode("cands").alias("c")).select("c.kind", "c.length", "c.step", "c.key").distinct()
+    bins = once.groupBy("kind", "length", "step").agg(F.count(F.lit(1)).alias("n"))
     own = Window.partitionBy("kind", "length")
     better = own.orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, 0)
     ranked = bins.select("kind", "length", "step", F.sum("n").over(better).alias("k"), F.sum("n").over(own).alias("m"))

@@ -91,3 +91,20 @@ def test_joined_secrets_are_candidates(spark):
     for form in range(4):
         own = [(s, found) for _, wanted, found in texts[form::4] for s in wanted]
         assert sum(s in found for s, found in own) >= 0.9 * len(own)
+
+
+def test_short_secrets_at_a_realistic_share(spark):
+    draw = random.Random(5)
+    words = "get set user account value request response Handler Manager HTTP json error default config file path list index table query of the in is to number string http2 utf8 v3 2024 parser stream buffer render widget".split()
+    plain = {draw.choice(["", "_", "-", "/"]).join(w.title() if draw.random() < 0.3 else w for w in draw.choices(words, k=draw.randint(5, 9))) for _ in range(24000)}
+    plain = sorted(p for p in plain if 20 <= len(p) < 64)[:20000]
+    letters = string.ascii_letters + string.digits
+    secrets = ["".join(draw.choices(letters + extra, k=n)) for n in (20, 24, 32, 40) for extra in ("", "+/") for _ in range(5)]
+    texts = [f"see {p} there" for p in plain] + ["see " + plain[7] + " there"] * 20000 + [f"key {s} end" for s in secrets]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = [r.doc_id for r in scan_secrets(frame).where("exists(spans, s -> s.rank > 2)").select("doc_id").collect()]
+    first = len(texts) - len(secrets)
+    hits = sum(i >= first for i in found)
+    print("found", hits, "of", len(secrets), "false", len(found) - hits)
+    assert hits >= 0.9 * len(secrets)
+    assert len(found) - hits <= 0.1 * len(found)
