@@ -78,3 +78,20 @@ def test_pipeline_stages_keep_the_columns(spark, odd):
         frame = stage(spark, frame, "")
         assert frame.columns == odd.columns
     assert corpus_pipeline.STAGES[-1][1](spark, frame, "").count() == frame.count()
+
+
+def test_shares_are_the_target_weights(spark):
+    rest = 512
+    rows = [(i, "big" if i < 500 else f"s{i % (rest - 1)}" if i < 1500 else "none") for i in range(1510)]
+    frame = spark.createDataFrame(rows, "doc_id long, source string")
+    weights = {"big": 0.5, **{f"s{k}": 0.5 / (rest - 1) for k in range(rest - 1)}}
+    found = sorted(mixed(frame, weights=weights, block=1).collect(), key=lambda r: r["__position"])
+    assert [r["__position"] for r in found] == list(range(1510))
+    assert {r["__source"] for r in found[1500:]} == {"none"}
+    seen, slots = Counter(), [r["__slot"] for r in found]
+    assert slots == sorted(set(slots))
+    for r in found[:900]:
+        seen[r["__source"]] += 1
+        assert r["__release"] <= r["__slot"] < r["__deadline"]
+        assert abs(seen["big"] - 0.5 * (r["__slot"] + 1)) < 1
+        assert abs(seen[r["__source"]] - weights[r["__source"]] * (r["__slot"] + 1)) < 1
