@@ -194,19 +194,25 @@ def common_pieces(words: DataFrame, rank: Lookup, cache: int) -> tuple[pa.Array,
     return found.column("w").combine_chunks().cast(pa.string()), ids.offsets.to_numpy(), ids.values.to_numpy().astype(np.int32)
 
 
-def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", cache: int = CACHE) -> DataFrame:
-    """Id and ``ids``, the token ids of the whole text."""
+def encode(
+    docs: DataFrame, path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", cache: int = CACHE, place_col: str | None = None
+) -> DataFrame:
+    """Id, ``ids``, the token ids of the whole text, and ``position`` if a column holds it."""
     spark, path, pattern = docs.sparkSession, path or default_path(), pattern or default_pattern()
     ship_package(spark)
     rank = Lookup(spark, {k.hex().upper(): v for k, v in read_ranks(path).items()})
-    words = docs.select(F.col(id_col).alias("doc_id"), pieces(F.coalesce(F.col(text_col), F.lit("")), pattern).alias("words"))
+    own = F.col(id_col)
+    if place_col:
+        own = F.struct(own.alias("id"), F.col(place_col).alias("position"))
+    words = docs.select(own.alias("doc_id"), pieces(F.coalesce(F.col(text_col), F.lit("")), pattern).alias("words"))
     shared = spark.sparkContext.broadcast(common_pieces(words, rank, cache))
-    found = words.mapInArrow(_look_up(shared, path, pattern), f"doc_id {dict(docs.dtypes)[id_col]}, ids array<int>, left array<string>")
+    found = words.mapInArrow(_look_up(shared, path, pattern), f"doc_id {dict(words.dtypes)['doc_id']}, ids array<int>, left array<string>")
 
     def filled(own: Column) -> Column:
         return F.flatten(F.transform("ids", lambda i: F.when(i < 0, own[-1 - i]).otherwise(F.array(i))))
 
-    return found.select("doc_id", F.when(F.size("left") == 0, F.col("ids")).otherwise(let(all_folded(F.col("left"), rank), filled)).alias("ids"))
+    named = [F.col("doc_id.id").alias("doc_id"), F.col("doc_id.position")] if place_col else [F.col("doc_id")]
+    return found.select(*named, F.when(F.size("left") == 0, F.col("ids")).otherwise(let(all_folded(F.col("left"), rank), filled)).alias("ids"))
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -220,13 +226,14 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def digests(docs: DataFrame, **options) -> DataFrame:
-    """Id, ``n_tokens, ids_sha256, decoded_sha256``."""
+    """Id, ``n_tokens, ids_sha256, decoded_sha256``, and ``position`` if ``place_col`` names a column that holds it."""
     found = decode(encode(docs, **options), options.get("path"))
     return found.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        *[c for c in ("position",) if c in found.columns],
     )
 
 

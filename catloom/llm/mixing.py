@@ -193,11 +193,14 @@ def mixed(
     )
 
 
-def mix_rows(docs: DataFrame, partitions: int | None = None, **options) -> DataFrame:
-    """The rows of ``docs`` in mixed order: partitions, and so written files, follow each other in it."""
+def mix_rows(docs: DataFrame, partitions: int | None = None, place_col: str | None = None, **options) -> DataFrame:
+    """The rows of ``docs`` in mixed order: partitions, and so written files, follow each other in it.
+
+    Files may be read again in another order; ``place_col`` adds the position as a column.
+    """
     found = mixed(docs, **options).select("__row", "__position")
     dealt = found.repartitionByRange(partitions, "__position") if partitions else found.repartitionByRange("__position")
-    return dealt.sortWithinPartitions("__position").select("__row.*")
+    return dealt.sortWithinPartitions("__position").select("__row.*", *([F.col("__position").alias(place_col)] if place_col else []))
 
 
 def op9_pfair_mixing(spark, sf_dir: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Language ID drops what it can't identify, exact dedup and MinHash near-dedup
 keep one document of each group, mixing puts the rest in the order of the
-sources' target weights, and byte-level BPE encodes and decodes every text.
+sources' target weights, and byte-level BPE encodes and decodes every text. The
+result holds each document's ``position`` in the mixed order.
 """
 
 from __future__ import annotations
@@ -12,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from catloom.llm import bottomk, byte_bpe, exact_dedup, langid, mixing
 from catloom.llm.common import stash
 
+#: The column that takes the position from mixing to the result, as files don't keep the order of rows.
+PLACE = "__position"
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose language is identified with a posterior of 0.5 or more."""
@@ -28,14 +32,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return bottomk.near_dedup(docs)
 
 
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str, place_col: str | None = None) -> DataFrame:
     """Put the documents in Pfair order of their sources."""
-    return mixing.mix_rows(docs)
+    return mixing.mix_rows(docs, place_col=place_col)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token count and digests of ids and decoded bytes for each document."""
-    return byte_bpe.digests(docs)
+    """Token count and digests of ids and decoded bytes for each document, and its position where mixing left one."""
+    return byte_bpe.digests(docs, place_col=PLACE if PLACE in docs.columns else None)
 
 
 STAGES = [
@@ -54,7 +58,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        docs = stage(spark, docs, sf_dir, **({"place_col": PLACE} if name == "mixing" else {}))
         if k + 1 < len(STAGES):
             docs = stash(docs, name)
     return docs

@@ -95,3 +95,20 @@ def test_shares_are_the_target_weights(spark):
         assert r["__release"] <= r["__slot"] < r["__deadline"]
         assert abs(seen["big"] - 0.5 * (r["__slot"] + 1)) < 1
         assert abs(seen[r["__source"]] - weights[r["__source"]] * (r["__slot"] + 1)) < 1
+
+
+def test_pipeline_result_has_the_mixed_order(spark, docs, tmp_path):
+    import hashlib
+
+    from catloom.llm.mixing import exact_plan
+
+    sf = str(tmp_path)
+    docs.write.parquet(f"{sf}/documents.parquet")
+    rows = sorted(corpus_pipeline.run(spark, sf).collect(), key=lambda r: r.position)
+    assert [r.position for r in rows] == list(range(len(rows))) and len(rows) > 64
+    known = {r.doc_id: r for r in docs.collect()}
+    counts = Counter(known[r.doc_id].source for r in rows)
+    plan = exact_plan({s: n**0.7 for s, n in counts.items()}, counts, 64)
+    want = [s for s, k, *_ in plan for _ in range(min(64, counts[s] - (k - 1) * 64))]
+    assert [known[r.doc_id].source for r in rows] == want
+    assert all(hashlib.sha256(known[r.doc_id].text.encode()).hexdigest() == r.decoded_sha256 for r in rows)
