@@ -7,26 +7,31 @@ to cut the lineage; nothing is collected but the number of new rows.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catloom.operators.ranks import cut
 
 
-def reach(seeds: DataFrame, edges: DataFrame, most_rounds: int = 20, most_nodes: int | None = None) -> DataFrame:
+def reach(seeds: DataFrame, edges: DataFrame, most_rounds: int | None = None, most_nodes: int | None = None) -> DataFrame:
     """``node, depth``: what is reachable from ``seeds(node)`` over ``edges(src, dst)``, at its least depth.
 
+    Runs until the frontier is empty; with ``most_rounds``, deeper nodes are an error and never left out in silence.
     With ``most_nodes`` no new round starts once so many nodes were visited.
     """
     frontier = seeds.select("node").distinct()
     visited = cut(frontier.withColumn("depth", F.lit(0)))
     frontier = visited.select("node")
-    for depth in range(1, most_rounds + 1):
+    for depth in count(1):
         new = edges.join(frontier, edges.src == F.col("node")).select(F.col("dst").alias("node")).distinct()
         new = cut(new.join(visited.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
         found = new.count()
         if not found:
             break
+        if most_rounds is not None and depth > most_rounds:
+            raise RuntimeError(f"nodes are left after {most_rounds} rounds")
         visited = visited.union(new)
         if depth % 4 == 0:
             visited = cut(visited)

@@ -160,3 +160,12 @@ def test_limiter_stream_equals_batch(spark, tmp_path):
     got = {(r.user_id, r.block, r.rpm) for r in spark.table("limits").collect()}
     want = {(r.user_id, r.block, r.rpm) for r in requests.limiter_fold(log, ["user_id"], ["event_id"]).collect()}
     assert got == want and want
+
+
+def test_reach_does_not_end_early(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(24)], "src long, dst long").cache()
+    seeds = spark.createDataFrame([(0,)], "node long")
+    assert {(r.node, r.depth) for r in crawl.reach(seeds, edges).collect()} == {(i, i) for i in range(25)}
+    with pytest.raises(RuntimeError):
+        crawl.reach(seeds, edges, most_rounds=3)
+    assert crawl.reach(seeds, edges.where("src < 3"), most_rounds=3).count() == 4
