@@ -9,7 +9,8 @@ broadcast (``languages * 256 KB``) and batches are scored in numpy: gather by
 bucket, sum by document.
 
 ``fit_rows`` (default 20,000) bounds the sample: rows are taken by a hash of
-their id, in the share that gives that many. Everything is scored.
+their id, in a share for each language: languages with few rows give all, the
+others the same number. The priors come from all rows. Everything is scored.
 
 Defined cases: a null text or one without letters is ``und`` with score 0; if
 there is nothing to learn from every text is ``und``; null languages are not
@@ -20,6 +21,7 @@ carried or ignored whatever their names.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -129,15 +131,29 @@ class Model:
         return [self.langs[i] if i >= 0 else UND for i in best], score
 
 
+def even_quota(sizes: list[int], most: int) -> float:
+    """The rows that each language may give, so that ``most`` are taken together: small ones give all, others the same."""
+    left = float(most)
+    for k, n in enumerate(sorted(sizes)):
+        even = left / (len(sizes) - k)
+        if n > even:
+            return even
+        left -= n
+    return float(max(sizes, default=1))
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_rows: int = FIT_ROWS) -> Model:
     """Learn from the labelled rows outside the held-out fold."""
     ship_package(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & ~held_out(F.col("i")))
-    share = fit_rows / max(1, rows.count())
+    # one row a language comes to the driver, as in the model
+    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
+    quota = even_quota(list(sizes.values()), fit_rows)
+    shares = F.from_json(F.lit(json.dumps({lang: quota / n for lang, n in sizes.items()})), "map<string,double>")
     draw = F.pmod(F.xxhash64(F.col("i")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     counts = (
-        rows.where(draw < share)
+        rows.where(draw < F.element_at(shares, F.col("lang")))
         .select("lang", F.coalesce("t", F.lit("")).alias("t"))
         .mapInArrow(_count, "lang string, bucket long, n long")
         .groupBy("lang", "bucket")
@@ -152,7 +168,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         own = names == lang
         inner = own & (bucket >= 0)
         sums[k, bucket[inner]] = n[inner]
-        prior[k] = n[own & (bucket < 0)].sum()
+        prior[k] = sizes[lang]
     logp = np.log((sums + SMOOTH) / (sums.sum(axis=1, keepdims=True) + SMOOTH * BUCKETS))
     return Model(langs, np.log(prior / max(prior.sum(), 1)), logp.astype(np.float32))
 

@@ -58,3 +58,14 @@ def test_quality_odd_rows(spark, odd, none):
     assert quality.score_quality(odd, quality.fit(odd, labels)).count() == odd.count()
     assert quality.score_quality(none, quality.fit(none, labels)).count() == 0
     assert quality.score_quality(odd, quality.fit(odd, labels.limit(0))).select("score").distinct().collect()[0][0] == 0.5
+
+
+def test_rare_languages_are_learned(spark):
+    rows = [(i, f"the common words of a large language {i % 7}", "aa") for i in range(6000)]
+    rows += [(6000 + i, f"zyx qwv kjh vvx wqz {'x' * (i % 5)}", "zz") for i in range(12)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(frame, fit_rows=100)
+    assert model.langs == ["aa", "zz"]
+    pred = {r.doc_id: r.lang_pred for r in langid.identify(frame, fit_rows=100).collect()}
+    assert all(pred[i] == lang for i, _, lang in rows)
+    assert langid.even_quota([5, 1000, 1000], 105) == 50 and langid.even_quota([5, 6], 105) == 6
