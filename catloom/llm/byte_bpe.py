@@ -1,45 +1,57 @@
 """Byte-level BPE encoding and decoding by Spark higher-order functions.
 
-A text is cut by the pattern of the rank file. A piece is held as its bytes in
-hexadecimal; a fold merges, again and again, the leftmost adjacent pair of the
-lowest rank, looked up in a literal rank map. (Spark looks a key up in a map by
-going through it, so the literal is an array of small maps and a hash of the
-key picks the one to look in.) Decoding looks the ids up in a literal array of
-byte strings and concatenates them.
-
-The corpus counts its distinct pieces once; the most frequent ones, at most
-``CACHE`` (about 25 MB, whatever the corpus), are folded once and broadcast as
-a table of pieces and ids. Arrow batches of pieces look themselves up in it;
-the pieces that are not there are folded where they stand, each once for a
-document, so nothing is dropped and no text is ever shuffled.
-
-The fold takes quadratic time in a piece. Pieces of more than ``LONGEST`` bytes
-go to the tiktoken library instead, which gives the same ids.
+1. Texts are cut by the pattern of the rank file, block by block of about
+   ``BLOCK_BYTES``. A block is one row: its documents, its distinct pieces and,
+   for each piece of its texts, a number in that list.
+2. The pieces of all blocks are counted, which leaves each distinct piece of the
+   corpus once, and each is folded once: over its bytes, the leftmost adjacent
+   pair of the lowest rank is merged again and again, ranks looked up in a
+   literal rank map. (Spark goes through a map to find a key, so the literal is
+   an array of small maps and a hash of the key picks the one to look in. As its
+   megabytes stand in the text of each plan that uses it, only the fold does.)
+3. The pieces that occur most, within ``CACHE_BYTES`` together, are broadcast to
+   the blocks. The ids of all other pieces come back by a join: a block asks
+   once for each piece it lacks, so no piece has more rows than there are blocks.
+4. Decoding takes the byte strings of the ids and concatenates them.
+
+The fold takes quadratic time in a piece. A piece above ``CHUNK`` bytes is cut
+into chunks, which are folded, and the bytes from the middle of each chunk to
+the middle of the next are folded as well. Where such a seam begins and ends
+with the very parts that its chunks have there, all adjacent parts are ones that
+do not merge across their border, and a sequence of such parts is the encoding
+of the whole. Pieces with a seam for which this does not hold take chunks four
+times as long, and so on up to the whole piece.
 
 Defined cases: a null or empty text has no ids and decodes to no bytes;
-repeated rows are encoded each; an empty table gives an empty result; columns
-other than id and text are ignored.
+repeated rows are encoded each, null ids stay; an empty table gives an empty
+result; columns other than id and text are ignored.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import json
 from collections.abc import Iterator
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructType
 
 from catloom.llm.common import discard, stash
 from catloom.shipping import ship_package
 
-CACHE = 1_000_000
-LONGEST = 512
-WORDS = 1 << 19
-BUCKETS = 1 << 14
+BLOCK_BYTES = 1 << 24
+CACHE_BYTES = 1 << 24
+CHUNK = 64
+BUCKETS = 1 << 15
+#: Tokens that a worker handles at once.
+SLICE = 1 << 20
 RANK_FILE = "byte_bpe_50k.tiktoken"
 
 
@@ -61,54 +73,187 @@ def default_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
-class Lookup:
-    """A literal map as an array of small maps, by a hash of the key."""
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` worked out once."""
+    return F.transform(F.array(value), body)[0]
 
-    def __init__(self, spark: SparkSession, table: dict[str, int]):
-        keys = spark.createDataFrame(pa.table({"k": pa.array(list(table), pa.string())}))
-        buckets: list[dict] = [{} for _ in range(BUCKETS)]
-        for k, b in keys.select("k", F.pmod(F.hash("k"), F.lit(BUCKETS))).toArrow().to_pandas().itertuples(index=False):
-            buckets[b][k] = table[k]
-        self.literal = F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")
 
-    @staticmethod
-    def at(literal: Column, key: Column) -> Column:
-        return literal[F.pmod(F.hash(key), F.lit(BUCKETS))][key]
+def bucket(key: Column) -> Column:
+    return F.pmod(F.hash(key), F.lit(BUCKETS))
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` worked out once."""
-    return F.transform(F.array(value), body)[0]
+def rank_map(spark: SparkSession, ranks: dict[bytes, int]) -> Column:
+    """The literal rank map: ``array<map<string,int>>``, bytes in hexadecimal in the map of their bucket."""
+    keys = [k.hex().upper() for k in ranks]
+    table = spark.createDataFrame(pa.table({"k": pa.array(keys, pa.string())}))
+    maps: list[dict] = [{} for _ in range(BUCKETS)]
+    for k, rank, b in zip(keys, ranks.values(), table.select(bucket(F.col("k")).alias("b")).toArrow().column("b").to_pylist(), strict=True):
+        maps[b][k] = rank
+    return F.from_json(F.lit(json.dumps(maps, separators=(",", ":"))), "array<map<string,int>>")
+
+
+def rank_of(word: Column, start: Column, end: Column, maps: Column) -> Column:
+    """Rank of the bytes from ``start`` up to ``end`` (from 1), null if they have none."""
+    return let(F.hex(F.substring(word, start, end - start)), lambda k: F.get(maps, bucket(k))[k])
+
+
+def bounds(word: Column, maps: Column) -> Column:
+    """Where the parts of a folded word start, and its end: ``array<int>`` from 1."""
+    size = F.octet_length(word)
+
+    def step(s: Column, _: Column) -> Column:
+        at = F.array_position(s["ranks"], F.array_min(s["ranks"])).cast("int")
+        return F.when(F.array_min(s["ranks"]).isNull(), s).otherwise(let(at, lambda p: merged(s, p)))
+
+    def merged(s: Column, p: Column) -> Column:
+        def after(starts: Column) -> Column:
+            at = [F.get(starts, p + k) for k in (-2, -1, 0, 1)]
+            new = F.array(rank_of(word, at[0], at[2], maps), rank_of(word, at[1], at[3], maps))
+            has_left, has_right = (p > 1).cast("int"), (p + 1 < F.size(starts)).cast("int")
+            ranks = F.concat(
+                F.slice(s["ranks"], F.lit(1), F.greatest(p - 2, F.lit(0))),
+                F.slice(new, 2 - has_left, has_left + has_right),
+                F.slice(s["ranks"], p + 2, F.size(s["ranks"])),
+            )
+            return F.struct(starts.alias("starts"), ranks.alias("ranks"))
+
+        return let(F.array_remove(s["starts"], F.get(s["starts"], p)), after)
+
+    pairs = F.transform(F.sequence(F.lit(1), size - 1), lambda i: rank_of(word, i, i + 2, maps))
+    first = F.struct(F.sequence(F.lit(1), size + 1).alias("starts"), pairs.alias("ranks"))
+    return F.when(size < 2, F.array(F.lit(1), size + 1)).otherwise(F.aggregate(F.sequence(F.lit(2), size), first, step, lambda s: s["starts"]))
+
 
+def ids_at(word: Column, starts: Column, maps: Column) -> Column:
+    """Ids of the parts between ``starts``."""
+    return F.transform(F.sequence(F.lit(1), F.size(starts) - 1), lambda i: rank_of(word, F.get(starts, i - 1), F.get(starts, i), maps))
 
-def pieces(text: Column, pattern: str) -> Column:
-    """The matches of the pattern; white space and letters in Unicode's sense."""
-    return F.regexp_extract_all(text, F.lit("(?U)" + pattern), F.lit(0))
 
+def stitched(word: Column, chunk: int, maps: Column) -> Column:
+    """``struct<ok, ids>`` of a long word, folded in chunks and seams."""
+    count = F.ceil(F.octet_length(word) / chunk).cast("int")
 
-def folded(word: Column, literal: Column) -> Column:
-    """Ids of one piece; ``literal`` is that of the rank map."""
-    raw = F.hex(word.cast("binary"))
+    def shifted(own: Column, by: Column) -> Column:
+        return F.transform(own, lambda x: x + by)
 
-    def rank(key: Column) -> Column:
-        return Lookup.at(literal, key)
+    def part(i: Column) -> Column:
+        def halved(own: Column) -> Column:
+            cut = F.when(i == 0, 0).when(i == count - 1, F.size(own) - 1).otherwise(F.floor((F.size(own) - 1) / 2).cast("int"))
+            return F.struct(own.alias("own"), cut.alias("cut"))
 
-    def merged(parts: Column, at: Column) -> Column:
-        joined = F.concat(parts[at - 1], parts[at])
-        return F.concat(F.slice(parts, F.lit(1), at - 1), F.array(joined), F.slice(parts, at + 2, F.size(parts)))
+        return let(shifted(let(F.substring(word, i * chunk + 1, F.lit(chunk)), lambda c: bounds(c, maps)), i * chunk), halved)
 
-    def step(parts: Column, _: Column) -> Column:
-        ranks = F.zip_with(parts, F.slice(parts, F.lit(2), F.size(parts)), lambda a, b: rank(F.concat(a, b)))
-        first = let(ranks, lambda r: F.coalesce(F.array_position(r, F.array_min(r)), F.lit(0)).cast("int"))
-        return let(first, lambda at: F.when(at == 0, parts).otherwise(merged(parts, at)))
+    def seam(parts: Column, i: Column) -> Column:
+        a, b = F.get(parts, i), F.get(parts, i + 1)
+        start, end = F.get(a["own"], a["cut"]), F.get(b["own"], b["cut"])
 
-    singles = F.regexp_extract_all(raw, F.lit(".."), F.lit(0))
-    return F.aggregate(F.sequence(F.lit(2), (F.length(raw) / 2).cast("int")), singles, step, lambda parts: F.transform(parts, rank))
+        def checked(own: Column) -> Column:
+            begins = (i == 0) | (F.get(own, F.lit(1)) == F.get(a["own"], a["cut"] + 1))
+            ends = (i == count - 2) | (F.get(own, F.size(own) - 2) == F.get(b["own"], b["cut"] - 1))
+            return F.struct(F.coalesce(begins & ends & (F.size(own) > 1), F.lit(False)).alias("ok"), own.alias("own"))
 
+        return let(shifted(let(F.substring(word, start, end - start), lambda c: bounds(c, maps)), start - 1), checked)
 
-def all_folded(words: Column, rank: Lookup) -> Column:
-    """Ids of each piece of an array; the rank map stands in the plan once."""
-    return let(rank.literal, lambda m: F.transform(words, lambda w: folded(w, m)))
+    def joined(seams: Column) -> Column:
+        starts = F.concat(F.flatten(F.transform(seams, lambda s: F.slice(s["own"], F.lit(1), F.size(s["own"]) - 1))), F.array(F.octet_length(word) + 1))
+        return F.struct(F.forall(seams, lambda s: s["ok"]).alias("ok"), let(starts, lambda x: ids_at(word, x, maps)).alias("ids"))
+
+    many = let(
+        F.transform(F.sequence(F.lit(0), count - 1), part), lambda parts: let(F.transform(F.sequence(F.lit(0), count - 2), lambda i: seam(parts, i)), joined)
+    )
+    one = F.struct(F.lit(True).alias("ok"), let(bounds(word, maps), lambda x: ids_at(word, x, maps)).alias("ids"))
+    return F.when(count < 2, one).otherwise(many)
+
+
+def fold_words(words: DataFrame, maps: Column) -> DataFrame:
+    """All columns of ``words(w binary, ...)`` and ``ids``; ``w`` must be distinct and not empty."""
+    rest = [F.col(c) for c in words.columns]
+    size = F.octet_length("w")
+    short = let(maps, lambda m: let(bounds(F.col("w"), m), lambda x: ids_at(F.col("w"), x, m)))
+    out = [words.where(size <= CHUNK).select(*rest, short.alias("ids"))]
+    pending, chunk = words.where(size > CHUNK), CHUNK
+    while not pending.isEmpty():
+        tried = stash(pending.select(*rest, let(maps, partial(stitched, F.col("w"), chunk)).alias("f")), "long")
+        out.append(tried.where("f.ok").select(*rest, "f.ids"))
+        pending, chunk = tried.where("NOT f.ok").select(*rest), chunk * 4
+    return reduce(DataFrame.union, out)
+
+
+class Codes(dict):
+    """Numbers pieces in the order in which they are first asked for."""
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = code = len(self)
+        return code
+
+
+def packed(codes: np.ndarray) -> bytes:
+    """Codes by byte planes, compressed."""
+    planes = np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(raw: bytes, count: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(raw, decompressed_size=4 * count, codec="zstd", asbytes=True), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, count).T).view("<u4").ravel()
+
+
+def _split(pattern: str):
+    """``d, t`` to blocks: ``block, docs, sizes, codes, words, counts``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import regex
+
+        found, task, made = regex.compile(pattern), TaskContext.get().partitionId() << 32, 0
+        docs, sizes, codes, known, held = [], [], [], Codes(), 0
+
+        def block() -> pa.RecordBatch:
+            flat = np.concatenate(codes)
+            own = pa.concat_arrays(docs)
+            columns = {
+                "block": pa.array([task + made], pa.int64()),
+                "docs": pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own),
+                "sizes": pa.array([sizes], pa.list_(pa.int32())),
+                "codes": pa.array([packed(flat)], pa.binary()),
+                "words": pa.array([[w.encode() for w in known]], pa.list_(pa.binary())),
+                "counts": pa.array([np.bincount(flat, minlength=len(known))], pa.list_(pa.int64())),
+            }
+            return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+        for batch in batches:
+            at = 0
+            for i, text in enumerate(batch.column(1)):
+                text = text.as_py()
+                # the matches of a long text are not held as strings all at once
+                pieces = found.findall(text) if len(text) < SLICE else (m[0] for m in found.finditer(text))
+                own = np.fromiter(map(known.__getitem__, pieces), dtype=np.int32)
+                codes.append(own)
+                sizes.append(len(own))
+                held += len(text)
+                if held >= BLOCK_BYTES:
+                    docs.append(batch.column(0).slice(at, i + 1 - at))
+                    yield block()
+                    docs, sizes, codes, known, held, at, made = [], [], [], Codes(), 0, i + 1, made + 1
+            if at < batch.num_rows:
+                docs.append(batch.column(0).slice(at))
+        if sizes:
+            yield block()
+
+    return run
+
+
+def _lacking(shared):
+    """``block, words`` to ``block, at, w`` of the words that are not in the broadcast table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value[0]
+        for batch in batches:
+            for block, words in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                words = words.values
+                at = np.array([i for i, w in enumerate(words.to_pylist()) if w not in known], dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), block), pa.int64()), pa.array(at), words.take(pa.array(at))], names=["block", "at", "w"])
+
+    return run
 
 
 def _gather(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -117,124 +262,143 @@ def _gather(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes) + np.repeat(starts, sizes)
 
 
-def _look_up(shared, path: str, pattern: str):
-    """``doc_id, words`` to ``doc_id, ids, left``: -1 - k stands for the k-th piece of ``left``."""
+def _filled(shared):
+    """Blocks with ``rare``, the ids of the words that are not in the broadcast table, to ``d, ids`` by document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import tiktoken
-
-        words, bounds, values = shared.value
-        library = None
+        known, starts, values = shared.value
         for batch in batches:
-            lists = batch.column(1)
-            cuts = lists.offsets.to_numpy()
-            lo = 0
-            while lo < len(lists):
-                hi = max(lo + 1, int(np.searchsorted(cuts, cuts[lo] + WORDS, side="right")) - 1)
-                hi = min(hi, len(lists))
-                own = lists.values.slice(cuts[lo], cuts[hi] - cuts[lo])
-                at = pc.index_in(own, value_set=words).fill_null(-1).to_numpy(zero_copy_only=False)
-                row = np.repeat(np.arange(hi - lo), np.diff(cuts[lo : hi + 1]))
-                missing = np.flatnonzero(at < 0)
-                encoded = own.take(pa.array(missing)).dictionary_encode()
-                codes, texts = encoded.indices.to_numpy(), encoded.dictionary
-                far = pc.greater(pc.binary_length(texts), LONGEST).to_numpy(zero_copy_only=False).astype(bool)
-                by_library: dict[int, list[int]] = {}
-                if far.any():
-                    library = library or tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={})
-                    by_library = {int(c): library.encode_ordinary(texts[int(c)].as_py()) for c in np.flatnonzero(far)}
-                pairs, which = np.unique(row[missing] * max(1, len(texts)) + codes, return_inverse=True)
-                pair_row, pair_code = pairs // max(1, len(texts)), pairs % max(1, len(texts))
-                first = np.searchsorted(pair_row, np.arange(hi - lo + 1))
-                mark = -1 - (np.arange(len(pairs)) - first[pair_row])
-                sizes = np.ones(len(at), dtype=np.int64)
-                known = at >= 0
-                sizes[known] = bounds[at[known] + 1] - bounds[at[known]]
-                for c, ids in by_library.items():
-                    sizes[missing[codes == c]] = len(ids)
-                ends = np.cumsum(sizes)
-                ids = np.empty(ends[-1] if len(ends) else 0, dtype=np.int32)
-                ids[_gather((ends - sizes)[known], sizes[known])] = values[_gather(bounds[at[known]], sizes[known])]
-                ids[(ends - sizes)[missing]] = mark[which]
-                for c, own_ids in by_library.items():
-                    for i in missing[codes == c]:
-                        ids[ends[i] - sizes[i] : ends[i]] = own_ids
-                totals = np.concatenate([[0], ends])[cuts[lo : hi + 1] - cuts[lo]]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(lo, hi - lo),
-                        pa.ListArray.from_arrays(pa.array(totals.astype(np.int32)), pa.array(ids)),
-                        pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pc.if_else(pa.array(far[pair_code]), "", texts.take(pa.array(pair_code)))),
-                    ],
-                    names=["doc_id", "ids", "left"],
-                )
-                lo = hi
+            for row in range(batch.num_rows):
+                docs, sizes, codes, words, rare = (batch.column(c)[row] for c in ("docs", "sizes", "codes", "words", "rare"))
+                at = np.array([known.get(w, -1) for w in words.values.to_pylist()], dtype=np.int64)
+                lo, wide, pool = starts[at], starts[at + 1] - starts[at], values
+                if rare.is_valid:
+                    place, ids = rare.values.field("at").to_numpy(), rare.values.field("ids")
+                    cuts = ids.offsets.to_numpy()
+                    lo[place], wide[place] = len(values) + cuts[:-1] - cuts[0], np.diff(cuts)
+                    pool = np.concatenate([values, ids.values.to_numpy()[cuts[0] : cuts[-1]]])
+                sizes = sizes.values.to_numpy().astype(np.int64)
+                codes, ends = unpacked(codes.as_py(), int(sizes.sum())), np.concatenate([[0], np.cumsum(sizes)])
+                a = 0
+                while a < len(sizes):
+                    b = max(a + 1, int(np.searchsorted(ends, ends[a] + SLICE, side="right")) - 1)
+                    own = codes[ends[a] : ends[b]]
+                    ids = pool[_gather(lo[own], wide[own])]
+                    totals = np.concatenate([[0], np.cumsum(wide[own])])[ends[a : b + 1] - ends[a]]
+                    lists = pa.ListArray.from_arrays(pa.array(totals.astype(np.int32)), pa.array(ids))
+                    yield pa.RecordBatch.from_arrays([docs.values.slice(a, b - a), lists], names=["d", "ids"])
+                    a = b
 
     return run
 
 
-def common_pieces(words: DataFrame, rank: Lookup, cache: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """The most frequent pieces, at most ``cache``, with bounds and values of their ids.
+def common_words(folded: DataFrame, cache: int) -> tuple[tuple[dict, np.ndarray, np.ndarray], DataFrame]:
+    """The most frequent words within ``cache`` bytes, as a dictionary with starts and values of their ids; and the other words.
 
     The least frequency comes from a histogram by steps of a power of two, so
-    no more than the pieces that are kept come to the driver.
+    no more than the words that are kept come to the driver.
     """
-    counts = stash(words.select(F.explode("words").alias("w")).where(F.length("w") <= LONGEST // 4).groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "pieces")
     level = F.floor(F.log2("n") * 8)
+    cost = F.octet_length("w") + 4 * F.size("ids") + 16
     least, held = None, 0
-    for r in counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("pieces")).orderBy(F.desc("level")).collect():
-        held += r["pieces"]
+    for r in folded.groupBy(level.alias("level")).agg(F.sum(cost).alias("bytes")).orderBy(F.desc("level")).collect():
+        held += r["bytes"]
         if held > cache:
             break
         least = r["level"]
-    kept = counts.where(level >= least) if least is not None else counts.limit(0)
-    found = kept.select("w", all_folded(F.array("w"), rank)[0].alias("ids")).toArrow()
-    discard(counts)
+    kept = folded.where(level >= least) if least is not None else folded.limit(0)
+    found = kept.select("w", "ids").toArrow()
     ids = found.column("ids").combine_chunks()
-    return found.column("w").combine_chunks().cast(pa.string()), ids.offsets.to_numpy(), ids.values.to_numpy().astype(np.int32)
+    known = {w: i for i, w in enumerate(found.column("w").to_pylist())}
+    # two ends more, for the words that are not known: number -1 has no ids
+    starts = np.concatenate([ids.offsets.to_numpy()[: len(known) + 1] if known else [0], [0]]).astype(np.int64)
+    starts[-1] = starts[-2]
+    return (known, starts, ids.values.to_numpy().astype(np.int32)), folded.where(level < least) if least is not None else folded
 
 
 def encode(
-    docs: DataFrame, path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", cache: int = CACHE, place_col: str | None = None
+    docs: DataFrame, path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", cache: int = CACHE_BYTES, place_col: str | None = None
 ) -> DataFrame:
     """Id, ``ids``, the token ids of the whole text, and ``position`` if a column holds it."""
-    spark, path, pattern = docs.sparkSession, path or default_path(), pattern or default_pattern()
+    spark = docs.sparkSession
     ship_package(spark)
-    rank = Lookup(spark, {k.hex().upper(): v for k, v in read_ranks(path).items()})
-    own = F.col(id_col)
-    if place_col:
-        own = F.struct(own.alias("id"), F.col(place_col).alias("position"))
-    words = docs.select(own.alias("doc_id"), pieces(F.coalesce(F.col(text_col), F.lit("")), pattern).alias("words"))
-    shared = spark.sparkContext.broadcast(common_pieces(words, rank, cache))
-    found = words.mapInArrow(_look_up(shared, path, pattern), f"doc_id {dict(words.dtypes)['doc_id']}, ids array<int>, left array<string>")
-
-    def filled(own: Column) -> Column:
-        return F.flatten(F.transform("ids", lambda i: F.when(i < 0, own[-1 - i]).otherwise(F.array(i))))
+    carried = [F.col(id_col).alias("doc_id"), *([F.col(place_col).alias("position")] if place_col else [])]
+    rows = docs.select(F.struct(*carried).alias("d"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    own = rows.schema["d"].dataType.simpleString()
+    shape = f"block long, docs array<{own}>, sizes array<int>, codes binary, words array<binary>, counts array<long>"
+    blocks = stash(rows.mapInArrow(_split(pattern or default_pattern()), shape), "blocks")
+    counted = blocks.select(F.explode(F.arrays_zip("words", "counts")).alias("c")).groupBy(F.col("c.words").alias("w")).agg(F.sum("c.counts").alias("n"))
+    words = stash(counted, "words")
+    folded = stash(fold_words(words, rank_map(spark, read_ranks(path or default_path()))), "folded")
+    discard(words)
+    table, others = common_words(folded, cache)
+    shared = spark.sparkContext.broadcast(table)
+    asked = blocks.select("block", "words").mapInArrow(_lacking(shared), "block long, at int, w binary")
+    rare = asked.join(others.select("w", "ids"), "w").groupBy("block").agg(F.collect_list(F.struct("at", "ids")).alias("rare"))
+    whole = blocks.drop("counts").join(rare, "block", "left")
+    return whole.mapInArrow(_filled(shared), f"d {own}, ids array<int>").select("d.*", "ids")
+
+
+def _slices(lists: pa.ListArray) -> Iterator[tuple[int, pa.ListArray]]:
+    """The rows from each position on whose lists hold about ``SLICE`` values together."""
+    cuts, lo = lists.offsets.to_numpy(), 0
+    while lo < len(lists):
+        hi = max(lo + 1, int(np.searchsorted(cuts, cuts[lo] + SLICE, side="right")) - 1)
+        yield lo, lists.slice(lo, min(hi, len(lists)) - lo)
+        lo = hi
+
+
+def _joined(ids: pa.ListArray, table: pa.Array, between: bytes) -> pa.Array:
+    """For each list of ids the byte strings of ``table``, concatenated."""
+    cuts = ids.offsets.to_numpy()
+    taken = table.take(ids.values.slice(cuts[0], cuts[-1] - cuts[0]))
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts - cuts[0], pa.int32()), taken), between)
+
+
+def _decoded(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, ids in _slices(batch.column(batch.schema.get_field_index("ids"))):
+                own = batch.slice(lo, len(ids))
+                yield pa.RecordBatch.from_arrays([*own.columns, _joined(ids, shared.value, b"")], names=[*batch.schema.names, "decoded"])
 
-    named = [F.col("doc_id.id").alias("doc_id"), F.col("doc_id.position")] if place_col else [F.col("doc_id")]
-    return found.select(*named, F.when(F.size("left") == 0, F.col("ids")).otherwise(let(all_folded(F.col("left"), rank), filled)).alias("ids"))
+    return run
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """All columns of ``encoded`` and ``decoded``, the bytes of its ``ids``."""
     ranks = read_ranks(path or default_path())
-    table = [""] * (max(ranks.values()) + 1)
+    table = [b""] * (max(ranks.values()) + 1)
     for raw, i in ranks.items():
-        table[i] = raw.hex()
-    known = F.from_json(F.lit(json.dumps(table)), "array<string>")
-    return encoded.withColumn("decoded", F.unhex(F.array_join(F.transform("ids", lambda i: known[i]), "")))
+        table[i] = raw
+    shared = encoded.sparkSession.sparkContext.broadcast(pa.array(table, pa.binary()))
+    return encoded.mapInArrow(_decoded(shared), StructType([*encoded.schema.fields]).add("decoded", BinaryType()))
+
+
+def _digested(top: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = pa.array([b"%d" % i for i in range(top)], pa.binary())
+        for batch in batches:
+            for lo, ids in _slices(batch.column(1)):
+                written = _joined(ids, names, b" ")
+                made = [[hashlib.sha256(x.as_buffer()).hexdigest() for x in column] for column in (written, batch.column(2).slice(lo, len(ids)))]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(lo, len(ids)), pc.list_value_length(ids).cast(pa.int64()), pa.array(made[0], pa.string()), pa.array(made[1], pa.string())],
+                    names=["d", "n_tokens", "ids_sha256", "decoded_sha256"],
+                )
+
+    return run
 
 
 def digests(docs: DataFrame, **options) -> DataFrame:
     """Id, ``n_tokens, ids_sha256, decoded_sha256``, and ``position`` if ``place_col`` names a column that holds it."""
     found = decode(encode(docs, **options), options.get("path"))
-    return found.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-        *[c for c in ("position",) if c in found.columns],
-    )
+    top = max(read_ranks(options.get("path") or default_path()).values()) + 1
+    slim = found.select(F.struct(*[c for c in found.columns if c not in ("ids", "decoded")]).alias("d"), "ids", "decoded")
+    kind = slim.schema["d"].dataType.simpleString()
+    made = slim.mapInArrow(_digested(top), f"d {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    own = [c for c in ("position",) if c in found.columns]
+    return made.select("d.doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *[f"d.{c}" for c in own])
 
 
 def op4_byte_bpe(spark, sf_dir: str) -> DataFrame:

@@ -34,6 +34,19 @@ def test_ids_are_those_of_the_library(spark, docs, odd, none):
         assert {(r.doc_id, tuple(r.ids), bytes(r.decoded)) for r in got} == want
 
 
+def test_long_pieces(spark):
+    rng = np.random.default_rng(5)
+    words = ["the", "quick", "brown", "fox", "jumps", "over", "lazy", "dogs", "tokenization", "without", "blanks"]
+    made_up = ["a" * 1_000_000, "".join(rng.choice(words, 30_000)), "".join(map(chr, rng.integers(97, 123, 100_000))), "7" * 5000 + "12" * 5000]
+    made_up += [" " * n for n in (63, 64, 65, 127, 129, 1000, 70_001)] + ["漢字かな" * 5000, "=-" * 3000, "é" * 999, "ab" * 65 + "c", "\n" * 4097]
+    made_up += ["".join(map(chr, rng.integers(97, 100, int(n)))) for n in rng.integers(60, 700, 150)]
+    ranks = read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    frame = spark.createDataFrame(list(enumerate(made_up)), "doc_id long, text string")
+    for r in encode(frame, cache=4096).collect():
+        assert r.ids == known.encode_ordinary(made_up[r.doc_id]), made_up[r.doc_id][:20]
+
+
 def test_digests(docs):
     row = {r.doc_id: r for r in digests(docs).collect()}
     text = {r.doc_id: r.text for r in docs.collect()}
