@@ -48,7 +48,7 @@ from catloom.shipping import ship_package
 
 BLOCK_BYTES = 1 << 24
 CACHE_BYTES = 1 << 24
-CHUNK = 64
+CHUNK = 32
 BUCKETS = 1 << 15
 #: Tokens that a worker handles at once.
 SLICE = 1 << 20
@@ -103,19 +103,19 @@ def bounds(word: Column, maps: Column) -> Column:
 
     def step(s: Column, _: Column) -> Column:
         at = F.array_position(s["ranks"], F.array_min(s["ranks"])).cast("int")
-        return F.when(F.array_min(s["ranks"]).isNull(), s).otherwise(let(at, lambda p: merged(s, p)))
+        return let(at, lambda p: F.when(p.isNull(), s).otherwise(merged(s, p)))
 
     def merged(s: Column, p: Column) -> Column:
         def after(starts: Column) -> Column:
             at = [F.get(starts, p + k) for k in (-2, -1, 0, 1)]
             new = F.array(rank_of(word, at[0], at[2], maps), rank_of(word, at[1], at[3], maps))
             has_left, has_right = (p > 1).cast("int"), (p + 1 < F.size(starts)).cast("int")
-            ranks = F.concat(
+            ranks = F.array(
                 F.slice(s["ranks"], F.lit(1), F.greatest(p - 2, F.lit(0))),
                 F.slice(new, 2 - has_left, has_left + has_right),
                 F.slice(s["ranks"], p + 2, F.size(s["ranks"])),
             )
-            return F.struct(starts.alias("starts"), ranks.alias("ranks"))
+            return F.struct(starts.alias("starts"), F.flatten(ranks).alias("ranks"))
 
         return let(F.array_remove(s["starts"], F.get(s["starts"], p)), after)
 
@@ -169,11 +169,16 @@ def fold_words(words: DataFrame, maps: Column) -> DataFrame:
     """All columns of ``words(w binary, ...)`` and ``ids``; ``w`` must be distinct and not empty."""
     rest = [F.col(c) for c in words.columns]
     size = F.octet_length("w")
-    short = let(maps, lambda m: let(bounds(F.col("w"), m), lambda x: ids_at(F.col("w"), x, m)))
+
+    def within(chunk: int, m: Column) -> Column:
+        # a variable of a lambda is at hand; a column would be copied out of its row at each use
+        return let(F.col("w"), lambda w: stitched(w, chunk, m))
+
+    short = let(maps, lambda m: let(F.col("w"), lambda w: let(bounds(w, m), lambda x: ids_at(w, x, m))))
     out = [words.where(size <= CHUNK).select(*rest, short.alias("ids"))]
     pending, chunk = words.where(size > CHUNK), CHUNK
     while not pending.isEmpty():
-        tried = stash(pending.select(*rest, let(maps, partial(stitched, F.col("w"), chunk)).alias("f")), "long")
+        tried = stash(pending.select(*rest, let(maps, partial(within, chunk)).alias("f")), "long")
         out.append(tried.where("f.ok").select(*rest, "f.ids"))
         pending, chunk = tried.where("NOT f.ok").select(*rest), chunk * 4
     return reduce(DataFrame.union, out)
