@@ -3,27 +3,27 @@
 1. Texts are cut by the pattern of the rank file, block by block of about
    ``BLOCK_BYTES``. A block is one row: its documents, its distinct pieces and,
    for each piece of its texts, a number in that list.
-2. The pieces of all blocks are counted, which leaves each distinct piece of the
-   corpus once, and each is folded once: over its bytes, the leftmost adjacent
-   pair of the lowest rank is merged again and again, ranks looked up in a
-   literal rank map. (Spark goes through a map to find a key, so the literal is
-   an array of small maps and a hash of the key picks the one to look in. As its
-   megabytes stand in the text of each plan that uses it, only the fold does.)
-3. The pieces that occur most, within ``CACHE_BYTES`` together, are broadcast to
-   the blocks. The ids of all other pieces come back by a join: a block asks
-   once for each piece it lacks, so no piece has more rows than there are blocks.
+2. A distinct piece is folded: over its bytes, the leftmost adjacent pair of the
+   lowest rank is merged again and again, ranks looked up in a literal rank map.
+   (Spark goes through a map to find a key, so the literal is an array of small
+   maps and a hash of the key picks the one to look in. It stands in the two
+   plans that fold and in no other, as its megabytes are part of a plan's text.)
+3. The pieces that most blocks hold, two blocks at least and ``CACHE_BYTES``
+   together at most, are folded once and broadcast. The others are folded in
+   their block: once for the corpus if one block holds them, and once in each
+   block if more do. No text and no list of pieces is shuffled but to count.
 4. Decoding takes the byte strings of the ids and concatenates them.
 
-The fold takes quadratic time in a piece. A piece above ``CHUNK`` bytes is cut
+The fold takes quadratic time in a piece. A longer piece is cut
 into chunks, which are folded, and the bytes from the middle of each chunk to
 the middle of the next are folded as well. Where such a seam begins and ends
 with the very parts that its chunks have there, all adjacent parts are ones that
 do not merge across their border, and a sequence of such parts is the encoding
-of the whole. Pieces with a seam for which this does not hold take chunks four
-times as long, and so on up to the whole piece.
+of the whole. Pieces with a seam for which this does not hold take longer chunks
+(``CHUNKS``), and at last are folded as they are.
 
 Defined cases: a null or empty text has no ids and decodes to no bytes;
-repeated rows are encoded each, null ids stay; an empty table gives an empty
+repeated rows are encoded each; null ids stay; an empty table gives an empty
 result; columns other than id and text are ignored.
 """
 
@@ -33,12 +33,10 @@ import base64
 import hashlib
 import json
 from collections.abc import Iterator
-from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructType
@@ -47,8 +45,8 @@ from catloom.llm.common import discard, stash
 from catloom.shipping import ship_package
 
 BLOCK_BYTES = 1 << 24
-CACHE_BYTES = 1 << 24
-CHUNK = 32
+CACHE_BYTES = 1 << 25
+CHUNKS = (32, 256, 2048, 16384)
 BUCKETS = 1 << 15
 #: Tokens that a worker handles at once.
 SLICE = 1 << 20
@@ -98,26 +96,26 @@ def rank_of(word: Column, start: Column, end: Column, maps: Column) -> Column:
 
 
 def bounds(word: Column, maps: Column) -> Column:
-    """Where the parts of a folded word start, and its end: ``array<int>`` from 1."""
+    """Where the parts of a folded word start, and its end: ``array<int>`` from 1.
+
+    ``ranks`` holds the rank of each adjacent pair.
+    """
     size = F.octet_length(word)
 
     def step(s: Column, _: Column) -> Column:
-        at = F.array_position(s["ranks"], F.array_min(s["ranks"])).cast("int")
-        return let(at, lambda p: F.when(p.isNull(), s).otherwise(merged(s, p)))
+        starts, ranks = s["starts"], s["ranks"]
 
-    def merged(s: Column, p: Column) -> Column:
-        def after(starts: Column) -> Column:
-            at = [F.get(starts, p + k) for k in (-2, -1, 0, 1)]
+        def merged(p: Column) -> Column:
+            at = [F.get(starts, p + k) for k in (-2, -1, 1, 2)]
             new = F.array(rank_of(word, at[0], at[2], maps), rank_of(word, at[1], at[3], maps))
-            has_left, has_right = (p > 1).cast("int"), (p + 1 < F.size(starts)).cast("int")
-            ranks = F.array(
-                F.slice(s["ranks"], F.lit(1), F.greatest(p - 2, F.lit(0))),
-                F.slice(new, 2 - has_left, has_left + has_right),
-                F.slice(s["ranks"], p + 2, F.size(s["ranks"])),
+            has_left, has_right = (p > 1).cast("int"), (p < F.size(ranks)).cast("int")
+            around = F.array(
+                F.slice(ranks, F.lit(1), F.greatest(p - 2, F.lit(0))), F.slice(new, 2 - has_left, has_left + has_right), F.slice(ranks, p + 2, F.size(ranks))
             )
-            return F.struct(starts.alias("starts"), F.flatten(ranks).alias("ranks"))
+            return F.struct(F.array_remove(starts, F.get(starts, p)).alias("starts"), F.flatten(around).alias("ranks"))
 
-        return let(F.array_remove(s["starts"], F.get(s["starts"], p)), after)
+        first = F.array_position(ranks, F.array_min(ranks)).cast("int")
+        return F.when(F.exists(ranks, lambda r: r.isNotNull()), let(first, merged)).otherwise(s)
 
     pairs = F.transform(F.sequence(F.lit(1), size - 1), lambda i: rank_of(word, i, i + 2, maps))
     first = F.struct(F.sequence(F.lit(1), size + 1).alias("starts"), pairs.alias("ranks"))
@@ -130,7 +128,7 @@ def ids_at(word: Column, starts: Column, maps: Column) -> Column:
 
 
 def stitched(word: Column, chunk: int, maps: Column) -> Column:
-    """``struct<ok, ids>`` of a long word, folded in chunks and seams."""
+    """Ids of a long word, folded in chunks and seams; null where a seam does not hold."""
     count = F.ceil(F.octet_length(word) / chunk).cast("int")
 
     def shifted(own: Column, by: Column) -> Column:
@@ -156,32 +154,25 @@ def stitched(word: Column, chunk: int, maps: Column) -> Column:
 
     def joined(seams: Column) -> Column:
         starts = F.concat(F.flatten(F.transform(seams, lambda s: F.slice(s["own"], F.lit(1), F.size(s["own"]) - 1))), F.array(F.octet_length(word) + 1))
-        return F.struct(F.forall(seams, lambda s: s["ok"]).alias("ok"), let(starts, lambda x: ids_at(word, x, maps)).alias("ids"))
+        return F.when(F.forall(seams, lambda s: s["ok"]), let(starts, lambda x: ids_at(word, x, maps)))
 
     many = let(
         F.transform(F.sequence(F.lit(0), count - 1), part), lambda parts: let(F.transform(F.sequence(F.lit(0), count - 2), lambda i: seam(parts, i)), joined)
     )
-    one = F.struct(F.lit(True).alias("ok"), let(bounds(word, maps), lambda x: ids_at(word, x, maps)).alias("ids"))
-    return F.when(count < 2, one).otherwise(many)
+    return F.when(count > 1, many)
 
 
-def fold_words(words: DataFrame, maps: Column) -> DataFrame:
-    """All columns of ``words(w binary, ...)`` and ``ids``; ``w`` must be distinct and not empty."""
-    rest = [F.col(c) for c in words.columns]
-    size = F.octet_length("w")
+def folded(word: Column, maps: Column) -> Column:
+    """Ids of a word of one byte or more; ``maps`` is the literal rank map."""
 
-    def within(chunk: int, m: Column) -> Column:
-        # a variable of a lambda is at hand; a column would be copied out of its row at each use
-        return let(F.col("w"), lambda w: stitched(w, chunk, m))
+    def whole(w: Column) -> Column:
+        return let(bounds(w, maps), lambda x: ids_at(w, x, maps))
 
-    short = let(maps, lambda m: let(F.col("w"), lambda w: let(bounds(w, m), lambda x: ids_at(w, x, m))))
-    out = [words.where(size <= CHUNK).select(*rest, short.alias("ids"))]
-    pending, chunk = words.where(size > CHUNK), CHUNK
-    while not pending.isEmpty():
-        tried = stash(pending.select(*rest, let(maps, partial(within, chunk)).alias("f")), "long")
-        out.append(tried.where("f.ok").select(*rest, "f.ids"))
-        pending, chunk = tried.where("NOT f.ok").select(*rest), chunk * 4
-    return reduce(DataFrame.union, out)
+    def long(w: Column) -> Column:
+        return F.coalesce(*[stitched(w, chunk, maps) for chunk in CHUNKS], whole(w))
+
+    # a variable of a lambda is at hand; a column would be copied out of its row at each use
+    return let(word, lambda w: F.when(F.octet_length(w) <= CHUNKS[0], whole(w)).otherwise(long(w)))
 
 
 class Codes(dict):
@@ -204,24 +195,21 @@ def unpacked(raw: bytes, count: int) -> np.ndarray:
 
 
 def _split(pattern: str):
-    """``d, t`` to blocks: ``block, docs, sizes, codes, words, counts``."""
+    """``d, t`` to blocks: ``docs, sizes, codes, words``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        found, task, made = regex.compile(pattern), TaskContext.get().partitionId() << 32, 0
+        found = regex.compile(pattern)
         docs, sizes, codes, known, held = [], [], [], Codes(), 0
 
         def block() -> pa.RecordBatch:
-            flat = np.concatenate(codes)
             own = pa.concat_arrays(docs)
             columns = {
-                "block": pa.array([task + made], pa.int64()),
                 "docs": pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own),
                 "sizes": pa.array([sizes], pa.list_(pa.int32())),
-                "codes": pa.array([packed(flat)], pa.binary()),
+                "codes": pa.array([packed(np.concatenate(codes))], pa.binary()),
                 "words": pa.array([[w.encode() for w in known]], pa.list_(pa.binary())),
-                "counts": pa.array([np.bincount(flat, minlength=len(known))], pa.list_(pa.int64())),
             }
             return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
@@ -238,7 +226,7 @@ def _split(pattern: str):
                 if held >= BLOCK_BYTES:
                     docs.append(batch.column(0).slice(at, i + 1 - at))
                     yield block()
-                    docs, sizes, codes, known, held, at, made = [], [], [], Codes(), 0, i + 1, made + 1
+                    docs, sizes, codes, known, held, at = [], [], [], Codes(), 0, i + 1
             if at < batch.num_rows:
                 docs.append(batch.column(0).slice(at))
         if sizes:
@@ -247,16 +235,19 @@ def _split(pattern: str):
     return run
 
 
-def _lacking(shared):
-    """``block, words`` to ``block, at, w`` of the words that are not in the broadcast table."""
+def _looked_up(shared):
+    """Blocks with ``at``, the place of each word in the broadcast table or -1, and ``lacking``, the words without one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value[0]
         for batch in batches:
-            for block, words in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words = words.values
-                at = np.array([i for i, w in enumerate(words.to_pylist()) if w not in known], dtype=np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), block), pa.int64()), pa.array(at), words.take(pa.array(at))], names=["block", "at", "w"])
+            for row in range(batch.num_rows):
+                one = batch.slice(row, 1)
+                words = one.column(3)[0].values
+                at = np.fromiter((known.get(w, -1) for w in words.to_pylist()), dtype=np.int32, count=len(words))
+                lacking = words.take(pa.array(np.flatnonzero(at < 0)))
+                lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (pa.array(at), lacking)]
+                yield pa.RecordBatch.from_arrays([*one.columns[:3], *lists], names=["docs", "sizes", "codes", "at", "lacking"])
 
     return run
 
@@ -268,20 +259,17 @@ def _gather(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def _filled(shared):
-    """Blocks with ``rare``, the ids of the words that are not in the broadcast table, to ``d, ids`` by document."""
+    """Blocks with ``rare``, the ids of their ``lacking`` words, to ``d, ids`` by document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, starts, values = shared.value
+        _, starts, values = shared.value
         for batch in batches:
             for row in range(batch.num_rows):
-                docs, sizes, codes, words, rare = (batch.column(c)[row] for c in ("docs", "sizes", "codes", "words", "rare"))
-                at = np.array([known.get(w, -1) for w in words.values.to_pylist()], dtype=np.int64)
-                lo, wide, pool = starts[at], starts[at + 1] - starts[at], values
-                if rare.is_valid:
-                    place, ids = rare.values.field("at").to_numpy(), rare.values.field("ids")
-                    cuts = ids.offsets.to_numpy()
-                    lo[place], wide[place] = len(values) + cuts[:-1] - cuts[0], np.diff(cuts)
-                    pool = np.concatenate([values, ids.values.to_numpy()[cuts[0] : cuts[-1]]])
+                docs, sizes, codes, at, rare = (batch.column(c)[row] for c in ("docs", "sizes", "codes", "at", "rare"))
+                at, rare = at.values.to_numpy(), rare.values
+                lo, wide, cuts = starts[at], starts[at + 1] - starts[at], rare.offsets.to_numpy()
+                lo[at < 0], wide[at < 0] = len(values) + cuts[:-1] - cuts[0], np.diff(cuts)
+                pool = np.concatenate([values, rare.values.to_numpy()[cuts[0] : cuts[-1]]])
                 sizes = sizes.values.to_numpy().astype(np.int64)
                 codes, ends = unpacked(codes.as_py(), int(sizes.sum())), np.concatenate([[0], np.cumsum(sizes)])
                 a = 0
@@ -297,28 +285,30 @@ def _filled(shared):
     return run
 
 
-def common_words(folded: DataFrame, cache: int) -> tuple[tuple[dict, np.ndarray, np.ndarray], DataFrame]:
-    """The most frequent words within ``cache`` bytes, as a dictionary with starts and values of their ids; and the other words.
+def common_words(blocks: DataFrame, maps: Column, cache: int) -> tuple[dict, np.ndarray, np.ndarray]:
+    """The words that most blocks hold, within ``cache`` bytes, as a dictionary with starts and values of their ids.
 
-    The least frequency comes from a histogram by steps of a power of two, so
-    no more than the words that are kept come to the driver.
+    The least number of blocks comes from a histogram by steps of a power of
+    two, so no more than the words that are kept come to the driver.
     """
+    counts = stash(blocks.select(F.explode("words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "words")
     level = F.floor(F.log2("n") * 8)
-    cost = F.octet_length("w") + 4 * F.size("ids") + 16
+    # a word has as many ids as bytes at most
+    cost = 5 * F.octet_length("w").cast("long") + 16
     least, held = None, 0
-    for r in folded.groupBy(level.alias("level")).agg(F.sum(cost).alias("bytes")).orderBy(F.desc("level")).collect():
+    for r in counts.groupBy(level.alias("level")).agg(F.sum(cost).alias("bytes")).orderBy(F.desc("level")).collect():
         held += r["bytes"]
         if held > cache:
             break
         least = r["level"]
-    kept = folded.where(level >= least) if least is not None else folded.limit(0)
-    found = kept.select("w", "ids").toArrow()
+    kept = counts.where(level >= least) if least is not None else counts.limit(0)
+    found = kept.select("w", let(maps, lambda m: folded(F.col("w"), m)).alias("ids")).toArrow()
+    discard(counts)
     ids = found.column("ids").combine_chunks()
     known = {w: i for i, w in enumerate(found.column("w").to_pylist())}
-    # two ends more, for the words that are not known: number -1 has no ids
-    starts = np.concatenate([ids.offsets.to_numpy()[: len(known) + 1] if known else [0], [0]]).astype(np.int64)
-    starts[-1] = starts[-2]
-    return (known, starts, ids.values.to_numpy().astype(np.int32)), folded.where(level < least) if least is not None else folded
+    # one more end, for the words that are not known: number -1 has no ids
+    starts = ids.offsets.to_numpy()[: len(known) + 1] if known else np.zeros(1)
+    return known, np.append(starts, starts[-1]).astype(np.int64), ids.values.to_numpy().astype(np.int32)
 
 
 def encode(
@@ -330,18 +320,13 @@ def encode(
     carried = [F.col(id_col).alias("doc_id"), *([F.col(place_col).alias("position")] if place_col else [])]
     rows = docs.select(F.struct(*carried).alias("d"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     own = rows.schema["d"].dataType.simpleString()
-    shape = f"block long, docs array<{own}>, sizes array<int>, codes binary, words array<binary>, counts array<long>"
-    blocks = stash(rows.mapInArrow(_split(pattern or default_pattern()), shape), "blocks")
-    counted = blocks.select(F.explode(F.arrays_zip("words", "counts")).alias("c")).groupBy(F.col("c.words").alias("w")).agg(F.sum("c.counts").alias("n"))
-    words = stash(counted, "words")
-    folded = stash(fold_words(words, rank_map(spark, read_ranks(path or default_path()))), "folded")
-    discard(words)
-    table, others = common_words(folded, cache)
-    shared = spark.sparkContext.broadcast(table)
-    asked = blocks.select("block", "words").mapInArrow(_lacking(shared), "block long, at int, w binary")
-    rare = asked.join(others.select("w", "ids"), "w").groupBy("block").agg(F.collect_list(F.struct("at", "ids")).alias("rare"))
-    whole = blocks.drop("counts").join(rare, "block", "left")
-    return whole.mapInArrow(_filled(shared), f"d {own}, ids array<int>").select("d.*", "ids")
+    head = f"docs array<{own}>, sizes array<int>, codes binary"
+    blocks = stash(rows.mapInArrow(_split(pattern or default_pattern()), f"{head}, words array<binary>"), "blocks")
+    maps = rank_map(spark, read_ranks(path or default_path()))
+    shared = spark.sparkContext.broadcast(common_words(blocks, maps, cache))
+    found = blocks.mapInArrow(_looked_up(shared), f"{head}, at array<int>, lacking array<binary>")
+    rare = let(maps, lambda m: F.transform("lacking", lambda w: folded(w, m)))
+    return found.select("docs", "sizes", "codes", "at", rare.alias("rare")).mapInArrow(_filled(shared), f"d {own}, ids array<int>").select("d.*", "ids")
 
 
 def _slices(lists: pa.ListArray) -> Iterator[tuple[int, pa.ListArray]]:
