@@ -4,10 +4,12 @@
    sketch is the ``k`` smallest hashes (all of a small set). Documents of equal
    sets become one class with the smallest id as representative, so exact
    copies, however many, are one vertex.
-2. Inverted lists of retained values: two sets of similarity 0.75 share at
-   least half of a sketch (for k = 64 with a chance of 1 - 2e-6 at the very
-   threshold, for sets within k always). So of each sketch only the
-   ``size - ceil(size / 2) + 1`` rarest values need a list (the prefix rule,
+2. Inverted lists of retained values: two sets of similarity 0.75 share three
+   quarters of the larger set, and of its sketch three quarters less what
+   chance takes, ``least_overlap`` (for k = 128 a pair at the very threshold
+   falls short of it with a chance of 2e-6; sets that can only link with sets
+   within k need no allowance and lose nothing). So of each sketch only the
+   ``size - least_overlap + 1`` rarest values need a list (the prefix rule,
    rarest first by the number of sketches that retain a value). Values of
    passages that many documents share are the least rare and drop out.
 3. Each list is a star at first: a leader, drawn by a hash of list and member,
@@ -21,7 +23,8 @@
    have one label, and so one component, already.
 4. Candidates pass a size filter and the union-sketch estimate (the ``WIDE``
    smallest of both, the share in both, at ``SLACK`` below the threshold or
-   more), and are then verified by exact Jaccard on the full sets.
+   more, which a pair at the threshold misses with a chance of 5e-6), and are
+   then verified by exact Jaccard on the full sets.
 
 Sets are held as 64-bit hashes; two different shingles of one pair of documents
 share a hash with a chance of about 1e-11 even at 20,000 words each.
@@ -34,6 +37,7 @@ columns other than id and text are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -45,12 +49,16 @@ from catloom.llm.common import components, discard, stash
 from catloom.llm.shingles import set_keys, shingle_sets
 from catloom.shipping import ship_package
 
-K = 64
+K = 128
+#: Standard deviations that chance may take from the overlap of two sketches.
+DEVIATIONS = 4.6
 #: Length of the sketches that the estimate compares, and its slack: 4.4 standard deviations at the threshold.
 WIDE = 256
 SLACK = 0.12
 #: Rounds of stars before the pairs across components.
 STARS = 2
+#: Members of a list that one task joins with as many others.
+LIST_BLOCK = 512
 MAX_BATCH_IDS = 1 << 20
 
 
@@ -90,6 +98,14 @@ def _emit(words: int, k: int, full: bool) -> Callable[[Iterator[pa.RecordBatch]]
 SCHEMA = "doc_id long, n int, k1 long, k2 long, hashes array<long>"
 
 
+def least_overlap(n: Column, k: int, share: tuple[int, int]) -> Column:
+    """Retained values that a set of ``n`` has in common with every set it links with."""
+    s = share[0] / share[1]
+    allowed = max(1, math.floor(k * s - DEVIATIONS * math.sqrt(k * s * (1 - s))))
+    # sets up to k * share link only with sets that are retained whole
+    return F.when(n * share[1] <= k * share[0], F.ceil(n * share[0] / share[1])).otherwise(F.lit(allowed))
+
+
 def _close(a: str, b: str, share: tuple[int, int]) -> str:
     """Sizes that can reach the threshold."""
     return f"{share[1]} * least({a}, {b}) >= {share[0]} * greatest({a}, {b})"
@@ -130,14 +146,25 @@ def _estimated(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> Dat
 
 
 def _across(rows: DataFrame, suspects: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """``a, b``: pairs of one list with different labels and alike sketches, each from their first common list."""
+    """``a, b``: pairs of one list with different labels and alike sketches, each from their first common list.
+
+    A list is dealt into blocks of ``LIST_BLOCK`` members and joined by pairs of
+    blocks, so no task holds a long list.
+    """
     sketch = sets.select("node", F.slice("hashes", 1, WIDE).alias("sketch"))
-    wide = rows.join(suspects.select("node", "prefix"), "node").join(sketch, "node")
-    a, b = wide.alias("a"), wide.alias("b")
+    blocks = rows.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / LIST_BLOCK).cast("int").alias("blocks"))
+    dealt = rows.join(blocks, "v").withColumn("block", F.pmod(F.xxhash64("node", "v"), "blocks").cast("int"))
+    wide = dealt.join(suspects.select("node", "prefix"), "node").join(sketch, "node")
+    paired = wide.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "v", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "n", "c", "prefix", "sketch"
+    )
+    a, b = paired.alias("a"), paired.alias("b")
+    same = (F.col("a.v") == F.col("b.v")) & (F.col("a.lo") == F.col("b.lo")) & (F.col("a.hi") == F.col("b.hi"))
+    once = (F.col("a.c") < F.col("b.c")) & (F.col("a.lo") == F.col("a.hi")) | (F.col("a.c") != F.col("b.c")) & (F.col("a.block") < F.col("b.block"))
     first = F.array_min(F.array_intersect("a.prefix", "b.prefix")) == F.col("a.v")
     sizes = F.expr(_close("a.n", "b.n", share))
     near = F.when(sizes & first, _alike("a.sketch", "b.sketch", share)).otherwise(False)
-    return a.join(b, (F.col("a.v") == F.col("b.v")) & (F.col("a.c") < F.col("b.c")) & near).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+    return a.join(b, same & once & near).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
@@ -183,8 +210,8 @@ def near_duplicates(
     values = classes.select("node", F.explode("sketch").alias("v"))
     shared = values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     listed = values.join(shared, "v").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("hits"))
-    size, hits = F.size("sketch"), F.size("hits")
-    room = size - F.ceil(size / 2) + 1 - (size - hits)
+    hits = F.size("hits")
+    room = hits - least_overlap(F.col("n"), k, share) + 1
     suspects = stash(
         classes.join(listed, "node").where(room > 0).select("node", "n", F.transform(F.slice("hits", 1, room.cast("int")), lambda h: h["v"]).alias("prefix")),
         "suspects",

@@ -44,9 +44,9 @@ from pyspark.sql.types import BinaryType, StructType
 from catloom.llm.common import discard, stash
 from catloom.shipping import ship_package
 
-BLOCK_BYTES = 1 << 24
+BLOCK_BYTES = 1 << 23
 CACHE_BYTES = 1 << 25
-CHUNKS = (32, 256, 2048, 16384)
+CHUNKS = (32, 1024)
 BUCKETS = 1 << 15
 #: Tokens that a worker handles at once.
 SLICE = 1 << 20
@@ -239,7 +239,7 @@ def _looked_up(shared):
     """Blocks with ``at``, the place of each word in the broadcast table or -1, and ``lacking``, the words without one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value[0]
+        known = shared.value
         for batch in batches:
             for row in range(batch.num_rows):
                 one = batch.slice(row, 1)
@@ -262,7 +262,7 @@ def _filled(shared):
     """Blocks with ``rare``, the ids of their ``lacking`` words, to ``d, ids`` by document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, starts, values = shared.value
+        starts, values = shared.value
         for batch in batches:
             for row in range(batch.num_rows):
                 docs, sizes, codes, at, rare = (batch.column(c)[row] for c in ("docs", "sizes", "codes", "at", "rare"))
@@ -323,10 +323,11 @@ def encode(
     head = f"docs array<{own}>, sizes array<int>, codes binary"
     blocks = stash(rows.mapInArrow(_split(pattern or default_pattern()), f"{head}, words array<binary>"), "blocks")
     maps = rank_map(spark, read_ranks(path or default_path()))
-    shared = spark.sparkContext.broadcast(common_words(blocks, maps, cache))
-    found = blocks.mapInArrow(_looked_up(shared), f"{head}, at array<int>, lacking array<binary>")
+    known, *table = common_words(blocks, maps, cache)
+    words, ids = spark.sparkContext.broadcast(known), spark.sparkContext.broadcast(table)
+    found = blocks.mapInArrow(_looked_up(words), f"{head}, at array<int>, lacking array<binary>")
     rare = let(maps, lambda m: F.transform("lacking", lambda w: folded(w, m)))
-    return found.select("docs", "sizes", "codes", "at", rare.alias("rare")).mapInArrow(_filled(shared), f"d {own}, ids array<int>").select("d.*", "ids")
+    return found.select("docs", "sizes", "codes", "at", rare.alias("rare")).mapInArrow(_filled(ids), f"d {own}, ids array<int>").select("d.*", "ids")
 
 
 def _slices(lists: pa.ListArray) -> Iterator[tuple[int, pa.ListArray]]:
@@ -355,23 +356,28 @@ def _decoded(shared):
     return run
 
 
-def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """All columns of ``encoded`` and ``decoded``, the bytes of its ``ids``."""
+def _byte_strings(spark: SparkSession, path: str | None):
+    """The byte strings of all ids, broadcast."""
     ranks = read_ranks(path or default_path())
     table = [b""] * (max(ranks.values()) + 1)
     for raw, i in ranks.items():
         table[i] = raw
-    shared = encoded.sparkSession.sparkContext.broadcast(pa.array(table, pa.binary()))
+    return spark.sparkContext.broadcast(pa.array(table, pa.binary()))
+
+
+def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
+    """All columns of ``encoded`` and ``decoded``, the bytes of its ``ids``."""
+    shared = _byte_strings(encoded.sparkSession, path)
     return encoded.mapInArrow(_decoded(shared), StructType([*encoded.schema.fields]).add("decoded", BinaryType()))
 
 
-def _digested(top: int):
+def _digested(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = pa.array([b"%d" % i for i in range(top)], pa.binary())
+        names = pa.array([b"%d" % i for i in range(len(shared.value))], pa.binary())
         for batch in batches:
             for lo, ids in _slices(batch.column(1)):
-                written = _joined(ids, names, b" ")
-                made = [[hashlib.sha256(x.as_buffer()).hexdigest() for x in column] for column in (written, batch.column(2).slice(lo, len(ids)))]
+                both = _joined(ids, names, b" "), _joined(ids, shared.value, b"")
+                made = [[hashlib.sha256(x.as_buffer()).hexdigest() for x in column] for column in both]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, len(ids)), pc.list_value_length(ids).cast(pa.int64()), pa.array(made[0], pa.string()), pa.array(made[1], pa.string())],
                     names=["d", "n_tokens", "ids_sha256", "decoded_sha256"],
@@ -381,12 +387,14 @@ def _digested(top: int):
 
 
 def digests(docs: DataFrame, **options) -> DataFrame:
-    """Id, ``n_tokens, ids_sha256, decoded_sha256``, and ``position`` if ``place_col`` names a column that holds it."""
-    found = decode(encode(docs, **options), options.get("path"))
-    top = max(read_ranks(options.get("path") or default_path()).values()) + 1
-    slim = found.select(F.struct(*[c for c in found.columns if c not in ("ids", "decoded")]).alias("d"), "ids", "decoded")
-    kind = slim.schema["d"].dataType.simpleString()
-    made = slim.mapInArrow(_digested(top), f"d {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    """Id, ``n_tokens, ids_sha256, decoded_sha256``, and ``position`` if ``place_col`` names a column that holds it.
+
+    Ids are decoded as in ``decode``, in the worker that digests them.
+    """
+    found = encode(docs, **options)
+    slim = found.select(F.struct(*[c for c in found.columns if c != "ids"]).alias("d"), "ids")
+    shared, kind = _byte_strings(docs.sparkSession, options.get("path")), slim.schema["d"].dataType.simpleString()
+    made = slim.mapInArrow(_digested(shared), f"d {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
     own = [c for c in ("position",) if c in found.columns]
     return made.select("d.doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *[f"d.{c}" for c in own])
 

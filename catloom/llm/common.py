@@ -9,13 +9,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _own_dir: list[str] = []
+#: A key with more than this share of the rows is joined by broadcast; so at most as many keys are broadcast as its inverse.
+HOT = 1 / 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, else the warehouse; a session of one machine may use its own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
     if not _own_dir:
         _own_dir.append("file://" + tempfile.mkdtemp(prefix="catloom-"))
     return _own_dir[0]
@@ -64,7 +68,8 @@ def rank_within(df: DataFrame, group: list[str], order: list[str], out: str, buc
     The order is by a hash bucket of the ``order`` columns and then by those
     columns, so each group is dealt over ``buckets`` windows. Offsets come from
     the counts by group and bucket, which are ``buckets`` rows a group.
-    Rows equal in all ``order`` columns are interchangeable.
+    Rows equal in all ``order`` columns are interchangeable; null groups are
+    groups, null order values come first; an empty frame gives an empty result.
     """
     dealt = df.withColumn("__bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
     counts = dealt.groupBy(*group, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
@@ -78,28 +83,44 @@ def rank_within(df: DataFrame, group: list[str], order: list[str], out: str, buc
     return a.join(b, same).select(*[F.col(f"a.{c}") for c in df.columns], (F.col("b.__before") + F.col("a.__rank") - 1).cast("long").alias(out))
 
 
+def join_by_key(rows: DataFrame, found: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``found``, which has one row for each key and the number of its ``rows`` in ``count``.
+
+    The rows of a key with more than ``HOT`` of all stay where they are: the at
+    most ``1 / HOT`` rows of ``found`` for such keys are broadcast. Keys are not null.
+    """
+    least = total * HOT
+    hot = F.broadcast(found.where(F.col(count) > least))
+    cold = rows.join(hot.select(*keys), keys, "left_anti").join(found.where(F.col(count) <= least), keys)
+    return rows.join(hot, keys).unionByName(cold)
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(u, v)``: ``(node, component)``, the smallest node reached.
 
     Alternates large and small stars; each round is stashed in the shared
     folder. No adjacency list is ever collected: stars are joins against the
-    smallest neighbour of each node. Nodes without an edge are not in the result.
+    smallest neighbour of each node, and hubs are joined by broadcast. An empty
+    frame gives an empty result; nodes without an edge are not in the result;
+    null nodes have no edges, repeated edges count once.
     """
     stars = stash(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    seen = None
+
+    def state(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first())
+
+    seen = state(stars)
     for _ in range(rounds):
         both = stars.union(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = stash(
-            both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large"
-        )
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+        near = join_by_key(both, least, ["u"], "n", 2 * seen[0])
+        large = stash(near.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        joined = join_by_key(large, least, ["u"], "n", seen[0])
         small = joined.select(F.greatest("v", "m").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         after = stash(small.where("u <> v").distinct(), "small")
         discard(stars, large)
-        stars = after
-        now = stars.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first()
+        now, stars = state(after), after
         if now == seen:
             break
         seen = now

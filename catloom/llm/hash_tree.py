@@ -1,15 +1,16 @@
 """Sharding by a hierarchical weighted hash tree. Native: hashes and comparisons only.
 
-The tree has regions of racks of shards. Every shard draws an exponential
-variable of its weight for a key, ``-ln(u) / weight`` with ``u`` a hash of key
-and shard; the draw of a rack is the smallest among its shards and the draw of
-a region the smallest among its racks, which are again exponential variables of
-the subtree's whole weight. A key descends: the region with the smallest draw,
-in it the rack, in it the shard. As a subtree's draw can only fall when weight
-is added below it and only rise when weight is taken away, keys move only into
-or out of the subtrees whose weights change, and one more shard takes keys only
-into itself. (Independent draws for each level would not keep that: a rack that
-gains weight would also hand its new keys to its old shards.)
+The tree has regions of racks of shards; a rack weighs what its shards weigh
+together and a region what its racks do. A key descends: at each node every
+child draws ``-ln(u) / weight``, an exponential variable of its weight, with
+``u`` a hash of the key and the child's own number, and the least draw is taken.
+A child's draw depends on nothing but the key, its number and its weight, so a
+changed weight moves keys only into or out of the nodes that weigh more or less
+than before: other regions exchange nothing, nor do other racks of the region
+among those keys that stay in it.
+
+Growth hangs one more shard into the tree as a region of its own. All other
+weights stay as they were, so the new shard takes keys only into itself.
 
 Defined cases: a null text has 8 bytes and the checksum of the empty text; all
 null keys draw alike and share a shard; equal keys share a shard; slots order
@@ -26,68 +27,79 @@ from pyspark.sql import functions as F
 
 from catloom.llm.common import rank_within
 
+#: What a node's number is hashed with, so that a rack never draws as the region or shard of its number.
+REGION, RACK, SHARD = 1, 2, 3
+
 
 @dataclass(frozen=True)
 class Tree:
-    """Weights by shard number, dealt in order to racks and the racks to regions."""
+    """``regions[r][k]``: the weights of the shards of rack ``k`` of region ``r``; numbers run through the tree in order."""
 
-    weights: tuple[float, ...]
-    shards_per_rack: int = 4
-    racks_per_region: int = 3
+    regions: tuple[tuple[tuple[float, ...], ...], ...]
 
     def __post_init__(self):
-        if not self.weights or min(self.weights) <= 0:
-            raise ValueError("every shard needs a weight above 0")
-
-    def racks(self) -> list[list[int]]:
-        n, k = len(self.weights), self.shards_per_rack
-        return [list(range(i, min(i + k, n))) for i in range(0, n, k)]
-
-    def regions(self) -> list[list[int]]:
-        n, k = len(self.racks()), self.racks_per_region
-        return [list(range(i, min(i + k, n))) for i in range(0, n, k)]
+        weights = [w for racks in self.regions for rack in racks for w in rack]
+        if not weights or min(weights) <= 0 or not all(racks and all(racks) for racks in self.regions):
+            raise ValueError("every node needs a child and every shard a weight above 0")
+
+    @classmethod
+    def of(cls, weights, shards_per_rack: int = 4, racks_per_region: int = 3) -> Tree:
+        """The shards dealt in order to racks and the racks to regions."""
+        weights = tuple(map(float, weights))
+        racks = tuple(weights[i : i + shards_per_rack] for i in range(0, len(weights), shards_per_rack))
+        return cls(tuple(racks[i : i + racks_per_region] for i in range(0, len(racks), racks_per_region)))
+
+    def grown(self, weight: float) -> Tree:
+        """With one more shard, in a rack and region of its own."""
+        return Tree((*self.regions, ((float(weight),),)))
+
+    def levels(self) -> tuple[list, list, list]:
+        """``(number, weight)`` of the children of the root, of each region and of each rack."""
+        racks = [rack for own in self.regions for rack in own]
+        top = [[(r, float(sum(map(sum, own)))) for r, own in enumerate(self.regions)]]
+        return top, _numbered([[float(sum(rack)) for rack in own] for own in self.regions]), _numbered(racks)
+
+
+def _numbered(weights: list) -> list[list[tuple[int, float]]]:
+    out, at = [], 0
+    for own in weights:
+        out.append([(at + i, float(w)) for i, w in enumerate(own)])
+        at += len(own)
+    return out
 
 
-def draw(key: Column, shard: int, weight: float) -> Column:
-    """An exponential variable of rate ``weight`` from 52 bits of a hash of key and shard."""
-    unit = (F.shiftrightunsigned(F.xxhash64(key, F.lit(shard)), 12) + F.lit(0.5)) / F.lit(float(1 << 52))
-    return -F.log(unit) / F.lit(float(weight))
+def draw(key: Column, level: int, number: Column, weight: Column) -> Column:
+    """An exponential variable of rate ``weight`` from 52 bits of a hash of key and node."""
+    unit = (F.shiftrightunsigned(F.xxhash64(key, F.lit(level), number), 12) + F.lit(0.5)) / F.lit(float(1 << 52))
+    return -F.log(unit) / weight
 
 
-def _least(cols: list[Column]) -> Column:
-    return cols[0] if len(cols) == 1 else F.least(*cols)
+def chosen(key: Column, level: int, children: list[tuple[int, float]]) -> Column:
+    """The child of the least draw, of the least number on a tie."""
+    drawn = [F.struct(draw(key, level, F.lit(n), F.lit(w)).alias("draw"), F.lit(n).alias("number")) for n, w in children]
+    return (F.least(*drawn) if len(drawn) > 1 else drawn[0])["number"]
 
 
-def _first_at(cols: list[Column], values: list, least: Column) -> Column:
-    """The value whose column is the least, the first of them on a tie."""
-    out = F.lit(values[-1])
-    for c, v in reversed(list(zip(cols[:-1], values[:-1], strict=True))):
-        out = F.when(c == least, v if isinstance(v, Column) else F.lit(v)).otherwise(out)
+def _below(key: Column, level: int, parent: Column, children: list[list[tuple[int, float]]]) -> Column:
+    """``chosen`` among the children of the node ``parent``; the draws of other nodes' children are not made."""
+    out = F.lit(None).cast("int")
+    for k, own in reversed(list(enumerate(children))):
+        out = F.when(parent == k, chosen(key, level, own)).otherwise(out)
     return out
 
 
 def place(df: DataFrame, key: str, tree: Tree, out: str, keep: list[str]) -> DataFrame:
     """``keep`` columns and ``out``, the shard of each row."""
-    racks, regions = tree.racks(), tree.regions()
-    drawn = df.select(*keep, *[draw(F.col(key), s, w).alias(f"__s{s}") for s, w in enumerate(tree.weights)])
-    by_rack = drawn.select("*", *[_least([F.col(f"__s{s}") for s in own]).alias(f"__k{r}") for r, own in enumerate(racks)])
-    by_region = by_rack.select("*", *[_least([F.col(f"__k{r}") for r in own]).alias(f"__g{g}") for g, own in enumerate(regions)])
-    top = [F.col(f"__g{g}") for g in range(len(regions))]
-    at_region = by_region.withColumn("__region", _first_at(top, list(range(len(regions))), _least(top)))
-    rack = F.lit(None).cast("int")
-    for g, own in enumerate(regions):
-        rack = F.when(F.col("__region") == g, _first_at([F.col(f"__k{r}") for r in own], own, F.col(f"__g{g}"))).otherwise(rack)
-    at_rack = at_region.withColumn("__rack", rack)
-    shard = F.lit(None).cast("int")
-    for r, own in enumerate(racks):
-        shard = F.when(F.col("__rack") == r, _first_at([F.col(f"__s{s}") for s in own], own, F.col(f"__k{r}"))).otherwise(shard)
-    return at_rack.select(*keep, shard.cast("int").alias(out))
+    top, racks, shards = tree.levels()
+    at = df.select(*keep, F.col(key).alias("__key"), chosen(F.col(key), REGION, top[0]).alias("__region"))
+    at = at.select(*keep, "__key", _below(F.col("__key"), RACK, F.col("__region"), racks).alias("__rack"))
+    return at.select(*keep, _below(F.col("__key"), SHARD, F.col("__rack"), shards).cast("int").alias(out))
 
 
 def assign_shards(docs: DataFrame, shards: int = 24, weights: tuple[float, ...] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Id, ``size, text_crc32, law, shard, slot, grown_shard`` for each row; equal weights unless given."""
-    tree = Tree(tuple(weights) if weights else (1.0,) * shards)
-    grown = Tree((*tree.weights, tree.weights[-1]))
+    tree = Tree.of(weights or (1.0,) * shards)
+    grown = tree.grown(tree.regions[-1][-1][-1])
     binary = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     slim = docs.select(
         F.col(id_col).alias("doc_id"), (F.octet_length(binary) + 8).cast("long").alias("size"), F.crc32(binary).cast("long").alias("text_crc32")

@@ -5,8 +5,10 @@ its k-th block is released at slot ``floor((k - 1) / w)`` and due at slot
 ``ceil(k / w)``; each slot goes to the released block with the earliest
 deadline. In every prefix of the slots a source then has less than one block
 more or less than its weight's share. Weights are whole numbers over the
-denominator ``WHOLE``, so releases and deadlines are exact. The slots of all
-blocks (rows divided by ``block``) are worked out on the driver and broadcast.
+denominator ``WHOLE``, so releases and deadlines are exact. The slots of all blocks are
+worked out on the driver and broadcast, ``PLAN_BLOCKS`` and one more a source at
+most (some 80 MB): where blocks of ``block`` documents would be more, they are
+made as long as that needs. More sources than ``PLAN_BLOCKS`` are refused.
 With a ``period`` given, weights are whole quanta of that many slots instead
 (one at least), the schedule repeats, and the driver works out one period; the
 shares are then only as near to the weights as the quanta.
@@ -35,6 +37,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from catloom.llm.common import rank_within
 
 BLOCK = 64
+PLAN_BLOCKS = 1 << 20
 #: Denominator of the weights.
 WHOLE = 1 << 40
 #: Target weight of a source: its number of rows to this power.
@@ -132,8 +135,11 @@ def exact_plan(weights: dict, rows: dict, block: int) -> list[tuple]:
 
 
 def source_rows(docs: DataFrame, source_col: str) -> dict:
-    """Rows of each source; one row a source comes to the driver."""
-    return {r[0]: r[1] for r in docs.groupBy(source_col).count().collect()}
+    """Rows of each source; one row a source comes to the driver, ``PLAN_BLOCKS`` at most."""
+    rows = docs.groupBy(source_col).count().limit(PLAN_BLOCKS + 1).collect()
+    if len(rows) > PLAN_BLOCKS:
+        raise ValueError(f"the driver can't plan for more than {PLAN_BLOCKS} sources; give a coarser source column")
+    return {r[0]: r[1] for r in rows}
 
 
 def mixed(
@@ -148,6 +154,7 @@ def mixed(
         raise ValueError("no source of the table has a weight")
     if wanted and min(wanted.values()) < 0:
         raise ValueError("weights must not be below 0")
+    block = max(block, -(-sum(counts.values()) // PLAN_BLOCKS))
     rows = docs.select(F.struct("*").alias("__row"), F.col(source_col).alias("__source"), F.col(id_col).alias("__id"))
     ranked = rank_within(rows, ["__source"], ["__id"], "__rank").select(
         "__row", "__source", F.floor(F.col("__rank") / block).cast("long").alias("__block"), F.pmod("__rank", F.lit(block)).alias("__in")

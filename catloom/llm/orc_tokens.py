@@ -9,8 +9,9 @@ filter on the id, so a reader skips stripes by metadata and stripes are read
 in parallel.
 
 The tokenizers library encodes each distinct run between blanks once for a
-worker (the tokenizer drops white space and never joins across it); the store
-of known runs is bounded and is emptied when full.
+worker; the store of known runs is bounded and is emptied when full. That needs
+a tokenizer that drops white space and never joins across it: one whose file
+has the rules ``RULES``. Whole texts go to the library for any other.
 
 Defined cases: a null or empty text has its end id alone; rows that repeat an
 id stand next to each other, in the order of their texts; a null id comes
@@ -20,6 +21,7 @@ first; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import array
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -39,8 +41,23 @@ END_ID = 1
 KNOWN = 300_000
 LONGEST = 64
 SLICE = 1 << 20
+#: What an ``Encoder`` knows of the tokenizer: its normaliser, pre-tokenizer, post-processor and the model's settings (fixed values).
+RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+    "truncation": None,
+    "padding": None,
+}
+MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "byte_fallback": False, "ignore_merges": False}
 _tokenizers: dict[str, object] = {}
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[str, Encoder | WholeTexts] = {}
 
 
 def default_path() -> str:
@@ -72,6 +89,27 @@ def byte_letters() -> dict[int, str]:
     return out
 
 
+def has_rules(path: str) -> bool:
+    """Whether the file's tokenizer works by ``RULES``, so that runs between blanks may be encoded apart."""
+    own = json.loads(_tokenizer(path).to_str())
+    plain = all(not t["content"].split() or t["content"].split() == [t["content"]] and not t["lstrip"] and not t["rstrip"] for t in own["added_tokens"])
+    return plain and all(own[k] == v for k, v in RULES.items()) and all(own["model"].get(k) == v for k, v in MODEL.items())
+
+
+class WholeTexts:
+    """Encodes whole texts by the library."""
+
+    def __init__(self, path: str):
+        self.tokenizer = _tokenizer(path)
+
+    def ids(self, texts: list[str], end: tuple[int, ...] = ()) -> tuple[array.array, list[int]]:
+        out, ends = array.array("i"), []
+        for t in texts:
+            out.extend([*self.tokenizer.encode(t, add_special_tokens=False).ids, *end])
+            ends.append(len(out))
+        return out, ends
+
+
 class Encoder(dict):
     """Encodes whole texts by their runs between blanks; the dictionary holds the runs met so far.
 
@@ -127,10 +165,10 @@ class Encoder(dict):
         return out, ends
 
 
-def _encoder(path: str) -> Encoder:
+def _encoder(path: str) -> Encoder | WholeTexts:
     """One for a worker process, whatever the number of its tasks."""
     if path not in _encoders:
-        _encoders[path] = Encoder(path)
+        _encoders[path] = Encoder(path) if has_rules(path) else WholeTexts(path)
     return _encoders[path]
 
 

@@ -9,7 +9,9 @@ difference ``(good - bad) / (good + bad)`` over the whole text becomes a
 probability by logistic regression on the calibration part.
 
 ``fit_rows`` (default 6,000) bounds the sample for each label, taken by a hash
-of the id; texts above ``FIT_CHARS`` characters are not taken for the fit.
+of the id. What comes to the driver of a sampled text is ``FIT_PARTS`` parts of
+``BLOCK`` characters, spread evenly over the whole of it (a text within that
+length comes whole), so the sample has at most 200 MB whatever the texts.
 
 Defined cases: a null or empty text has the difference 0 and so the score of
 that difference; without rows of both labels every score is the share of label
@@ -23,34 +25,42 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catloom.llm.common import held_out
 from catloom.shipping import ship_package
 
 FIT_ROWS = 6_000
-FIT_CHARS = 200_000
 BLOCK = 2_048
+FIT_PARTS = 4
 DICTIONARY = 112_640
 LEVEL = 3
 _loaded: dict[int, tuple] = {}
 
 
-def dictionary(texts: list[str]) -> bytes:
-    """A zstandard dictionary of the texts; their tail as it is where training has too little to go on."""
+def dictionary(texts: list[list[str]]) -> bytes:
+    """A zstandard dictionary of the texts' parts; their tail as it is where training has too little to go on."""
     import zstandard
 
-    samples = [b for t in texts for b in blocks(t)]
+    samples = [b for parts in texts for b in blocks(parts)]
     try:
         return zstandard.train_dictionary(DICTIONARY, samples, level=LEVEL).as_bytes()
     except zstandard.ZstdError:
         return b"".join(samples)[-DICTIONARY:]
 
 
-def blocks(text: str) -> list[bytes]:
-    raw = text.encode("utf-8", "surrogatepass")
-    return [raw[i : i + BLOCK] for i in range(0, len(raw), BLOCK)]
+def blocks(parts: list[str]) -> list[bytes]:
+    """The bytes of each part, cut into blocks."""
+    raw = [t.encode("utf-8", "surrogatepass") for t in parts]
+    return [r[i : i + BLOCK] for r in raw for i in range(0, len(r), BLOCK)]
+
+
+def spread_parts(text: Column) -> Column:
+    """The whole text, or ``FIT_PARTS`` parts of ``BLOCK`` characters from its first to its last."""
+    size = F.length(text)
+    starts = [F.floor((size - BLOCK) * k / (FIT_PARTS - 1)).cast("int") + 1 for k in range(FIT_PARTS)]
+    return F.when(size <= FIT_PARTS * BLOCK, F.array(text)).otherwise(F.array(*[F.substring(text, at, F.lit(BLOCK)) for at in starts]))
 
 
 def compressors(good: bytes, bad: bytes) -> tuple:
@@ -64,12 +74,12 @@ def compressors(good: bytes, bad: bytes) -> tuple:
     return tuple(out)
 
 
-def difference(text: str | None, pair: tuple) -> float:
-    """Above 0 if the dictionary of bad text compresses the text better."""
-    if not text:
+def difference(parts: list[str], pair: tuple) -> float:
+    """Above 0 if the dictionary of bad text compresses the parts of a text better; 0 without any text."""
+    raw = blocks(parts)
+    if not raw:
         return 0.0
-    parts = blocks(text)
-    good, bad = (sum(len(c.compress(b)) for b in parts) for c in pair)
+    good, bad = (sum(len(c.compress(b)) for b in raw) for c in pair)
     return (good - bad) / (good + bad)
 
 
@@ -87,7 +97,7 @@ class Model:
         if self.ident not in _loaded:
             _loaded.clear()
             _loaded[self.ident] = compressors(self.good, self.bad)
-        x = np.array([difference(t, _loaded[self.ident]) for t in texts], dtype=float)
+        x = np.array([difference([t or ""], _loaded[self.ident]) for t in texts], dtype=float)
         return 1 / (1 + np.exp(-np.clip(self.base + self.slope * x, -50, 50)))
 
 
@@ -125,12 +135,12 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     sample = known.where(draw < share).withColumnRenamed("doc_id", "__id")
     rows = (
         docs.select(F.col("doc_id"), F.col("text").alias("t"))
-        .where(F.length("t").between(1, FIT_CHARS))
+        .where(F.length("t") > 0)
         .join(F.broadcast(sample), F.col("doc_id") == F.col("__id"))
-        .select("t", "y", F.pmod(F.xxhash64("__id", F.lit("part")), F.lit(2)).alias("part"))
+        .select(spread_parts(F.col("t")).alias("parts"), "y", F.pmod(F.xxhash64("__id", F.lit("part")), F.lit(2)).alias("part"))
         .toArrow()
     )
-    text, y, part = rows.column("t").to_pylist(), rows.column("y").to_numpy().astype(int), rows.column("part").to_numpy()
+    text, y, part = rows.column("parts").to_pylist(), rows.column("y").to_numpy().astype(int), rows.column("part").to_numpy()
     order = sorted(range(len(text)), key=lambda i: (text[i], y[i]))
     chosen = [[text[i] for i in order if y[i] == label and part[i] == 0] for label in (0, 1)]
     total = sum(sizes.values())

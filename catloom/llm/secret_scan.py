@@ -8,17 +8,20 @@ matches of their patterns, of a least length. The battery adds spans:
    is cut into the maximal runs of each alphabet.
 2. Each is given the smallest alphabet that holds all its characters (hex,
    base32, base62, base64, base64url), and its characters become codes in it.
-3. Three tests hold it against uniform independent codes: chi-squared of the
-   alphabet counts, runs above and below the alphabet's middle, and lag-1
-   serial correlation. Their Bonferroni combination must not reject at
-   ``ALPHA``: what rejects is text, a path or a pattern, and gets p = 1.
-4. There are two pieces of evidence against text. Text has at least
+3. The battery is three tests: chi-squared of the alphabet counts, runs, and
+   serial correlation. Each holds the codes against two hypotheses.
+   Against uniform independent codes (chi-squared; runs above and below the
+   alphabet's middle; lag-1 correlation) the Bonferroni combination must not
+   reject at ``ALPHA``: what rejects is text, a path or a pattern, and gets p = 1.
+4. Against text, each gives a p-value. Chi-squared: text has at least
    ``TEXT_RATE / alphabet`` of its pairs of codes equal, a random string
-   ``1 / alphabet``: the chance of so few equal pairs (square-root transform of a
-   Poisson count). And a text model (steps between character classes and between
-   letters, fixed values) gives the likelihood ratio of text to random, which
-   bounds the chance of such a ratio in text and is small from 20 characters on.
-   The p-value is twice the smaller one.
+   ``1 / alphabet``; the chance of so small a statistic (square-root transform of a
+   Poisson count). Runs: text changes its character class (lower, upper, digit,
+   sign) at ``TEXT_CHANGES`` of its steps at most; the chance of so many runs.
+   Serial: text follows the steps between classes and letters of a text model
+   (fixed values); its likelihood ratio to independent codes bounds the chance
+   of such a ratio in text. The p-value that is controlled is their Bonferroni
+   combination, three times the least.
 5. Length-aware false-discovery control: Benjamini-Hochberg at ``RATE`` within
    each stratum of encoding and length class (power of two), over all
    distinct candidates of the table. The p-values are rounded up to a fixed grid, so a
@@ -45,12 +48,13 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 MIN_VALUE = 12
-MIN_LEN = 20
+MIN_LEN = 12
 #: Signs after a run are part of it only where they end it: inner ones join names and values.
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}(?:=+(?![A-Za-z0-9+/_=-]))?" % MIN_LEN
 ALPHA = 0.001
 RATE = 0.05
 TEXT_RATE = 2.0
+TEXT_CHANGES = 0.35
 #: Grid steps for each power of ten of p, and the smallest power kept apart.
 STEPS, DEEPEST = 20, 60
 
@@ -92,18 +96,29 @@ def let(value: Column, body) -> Column:
 
 
 def occurrences(text: Column, pattern: str) -> Column:
-    """``array<struct<start, hit>>`` of the non-empty matches of ``pattern``, in order."""
+    """``array<struct<start, hit>>`` of the non-empty matches of ``pattern``, in order.
+
+    A start is the sum of the gaps and hits before it. It is added up by blocks
+    of about the square root of their number, so no array grows in a fold.
+    """
     gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,hit:string>>").alias("out"))
 
-    def step(acc: Column, pair: Column) -> Column:
-        at = acc["at"] + F.length(pair["gaps"])
-        return F.struct(
-            (at + F.length(pair["hits"])).alias("at"), F.concat(acc["out"], F.array(F.struct(at.alias("start"), pair["hits"].alias("hit")))).alias("out")
-        )
+    def summed(xs: Column, first: Column, count: Column) -> Column:
+        return F.aggregate(F.slice(xs, first + 1, count), F.lit(0), lambda acc, x: acc + x)
 
-    pairs = F.arrays_zip(F.slice(gaps, 1, F.size(hits)).alias("gaps"), hits.alias("hits"))
-    found = F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    def placed(s: Column) -> Column:
+        n, wide = F.size(s["hits"]), F.ceil(F.sqrt(F.size(s["hits"]))).cast("int")
+        whole = F.transform(F.sequence(F.lit(0), wide - 1), lambda b: summed(s["steps"], b * wide, wide))
+        before = F.transform(F.sequence(F.lit(0), wide - 1), lambda b: summed(whole, F.lit(0), b))
+        return let(before, lambda at: F.transform(F.sequence(F.lit(0), n - 1), lambda i: one(s, wide, at, i)))
+
+    def one(s: Column, wide: Column, before: Column, i: Column) -> Column:
+        block = F.floor(i / wide).cast("int")
+        start = F.get(before, block) + summed(s["steps"], block * wide, i - block * wide) + F.length(F.get(s["gaps"], i))
+        return F.struct(start.alias("start"), F.get(s["hits"], i).alias("hit"))
+
+    steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, h: F.length(g) + F.length(h))
+    found = let(F.struct(gaps.alias("gaps"), hits.alias("hits"), steps.alias("steps")), placed)
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast("array<struct<start:int,hit:string>>"))
 
 
@@ -152,20 +167,25 @@ def text_steps() -> list[float]:
     return out
 
 
-def surprise(bare: Column) -> Column:
-    """-ln of the chance of the string under the text model."""
+def text_model(bare: Column) -> Column:
+    """``struct<surprise, changes>``: -ln of the chance of the string under the text model, and its changes of class."""
     width = len(MODEL_CHARS)
     steps = F.split(F.lit(",".join(f"{x:.4f}" for x in text_steps())), ",").cast("array<double>")
 
+    def kind(c: Column) -> Column:
+        return F.when(c < 26, 0).when(c < 52, 1).when(c < 62, 2).otherwise(3)
+
     def summed(codes: Column) -> Column:
         before = F.concat(F.array(F.lit(width)), F.slice(codes, 1, F.size(codes) - 1))
-        return F.aggregate(F.zip_with(before, codes, lambda a, b: F.get(steps, a * width + b)), F.lit(0.0), lambda acc, x: acc + x)
+        chances = F.zip_with(before, codes, lambda a, b: F.get(steps, a * width + b))
+        changes = F.zip_with(before, codes, lambda a, b: F.when((a < width) & (kind(a) != kind(b)), 1.0).otherwise(0.0))
+        return F.struct(F.aggregate(chances, F.lit(0.0), lambda acc, x: acc + x).alias("surprise"), F.aggregate(changes, F.lit(0.0), lambda acc, x: acc + x).alias("changes"))
 
     return let(F.transform(F.split(bare, ""), lambda c: F.instr(F.lit(MODEL_CHARS), c) - 1), summed)
 
 
 def battery(codes: Column, size: int, text: Column) -> Column:
-    """p-value that the codes are text and not random, 1 if a randomness test rejects; ``text`` is their ``surprise``."""
+    """p-value that the codes are text and not random, 1 if a randomness test rejects; ``text`` is their ``text_model``."""
 
     half = size // 2
 
@@ -209,8 +229,11 @@ def battery(codes: Column, size: int, text: Column) -> Column:
 
     def decided(z: Column) -> Column:
         uniform = F.least(let(z["chi"], upper_tail), 2 * let(z["runs"], upper_tail), 2 * let(z["serial"], upper_tail)) * 3
-        likely = F.exp(F.least(F.lit(math.log(size)) * z["n"] - text, F.lit(0.0)))
-        return F.when(uniform < ALPHA, F.lit(1.0)).otherwise(F.least(2 * F.least(let(z["few"], upper_tail), likely), F.lit(1.0)))
+        steps = z["n"] - 1
+        runs = (text["changes"] - 0.5 - steps * TEXT_CHANGES) / F.sqrt(steps * (TEXT_CHANGES * (1 - TEXT_CHANGES)))
+        serial = F.exp(F.least(F.lit(math.log(size)) * z["n"] - text["surprise"], F.lit(0.0)))
+        against_text = 3 * F.least(let(z["few"], upper_tail), let(runs, upper_tail), serial)
+        return F.when(uniform < ALPHA, F.lit(1.0)).otherwise(F.least(against_text, F.lit(1.0)))
 
     def tests(x: Column) -> Column:
         return let(let(let(counted(x), spread_out), scores), decided)
@@ -237,7 +260,7 @@ def candidates(text: Column) -> Column:
             bare = F.rtrim(h["hit"], F.lit("="))
             bare = F.lower(bare) if name == "rand_hex" else bare
             codes = F.transform(F.split(bare, ""), lambda c: F.instr(F.lit(alphabet), c) - 1)
-            p = F.when(F.length(bare) < MIN_LEN, F.lit(1.0)).otherwise(let(surprise(F.rtrim(h["hit"], F.lit("="))), lambda t: battery(codes, len(alphabet), t)))
+            p = F.when(F.length(bare) < MIN_LEN, F.lit(1.0)).otherwise(let(text_model(F.rtrim(h["hit"], F.lit("="))), lambda t: battery(codes, len(alphabet), t)))
             step = F.least(F.floor(-F.log10(F.greatest(p, F.lit(1e-300))) * STEPS), F.lit(DEEPEST * STEPS))
             return F.struct(
                 h["start"].cast("int").alias("start"),

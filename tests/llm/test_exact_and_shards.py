@@ -47,21 +47,33 @@ def test_rows_that_stay_keep_their_columns(odd, docs):
     assert len(texts) == len(set(texts)) == len({norm(r.text) for r in docs.collect()})
 
 
-def draw(key, shard, weight):
+def draw(key, level, number, weight):
     h = 42
-    for raw in ([key.to_bytes(8, "little", signed=True)] if key is not None else []) + [shard.to_bytes(4, "little")]:
+    for raw in ([key.to_bytes(8, "little", signed=True)] if key is not None else []) + [x.to_bytes(4, "little") for x in (level, number)]:
         h = xxhash.xxh64_intdigest(raw, seed=h)
     return -math.log(((h >> 12) + 0.5) / (1 << 52)) / weight
 
 
-def descend(key, tree):
-    def lowest(shards):
-        return min(draw(key, s, tree.weights[s]) for s in shards)
+def descend(key, regions):
+    """Region, rack and shard of a key in a tree of nested weights."""
+    racks, shards, path = {}, {}, {}
+    for r, own in enumerate(regions):
+        for rack in own:
+            k = len(path)
+            path[k] = r
+            racks.setdefault(r, {})[k] = sum(rack)
+            at = sum(map(len, shards.values()))
+            shards[k] = {at + i: w for i, w in enumerate(rack)}
 
-    racks = tree.racks()
-    region = min(tree.regions(), key=lambda g: lowest([s for r in g for s in racks[r]]))
-    rack = min(region, key=lambda r: lowest(racks[r]))
-    return min(racks[rack], key=lambda s: draw(key, s, tree.weights[s]))
+    def least(level, children):
+        return min(children, key=lambda n: (draw(key, level, n, children[n]), n))
+
+    region = least(1, {r: sum(own.values()) for r, own in racks.items()})
+    rack = least(2, racks[region])
+    return region, rack, least(3, shards[rack])
+
+
+EQUAL = (((1.0,) * 4,) * 3,) * 2
 
 
 def test_shards_follow_the_tree(docs, odd, none):
@@ -72,17 +84,42 @@ def test_shards_follow_the_tree(docs, odd, none):
         )
         slots = defaultdict(list)
         for r in rows:
-            assert r.law == "key" and r.shard == descend(r.doc_id, Tree((1.0,) * 24)) and r.grown_shard == descend(r.doc_id, Tree((1.0,) * 25))
+            assert r.law == "key" and r.shard == descend(r.doc_id, EQUAL)[2] and r.grown_shard == descend(r.doc_id, (*EQUAL, ((1.0,),)))[2]
             assert r.grown_shard in (r.shard, 24)
             slots[r.shard].append(r.slot)
         assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+KEYS = 20000
+
+
+def placed(spark, tree):
+    keys = spark.range(KEYS).withColumnRenamed("id", "k")
+    return {r.k: r.s for r in place(keys, "k", tree, "s", ["k"]).collect()}
+
+
 def test_weights_move_rows_only_where_they_change(spark):
-    keys = spark.range(20000).withColumnRenamed("id", "k")
-    before = {r.k: r.s for r in place(keys, "k", Tree((1.0,) * 24), "s", ["k"]).collect()}
-    heavier = (*[1.0] * 5, 3.0, *[1.0] * 18)
-    after = {r.k: r.s for r in place(keys, "k", Tree(heavier), "s", ["k"]).collect()}
-    moved = {k for k in before if before[k] != after[k]}
-    assert moved and all(after[k] == 5 for k in moved)
-    assert abs(sum(s == 5 for s in after.values()) / 20000 - 3 / 26) < 0.01
+    before, heavier = Tree.of((1.0,) * 24), Tree.of((*[1.0] * 5, 3.0, *[1.0] * 18))
+    old, new = placed(spark, before), placed(spark, heavier)
+    assert all(new[k] == descend(k, heavier.regions)[2] for k in range(0, KEYS, 97))
+    moved = {k for k in old if old[k] != new[k]}
+    # shard 5 is in rack 1 of region 0: keys that were there already go to its rack or to the shard itself
+    assert moved and all(new[k] < 12 for k in moved)
+    assert all(4 <= new[k] < 8 for k in moved if old[k] < 12) and all(new[k] == 5 for k in moved if 4 <= old[k] < 8)
+    shares = [sum(s == n for s in new.values()) / KEYS for n in range(24)]
+    assert all(abs(share - w / 26) < 0.01 for share, w in zip(shares, (*[1.0] * 5, 3.0, *[1.0] * 18), strict=True))
+    lighter = placed(spark, Tree.of((*[1.0] * 5, 0.25, *[1.0] * 18)))
+    assert all(old[k] == lighter[k] for k in old if old[k] >= 12) and any(lighter[k] >= 12 for k in old if old[k] < 12)
+
+
+def test_growth_takes_rows_only_into_the_new_shard(spark):
+    tree = Tree.of([1.0, 2.0, 0.5, 4.0, 1.5, 1.0, 3.0], shards_per_rack=2, racks_per_region=2)
+    old, new = placed(spark, tree), placed(spark, tree.grown(2.0))
+    assert all(new[k] in (old[k], 7) for k in old)
+    assert abs(sum(s == 7 for s in new.values()) / KEYS - 2 / 15) < 0.01
+
+
+def test_the_descent_is_not_one_draw_of_all_shards(spark):
+    flat = {k: min(range(24), key=lambda s: draw(k, 3, s, 1.0)) for k in range(2000)}
+    got = placed(spark, Tree.of((1.0,) * 24))
+    assert sum(got[k] != flat[k] for k in flat) > 1500

@@ -1,11 +1,17 @@
 """Secret scans against Python's regular expressions, and the battery on made strings."""
 
 import hashlib
+import math
 import random
 import re
 import string
+from collections import Counter, defaultdict
 
-from catloom.llm.secret_scan import op1_secret_scan, scan_secrets
+from pyspark.sql import functions as F
+
+from catloom.llm.secret_scan import (
+    ALPHA, DEEPEST, ENCODINGS, MIN_LEN, MODEL_CHARS, RATE, STEPS, TEXT_CHANGES, TEXT_RATE, candidates, op1_secret_scan, scan_secrets, text_steps, thresholds,
+)
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]+")
@@ -108,3 +114,78 @@ def test_short_secrets_at_a_realistic_share(spark):
     print("found", hits, "of", len(secrets), "false", len(found) - hits)
     assert hits >= 0.9 * len(secrets)
     assert len(found) - hits <= 0.1 * len(found)
+
+
+def upper(z):
+    return 0.5 * math.erfc(z / math.sqrt(2))
+
+
+def p_value(name, alphabet, whole):
+    """The battery in plain Python."""
+    bare = whole.rstrip("=")
+    codes = [alphabet.index(c) for c in (bare.lower() if name == "rand_hex" else bare)]
+    n, size, half = len(codes), len(alphabet), len(alphabet) // 2
+    if n < MIN_LEN:
+        return 1.0
+    counts = Counter(codes)
+    chi = (sum((counts[s] - n / size) ** 2 / (n / size) for s in range(size)) - (size - 1)) / math.sqrt(2 * (size - 1) * (n - 1) / n)
+    high = sum(c >= half for c in codes)
+    changes = sum((a >= half) != (b >= half) for a, b in zip(codes, codes[1:]))
+    expected = 2 * high * (n - high) / n + 1
+    runs = 99.0 if high in (0, n) else abs(changes + 1 - expected) / math.sqrt((expected - 1) * (expected - 2) / (n - 1))
+    mean = sum(codes) / n
+    spread = sum((c - mean) ** 2 for c in codes)
+    serial = 99.0 if not spread else abs(sum((a - mean) * (b - mean) for a, b in zip(codes, codes[1:])) / spread + 1 / n) * math.sqrt(n)
+    if 3 * min(upper(chi), 2 * upper(runs), 2 * upper(serial)) < ALPHA:
+        return 1.0
+    equal = sum(k * (k - 1) // 2 for k in counts.values())
+    few = 2 * (math.sqrt(n * (n - 1) / 2 * TEXT_RATE / size + 0.375) - math.sqrt(equal + 0.375))
+
+    def kind(c):
+        return "lower" if c.islower() else "upper" if c.isupper() else "digit" if c.isdigit() else "sign"
+
+    steps, model = text_steps(), MODEL_CHARS
+    surprise = sum(steps[(model.index(a) if a else len(model)) * len(model) + model.index(b)] for a, b in zip(["", *bare], bare))
+    switches = sum(kind(a) != kind(b) for a, b in zip(bare, bare[1:]))
+    often = (switches - 0.5 - (n - 1) * TEXT_CHANGES) / math.sqrt((n - 1) * TEXT_CHANGES * (1 - TEXT_CHANGES))
+    return min(1.0, 3 * min(upper(few), upper(often), math.exp(min(0.0, n * math.log(size) - surprise))))
+
+
+def test_battery_and_control_by_brute_force(spark):
+    draw = random.Random(3)
+    letters = string.ascii_letters + string.digits
+    sets = ["0123456789abcdef", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", letters, letters + "+/", letters + "-_", string.ascii_lowercase, "abcABC123"]
+    strings = sorted({"".join(draw.choices(c, k=n)) for c in sets for n in (12, 13, 17, 20, 31, 32, 45, 64, 130) for _ in range(6)})
+    strings += ["internationalization", "aVeryLongMethodNameForHandlers", "x" * 40, "some/path/to/a/file", "A1b2C3d4E5f6G7h8"]
+    frame = spark.createDataFrame([(i, f"{s} {s}") for i, s in enumerate(strings)], "doc_id long, text string")
+    rows = frame.select("doc_id", candidates(F.col("text")).alias("cands"))
+    found = {r.doc_id: r.cands for r in rows.collect()}
+    wanted, grid = {}, defaultdict(list)
+    for i, s in enumerate(strings):
+        name, alphabet = next((n, a) for n, pattern, a in ENCODINGS if re.match(pattern, s))
+        step = min(math.floor(-math.log10(max(p_value(name, alphabet, s), 1e-300)) * STEPS), DEEPEST * STEPS)
+        wanted[i] = (name, int(math.log2(len(s))), max(0, step))
+        grid[wanted[i][:2]].append(wanted[i][2])
+        assert len(found[i]) == 2 and {(c.kind, c.length) for c in found[i]} == {wanted[i][:2]}, s
+        assert all(abs(c.step - wanted[i][2]) <= 1 for c in found[i]), (s, found[i][0].step, wanted[i])
+    assert sum(c.step == wanted[i][2] for i in found for c in found[i]) >= 0.98 * 2 * len(strings)
+    for i in found:
+        wanted[i] = (*wanted[i][:2], found[i][0].step)
+    own = defaultdict(list)
+    for name, length, step in wanted.values():
+        own[name, length].append(step)
+    least = {}
+    for stratum, steps in own.items():
+        # Benjamini-Hochberg: the k smallest p-values are discoveries for the largest k with p(k) <= rate k / m
+        ordered = sorted(steps, reverse=True)
+        passing = [s for k, s in enumerate(ordered, 1) if 10 ** (-s / STEPS) <= RATE * k / len(steps)]
+        if passing:
+            least[stratum] = min(passing)
+    assert least and thresholds(rows) == least
+
+
+def test_a_text_of_very_many_matches(spark):
+    tokens = [f"{k:016x}" for k in range(40_000)]
+    frame = spark.createDataFrame([(1, " ".join(tokens))], "doc_id long, text string")
+    spans = scan_secrets(frame).first().base
+    assert [s.start for s in spans] == [17 * k for k in range(40_000)] and all(s.end - s.start == 16 for s in spans)
