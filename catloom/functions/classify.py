@@ -182,6 +182,23 @@ def rendering(text_length: Column) -> Column:
     return F.when(text_length > 1000, F.lit("SSR")).otherwise(F.lit("CSR"))
 
 
+#: Marks of frameworks in a captured page (fixed names).
+FRAMEWORK_MARKS = (
+    ("Next.js", r"__NEXT_DATA__"),
+    ("React", r"data-reactroot|data-reactid"),
+    ("Vue.js", r"\sdata-v-"),
+    ("Angular", r"ng-version"),
+    ("jQuery", r"(?i)jquery[^\"'<>]*\.js"),
+    ("Gatsby", r"___gatsby"),
+    ("Nuxt.js", r"__NUXT__"),
+)
+
+
+def frameworks(html: Column) -> Column:
+    """Frameworks whose marks a page has, in this order."""
+    return F.filter(F.array(*[F.when(html.rlike(p), F.lit(n)) for n, p in FRAMEWORK_MARKS]), lambda x: x.isNotNull())
+
+
 def protection_flags(html: Column, headers: Column) -> Column:
     """What guards a page, for reports only."""
     low = F.lower(html)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from catloom.shipping import ship_package
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-TAGS = "pos int, tag string, attrs map<string,string>, text string, ancestors array<string>"
+TAGS = "pos int, tag string, attrs map<string,string>, text string, ancestors array<string>, within array<int>"
 
 
 class _Tags(HTMLParser):
@@ -32,7 +32,7 @@ class _Tags(HTMLParser):
         own = {}
         for k, v in attrs:
             own.setdefault(k, v or "")
-        self.rows.append({"tag": tag, "attrs": own, "parts": [], "ancestors": [self.rows[i]["tag"] for i in self.open]})
+        self.rows.append({"tag": tag, "attrs": own, "parts": [], "ancestors": [self.rows[i]["tag"] for i in self.open], "within": list(self.open)})
         if tag not in VOID:
             self.open.append(len(self.rows) - 1)
 
@@ -59,13 +59,13 @@ def tags_of(html: str | None) -> list[dict]:
     reader.feed(html or "")
     reader.close()
     return [
-        {"pos": k, "tag": r["tag"], "attrs": list(r["attrs"].items()), "text": " ".join("".join(r["parts"]).split()), "ancestors": r["ancestors"]}
+        {"pos": k, "tag": r["tag"], "attrs": list(r["attrs"].items()), "text": " ".join("".join(r["parts"]).split()), "ancestors": r["ancestors"], "within": r["within"]}
         for k, r in enumerate(reader.rows)
     ]
 
 
 _TYPE = pa.list_(
-    pa.struct([("pos", pa.int32()), ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()), ("ancestors", pa.list_(pa.string()))])
+    pa.struct([("pos", pa.int32()), ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()), ("ancestors", pa.list_(pa.string())), ("within", pa.list_(pa.int32()))])
 )
 
 
@@ -85,7 +85,7 @@ def tag_lists(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
 
 
 def tag_rows(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
-    """``page, pos, tag, attrs, text, ancestors``: one row for each tag."""
+    """``page, pos, tag, attrs, text, ancestors, within``: one row for each tag; ``within`` are the positions of the ancestors."""
     return tag_lists(pages, key, html).select("page", F.inline("tags"))
 
 

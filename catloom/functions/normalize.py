@@ -15,6 +15,7 @@ PRICE_TEXTS = (r"R\$\s*\d+[.,]\d{2}", r"\$\s*\d+[.,]\d{2}", r"€\s*\d+[.,]\d{2}
 #: Signals in lower-case page text; the negative ones are asked first (fixed values).
 OUT_OF_STOCK = ("indisponível", "esgotado", "out of stock", "sem estoque", "produto esgotado", "unavailable", "discontinued", "descontinuado")
 IN_STOCK = ("in stock", "em estoque", "disponível", "available", "comprar", "adicionar ao carrinho", "add to cart")
+#: Words of a breadcrumb that are no category (fixed values).
 NO_CRUMBS = ("Início", "Home", "OFF", "Shop", "", ">", "»", "/")
 
 
@@ -40,6 +41,21 @@ def comma_price(text: Column, kind: str = MONEY) -> Column:
     return F.replace(text, F.lit(","), F.lit(".")).try_cast(kind)
 
 
+def kept_price_text(text: Column) -> Column:
+    """Digits with ``.`` and ``,`` as a text: one dot before two last digits becomes a comma, all else stays."""
+    kept = F.nullif(F.regexp_replace(text, r"[^\d,.]", ""), F.lit(""))
+    return F.when(~kept.contains(",") & kept.rlike(r"\.\d{2}$"), F.replace(kept, F.lit("."), F.lit(","))).otherwise(kept)
+
+
+def percent_text(share: Column) -> Column:
+    return F.concat(F.round(share, 1).cast("decimal(5,1)").cast("string"), F.lit("%"))
+
+
+def whole_quantity(quantity: Column) -> Column:
+    """A quantity such as 3.0 as a whole number."""
+    return F.replace(quantity.cast("string"), F.lit(","), F.lit(".")).try_cast("double").cast("int")
+
+
 def local_prices(html: Column) -> Column:
     """All prices of a page in Brazilian form, in order, as decimals."""
     found = F.regexp_extract_all(html, F.lit(LOCAL_PRICE), F.lit(1))
@@ -102,7 +118,7 @@ def tri_state(flag: Column) -> Column:
 
 
 def stock_quantity(text: Column) -> Column:
-    """Number before or after a stock word."""
+    """Number before or after a stock word; the pattern is a fixed value."""
     found = F.regexp_extract(text, r"(?i)(\d+)\s*(?:em\s*estoque|disponível|unidades)|estoque:\s*(\d+)", 0)
     return F.regexp_extract(found, r"\d+", 0).try_cast("int")
 

@@ -30,12 +30,17 @@ def positions(links: DataFrame, order: list[str], by: list[str] | None = None, o
     return links.withColumn(out, F.row_number().over(Window.partitionBy(*(by or [F.lit(0)])).orderBy(*order)))
 
 
+def site_counts(links: DataFrame, site: str, out: str = "__n") -> DataFrame:
+    """A row for each site with the number of its links."""
+    return links.groupBy(site).agg(F.count(F.lit(1)).alias(out))
+
+
 def pattern_scores(links: DataFrame, patterns, site: str = "site", url: str = "url", skip: int = 20, take: int = 50, least: int = 70, lone: int = 50) -> DataFrame:
     """``site, ord, pattern, least_ratio, n, hits, ratio`` over a slice of each site's links by ``position``.
 
     A site of over ``least`` links gives the ``take`` after the first ``skip``; a smaller one its first ``lone``.
     """
-    sized = links.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(site)))
+    sized = links.join(site_counts(links, site), site)
     big = F.col("__n") > least
     inside = F.when(big, (F.col("position") > skip) & (F.col("position") <= skip + take)).otherwise(F.col("position") <= lone)
     sample = sized.where(inside)
@@ -139,9 +144,9 @@ def plan_discovery(links: DataFrame, categories: DataFrame, most: int = 500, sit
     return rows.where(keep).drop("__s", "__o", "__c", "__has", "__n", "__deep", "__rank")
 
 
-def hash_sample(links: DataFrame, url: str = "url", seed: int = 7) -> DataFrame:
-    """A deterministic sample: 1 % of the links, 5 at least and 10 at most, by a seeded hash of the URL."""
+def hash_sample(links: DataFrame, url: str = "url", seed: int = 7, extra: int = 0) -> DataFrame:
+    """A deterministic sample: 1 % of the links, 5 at least and 10 at most, by a seeded hash of the URL; ``extra`` more where the first were too few."""
     total = links.agg(F.count(F.lit(1)).alias("__total"))
-    by_hash = links.withColumn("__h", F.xxhash64(F.lit(seed), F.col(url))).orderBy("__h", url).limit(10)
+    by_hash = links.withColumn("__h", F.xxhash64(F.lit(seed), F.col(url))).orderBy("__h", url).limit(10 + extra)
     ranked = by_hash.withColumn("__r", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("__h", url)))
-    return ranked.join(F.broadcast(total)).where("__r <= least(10, greatest(5, cast(__total * 0.01 AS int)))").drop("__h", "__r", "__total")
+    return ranked.join(F.broadcast(total)).where(f"__r <= least(10, greatest(5, cast(__total * 0.01 AS int))) + {int(extra)}").drop("__h", "__r", "__total")

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint to the folder the session names; to a local one only where none is named."""
+    """Checkpoint to the folder the session names, else the warehouse; a session of one machine may use its own."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="catloom-checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and spark.sparkContext.master.startswith("local["):
+            named = tempfile.mkdtemp(prefix="catloom-checkpoint-")
+        spark.sparkContext.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir"))
     return df.checkpoint()
 
 

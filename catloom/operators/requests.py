@@ -166,6 +166,34 @@ def queue_order(requests: DataFrame, key: str, priority: str, seq: str) -> DataF
     return global_positions(first, [F.desc(priority), F.col(seq)], "turn")
 
 
+def retried_queue(requests: DataFrame, outcomes: DataFrame, key: str, priority: str, seq: str, most: int = 3) -> DataFrame:
+    """``key, attempt, ok, last, turn``: a queue that puts failed requests back at the end of their priority, ``most`` times at most.
+
+    ``outcomes`` has ``key, attempt, ok`` (attempts from 0). All of one priority
+    are tried before any is tried again, and higher priorities always go first,
+    so turns are the order by priority, attempt and arrival.
+    """
+    first = requests.groupBy(key).agg(F.min_by(F.struct(F.col(priority).alias("p"), F.col(seq).alias("s")), seq).alias("r"))
+    done = outcomes.where("ok").groupBy(key).agg(F.min("attempt").alias("__done"))
+    tried = outcomes.join(first, key).join(done, key, "left").where(F.col("attempt") <= F.least(F.coalesce("__done", F.lit(most)), F.lit(most)))
+    last = F.col("ok") | (F.col("attempt") == most)
+    rows = tried.select(key, "attempt", "ok", last.alias("last"), F.col("r.p").alias("__p"), F.col("r.s").alias("__s"))
+    return global_positions(rows, [F.desc("__p"), F.col("attempt"), F.col("__s")], "turn").drop("__p", "__s")
+
+
+def queue_counters(turns: DataFrame) -> DataFrame:
+    """One row ``completed, failed, retried`` of a ``retried_queue``."""
+    return turns.agg(F.count_if("ok").alias("completed"), F.count_if(~F.col("ok") & F.col("last")).alias("failed"), F.count_if(~F.col("ok") & ~F.col("last")).alias("retried"))
+
+
+def batch_summaries(log: DataFrame, key: list[str], order: list[str], size_col: str, batch: int = 10) -> DataFrame:
+    """``key, batch, requests, succeeded, bytes, total_bytes``: sums by batch of a key, and bytes so far."""
+    at = Window.partitionBy(*key).orderBy(*order)
+    rows = log.withColumn("batch", F.floor((F.row_number().over(at) - 1) / batch).cast("int"))
+    sums = rows.groupBy(*key, "batch").agg(F.count(F.lit(1)).alias("requests"), F.count_if("ok").alias("succeeded"), F.sum(size_col).alias("bytes"))
+    return sums.withColumn("total_bytes", F.sum("bytes").over(Window.partitionBy(*key).orderBy("batch").rowsBetween(Window.unboundedPreceding, 0)))
+
+
 def retry_outcome(attempts: DataFrame, key: list[str], order: list[str], ok: str, most: int = 3) -> DataFrame:
     """``key, attempts, succeeded, waited_s``: up to ``most`` tries, ending at the first success; waits are 2, 4, 8, ..."""
     at = Window.partitionBy(*key).orderBy(*order)

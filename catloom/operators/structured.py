@@ -6,10 +6,13 @@ needs no schema. What does not parse is null, never an error.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from catloom.functions import normalize
+from catloom.operators.ranks import cut
 
 PRODUCT_TYPES = ("Product", "IndividualProduct", "ProductGroup")
 
@@ -90,6 +93,18 @@ def jsonld_products(pages: DataFrame, key: str, html: str = "html", types: tuple
     return found.select(key, "script", "item", product_fields(F.col("node")).alias("p")).select(key, "script", "item", "p.*")
 
 
+def product_in_row(html: Column, types: tuple[str, ...] = PRODUCT_TYPES) -> Column:
+    """Fields of the first product of a page's JSON-LD, worked out inside the row; null without one."""
+    parsed = F.transform(json_scripts(html), lambda b: F.try_parse_json(F.trim(b)))
+
+    def opened(v: Column) -> Column:
+        return F.coalesce(F.try_variant_get(v, "$['@graph']", "array<variant>"), F.try_variant_get(v, "$", "array<variant>"), F.array(v))
+
+    nodes = F.flatten(F.transform(F.filter(parsed, lambda v: v.isNotNull()), opened))
+    products = F.filter(nodes, lambda n: is_product(n, types))
+    return F.try_element_at(F.transform(F.slice(products, 1, 1), product_fields), F.lit(1))
+
+
 def first_product(products: DataFrame, key: str) -> DataFrame:
     """The first product of each page."""
     at = Window.partitionBy(key).orderBy("script", "item")
@@ -112,19 +127,15 @@ def matched_product(products: DataFrame, pages: DataFrame, key: str, url: str =
     return both.withColumn("match_rank", rank).withColumn("__at", F.row_number().over(at)).where("__at = 1").drop("__at", "script", "item", "page_url")
 
 
-def nested_products(pages: DataFrame, key: str, html: str = "html", levels: int = 4) -> DataFrame:
-    """``key, node, level``: every product at any depth down to ``levels``, by opening objects and lists."""
+def nested_products(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
+    """``key, node, level``: every product at any depth, by opening objects and lists until none is left."""
     spark = pages.sparkSession
-    frontier = jsonld_items(pages, key, html, graph=False).select(key, F.col("node").alias("v"))
-    found = []
-    for level in range(levels + 1):
+    frontier = cut(jsonld_items(pages, key, html, graph=False).select(key, F.col("node").alias("v")))
+    found, level = [], 0
+    while not found or not frontier.isEmpty():
         found.append(frontier.where(is_product(F.col("v"))).select(key, F.col("v").alias("node"), F.lit(level).alias("level")))
-        if level < levels:
-            frontier = _opened(spark, frontier, key)
-    out = found[0]
-    for f in found[1:]:
-        out = out.union(f)
-    return out
+        frontier, level = cut(_opened(spark, frontier, key)), level + 1
+    return reduce(DataFrame.union, found)
 
 
 def _opened(spark, frame: DataFrame, key: str) -> DataFrame:

@@ -173,3 +173,108 @@ def sitemap_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("<? xml version='1.0'?><urlset>"), F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("<url>"), loc(page), F.lit("</url>")))), ""), F.lit("<url>"), loc(F.lit(SHOP + "/sitemap.xml")), F.lit("</url></urlset>")).alias("body")
     )
     return index.union(pages)
+
+
+#: Parts under a longer name, some with a brand that readers know.
+FULL_NAME = "p_name || ' ' || p_brand || CASE WHEN p_partkey % 7 = 0 THEN ' Samsung' ELSE '' END"
+
+
+def _blocks(*parts: Column) -> Column:
+    """Elements one after another, with text between them."""
+    return F.concat_ws(" . ", *[F.when(p != "", p) for p in parts])
+
+
+def _either(value: Column, *options: Column | str) -> Column:
+    """``options[value]``, the last one for all larger values."""
+    out = options[-1] if isinstance(options[-1], Column) else F.lit(options[-1])
+    for k, o in reversed(list(enumerate(options[:-1]))):
+        out = F.when(value == k, o if isinstance(o, Column) else F.lit(o)).otherwise(out)
+    return out
+
+
+def _text(*parts: Column | str) -> Column:
+    return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+
+
+def irregular_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``key, url, html``: product pages by markup alone, with missing, repeated, broken and misplaced fields by the key's remainders."""
+    p = priced_parts(spark, sf_dir).join(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.expr(FULL_NAME).alias("full")), "key")
+    k, full, kind, name = F.col("key"), F.col("full"), F.col("type"), F.col("name")
+    price, listed = local_text(F.col("price")), local_text(F.col("listed"))
+    head = _text(
+        _either(k % 3, _text("<title>Loja | ", full, "</title>"), _text("<title>Loja | ", full, "</title>"), ""),
+        _either(k % 2, _text('<meta name="description" content="About ', full, '">'), ""),
+        F.when(k % 4 == 2, _text('<meta name="Category" content="', kind, '">')).otherwise(""),
+    )
+    crumbs = _either(
+        k % 4,
+        _text('<ul class="x Breadcrumb"><li><a href="/">Home</a></li><li><a href="/t">', kind, '</a></li><li><a href="/n">', name, "</a></li></ul>"),
+        _text('<div id="breadcrumb"><span>Home</span><span>', kind, "</span><span>", kind, "</span><span>", name, "</span></div>"),
+        _text('<nav aria-label="Breadcrumb"><span>Início</span><span>', kind, "</span></nav>"),
+        '<a href="/categoria/a">Casa</a> <a href="/categoria/b">Jardim</a> <a href="/category/c">C</a> <a href="/categoria/d">D</a>',
+    )
+    prices = _either(
+        k % 4,
+        "",
+        '<p id="valor-x">R$ 5,00</p>',
+        _text('<b class="preco-atual">R$ <!-- now -->', price, "</b>"),
+        _text("<s>R$ ", listed, '</s> . <b class="preco-atual">R$ ', price, "</b>"),
+    )
+    more = "".join(f'<img src="/img/product-x{j}.jpg">' for j in range(6))
+    images = _text(
+        '<img src="/img/product-1.jpg?v=1"><img src="/img/product-1.jpg?v=2"><img src="/i/logo-product.png"><img src="">',
+        _either(k % 2, more, ""),
+        _either(k % 3, '<img class="product" data-src="lazy.jpg">', ""),
+    )
+    about = _either(k % 3, _text('<div class="Product-Description">A sturdy ', name, " for every home.</div>"), _text("<p>", F.repeat(F.lit("long "), 25), "</p>"), '<div class="desc">short</div>')
+    body = _blocks(
+        _either(k % 5, "", "<h1>Loja</h1>", _text("<h1>Loja</h1> . <h1>", full, "</h1>")),
+        crumbs, prices, images, about,
+        F.when(k % 5 == 2, F.lit("<p>12 unidades</p>")).when(k % 5 == 3, F.lit('<p class="Estoque-x">Sob consulta</p>')).otherwise(""),
+        _either(k % 2, "", _text("<i>Codigo: A", k.cast("string"), "</i>")),
+        F.when(k % 3 == 1, F.lit("<p>Marca: Philips.</p>")).otherwise(""),
+        F.when(k % 6 == 0, F.lit("<p>Produto indisponível</p>")).otherwise(""),
+    )
+    return p.select("key", F.concat(F.lit(SHOP + "/produto/x-"), k.cast("string")).alias("url"), _page(head, body).alias("html"))
+
+
+def mixed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``key, html, api``: JSON-LD, OpenGraph, hydration data, headings and a captured API response, each missing, empty or broken for some keys."""
+    p = priced_parts(spark, sf_dir)
+    k, name, price, listed = F.col("key"), F.col("name"), F.col("price").cast("string"), F.col("listed").cast("string")
+    kind = F.lit("Product").alias("@type")
+    whole = F.struct(kind, name.alias("name"), F.struct(price.alias("price")).alias("offers"), F.array(F.lit("j.jpg")).alias("image"))
+    some = F.struct(kind, F.when(k % 8 == 1, "").otherwise(name).alias("name"), F.array(F.lit("j.jpg")).alias("image"))
+    ld = _either(k % 4, _ld(whole), _ld(some), '<script type="application/ld+json">{"@type":"Product","name":</script>', "")
+    og = F.when(k % 2 == 1, _text('<meta property="og:title" content="O ', name, '"><meta property="og:price:amount" content="', listed, '"><meta property="og:image" content="i.jpg">')).otherwise("")
+    data = F.to_json(F.struct(F.struct(F.struct(F.concat(F.lit("H "), name).alias("productName"), listed.alias("price")).alias("product")).alias("pageProps").alias("props")))
+    hydration = F.when(k % 3 == 0, _text('<script id="__NEXT_DATA__" type="application/json">', data, "</script>")).otherwise("")
+    marks = F.when(k % 5 != 0, _text("<h1>M ", name, '</h1><b class="price">R$ ', local_text(F.col("price")), "</b>")).otherwise("")
+    api = F.when(k % 6 == 0, F.to_json(F.struct(F.struct(F.concat(F.lit("A "), name).alias("title"), F.array(F.struct(price.alias("price"))).alias("variants")).alias("product")))).when(k % 6 == 1, "{}").when(k % 6 == 2, "not json")
+    return p.select("key", _page(_text(ld, og, hydration), marks).alias("html"), api.alias("api"))
+
+
+#: ``site, path, page_url, position, href, link, text, p_partkey``: links of shops of 40 parts each, on a home page, category pages and another page.
+SHOP_LINKS_SQL = """
+SELECT site, path, 'https://' || site || '.example.com' || path AS page_url, position, href, 'https://' || site || '.example.com' || href AS link, text, p_partkey FROM (
+SELECT p_partkey, 'shop' || CAST(CAST(floor(p_partkey / 40) AS INT) AS STRING) AS site, CAST(p_partkey % 40 AS INT) AS position,
+ CASE WHEN p_partkey % 40 < 6 THEN '/' WHEN p_partkey % 40 < 16 THEN '/ferramentas/' WHEN p_partkey % 40 < 26 THEN '/casa/' WHEN p_partkey % 40 < 36 THEN '/cozinha/' ELSE '/sobre/' END AS path,
+ CASE WHEN p_partkey % 7 = 0 THEN '/categoria/' || lower(p_type) WHEN p_partkey % 7 = 1 THEN '/produto/p-' || CAST(p_partkey % 10 AS STRING)
+  WHEN p_partkey % 7 = 2 THEN '/produto/' || replace(p_name, ' ', '-') || '-9' ELSE '/produto/' || replace(p_name, ' ', '-') || '-' || CAST(p_partkey AS STRING) || CASE p_partkey % 3 WHEN 0 THEN '?utm=1' WHEN 1 THEN '/' ELSE '' END END AS href,
+ CASE WHEN p_partkey % 5 = 0 THEN '' ELSE p_name END AS text FROM {part}) AS t
+"""
+
+
+def discovery_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sql(spark, sf_dir, SHOP_LINKS_SQL, "part")
+
+
+def list_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``key, url, html``: list pages with navigation, categories, products, foreign links and next pages of several forms."""
+    k = F.col("p_partkey").cast("string")
+    following = _either(F.col("p_partkey") % 4, '<div class="x pagination"><a class="next" href="?page=2">2</a></div>', '<a class="next" href="?page=9">9</a><a rel="next" href="/list/2">2</a>', '<a class="a next-page" href="/list/3">3</a><a rel="next" href="/list/4">4</a>', "")
+    body = _text(
+        '<nav><a href="/a-', k, '">Home</a></nav><div><a class="Menu-item" href="/b-', k, '">B</a></div><a href="/categoria/', k, '">C</a><a href="https://other.example.org/categoria">D</a>',
+        '<p><a href="/x-', k, '">plain</a></p>', following, '<a href="/produto/n-', k, '">P</a><a href="/produto/n-', k, '">again</a><a name="top">T</a>',
+    )
+    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), _text(SHOP + "/list/", k).alias("url"), _page(F.lit(""), body).alias("html"))

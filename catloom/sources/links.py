@@ -55,10 +55,17 @@ def _capped(rows: DataFrame, key: str, most: int | None) -> DataFrame:
     return rows.withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy("position"))).where(F.col("__r") <= most).drop("__r")
 
 
-def list_route(href: Column, text: Column, attrs: Column) -> Column:
-    """``detail`` for product links, ``list`` for next-page links, else null."""
-    following = attrs.rlike(r"(?i)rel=[\"']?next|class=[\"'][^\"']*next") | F.lower(text).isin("próxima", "proxima", "next", ">", "»")
-    return F.when(href.contains("/produto/"), "detail").when(following, "list")
+def shop_categories(links: DataFrame, key: str = "page_id", most: int = 10) -> DataFrame:
+    """The first ``most`` shop category links of a page, with their page size."""
+    rows = links.withColumn("link", shop_category(F.col("link"))).where("link IS NOT NULL")
+    return _capped(first_of_each(rows, [key, "link"], ["position"]), key, most)
+
+
+def url_lines(lines: DataFrame, marker: str | None = "/produto/", most: int | None = None, order: str = "line") -> DataFrame:
+    """``line, url``: the URLs of a list of lines (``line, value``) that hold the marker, the first ``most``."""
+    rows = lines.select(order, F.trim("value").alias("url")).where(F.col("url") != "")
+    rows = rows.where(F.col("url").contains(marker)) if marker else rows
+    return rows.orderBy(order).limit(most) if most else rows
 
 
 def shop_category(href: Column) -> Column:

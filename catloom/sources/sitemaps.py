@@ -26,6 +26,25 @@ def first_sitemap(body: Column, site: Column, own_host: bool = False) -> Column:
     return F.try_element_at(found, F.lit(1))
 
 
+#: Where a site's sitemaps are looked for at first (fixed values).
+STARTS = ("/sitemap.xml", "/sitemap_index.xml", "/sitemap-products.xml", "/product-sitemap.xml", "/robots.txt")
+
+
+def start_urls(site: Column) -> Column:
+    """The first five places to look at."""
+    return F.array(*[F.concat(site, F.lit(p)) for p in STARTS])
+
+
+def robots_lines(body: Column) -> Column:
+    """All sitemap lines of a robots.txt, as they are."""
+    return F.transform(F.regexp_extract_all(body, F.lit(r"(?i)Sitemap:\s*(.+)"), F.lit(1)), lambda u: F.trim(u))
+
+
+def locs_on_domain(body: Column, domain: Column) -> Column:
+    """The ``loc`` contents that hold a domain's name."""
+    return F.filter(locs(body), lambda u: u.contains(domain))
+
+
 def repaired(body: Column) -> Column:
     """Broken XML prologues put right, white space before it dropped."""
     return F.ltrim(F.replace(F.replace(body, F.lit("<? xml"), F.lit("<?xml")), F.lit("< ?xml"), F.lit("<?xml")))
@@ -72,6 +91,25 @@ def one_level(sitemaps: DataFrame, url: str = "url", body: str = "body") -> Data
     return below.where(keep).select("root", "loc").union(direct).distinct()
 
 
+def first_child(sitemaps: DataFrame, url: str = "url", body: str = "body", least_slashes: int = 4) -> DataFrame:
+    """``root, loc``: pages of an index's first child, or of the sitemap itself; short URLs are no pages."""
+    rows = sitemaps.select(F.col(url).alias("root"), is_index(F.col(body)).alias("index"), locs(F.col(body)).alias("locs"))
+    child = rows.where("index").select("root", F.try_element_at("locs", F.lit(1)).alias("src"))
+    own = rows.where("NOT index")
+    below = child.join(own.select(F.col("root").alias("__r"), "locs"), F.col("src") == F.col("__r")).select("root", F.explode("locs").alias("loc"))
+    direct = own.select("root", F.explode("locs").alias("loc"))
+    return below.union(direct).where(urls.slash_count(F.col("loc")) >= least_slashes).distinct()
+
+
+def product_children(sitemaps: DataFrame, url: str = "url", body: str = "body") -> DataFrame:
+    """``root, child``: an index's product sitemaps but the one numbered 0; without any, those numbered 1 to 3 that were captured."""
+    rows = sitemaps.select(F.col(url).alias("root"), is_index(F.col(body)).alias("index"), locs(F.col(body)).alias("locs")).where("index")
+    named = rows.select("root", F.filter("locs", lambda u: u.contains("/sitemap/") & u.contains("product") & ~u.contains("product-0")).alias("named"))
+    own = named.select("root", F.explode("named").alias("child"))
+    usual = named.where(F.size("named") == 0).select("root", F.explode(F.array(*[F.concat(F.regexp_extract("root", r"^[a-z]+://[^/?#]*", 0), F.lit(f"/sitemap/product-{i}.xml")) for i in (1, 2, 3)])).alias("child"))
+    return own.union(usual.join(sitemaps.select(F.col(url).alias("child")), "child", "left_semi").select("root", "child")).distinct()
+
+
 def is_gzip(path: Column, encoding: Column, head: Column) -> Column:
     """By name, by header, or by the first two bytes."""
     return path.endswith(".gz") | F.lower(F.coalesce(encoding, F.lit(""))).contains("gzip") | (F.hex(F.substring(head, 1, 2)) == "1F8B")
