@@ -258,8 +258,12 @@ def _gather(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes) + np.repeat(starts, sizes)
 
 
-def _filled(shared):
-    """Blocks with ``rare``, the ids of their ``lacking`` words, to ``d, ids`` by document."""
+def _as_ids(docs: pa.Array, lists: pa.ListArray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([docs, lists], names=["d", "ids"])
+
+
+def _filled(shared, made=_as_ids):
+    """Blocks with ``rare``, the ids of their ``lacking`` words, to what is ``made`` of documents and their lists of ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts, values = shared.value
@@ -279,7 +283,7 @@ def _filled(shared):
                     ids = pool[_gather(lo[own], wide[own])]
                     totals = np.concatenate([[0], np.cumsum(wide[own])])[ends[a : b + 1] - ends[a]]
                     lists = pa.ListArray.from_arrays(pa.array(totals.astype(np.int32)), pa.array(ids))
-                    yield pa.RecordBatch.from_arrays([docs.values.slice(a, b - a), lists], names=["d", "ids"])
+                    yield made(docs.values.slice(a, b - a), lists)
                     a = b
 
     return run
@@ -311,10 +315,8 @@ def common_words(blocks: DataFrame, maps: Column, cache: int) -> tuple[dict, np.
     return known, np.append(starts, starts[-1]).astype(np.int64), ids.values.to_numpy().astype(np.int32)
 
 
-def encode(
-    docs: DataFrame, path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", cache: int = CACHE_BYTES, place_col: str | None = None
-) -> DataFrame:
-    """Id, ``ids``, the token ids of the whole text, and ``position`` if a column holds it."""
+def _encoded(docs: DataFrame, made, kind: str, path: str | None, pattern: str | None, id_col: str, text_col: str, cache: int, place_col: str | None) -> DataFrame:
+    """``made`` of every document's ids: ``d``, a struct of ``doc_id`` and ``position``, and columns of ``kind``."""
     spark = docs.sparkSession
     ship_package(spark)
     carried = [F.col(id_col).alias("doc_id"), *([F.col(place_col).alias("position")] if place_col else [])]
@@ -327,7 +329,14 @@ def encode(
     words, ids = spark.sparkContext.broadcast(known), spark.sparkContext.broadcast(table)
     found = blocks.mapInArrow(_looked_up(words), f"{head}, at array<int>, lacking array<binary>")
     rare = let(maps, lambda m: F.transform("lacking", lambda w: folded(w, m)))
-    return found.select("docs", "sizes", "codes", "at", rare.alias("rare")).mapInArrow(_filled(ids), f"d {own}, ids array<int>").select("d.*", "ids")
+    return found.select("docs", "sizes", "codes", "at", rare.alias("rare")).mapInArrow(_filled(ids, made), f"d {own}, {kind}")
+
+
+def encode(
+    docs: DataFrame, path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", cache: int = CACHE_BYTES, place_col: str | None = None
+) -> DataFrame:
+    """Id, ``ids``, the token ids of the whole text, and ``position`` if a column holds it."""
+    return _encoded(docs, _as_ids, "ids array<int>", path, pattern, id_col, text_col, cache, place_col).select("d.*", "ids")
 
 
 def _slices(lists: pa.ListArray) -> Iterator[tuple[int, pa.ListArray]]:
@@ -371,32 +380,29 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     return encoded.mapInArrow(_decoded(shared), StructType([*encoded.schema.fields]).add("decoded", BinaryType()))
 
 
-def _digested(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _as_digests(shared):
+    """Number and digests of ids, and the digest of their decoded bytes."""
+
+    def made(docs: pa.Array, ids: pa.ListArray) -> pa.RecordBatch:
         names = pa.array([b"%d" % i for i in range(len(shared.value))], pa.binary())
-        for batch in batches:
-            for lo, ids in _slices(batch.column(1)):
-                both = _joined(ids, names, b" "), _joined(ids, shared.value, b"")
-                made = [[hashlib.sha256(x.as_buffer()).hexdigest() for x in column] for column in both]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, len(ids)), pc.list_value_length(ids).cast(pa.int64()), pa.array(made[0], pa.string()), pa.array(made[1], pa.string())],
-                    names=["d", "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
+        both = _joined(ids, names, b" "), _joined(ids, shared.value, b"")
+        digests = [pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in column], pa.string()) for column in both]
+        return pa.RecordBatch.from_arrays([docs, pc.list_value_length(ids).cast(pa.int64()), *digests], names=["d", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return run
+    return made
 
 
-def digests(docs: DataFrame, **options) -> DataFrame:
+def digests(
+    docs: DataFrame, path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", cache: int = CACHE_BYTES, place_col: str | None = None
+) -> DataFrame:
     """Id, ``n_tokens, ids_sha256, decoded_sha256``, and ``position`` if ``place_col`` names a column that holds it.
 
-    Ids are decoded as in ``decode``, in the worker that digests them.
+    Ids are those of ``encode`` and are decoded as in ``decode``, in the worker that makes them.
     """
-    found = encode(docs, **options)
-    slim = found.select(F.struct(*[c for c in found.columns if c != "ids"]).alias("d"), "ids")
-    shared, kind = _byte_strings(docs.sparkSession, options.get("path")), slim.schema["d"].dataType.simpleString()
-    made = slim.mapInArrow(_digested(shared), f"d {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
-    own = [c for c in ("position",) if c in found.columns]
-    return made.select("d.doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *[f"d.{c}" for c in own])
+    made = _as_digests(_byte_strings(docs.sparkSession, path))
+    kind = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+    found = _encoded(docs, made, kind, path, pattern, id_col, text_col, cache, place_col)
+    return found.select("d.doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["d.position"] if place_col else []))
 
 
 def op4_byte_bpe(spark, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Embedding near-dedup by a robust-pruned flat graph.
 
-1. Equal vectors become one class, so copies, however many, are one node.
+1. Equal vectors become one class by a 128-bit key, so copies, however many, are one node.
 2. Centroids are fitted on a bounded sample (``FIT_ROWS`` vectors, at most
    ``MAX_CELLS`` centroids). A node belongs to the cells of its ``overlap``
    nearest centroids: overlapping cluster shards. Cells above ``SHARD_ROWS``
@@ -9,19 +9,20 @@
    the robust rule (a candidate is dropped if a kept neighbour is nearer to it
    by the factor ``ALPHA``). The adjacency lists of a node are united over its
    shards.
-4. Cells are gathered into regions. In a region every node is searched for: a
-   greedy beam search from the cells' medoids over the united lists, which
-   then expands through everything within the range plus a margin. Regions
-   above ``BLOCK_ROWS`` are compared exactly by pairs of blocks, so no task
-   holds a hot region and no edge to another block is missed. Links are verified in double precision; each link is counted in
-   one region and block pair only. A task gives its nodes' link counts and a
-   spanning forest, never all pairs.
-5. Audit: of the nodes with an id divisible by 100, about ``AUDIT_ROWS`` are
-   compared with all nodes by brute force. If the mean recall of the nodes of
-   a size class (links by powers of two) is below ``least_recall``, the search
-   is repeated with more overlap and a wider beam, twice at most, and then
-   done exactly: every node is compared with all blocks of the regions that
-   can hold a vector within the range. The mean recall by node is returned.
+4. Cells are gathered into regions. A node is a member of the regions of all its
+   cells and is searched for in that of its nearest one: a greedy beam search
+   from the cells' medoids over the united lists, which then expands through
+   everything within the range plus a margin. In a region above ``BLOCK_ROWS``
+   members, nodes are compared exactly with blocks of members, so no task holds
+   a hot region. Links are verified in double precision. A task gives its nodes'
+   link counts and a spanning forest, never all pairs.
+5. Audit: all nodes that hold an id divisible by 100 are compared with all nodes
+   by brute force, block by block. If the mean recall of the nodes of a size
+   class (links by powers of two) is below ``least_recall``, the search is
+   repeated with more overlap and a wider beam, twice at most, and then done
+   exactly: every node is compared with all blocks of the regions that can hold
+   a vector within the range. The mean recall by node is returned, null where no
+   id is divisible by 100 and so nothing was asked.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite
 components link with nothing; so do rows without an id; vectors of different
@@ -37,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catloom.llm.common import components, discard, stash
+from catloom.llm.common import components, discard, join_by_key, stash
 from catloom.shipping import ship_package
 
 FIT_ROWS = 20_000
@@ -45,7 +46,8 @@ MAX_CELLS = 4_096
 SHARD_ROWS = 1_024
 CELLS_PER_REGION = 4
 BLOCK_ROWS = 4_096
-AUDIT_ROWS = 2_000
+#: Audited nodes that are asked in one pass over all nodes.
+AUDIT_BLOCK = 16_384
 ALPHA = 1.2
 NEAR, FAR, CANDIDATES = 20, 6, 48
 BEAM = 16
@@ -193,23 +195,22 @@ def forest(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
     return root
 
 
-def _route(cells: np.ndarray, region_of: np.ndarray, dim: int, overlap: int):
-    """Adds the cells of each node and their regions."""
+def _route(cells: np.ndarray, region_of: np.ndarray, overlap: int):
+    """Adds the cells of each node, nearest first, their regions, and the cosine with the nearest centroid."""
 
     def run(batches):
         for batch in batches:
             x = unit_rows(batch.column("v"))
             sims = x @ cells.T
-            m = min(overlap, len(cells))
-            top = np.argsort(-sims, axis=1, kind="stable")[:, :m]
+            top = np.argsort(-sims, axis=1, kind="stable")[:, : min(overlap, len(cells))]
             regions = [list(dict.fromkeys(region_of[t].tolist())) for t in top]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("rep"), batch.column("h"), batch.column("m"), batch.column("v"), pa.array([dim] * len(x), pa.int32()),
+                    *(batch.column(c) for c in ("rep", "h", "m", "v")),
                     pa.array(list(top.astype(np.int32)), pa.list_(pa.int32())), pa.array(regions, pa.list_(pa.int32())),
                     pa.array(sims[np.arange(len(x)), top[:, 0]], pa.float64()),
                 ],
-                names=["rep", "h", "m", "v", "dim", "cells", "regions", "fit"],
+                names=["rep", "h", "m", "v", "cells", "regions", "fit"],
             )
 
     return run
@@ -227,25 +228,15 @@ def _build(table: pa.Table) -> pa.Table:
 class Tally:
     """Links and a spanning forest of one task's nodes, gathered from blocks of pairs."""
 
-    def __init__(self, mult: np.ndarray, regions: list[list[int]], region: int) -> None:
+    def __init__(self, mult: np.ndarray) -> None:
         n = len(mult)
         self.mult = mult.astype(np.float64)
         self.links, self.near, self.root = np.zeros(n), np.zeros(n), np.arange(n)
-        # a pair that shares a smaller region is counted there
-        smaller = sorted({g for own in regions for g in own if g < region})
-        column = {g: k for k, g in enumerate(smaller)}
-        self.before = np.zeros((n, len(smaller)), dtype=np.float32)
-        for i, own in enumerate(regions):
-            self.before[i, [column[g] for g in own if g < region]] = 1
-
-    def add(self, rows: np.ndarray, cols: np.ndarray, hit: np.ndarray, both: bool) -> None:
-        """The linked pairs of ``rows`` and ``cols``; ``both`` counts them for the columns too."""
-        counted = hit & ((self.before[rows] @ self.before[cols].T) == 0) if self.before.shape[1] else hit
-        self.links[rows] += counted @ self.mult[cols]
-        self.near[rows] += counted.sum(axis=1)
-        if both:
-            self.links[cols] += self.mult[rows] @ counted
-            self.near[cols] += counted.sum(axis=0)
+
+    def add(self, rows: np.ndarray, cols: np.ndarray, hit: np.ndarray) -> None:
+        """The links of ``rows`` with ``cols``."""
+        self.links[rows] += hit @ self.mult[cols]
+        self.near[rows] += hit.sum(axis=1)
         r, c = np.nonzero(hit & (self.root[rows][:, None] != self.root[cols][None, :]))
         if len(r):
             self.root = forest(self.root[rows[r]], self.root[cols[c]], len(self.root))[self.root]
@@ -259,60 +250,41 @@ FOUND = "rep long, h long, links long, near long, root_rep long, root_h long"
 
 
 def _search(least: float, beam: int):
-    """One block pair of a region: ``rep, h, links, near, root_rep, root_h`` by node.
-
-    A region of one block has all edges of its shards and is searched by the
-    graph. Block pairs of larger regions lack the edges to the other blocks, so
-    they are compared exactly.
-    """
+    """One region by its graph: ``rep, h, links, near, root_rep, root_h``; the nodes at home in it are searched for."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("rep", "ascending"), ("h", "ascending")])
         x = unit_rows(table.column("v"))
         n = len(x)
         rep, h, mult = (table.column(c).to_numpy() for c in ("rep", "h", "m"))
-        region, lo, hi, blocks = (table.column(c)[0].as_py() for c in ("region", "lo", "hi", "blocks"))
-        block = table.column("block").to_numpy()
-        tally = Tally(mult, table.column("regions").to_pylist(), region)
-        if blocks > 1:
-            left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-            for a in range(0, len(left), QUERIES):
-                rows = left[a : a + QUERIES]
-                hit = x[rows] @ x[right].T >= least
-                if lo == hi:
-                    hit[np.arange(len(rows)), np.arange(a, a + len(rows))] = False
-                tally.add(rows, right, hit, lo != hi)
-        else:
-            cell, fit = table.column("cell").to_numpy(), table.column("fit").to_numpy()
-            at = {key: i for i, key in enumerate(zip(rep.tolist(), h.tolist(), strict=True))}
-            lists = [np.array([at[k] for k in ((e["rep"], e["h"]) for e in own or []) if k in at], dtype=np.int64) for own in table.column("near").to_pylist()]
-            graph = padded(lists)
-            order = np.lexsort((np.arange(n), -fit, cell))
-            medoids = order[np.concatenate([[True], cell[order][1:] != cell[order][:-1]])]
-            found = np.zeros((n, n), dtype=bool)
-            for a in range(0, n, QUERIES):
-                rows = np.arange(a, min(a + QUERIES, n))
-                found[rows] = range_search(x, graph, medoids, rows, least, beam)
-            found |= found.T
-            np.fill_diagonal(found, False)
-            for a in range(0, n, QUERIES):
-                rows = np.arange(a, min(a + QUERIES, n))
-                tally.add(rows, np.arange(n), found[rows], False)
+        tally, home = Tally(mult), np.flatnonzero(table.column("home").to_numpy(zero_copy_only=False))
+        cell, fit = table.column("cell").to_numpy(), table.column("fit").to_numpy()
+        at = {key: i for i, key in enumerate(zip(rep.tolist(), h.tolist(), strict=True))}
+        lists = [np.array([at[k] for k in ((e["rep"], e["h"]) for e in own or []) if k in at], dtype=np.int64) for own in table.column("near").to_pylist()]
+        graph = padded(lists)
+        order = np.lexsort((np.arange(n), -fit, cell))
+        medoids = order[np.concatenate([[True], cell[order][1:] != cell[order][:-1]])]
+        for a in range(0, len(home), QUERIES):
+            rows = home[a : a + QUERIES]
+            hit = range_search(x, graph, medoids, rows, least, beam)
+            hit[np.arange(len(rows)), rows] = False
+            tally.add(rows, np.arange(n), hit)
         return tally.table(rep, h)
 
     return run
 
 
 def _audit(queries: np.ndarray, keys: list[tuple[int, int]], least: float):
-    """Links of each query, and the distinct vectors of them, by brute force over this task's nodes."""
+    """Links of each query, and the distinct vectors of them, by brute force over this task's nodes; the query itself among them."""
 
     def run(batches):
         links, near = np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=np.int64)
         for batch in batches:
-            x = unit_rows(batch.column("v"))
-            hit = (queries @ x.T) >= least
-            links += hit @ batch.column("m").to_numpy()
-            near += hit.sum(axis=1)
+            x, m = unit_rows(batch.column("v")), batch.column("m").to_numpy()
+            for a in range(0, len(keys), QUERIES):
+                hit = queries[a : a + QUERIES] @ x.T >= least
+                links[a : a + QUERIES] += hit @ m
+                near[a : a + QUERIES] += hit.sum(axis=1)
         yield pa.RecordBatch.from_arrays(
             [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(links), pa.array(near)],
             names=["rep", "h", "true_links", "true_near"],
@@ -321,16 +293,34 @@ def _audit(queries: np.ndarray, keys: list[tuple[int, int]], least: float):
     return run
 
 
-def recalls_of(links: np.ndarray, true_links: np.ndarray, near: np.ndarray, true_near: np.ndarray) -> tuple[np.ndarray, float]:
-    """Recall of each audited node that links, and the least mean over a size class (power of two of its distinct vectors).
+def _truth(nodes: DataFrame, least: float) -> DataFrame | None:
+    """``rep, h, t, tn``: links and distinct linked vectors of every node with an id divisible by 100; None without any."""
+    asked = nodes.where("asked")
+    blocks = -(-asked.count() // AUDIT_BLOCK)
+    found = None
+    for b in range(blocks):
+        own = asked.where(F.pmod(F.xxhash64("h"), F.lit(blocks)) == b).select("rep", "h", "v").toArrow()
+        keys = list(zip(own.column("rep").to_pylist(), own.column("h").to_pylist(), strict=True))
+        if not keys:
+            continue
+        audit = _audit(unit_rows(own.column("v")), keys, least)
+        rows = nodes.select("rep", "h", "m", "v").mapInArrow(audit, "rep long, h long, true_links long, true_near long").groupBy("rep", "h")
+        part = stash(rows.agg(F.sum("true_links").alias("t"), F.sum("true_near").alias("tn")), "truth")
+        found = part if found is None else found.union(part)
+    return None if found is None else found.join(nodes.select("rep", "h", "m"), ["rep", "h"]).select("rep", "h", (F.col("t") - F.col("m")).alias("t"), (F.col("tn") - 1).alias("tn"))
+
+
+def recalls_of(checked: DataFrame) -> tuple[float | None, int, float]:
+    """Mean recall of the audited nodes that link, their number, and the least mean of a size class, of ``links, t, near, tn``.
 
     A node's recall is the smaller of that of its links and that of the distinct
-    vectors it links with, so neither many copies nor a large group hides others.
+    vectors it links with, a size class is a power of two of those, so neither
+    many copies nor a large group hides others.
     """
-    own = true_near > 0
-    recall = np.minimum(links[own] / true_links[own], near[own] / true_near[own])
-    size = np.floor(np.log2(true_near[own])).astype(int)
-    return recall, min((float(recall[size == k].mean()) for k in np.unique(size)), default=1.0)
+    recall = F.least(F.col("links") / F.col("t"), F.col("near") / F.col("tn"))
+    classes = checked.where("tn > 0").groupBy(F.floor(F.log2("tn")).alias("size")).agg(F.sum(recall).alias("sum"), F.count(F.lit(1)).alias("n")).collect()
+    n = sum(r["n"] for r in classes)
+    return (sum(r["sum"] for r in classes) / n if n else None), n, min((r["sum"] / r["n"] for r in classes), default=1.0)
 
 
 def _visits(cells: np.ndarray, region_of: np.ndarray, least: float):
@@ -361,7 +351,7 @@ def _visits(cells: np.ndarray, region_of: np.ndarray, least: float):
 
 
 def _compare(least: float):
-    """One block of a region's members against one block of its visitors, exactly; links go to the visitors."""
+    """One block of a region's members against one block of the nodes that ask it, exactly; links go to those that ask."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("rep", "ascending"), ("h", "ascending")])
@@ -369,27 +359,26 @@ def _compare(least: float):
         rep, h, mult = (table.column(c).to_numpy() for c in ("rep", "h", "m"))
         member = table.column("member").to_numpy(zero_copy_only=False)
         guests, own = np.flatnonzero(~member), np.flatnonzero(member)
-        tally = Tally(mult, [[]] * len(x), 0)
+        tally = Tally(mult)
         for a in range(0, len(guests), QUERIES):
             rows = guests[a : a + QUERIES]
             hit = x[rows] @ x[own].T >= least
-            tally.add(rows, own, hit & ~((rep[rows][:, None] == rep[own]) & (h[rows][:, None] == h[own])), False)
+            tally.add(rows, own, hit & ~((rep[rows][:, None] == rep[own]) & (h[rows][:, None] == h[own])))
         return tally.table(rep, h)
 
     return run
 
 
-def _exact(nodes: DataFrame, total: int, sample: np.ndarray, least: float) -> DataFrame:
-    """As ``_pass``, but with every link: each node is compared with all blocks of the regions that can hold one."""
-    cells = kmeans(sample, int(min(MAX_CELLS, max(1, -(-total // (SHARD_ROWS // 2))))))
-    groups = kmeans(cells, max(1, -(-len(cells) // CELLS_PER_REGION)))
-    region_of = (cells @ groups.T).argmax(axis=1)
-    routed = stash(nodes.mapInArrow(_visits(cells, region_of, least), "rep long, h long, m long, v array<double>, home int, visits array<int>"), "visits")
-    members = routed.groupBy(F.col("home").alias("g")).agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("members"))
-    visitors = routed.select(F.explode("visits").alias("k")).groupBy("k").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("visitors"))
-    sizes = F.broadcast(members.join(visitors, F.col("g") == F.col("k")))
-    asking = routed.select("rep", "h", "m", "v", F.explode("visits").alias("region"), F.lit(False).alias("member"))
-    placed = asking.union(routed.select("rep", "h", "m", "v", "home", F.lit(True))).join(sizes, F.col("region") == F.col("g"))
+def _blockwise(asking: DataFrame, members: DataFrame, least: float) -> DataFrame:
+    """Every row of ``asking`` against every row of ``members`` (``rep, h, m, v, region``) of its region, by pairs of blocks."""
+    columns = ["rep", "h", "m", "v", "region"]
+
+    def blocks(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy(F.col("region").alias(f"r_{name}")).agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias(name))
+
+    sizes = blocks(members, "members").join(blocks(asking, "askers"), F.col("r_members") == F.col("r_askers"))
+    placed = asking.select(*columns, F.lit(False).alias("member")).union(members.select(*columns, F.lit(True)))
+    placed = placed.join(F.broadcast(sizes), F.col("region") == F.col("r_members"))
 
     def block(count: str) -> Column:
         return F.pmod(F.xxhash64("rep", "h", F.lit("block")), F.col(count)).cast("int")
@@ -397,110 +386,110 @@ def _exact(nodes: DataFrame, total: int, sample: np.ndarray, least: float) -> Da
     def every(count: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
 
-    slim = ["rep", "h", "m", "v", "region", "member"]
-    pairs = placed.where("member").select(*slim, block("members").alias("lo"), every("visitors").alias("hi")).union(
-        placed.where("NOT member").select(*slim, every("members").alias("lo"), block("visitors").alias("hi"))
+    slim = [*columns, "member"]
+    pairs = placed.where("member").select(*slim, block("members").alias("lo"), every("askers").alias("hi")).union(
+        placed.where("NOT member").select(*slim, every("members").alias("lo"), block("askers").alias("hi"))
     )
-    out = stash(pairs.groupBy("region", "lo", "hi").applyInArrow(_compare(least), FOUND), "found")
-    discard(routed)
-    return out
+    return pairs.groupBy("region", "lo", "hi").applyInArrow(_compare(least), FOUND)
 
 
-def _pass(nodes: DataFrame, dim: int, total: int, sample: np.ndarray, least: float, overlap: int, beam: int) -> DataFrame:
-    """Nodes of one length: ``rep, h, links, near, root_rep, root_h``, one row for each search of a node."""
+def _cells(sample: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Centroids, and the region of each."""
     cells = kmeans(sample, int(min(MAX_CELLS, max(1, -(-total // (SHARD_ROWS // 2))))))
     groups = kmeans(cells, max(1, -(-len(cells) // CELLS_PER_REGION)))
-    region_of = (cells @ groups.T).argmax(axis=1)
-    routed = stash(
-        nodes.mapInArrow(
-            _route(cells, region_of, dim, overlap), "rep long, h long, m long, v array<double>, dim int, cells array<int>, regions array<int>, fit double"
-        ),
-        "routed",
-    )
+    return cells, (cells @ groups.T).argmax(axis=1)
+
+
+def _exact(nodes: DataFrame, total: int, sample: np.ndarray, least: float) -> DataFrame:
+    """As ``_pass``, but with every link: each node is compared with all blocks of the regions that can hold one."""
+    cells, region_of = _cells(sample, total)
+    routed = stash(nodes.mapInArrow(_visits(cells, region_of, least), "rep long, h long, m long, v array<double>, home int, visits array<int>"), "visits")
+    asking = routed.select("rep", "h", "m", "v", F.explode("visits").alias("region"))
+    out = stash(_blockwise(asking, routed.withColumnRenamed("home", "region"), least), "found")
+    discard(routed)
+    return out
+
+
+def _pass(nodes: DataFrame, total: int, sample: np.ndarray, least: float, overlap: int, beam: int) -> DataFrame:
+    """Nodes of one length: ``rep, h, links, near, root_rep, root_h``, one row or more for each node."""
+    cells, region_of = _cells(sample, total)
+    routed = stash(nodes.mapInArrow(_route(cells, region_of, overlap), "rep long, h long, m long, v array<double>, cells array<int>, regions array<int>, fit double"), "routed")
     rows = routed.select("rep", "h", "v", F.explode("cells").alias("cell"))
     parts = rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / SHARD_ROWS).cast("int").alias("parts")).withColumnRenamed("cell", "c")
     own = F.pmod(F.xxhash64("rep", "h"), F.col("parts")).cast("int")
     also = F.pmod(F.xxhash64("h", "rep"), F.col("parts")).cast("int")
-    shards = rows.join(parts, F.col("cell") == F.col("c")).withColumn("part", F.explode(F.array_distinct(F.array(own, also))))
+    regions = routed.select(F.explode("regions").alias("region")).groupBy("region").agg((F.count(F.lit(1)) > BLOCK_ROWS).alias("big"))
+    members = routed.select(*[c for c in routed.columns if c != "regions"], F.explode("regions").alias("region"), F.col("regions")[0].alias("at_home"))
+    members = members.join(F.broadcast(regions), "region").withColumn("home", F.col("region") == F.col("at_home"))
+    # no graph is built for nodes of large regions alone
+    small = members.where("NOT big").select("rep", "h").distinct()
+    shards = rows.join(small, ["rep", "h"], "left_semi").join(F.broadcast(parts), F.col("cell") == F.col("c")).withColumn("part", F.explode(F.array_distinct(F.array(own, also))))
     lists = shards.groupBy("cell", "part").applyInArrow(_build, "rep long, h long, near array<struct<rep:long,h:long>>")
     united = lists.groupBy("rep", "h").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-    graph = routed.join(united, ["rep", "h"], "left")
-
-    members = graph.select("rep", "h", "m", "v", "near", "regions", "fit", F.col("cells")[0].alias("cell"), F.explode("regions").alias("region"))
-    sizes = routed.select(F.explode("regions").alias("g")).groupBy("g").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
-    placed = members.join(sizes, F.col("region") == F.col("g")).withColumn("block", F.pmod(F.xxhash64("rep", "h", F.lit("block")), F.col("blocks")).cast("int"))
-    slim = placed.withColumn("near", F.when(F.col("blocks") == 1, F.col("near")))
-    pairs = slim.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "*", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")
-    )
-    found = pairs.groupBy("region", "lo", "hi").applyInArrow(_search(least, beam), FOUND)
-    out = stash(found, "found")
+    graph = members.where("NOT big").select("rep", "h", "m", "v", "region", "home", "fit", F.col("cells")[0].alias("cell")).join(united, ["rep", "h"], "left")
+    found = graph.groupBy("region").applyInArrow(_search(least, beam), FOUND)
+    big = members.where("big")
+    out = stash(found.union(_blockwise(big.where("home"), big, least)), "found")
     discard(routed)
     return out
 
 
-def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", least: float = 0.9, least_recall: float = 0.99, overlap: int = 2, beam: int = BEAM) -> DataFrame:
+def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", least: float = 0.9, least_recall: float = 0.98, overlap: int = 2, beam: int = BEAM) -> DataFrame:
     """One row per vector: ``vec_id, n_links, component_id, kept, audit_recall``."""
     spark = vectors.sparkSession
     ship_package(spark)
     slim = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = F.coalesce(F.col("vec_id").isNotNull() & (F.size("v") > 0) & finite & F.exists("v", lambda x: x != 0), F.lit(False))
-    rows = slim.select("vec_id", F.when(usable, F.col("v")).alias("v"))
-    nodes = rows.where("v IS NOT NULL").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("m"))
-    nodes = stash(nodes.select("rep", F.xxhash64("v").alias("h"), "m", "v", F.size("v").alias("d")), "nodes")
-    empty = spark.createDataFrame([], FOUND)
-    results, recalls = [], []
+    keyed = slim.select("vec_id", "v", F.when(usable, F.xxhash64("v")).alias("h"), F.when(usable, F.xxhash64(F.lit(1), "v")).alias("h2"))
+    grouped = keyed.where("h IS NOT NULL").groupBy("h", "h2").agg(
+        F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("m"), F.first("v").alias("v"), F.max(F.pmod("vec_id", F.lit(100)) == 0).alias("asked")
+    )
+    nodes = stash(grouped.select("rep", "h", "h2", "m", "v", F.size("v").alias("d"), "asked"), "nodes")
+    found, audited, linked = None, 0.0, 0
     for dim, total in [tuple(r) for r in nodes.groupBy("d").count().orderBy("d").collect()]:
-        of_dim = nodes.where(F.col("d") == dim).select("rep", "h", "m", "v")
+        of_dim = nodes.where(F.col("d") == dim)
+        plain = of_dim.select("rep", "h", "m", "v")
         draw = F.pmod(F.xxhash64("h"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-        sample = unit_rows(of_dim.where(draw < FIT_ROWS / total).orderBy("rep", "h").select("v").toArrow().column("v")) if total > 1 else np.ones((1, dim))
-        asked = of_dim.where(F.pmod("rep", F.lit(100)) == 0)
-        asked = asked.where(draw < AUDIT_ROWS / max(1, asked.count())).select("rep", "h", "m", "v").toArrow()
+        sample = unit_rows(of_dim.where(draw < FIT_ROWS / total).orderBy("rep", "h").select("v").toArrow().column("v")) if total > 1 else np.ones((0, dim))
+        sample = sample if len(sample) else np.ones((1, dim))
+        truth = _truth(of_dim, least)
         width, reach = overlap, beam
         for attempt in range(4):
-            some = sample if len(sample) else np.ones((1, dim))
-            found = _pass(of_dim, dim, total, some, least, width, reach) if attempt < 3 else _exact(of_dim, total, some, least)
-            if not len(asked):
+            own = _pass(plain, total, sample, least, width, reach) if attempt < 3 else _exact(plain, total, sample, least)
+            if truth is None:
                 break
-            keys = list(zip(asked.column("rep").to_pylist(), asked.column("h").to_pylist(), strict=True))
-            audit = _audit(unit_rows(asked.column("v")), keys, least)
-            truth = of_dim.mapInArrow(audit, "rep long, h long, true_links long, true_near long").groupBy("rep", "h")
-            own = pa.table({"rep": asked.column("rep"), "h": asked.column("h"), "m": asked.column("m")})
-            got = (
-                found.groupBy("rep", "h").agg(F.sum("links").alias("links"), F.sum("near").alias("near"))
-                .join(truth.agg(F.sum("true_links").alias("t"), F.sum("true_near").alias("tn")), ["rep", "h"])
-                .join(F.broadcast(spark.createDataFrame(own)), ["rep", "h"])
-                .select("links", (F.col("t") - F.col("m")).alias("t"), "near", (F.col("tn") - 1).alias("tn"))
-                .toArrow()
-            )
-            recall, worst = recalls_of(*(got.column(c).to_numpy().astype(np.float64) for c in ("links", "t", "near", "tn")))
+            sums = own.groupBy("rep", "h").agg(F.sum("links").alias("links"), F.sum("near").alias("near"))
+            mean, n, worst = recalls_of(truth.join(sums, ["rep", "h"]))
             if worst >= least_recall or attempt == 3:
-                recalls.append(recall)
+                audited, linked = audited + (mean or 0.0) * n, linked + n
                 break
-            discard(found)
+            discard(own)
             width, reach = width + 2, reach * 2
-        results.append(found)
-    found = empty
-    for r in results:
-        found = found.union(r)
-    audited = np.concatenate([np.ones(0), *recalls])
+        found = own if found is None else found.union(own)
+    if found is None:
+        found = spark.createDataFrame([], FOUND)
     edges = found.select(F.struct("rep", "h").alias("u"), F.struct(F.col("root_rep").alias("rep"), F.col("root_h").alias("h")).alias("v"))
     joined = stash(components(edges), "joined")
     counts = found.groupBy("rep", "h").agg(F.sum("links").alias("links"))
-    merged = (
-        nodes.select("rep", "h", "m", "v", F.struct("rep", "h").alias("node"))
+    merged = stash(
+        nodes.select("h", "h2", "rep", "m", F.struct("rep", "h").alias("node"))
         .join(counts, ["rep", "h"], "left")
         .join(joined, "node", "left")
-        .select(F.col("v").alias("w"), (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component.rep", "rep").alias("c"))
-    )
-    return rows.join(merged, F.col("v") == F.col("w"), "left").select(
-        "vec_id",
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("c", "vec_id").alias("component_id"),
-        F.coalesce("c", "vec_id").eqNullSafe(F.col("vec_id")).alias("kept"),
-        F.lit(float(audited.mean()) if len(audited) else 1.0).alias("audit_recall"),
+        .select("h", "h2", "m", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component.rep", "rep").alias("c")),
+        "merged",
     )
+    ids = stash(keyed.select("vec_id", "h", "h2"), "ids")
+    rows = join_by_key(ids.where("h IS NOT NULL"), merged, ["h", "h2"], "m", ids.count())
+    linked_rows = rows.select("vec_id", F.col("n_links").cast("long").alias("n_links"), F.col("c").alias("component_id"))
+    alone = ids.where("h IS NULL").select("vec_id", F.lit(0).cast("long"), "vec_id")
+    recall = F.lit(audited / linked if linked else (1.0 if truth_asked(nodes) else None)).cast("double")
+    return linked_rows.union(alone).select("vec_id", "n_links", "component_id", F.col("component_id").eqNullSafe(F.col("vec_id")).alias("kept"), recall.alias("audit_recall"))
+
+
+def truth_asked(nodes: DataFrame) -> bool:
+    """Whether any node was audited; if none of them links, none of their links was missed."""
+    return not nodes.where("asked").isEmpty()
 
 
 def op2_pruned_graph_near_dedup(spark, sf_dir: str) -> DataFrame:

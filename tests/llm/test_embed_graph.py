@@ -122,12 +122,26 @@ def test_exact_search_finds_every_link(spark, monkeypatch):
     assert got == {i: w[0] for i, w in brute(list(range(len(x))), x).items()}
 
 
-def test_a_hot_group_does_not_hide_small_ones():
+def test_a_hot_group_does_not_hide_small_ones(spark):
     from catloom.llm.embed_graph import recalls_of
 
+    kind = "links long, t long, near long, tn long"
     # 99 queries of a hot group with all links, one query with neither of its two
-    links, truth = np.array([1000.0] * 99 + [0.0]), np.array([1000.0] * 99 + [2.0])
-    recall, worst = recalls_of(links, truth, links, truth)
-    assert worst == 0 and recall.mean() == 0.99
+    mean, n, worst = recalls_of(spark.createDataFrame([(1000, 1000, 1000, 1000)] * 99 + [(0, 2, 0, 2)] + [(0, 0, 0, 0)] * 5, kind))
+    assert worst == 0 and mean == 0.99 and n == 100
     # a million found copies do not hide nine missed vectors
-    assert recalls_of(np.array([1e6]), np.array([1e6 + 9]), np.array([1.0]), np.array([10.0]))[1] == 0.1
+    assert recalls_of(spark.createDataFrame([(1_000_000, 1_000_009, 1, 10)], kind))[2] == 0.1
+
+
+def test_recall_is_null_where_nothing_was_asked(spark):
+    frame = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(1, 9)], "vec_id long, embedding array<double>")
+    assert {r.audit_recall for r in near_vectors(frame).collect()} == {None}
+
+
+def test_copies_are_asked(spark):
+    from catloom.llm import embed_graph
+
+    # 100 is a copy of 7, the representative of its class
+    nodes = [(7, 1, 2, [1.0, 0.0], True), (8, 2, 1, [1.0, 0.1], False)]
+    truth = embed_graph._truth(spark.createDataFrame(nodes, "rep long, h long, m long, v array<double>, asked boolean"), 0.9)
+    assert [tuple(r) for r in truth.collect()] == [(7, 1, 1, 1)]
