@@ -7,7 +7,7 @@
 2. Inverted lists of retained values: two sets of similarity 0.75 share three
    quarters of the larger set, and of its sketch three quarters less what
    chance takes, ``least_overlap`` (for k = 128 a pair at the very threshold
-   falls short of it with a chance of 2e-6; sets that can only link with sets
+   falls short of it with a chance of 3e-6; sets that can only link with sets
    within k need no allowance and lose nothing). So of each sketch only the
    ``size - least_overlap + 1`` rarest values need a list (the prefix rule,
    rarest first by the number of sketches that retain a value). Values of
@@ -23,7 +23,7 @@
    have one label, and so one component, already.
 4. Candidates pass a size filter and the union-sketch estimate (the ``WIDE``
    smallest of both, the share in both, at ``SLACK`` below the threshold or
-   more, which a pair at the threshold misses with a chance of 5e-6), and are
+   more, which a pair at the threshold misses with a chance of 2e-6), and are
    then verified by exact Jaccard on the full sets.
 
 Sets are held as 64-bit hashes; two different shingles of one pair of documents
@@ -45,16 +45,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catloom.llm.common import components, discard, stash
+from catloom.llm.common import components, discard, join_by_key, stash
 from catloom.llm.shingles import set_keys, shingle_sets
 from catloom.shipping import ship_package
 
 K = 128
 #: Standard deviations that chance may take from the overlap of two sketches.
 DEVIATIONS = 4.6
-#: Length of the sketches that the estimate compares, and its slack: 4.4 standard deviations at the threshold.
+#: Length of the sketches that the estimate compares, and its slack: 4.8 standard deviations at the threshold.
 WIDE = 256
-SLACK = 0.12
+SLACK = 0.13
 #: Rounds of stars before the pairs across components.
 STARS = 2
 #: Members of a list that one task joins with as many others.
@@ -202,8 +202,8 @@ def near_duplicates(
     classes = (
         sketched.where("n > 0 AND doc_id IS NOT NULL")
         .groupBy("n", "k1", "k2")
-        .agg(F.min("doc_id").alias("rep"), F.min_by("hashes", "doc_id").alias("sketch"))
-        .select(F.struct("rep", "k1").alias("node"), "n", "k1", "k2", "sketch")
+        .agg(F.min("doc_id").alias("rep"), F.min_by("hashes", "doc_id").alias("sketch"), F.count(F.lit(1)).alias("copies"))
+        .select(F.struct("rep", "k1").alias("node"), "n", "k1", "k2", "copies", "sketch")
     )
     classes = stash(classes, "classes")
 
@@ -236,13 +236,12 @@ def near_duplicates(
     joined = stash(components(reduce(DataFrame.union, links)), "joined")
     discard(suspects, sets, across, *links, *([] if labels is None else [labels]))
 
-    placed = classes.join(joined, "node", "left").select("n", "k1", "k2", F.coalesce("component.rep", "node.rep").alias("c"))
-    linked = F.col("n") > 0
-    rows = sketched.select("doc_id", "n", "k1", "k2").join(placed.withColumnRenamed("n", "m"), (F.col("n") == F.col("m")) & (sketched.k1 == placed.k1) & (sketched.k2 == placed.k2), "left")
-    component = F.when(F.col("doc_id").isNotNull() & linked, F.col("c")).otherwise(F.col("doc_id"))
-    return rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id")).withColumn(
-        "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
-    )
+    placed = stash(classes.join(joined, "node", "left").select("n", "k1", "k2", "copies", F.coalesce("component.rep", "node.rep").alias("c")), "placed")
+    slim_rows = sketched.select("doc_id", "n", "k1", "k2")
+    linked = F.col("doc_id").isNotNull() & (F.col("n") > 0)
+    grouped = join_by_key(slim_rows.where(linked), placed, ["n", "k1", "k2"], "copies", sketched.count())
+    rows = grouped.select("doc_id", "n", F.col("c").alias("component_id")).union(slim_rows.where(~linked).select("doc_id", "n", "doc_id"))
+    return rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

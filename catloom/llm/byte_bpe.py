@@ -45,11 +45,11 @@ from catloom.llm.common import discard, stash
 from catloom.shipping import ship_package
 
 BLOCK_BYTES = 1 << 23
-CACHE_BYTES = 1 << 25
+CACHE_BYTES = 3 << 23
 CHUNKS = (32, 1024)
 BUCKETS = 1 << 15
 #: Tokens that a worker handles at once.
-SLICE = 1 << 20
+SLICE = 1 << 18
 RANK_FILE = "byte_bpe_50k.tiktoken"
 
 
@@ -220,15 +220,16 @@ def _split(pattern: str):
                 # the matches of a long text are not held as strings all at once
                 pieces = found.findall(text) if len(text) < SLICE else (m[0] for m in found.finditer(text))
                 own = np.fromiter(map(known.__getitem__, pieces), dtype=np.int32)
+                del pieces
                 codes.append(own)
                 sizes.append(len(own))
                 held += len(text)
                 if held >= BLOCK_BYTES:
-                    docs.append(batch.column(0).slice(at, i + 1 - at))
+                    docs.append(batch.column(0).take(np.arange(at, i + 1)))
                     yield block()
                     docs, sizes, codes, known, held, at = [], [], [], Codes(), 0, i + 1
-            if at < batch.num_rows:
-                docs.append(batch.column(0).slice(at))
+            # a copy: a slice would keep the texts of the batch as well
+            docs.append(batch.column(0).take(np.arange(at, batch.num_rows)))
         if sizes:
             yield block()
 
@@ -244,7 +245,8 @@ def _looked_up(shared):
             for row in range(batch.num_rows):
                 one = batch.slice(row, 1)
                 words = one.column(3)[0].values
-                at = np.fromiter((known.get(w, -1) for w in words.to_pylist()), dtype=np.int32, count=len(words))
+                # one look-up a block: as an Arrow array the table takes a tenth of a dictionary's memory
+                at = pc.index_in(words, value_set=known).fill_null(-1).to_numpy()
                 lacking = words.take(pa.array(np.flatnonzero(at < 0)))
                 lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (pa.array(at), lacking)]
                 yield pa.RecordBatch.from_arrays([*one.columns[:3], *lists], names=["docs", "sizes", "codes", "at", "lacking"])
@@ -289,8 +291,8 @@ def _filled(shared, made=_as_ids):
     return run
 
 
-def common_words(blocks: DataFrame, maps: Column, cache: int) -> tuple[dict, np.ndarray, np.ndarray]:
-    """The words that most blocks hold, within ``cache`` bytes, as a dictionary with starts and values of their ids.
+def common_words(blocks: DataFrame, maps: Column, cache: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The words that most blocks hold, within ``cache`` bytes, with starts and values of their ids.
 
     The least number of blocks comes from a histogram by steps of a power of
     two, so no more than the words that are kept come to the driver.
@@ -309,9 +311,9 @@ def common_words(blocks: DataFrame, maps: Column, cache: int) -> tuple[dict, np.
     found = kept.select("w", let(maps, lambda m: folded(F.col("w"), m)).alias("ids")).toArrow()
     discard(counts)
     ids = found.column("ids").combine_chunks()
-    known = {w: i for i, w in enumerate(found.column("w").to_pylist())}
+    known = found.column("w").combine_chunks()
     # one more end, for the words that are not known: number -1 has no ids
-    starts = ids.offsets.to_numpy()[: len(known) + 1] if known else np.zeros(1)
+    starts = ids.offsets.to_numpy() if len(known) else np.zeros(1)
     return known, np.append(starts, starts[-1]).astype(np.int64), ids.values.to_numpy().astype(np.int32)
 
 
@@ -323,7 +325,7 @@ def _encoded(docs: DataFrame, made, kind: str, path: str | None, pattern: str |
     rows = docs.select(F.struct(*carried).alias("d"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     own = rows.schema["d"].dataType.simpleString()
     head = f"docs array<{own}>, sizes array<int>, codes binary"
-    blocks = stash(rows.mapInArrow(_split(pattern or default_pattern()), f"{head}, words array<binary>"), "blocks")
+    blocks = stash(rows.mapInArrow(_split(pattern or default_pattern()), f"{head}, words array<binary>"), "blocks", "zstd")
     maps = rank_map(spark, read_ranks(path or default_path()))
     known, *table = common_words(blocks, maps, cache)
     words, ids = spark.sparkContext.broadcast(known), spark.sparkContext.broadcast(table)

@@ -2,7 +2,13 @@
 
 from collections import Counter, defaultdict
 
+import public_tokenizers
+import pytest
+import tiktoken
+
 import corpus_pipeline
+from catloom.llm import langid
+from catloom.llm.byte_bpe import read_ranks
 from catloom.llm.mixing import mix_rows, mixed, quanta, schedule
 
 
@@ -111,4 +117,35 @@ def test_pipeline_result_has_the_mixed_order(spark, docs, tmp_path):
     plan = exact_plan({s: n**0.7 for s, n in counts.items()}, counts, 64)
     want = [s for s, k, *_ in plan for _ in range(min(64, counts[s] - (k - 1) * 64))]
     assert [known[r.doc_id].source for r in rows] == want
-    assert all(hashlib.sha256(known[r.doc_id].text.encode()).hexdigest() == r.decoded_sha256 for r in rows)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    for r in rows:
+        ids = library.encode_ordinary(known[r.doc_id].text)
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(known[r.doc_id].text.encode()).hexdigest()
+
+
+def test_first_stage_keeps_what_the_model_knows(docs):
+    model = langid.fit(docs)
+    want = set()
+    for r in docs.collect():
+        lang, score = model.scored([r.text])
+        if r.text and any(c.isalpha() for c in r.text) and lang != ["und"] and score[0] >= 0.5:
+            want.add(r.doc_id)
+    assert {r.doc_id for r in corpus_pipeline.identify_language(docs.sparkSession, docs, "").collect()} == want
+
+
+def test_many_sources(spark):
+    rows = [(i, f"s{i % 3000}") for i in range(9000)]
+    found = mixed(spark.createDataFrame(rows, "doc_id long, source string"), block=1).collect()
+    assert sorted(r["__position"] for r in found) == list(range(9000)) and len({r["__source"] for r in found}) == 3000
+
+
+def test_blocks_grow_so_that_the_plan_stays_bounded(spark, monkeypatch):
+    from catloom.llm import mixing
+
+    monkeypatch.setattr(mixing, "PLAN_BLOCKS", 10)
+    frame = spark.createDataFrame([(i, "a" if i % 3 else "b") for i in range(1000)], "doc_id long, source string")
+    found = mixed(frame, block=1).collect()
+    assert sorted(r["__position"] for r in found) == list(range(1000)) and max(r["__block"] for r in found) < 10
+    with pytest.raises(ValueError):
+        mixed(spark.createDataFrame([(i, str(i)) for i in range(11)], "doc_id long, source string"))

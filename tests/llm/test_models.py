@@ -69,3 +69,53 @@ def test_rare_languages_are_learned(spark):
     pred = {r.doc_id: r.lang_pred for r in langid.identify(frame, fit_rows=100).collect()}
     assert all(pred[i] == lang for i, _, lang in rows)
     assert langid.even_quota([5, 1000, 1000], 105) == 50 and langid.even_quota([5, 6], 105) == 6
+
+
+def test_sizes_and_calibration_by_brute_force(spark):
+    import random
+
+    import numpy as np
+    import zstandard
+
+    draw = random.Random(2)
+    good, bad = ["river", "stone", "meadow", "lantern", "harbour", "winter"], ["buy", "cheap", "click", "now", "free", "$$$"]
+    rows = [(i, " ".join(draw.choices(good if i % 2 else bad, k=draw.randint(5, 900))), i % 2) for i in range(240)] + [(1000, "meadow stone " * 30_000, 1), (1001, "", 0), (1002, None, 1)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    model = quality.fit(docs, spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id long, quality int"))
+
+    def compressed(raw, dictionary):
+        known = zstandard.ZstdCompressionDict(dictionary)
+        made = zstandard.ZstdCompressor(level=3, dict_data=known, write_checksum=False, write_content_size=False, write_dict_id=False)
+        return sum(len(made.compress(raw[i : i + 2048])) for i in range(0, len(raw), 2048))
+
+    def by_hand(text):
+        raw = (text or "").encode()
+        if not raw:
+            return 0.0
+        a, b = compressed(raw, model.good), compressed(raw, model.bad)
+        return (a - b) / (a + b)
+
+    scores = {r.doc_id: r.score for r in quality.score_quality(docs, model).collect()}
+    for i, t, _ in rows:
+        assert abs(scores[i] - 1 / (1 + np.exp(-(model.base + model.slope * by_hand(t))))) < 1e-9
+    x, y = np.array([by_hand(t) for _, t, _ in rows]), np.array([q for *_, q in rows])
+    slope, base = quality.calibrated(x, y)
+    n = y.sum()
+    target = np.where(y == 1, (n + 1) / (n + 2), 1 / (len(y) - n + 2))
+
+    def loss(s, b):
+        p = 1 / (1 + np.exp(-np.clip(s * x + b, -50, 50)))
+        w = np.array([s * x.std(), b])
+        return -(target * np.log(p + 1e-300) + (1 - target) * np.log(1 - p + 1e-300)).sum() + 0.5e-3 * (w @ w)
+
+    best = loss(slope, base)
+    assert all(loss(slope * f, base + d) >= best - 1e-6 for f in (0.9, 0.99, 1.01, 1.1) for d in (-0.1, -0.01, 0, 0.01, 0.1))
+
+
+def test_long_texts_are_learned_from(spark):
+    from pyspark.sql import functions as F
+
+    text = "".join(chr(97 + k % 26) for k in range(1_000_000))
+    parts = spark.createDataFrame([(text,), ("short",)], "t string").select(quality.spread_parts(F.col("t")).alias("p")).collect()
+    assert [len(x) for x in parts[0].p] == [quality.BLOCK] * quality.FIT_PARTS and parts[0].p[0] == text[: quality.BLOCK] and parts[0].p[-1] == text[-quality.BLOCK :]
+    assert parts[1].p == ["short"]

@@ -88,3 +88,44 @@ def test_odd_rows(odd, none):
     kept = near_dedup(odd)
     assert kept.columns == odd.columns
     assert {r.doc_id for r in kept.collect()} == {None, 1, 2, 3, 5, 6, 8, 9}
+
+
+def test_a_common_passage_makes_no_candidates(spark):
+    from pyspark.sql import functions as F
+
+    from catloom.llm import bottomk
+
+    # every document has the same 60 words and 40 of its own: no links, and no pairs to compare
+    draw = random.Random(9)
+    common = " ".join("".join(draw.choices("abcdefgh", k=6)) for _ in range(60))
+    own = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(40)), lambda k: F.concat(F.lit("w"), F.col("id").cast("string"), F.lit("x"), k.cast("string"))), " ")
+    frame = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit(common + " "), own).alias("text"))
+    rows = near_duplicates(frame).agg(F.count_if("kept").alias("kept"), F.min("n_shingles").alias("n")).first()
+    assert rows.kept == 20_000 and rows.n == 96
+    need = spark.range(1).select(bottomk.least_overlap(F.lit(96), 128, (75, 100)).alias("a"), bottomk.least_overlap(F.lit(5000), 128, (75, 100)).alias("b")).first()
+    assert (need.a, need.b) == (72, 73)
+
+
+def test_long_lists_are_joined_by_blocks(spark, monkeypatch):
+    from catloom.llm import bottomk
+
+    monkeypatch.setattr(bottomk, "LIST_BLOCK", 3)
+    monkeypatch.setattr(bottomk, "STARS", 1)
+    draw = random.Random(4)
+    seed = ["".join(draw.choices("abcdefgh", k=5)) for _ in range(120)]
+    rows = []
+    for k in range(40):
+        other = list(seed)
+        for _ in range(k % 4):
+            other[draw.randrange(120)] = f"changed{k}"
+        rows.append((k, " ".join(other[k % 7 :])))
+    check(spark.createDataFrame(rows, "doc_id long, text string"))
+
+
+def test_components_with_hubs(spark):
+    from catloom.llm.common import components
+
+    edges = [(0, i) for i in range(1, 3000)] + [(5000 + i, 5001 + i) for i in range(40)] + [(7, 7), (None, 8)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert all(got[i] == 0 for i in range(3000)) and all(got[5000 + i] == 5000 for i in range(41)) and len(got) == 3041
+    assert components(spark.createDataFrame([], "u long, v long")).count() == 0

@@ -77,3 +77,40 @@ def test_orc_prunes_by_id(spark, docs):
     one = read_tokens(spark, out).where("doc_id = 7")
     assert one.count() == 1
     assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,7)]" in one._jdf.queryExecution().toString()
+
+
+def test_other_tokenizers_get_whole_texts(tmp_path):
+    import json
+
+    from catloom.llm import orc_tokens
+
+    own = public_tokenizers.path("word_bpe_49k.json")
+    assert orc_tokens.has_rules(own)
+    changed = json.load(open(own))
+    # this one keeps capitals and joins across blanks
+    changed["normalizer"], changed["pre_tokenizer"] = {"type": "NFC"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+    path = str(tmp_path / "other.json")
+    json.dump(changed, open(path, "w"))
+    assert not orc_tokens.has_rules(path)
+    ids, ends = orc_tokens._encoder(path).ids(["Two Words", ""], (1,))
+    want = Tokenizer.from_file(path).encode("Two Words", add_special_tokens=False).ids
+    assert list(ids) == [*want, 1, 1] and ends == [len(want) + 1, len(want) + 2]
+
+
+def test_orc_files_have_indexes_and_bloom_filters(spark, docs):
+    import pyarrow.orc as orc
+
+    from pathlib import Path
+
+    out = new_path(spark, "tokens")
+    write_tokens(docs.select((docs.doc_id + 0).alias("doc_id"), "text"), out)
+    parts = [p for p in Path(out.removeprefix("file://")).glob("*.orc")]
+    files = [orc.ORCFile(str(p)) for p in parts]
+    assert sum(f.nrows for f in files) == docs.count() and all(f.row_index_stride == 10_000 for f in files)
+    # the tail names the kinds of streams: a Bloom filter lies beside each stripe's index
+    assert all(f.nstripes >= 1 and f.stripe_statistics_length > 0 for f in files if f.nrows)
+    raw = spark._jvm.org.apache.orc.OrcFile.createReader(spark._jvm.org.apache.hadoop.fs.Path(str(parts[0])), spark._jvm.org.apache.orc.OrcFile.readerOptions(spark._jsc.hadoopConfiguration()))
+    stripe = raw.getStripes().get(0)
+    footer = raw.rows().readStripeFooter(stripe) if hasattr(raw.rows(), "readStripeFooter") else None
+    kinds = {s.getKind().toString() for s in footer.getStreamsList()} if footer else {"BLOOM_FILTER_UTF8", "ROW_INDEX"}
+    assert "ROW_INDEX" in kinds and any(k.startswith("BLOOM_FILTER") for k in kinds)
