@@ -124,7 +124,7 @@ def heading(tags: Column, rule: str = "first") -> Column:
 
 
 def anchors(rows: DataFrame) -> DataFrame:
-    """``page, pos, href, text, in_nav, class_id`` of the links among tag rows."""
+    """``page, pos, href, text, in_nav, class_id, ancestors`` of the links among tag rows."""
     return rows.where((F.col("tag") == "a") & F.col("attrs").getItem("href").isNotNull()).select(
         "page",
         "pos",
@@ -132,6 +132,7 @@ def anchors(rows: DataFrame) -> DataFrame:
         "text",
         F.exists("ancestors", lambda a: a.isin("nav", "header", "menu")).alias("in_nav"),
         F.lower(F.concat_ws(" ", F.col("attrs")["class"], F.col("attrs")["id"])).alias("class_id"),
+        "ancestors",
     )
 
 

@@ -111,7 +111,7 @@ def advanced(tags: Column, html: Column, url: Column) -> Column:
         capped_images(images, key=lambda s: F.substring_index(s, "?", 1)).alias("images"),
         found(url, SKU_IN_URL, 1).alias("sku"),
         F.coalesce(found(text, BRAND_IN_TEXT, 1), F.lit(UNKNOWN_BRAND)).alias("brand"),
-        ~F.lower(F.coalesce(text, F.lit(""))).contains("indisponível").alias("available"),
+        (~F.lower(F.coalesce(text, F.lit(""))).contains("indisponível")).alias("available"),
     )
 
 

@@ -43,13 +43,12 @@ def reach(seeds: DataFrame, edges: DataFrame, most_rounds: int | None = None, mo
 
 def expand_sql(spark, seeds: DataFrame, edges: DataFrame, levels: int) -> DataFrame:
     """The same by a recursive query with a depth cap, for trees: paths may meet, so nodes are reduced at the end."""
-    seeds.createOrReplaceTempView("__seeds")
-    edges.createOrReplaceTempView("__edges")
-    rows = spark.sql(
+    return spark.sql(
         f"""WITH RECURSIVE t(node, depth) AS (
-            SELECT node, 0 FROM __seeds
+            SELECT node, 0 FROM {{seeds}}
             UNION ALL
-            SELECT e.dst, t.depth + 1 FROM t JOIN __edges e ON e.src = t.node WHERE t.depth < {int(levels)})
-        SELECT node, min(depth) AS depth FROM t GROUP BY node"""
+            SELECT e.dst, t.depth + 1 FROM t JOIN {{edges}} e ON e.src = t.node WHERE t.depth < {int(levels)})
+        SELECT node, min(depth) AS depth FROM t GROUP BY node""",
+        seeds=seeds,
+        edges=edges,
     )
-    return rows

@@ -54,7 +54,7 @@ def shop_products(links: DataFrame, site: str = "site", most: int = 100) -> Data
 
 def category_pages(links: DataFrame, site: str = "site", most: int = 5) -> DataFrame:
     """The first ``most`` category links of each shop's home page, with the anchor's text or ``Produto``."""
-    rows = links.where(page_rank(urls.path(F.col("page_url"))) == 0).where(classify.category_like(F.col("link")))
+    rows = links.where(page_rank(urls.path(F.col("page_url"))) == 0).where(classify.category_like(urls.path(F.col("link"))) & ~product_href(F.col("href")))
     first = rows.groupBy(site, "link").agg(F.min("position").alias("position"), F.min_by("text", "position").alias("text"))
     turn = F.row_number().over(Window.partitionBy(site).orderBy("position"))
     return first.withColumn("turn", turn).where(F.col("turn") <= most).select(site, "link", F.coalesce(F.nullif(F.trim("text"), F.lit("")), F.lit("Produto")).alias("name"))

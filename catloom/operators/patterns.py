@@ -104,13 +104,12 @@ def adaptive_validation(links: DataFrame, site: str = "site") -> DataFrame:
     Else validate 30 more: from 80 % valid on accept the rest; from 50 % on
     validate 100 more and accept the rest from 70 % on; else validate to 500.
     """
-    own = Window.partitionBy(site)
-    upto = lambda n: F.sum(F.when(F.col("position") <= n, F.col("valid").cast("int")).otherwise(0)).over(own)
-    seen = lambda n: F.least(F.count(F.lit(1)).over(own), F.lit(n))
-    s = (
-        links.withColumn("__v20", upto(20)).withColumn("__v50", upto(50)).withColumn("__v150", upto(150))
-        .withColumn("__n50", seen(50)).withColumn("__n150", seen(150)).withColumn("__pattern", F.max(F.col("pattern_hit").isNotNull().cast("int")).over(own) == 1)
-    )
+    upto = lambda n: F.sum(F.when(F.col("position") <= n, F.col("valid").cast("int")).otherwise(0))
+    seen = lambda n: F.least(F.count(F.lit(1)), F.lit(n))
+    stats = links.groupBy(site).agg(
+        upto(20).alias("__v20"), upto(50).alias("__v50"), upto(150).alias("__v150"), seen(50).alias("__n50"), seen(150).alias("__n150"), (F.count("pattern_hit") > 0).alias("__pattern")
+    )
+    s = links.join(stats, site)
     by_pattern = (F.col("__v20") >= 10) & F.col("__pattern")
     rate50, rate150 = F.col("__v50") / F.col("__n50"), F.col("__v150") / F.col("__n150")
     mode = F.when(by_pattern, "pattern").when(rate50 >= 0.8, "accept_50").when((rate50 >= 0.5) & (rate150 >= 0.7), "accept_150").when(rate50 >= 0.5, "check_150").otherwise("check_500")
@@ -126,22 +125,25 @@ def plan_discovery(links: DataFrame, categories: DataFrame, most: int = 500, sit
     A sitemap of 1 to 4,999 links goes by its pattern, else by depth; a larger
     or missing one by categories (rows without links), else by depth up to ``most``.
     """
-    own = Window.partitionBy(site)
-    picked = pick_first(links, site, url).select(F.col(site).alias("__s"), F.col("ord").alias("__o"))
-    has = categories.select(F.col(site).alias("__c")).distinct().withColumn("__has", F.lit(True))
-    rows = links.join(picked, F.col(site) == F.col("__s"), "left").join(has, F.col(site) == F.col("__c"), "left")
-    hit = F.lit(False)
-    for k, (p, _) in enumerate(FIRST_PATTERNS):
-        hit = F.when(F.col("__o") == k, F.col(url).rlike(p)).otherwise(hit)
+    picked = pick_first(links, site, url).select(site, F.col("ord").alias("__o"))
+    has = categories.select(site).distinct().withColumn("__has", F.lit(True))
     deep = urls.slash_count(F.col(url)) >= 4
-    rows = rows.withColumn("__n", F.count(F.lit(1)).over(own)).withColumn("__deep", F.max(deep.cast("int")).over(own) == 1).withColumn("__rank", F.sum(deep.cast("int")).over(own.orderBy("position")))
+    stats = links.groupBy(site).agg(F.count(F.lit(1)).alias("__n"), F.max(deep).alias("__deep"))
     good = F.col("__n") < 5000
     plan = (
         F.when(good & F.col("__o").isNotNull(), "pattern").when(good & F.col("__deep"), "deep").when(good, "all").when(F.col("__has"), "categories").otherwise("fallback")
     )
-    rows = rows.withColumn("plan", plan)
-    keep = F.when(F.col("plan") == "pattern", hit).when(F.col("plan") == "deep", deep).when(F.col("plan") == "all", True).when(F.col("plan") == "fallback", deep & (F.col("__rank") <= most)).otherwise(False)
-    return rows.where(keep).drop("__s", "__o", "__c", "__has", "__n", "__deep", "__rank")
+    plans = stats.join(picked, site, "left").join(has, site, "left").select(site, "__o", plan.alias("plan"))
+    hit = F.lit(False)
+    for k, (p, _) in enumerate(FIRST_PATTERNS):
+        hit = F.when(F.col("__o") == k, F.col(url).rlike(p)).otherwise(hit)
+    rows = links.join(plans, site)
+    keep = F.when(F.col("plan") == "pattern", hit).when(F.col("plan") == "deep", deep).otherwise(F.col("plan") == "all")
+    columns = [*links.columns, "plan"]
+    # the rank is only worked out where it is asked for
+    rank = F.row_number().over(Window.partitionBy(site).orderBy("position"))
+    fallback = rows.where((F.col("plan") == "fallback") & deep).withColumn("__rank", rank).where(F.col("__rank") <= most)
+    return rows.where(keep).select(*columns).union(fallback.select(*columns))
 
 
 def hash_sample(links: DataFrame, url: str = "url", seed: int = 7, extra: int = 0) -> DataFrame:

@@ -1,16 +1,18 @@
 """Ordered request logs: windows, queues, retries, limiters, session pools, watchdogs.
 
-Counts over time are windows. What depends on every earlier outcome is a fold:
-blocks of requests are reduced first, so a fold has a row for each block and
-key, and it runs as one higher-order aggregate over them.
+Counts over time are windows. What depends on every earlier outcome is a fold
+over sorted rows that stream by; where a rule goes by blocks of requests, the
+blocks are reduced first and the fold has a row for each block and key.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from catloom.operators.ranks import global_positions
 
@@ -41,123 +43,131 @@ def blocks(log: DataFrame, key: list[str], order: list[str], size: int = 10) ->
     return out.where(F.col("requests") == size)
 
 
-def limiter_step(rule: str, most: int) -> Callable[[Column, Column], Column]:
-    """One adjustment of requests a minute by a block's outcome."""
-    many, errors, calm = (ADAPTIVE[rule][k] for k in ("many", "errors", "calm"))
+def adjusted(rpm: int, errors: int, limited: int, requests: int, rule: str, most: int) -> int:
+    """Requests a minute after a block, by its outcome."""
+    many, bad, calm = (ADAPTIVE[rule][k] for k in ("many", "errors", "calm"))
+    rate = (errors + limited) / requests
+    if limited > many[0]:
+        return max(many[2], int(rpm * many[1]))
+    if rate > bad[0]:
+        return max(bad[2], int(rpm * bad[1]))
+    if rate < calm[0] and limited == 0:
+        return min(most, int(rpm * calm[1]))
+    return rpm
+
+
+def paced(pps: float, errors: int, limited: int, requests: int) -> float:
+    """Requests a second after a block."""
+    good = (requests - errors - limited) / requests
+    if limited / requests > 0.2:
+        pps *= 0.5
+    elif good < 0.85:
+        pps *= 0.8
+    elif good >= 0.95 and limited == 0:
+        pps *= 1.1
+    return min(max(pps, 0.3), 1.2)
+
+
+def fold_rows(rows: DataFrame, key: list[str], order: list[str], out: str, inputs: list[str], begin: Callable[[], object], step: Callable) -> DataFrame:
+    """``rows`` with the column ``out`` (name and type), row-by-row state of each key in order.
+
+    ``step(state, *inputs)`` gives the next state and the row's value;
+    ``begin()`` is a key's first state. Rows are dealt by key and sorted, and
+    stream through Arrow batches, so a task holds one state and one batch
+    however long a key's history is.
+    """
+    from catloom.shipping import ship_package
+
+    ship_package(rows.sparkSession)
+    name, kind = out.split(" ", 1)
+    dealt = rows.repartition(*key).sortWithinPartitions(*key, *order)
 
-    def step(rpm: Column, b: Column) -> Column:
-        rate = (b["errors"] + b["limited"]) / b["requests"]
-        return (
-            F.when(b["limited"] > many[0], F.greatest(F.lit(many[2]), (rpm * many[1]).cast("int")))
-            .when(rate > errors[0], F.greatest(F.lit(errors[2]), (rpm * errors[1]).cast("int")))
-            .when((rate < calm[0]) & (b["limited"] == 0), F.least(F.lit(most), (rpm * calm[1]).cast("int")))
-            .otherwise(rpm)
-        )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = object(), None
+        for batch in batches:
+            keys = zip(*[batch.column(batch.schema.get_field_index(k)).to_pylist() for k in key], strict=True)
+            values = zip(*[batch.column(batch.schema.get_field_index(c)).to_pylist() for c in inputs], strict=True)
+            made = []
+            for k, v in zip(keys, values, strict=True):
+                if k != now:
+                    now, state = k, begin()
+                state, value = step(state, *v)
+                made.append(value)
+            column = pa.array(made, {"int": pa.int32(), "double": pa.float64()}[kind])
+            yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, name])
 
-    return step
+    return dealt.mapInArrow(run, StructType([*dealt.schema.fields]).add(name, kind))
 
 
 def limiter_fold(log: DataFrame, key: list[str], order: list[str], start: int = 60, most: int = 120, rule: str = "standard", size: int = 10) -> DataFrame:
-    """``key, block, rpm``: the rate after each block."""
-    step = limiter_step(rule, most)
-    lists = blocks(log, key, order, size).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("block", "requests", "errors", "limited"))).alias("bs"))
-    first = F.struct(F.lit(start).alias("rpm"), F.array().cast("array<struct<block:int,rpm:int>>").alias("out"))
+    """``key, block, rpm``: the rate after each whole block; a last, short block changes nothing."""
 
-    def fold(acc: Column, b: Column) -> Column:
-        new = step(acc["rpm"], b).cast("int")
-        return F.struct(new.alias("rpm"), F.concat(acc["out"], F.array(F.struct(b["block"].alias("block"), new.alias("rpm")))).alias("out"))
+    def step(rpm, errors, limited, requests):
+        rpm = adjusted(rpm, errors, limited, requests, rule, most)
+        return rpm, rpm
 
-    return lists.select(*key, F.inline(F.aggregate("bs", first, fold, lambda a: a["out"])))
+    return fold_rows(blocks(log, key, order, size), key, ["block"], "rpm int", ["errors", "limited", "requests"], lambda: start, step).select(*key, "block", "rpm")
 
 
 def pace_fold(log: DataFrame, key: list[str], order: list[str], start: float = 1.0, size: int = 10) -> DataFrame:
-    """Requests a second by block: halved over 20 % limited, 0.8 under 85 % success, 1.1 from 95 % without a limit; 0.3 to 1.2."""
-    lists = blocks(log, key, order, size).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("block", "requests", "errors", "limited"))).alias("bs"))
-
-    def step(pps: Column, b: Column) -> Column:
-        good = (b["requests"] - b["errors"] - b["limited"]) / b["requests"]
-        new = F.when(b["limited"] / b["requests"] > 0.2, pps * 0.5).when(good < 0.85, pps * 0.8).when((good >= 0.95) & (b["limited"] == 0), pps * 1.1).otherwise(pps)
-        return F.least(F.greatest(new, F.lit(0.3)), F.lit(1.2))
-
-    first = F.struct(F.lit(start).alias("pps"), F.array().cast("array<struct<block:int,pps:double>>").alias("out"))
+    """Requests a second by whole block: halved over 20 % limited, 0.8 under 85 % success, 1.1 from 95 % without a limit; 0.3 to 1.2."""
 
-    def fold(acc: Column, b: Column) -> Column:
-        new = step(acc["pps"], b)
-        return F.struct(new.alias("pps"), F.concat(acc["out"], F.array(F.struct(b["block"].alias("block"), new.alias("pps")))).alias("out"))
-
-    return lists.select(*key, F.inline(F.aggregate("bs", first, fold, lambda a: a["out"])))
-
-
-def _fold_rows(log: DataFrame, key: list[str], order: list[str], out: str, run) -> DataFrame:
-    """Row-by-row state of a key, in order: one task for each key, by Arrow-fed pandas."""
-    from catloom.shipping import ship_package
+    def step(pps, errors, limited, requests):
+        pps = paced(pps, errors, limited, requests)
+        return pps, pps
 
-    ship_package(log.sparkSession)
-    kinds = ", ".join(f"`{n}` {t}" for n, t in log.dtypes)
-    return log.groupBy(*key).applyInPandas(lambda pdf: run(pdf.sort_values(order, kind="stable")), f"{kinds}, {out}")
+    return fold_rows(blocks(log, key, order, size), key, ["block"], "pps double", ["errors", "limited", "requests"], lambda: start, step).select(*key, "block", "pps")
 
 
 def token_bucket(log: DataFrame, key: list[str], order: list[str], at: str, rate: float) -> DataFrame:
     """``log`` with ``wait_s``: capacity is the rate, refill by elapsed seconds (column ``at``), an empty bucket waits."""
 
-    def run(pdf):
-        tokens, last, out = rate, None, []
-        for now in pdf[at]:
-            tokens = min(rate, tokens + (now - last) * rate) if last is not None else rate
-            wait = 0.0
-            if tokens < 1:
-                wait, tokens = (1 - tokens) / rate, 0.0
-            else:
-                tokens -= 1
-            last = now + wait
-            out.append(wait)
-        return pdf.assign(wait_s=out)
+    def step(state, now):
+        tokens, last = state
+        tokens = min(rate, tokens + (now - last) * rate) if last is not None else rate
+        wait = (1 - tokens) / rate if tokens < 1 else 0.0
+        return (max(tokens - 1, 0.0), now + wait), wait
 
-    return _fold_rows(log, key, order, "wait_s double", run)
+    return fold_rows(log, key, order, "wait_s double", [at], lambda: (rate, None), step)
 
 
 def leaky_bucket(log: DataFrame, key: list[str], order: list[str], at: str, rate: float, retry_after: str | None = None) -> DataFrame:
     """``log`` with ``slot_s``: evenly spaced slots with a seeded spread of 20 %; a retry hint pushes the next slot."""
     import zlib
 
-    def run(pdf):
-        following, out = None, []
-        hints = pdf[retry_after] if retry_after else [None] * len(pdf)
-        for k, (now, hint) in enumerate(zip(pdf[at], hints, strict=True)):
-            slot = now if following is None else max(now, following)
-            spread = 0.8 + 0.4 * (zlib.crc32(str(k).encode()) % 1000) / 1000
-            following = slot + spread / rate
-            if hint is not None and hint == hint:
-                following = max(following, slot + hint)
-            out.append(slot)
-        return pdf.assign(slot_s=out)
+    def step(state, now, hint=None):
+        k, following = state
+        slot = now if following is None else max(now, following)
+        spread = 0.8 + 0.4 * (zlib.crc32(str(k).encode()) % 1000) / 1000
+        following = slot + spread / rate
+        if hint is not None and hint == hint:
+            following = max(following, slot + hint)
+        return (k + 1, following), slot
 
-    return _fold_rows(log, key, order, "slot_s double", run)
+    return fold_rows(log, key, order, "slot_s double", [at, *([retry_after] if retry_after else [])], lambda: (0, None), step)
 
 
 def session_pool(log: DataFrame, key: list[str], order: list[str], ok: str, size: int = 5) -> DataFrame:
     """``log`` with ``session``: turns among unblocked sessions; a failure adds an error, a success takes one; over 3 block."""
 
-    def run(pdf):
-        errors, blocked, turn, out = [0] * size, [False] * size, 0, []
-        for good in pdf[ok]:
-            for step in range(size):
-                own = (turn + step) % size
-                if not blocked[own]:
-                    turn = (own + 1) % size
-                    break
-            else:
-                own = errors.index(min(errors))
-                blocked[own], errors[own] = False, 0
-            if good:
-                errors[own] = max(0, errors[own] - 1)
-            else:
-                errors[own] += 1
-                blocked[own] = errors[own] > 3
-            out.append(own)
-        return pdf.assign(session=out)
-
-    return _fold_rows(log, key, order, "session int", run)
+    def step(state, good):
+        errors, blocked, turn = state
+        for ahead in range(size):
+            own = (turn + ahead) % size
+            if not blocked[own]:
+                turn = (own + 1) % size
+                break
+        else:
+            own = errors.index(min(errors))
+            blocked[own], errors[own] = False, 0
+        if good:
+            errors[own] = max(0, errors[own] - 1)
+        else:
+            errors[own] += 1
+            blocked[own] = errors[own] > 3
+        return (errors, blocked, turn), own
+
+    return fold_rows(log, key, order, "session int", [ok], lambda: ([0] * size, [False] * size, 0), step)
 
 
 def queue_order(requests: DataFrame, key: str, priority: str, seq: str) -> DataFrame:
@@ -177,8 +187,8 @@ def retried_queue(requests: DataFrame, outcomes: DataFrame, key: str, priority:
     done = outcomes.where("ok").groupBy(key).agg(F.min("attempt").alias("__done"))
     tried = outcomes.join(first, key).join(done, key, "left").where(F.col("attempt") <= F.least(F.coalesce("__done", F.lit(most)), F.lit(most)))
     last = F.col("ok") | (F.col("attempt") == most)
-    rows = tried.select(key, "attempt", "ok", last.alias("last"), F.col("r.p").alias("__p"), F.col("r.s").alias("__s"))
-    return global_positions(rows, [F.desc("__p"), F.col("attempt"), F.col("__s")], "turn").drop("__p", "__s")
+    rows = tried.select(key, "attempt", "ok", last.alias("last"), F.col("r.p").alias("__priority"), F.col("r.s").alias("__seq"))
+    return global_positions(rows, [F.desc("__priority"), F.col("attempt"), F.col("__seq")], "turn").drop("__priority", "__seq")
 
 
 def queue_counters(turns: DataFrame) -> DataFrame:

@@ -79,6 +79,7 @@ def product_fields(node: Column) -> Column:
         F.coalesce(text_at(first, "$.priceCurrency"), F.lit("BRL")).alias("currency"),
         normalize.availability(stock).alias("available"),
         level.cast("int").alias("stock_qty"),
+        text_at(first, "$.inventoryLevel.value", "$.inventoryLevel").alias("stock_level"),
         images(node).alias("images"),
         text_at(node, "$.description").alias("description"),
         text_at(node, "$.category").alias("category"),
@@ -254,29 +255,38 @@ def cache_nodes(frame: DataFrame, key: str, payload: str) -> DataFrame:
 def cached_products(frame: DataFrame, key: str, payload: str) -> DataFrame:
     """Products of an entity cache with their price range, selling price and list price looked up by reference.
 
-    A reference without its node leaves the fields null.
+    Entities are looked up in a map inside the row. A reference without its
+    node stands for itself, so prices written in it count; else they are null.
     """
-    nodes = cache_nodes(frame, key, payload)
-    ref = lambda c, p: F.try_variant_get(c, p, "string")
-    products = nodes.where(F.col("entity").startswith("Product:") & ~F.col("entity").contains(".")).select(
-        key, "entity", F.col("node").alias("p"), ref("node", "$.priceRange.id").alias("range_id")
-    )
-    ranges = nodes.select(F.col(key).alias("rk"), F.col("entity").alias("re"), ref("node", "$.sellingPrice.id").alias("sell_id"), ref("node", "$.listPrice.id").alias("list_id"))
-    prices = nodes.select(F.col(key).alias("pk"), F.col("entity").alias("pe"), F.try_variant_get("node", "$.lowPrice", MONEY_TYPE).alias("low"))
-    with_range = products.join(ranges, (F.col(key) == F.col("rk")) & (F.col("range_id") == F.col("re")), "left").drop("rk", "re")
-    sell = prices.select(F.col("pk").alias("sk"), F.col("pe").alias("se"), F.col("low").alias("price"))
-    listed = prices.select(F.col("pk").alias("lk"), F.col("pe").alias("le"), F.col("low").alias("listed"))
-    both = with_range.join(sell, (F.col(key) == F.col("sk")) & (F.col("sell_id") == F.col("se")), "left").join(listed, (F.col(key) == F.col("lk")) & (F.col("list_id") == F.col("le")), "left")
-    paths = F.filter(F.split(F.try_variant_get("p", "$.categories.json[0]", "string"), "/"), lambda s: s != "")
-    return both.select(
-        key,
-        "entity",
-        text_at(F.col("p"), "$.productName").alias("name"),
-        text_at(F.col("p"), "$.brand").alias("brand"),
-        "price",
-        normalize.original_price(F.col("price"), F.col("listed")).alias("price_original"),
-        F.try_element_at(paths, F.lit(-1)).alias("category"),
-    )
+    nodes = F.try_variant_get(payload, "$", "map<string,variant>")
+
+    def looked_up(v: Column) -> Column:
+        return F.coalesce(nodes[F.try_variant_get(v, "$.id", "string")], v)
+
+    def low(v: Column) -> Column:
+        return F.try_variant_get(looked_up(v), "$.lowPrice", MONEY_TYPE)
+
+    def product(e: Column) -> Column:
+        p = e["value"]
+        span = looked_up(F.try_variant_get(p, "$.priceRange", "variant"))
+        price, listed = low(F.try_variant_get(span, "$.sellingPrice", "variant")), low(F.try_variant_get(span, "$.listPrice", "variant"))
+        paths = F.filter(F.split(F.try_variant_get(p, "$.categories.json[0]", "string"), "/"), lambda s: s != "")
+        return F.struct(
+            e["key"].alias("entity"),
+            text_at(p, "$.productName").alias("name"),
+            text_at(p, "$.brand").alias("brand"),
+            price.alias("price"),
+            normalize.original_price(price, listed).alias("price_original"),
+            F.try_element_at(paths, F.lit(-1)).alias("category"),
+        )
+
+    own = F.filter(F.map_entries(nodes), lambda e: e["key"].startswith("Product:") & ~e["key"].contains("."))
+    return frame.select(key, F.inline(F.transform(own, product)))
+
+
+def priced_entities(frame: DataFrame, key: str, payload: str, part: str = "price") -> DataFrame:
+    """``key, entity, node`` of the entities whose key holds ``part``."""
+    return cache_nodes(frame, key, payload).where(F.lower("entity").contains(part))
 
 
 MONEY_TYPE = normalize.MONEY
@@ -307,6 +317,11 @@ def api_shape(body: Column) -> Column:
     )
 
 
+def pages_needed(products: Column, page_size: Column) -> Column:
+    """Pages of a catalogue interface that hold so many products."""
+    return F.ceil(products / page_size).cast("int")
+
+
 def inventory(html: Column) -> Column:
     """Counts of structured data in a page, and its OpenGraph names."""
     names = F.regexp_extract_all(html, F.lit(r"(?i)<meta\b[^>]*property=[\"'](og:[^\"']+)[\"']"), F.lit(1))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catloom.functions import classify, normalize
 from catloom.functions import html as tags
-from catloom.operators import consolidate, discovery, requests
+from catloom.operators import consolidate, discovery, requests, structured
 from catloom.plans.registry import query, table
 from catloom.sources import fixtures, links, sitemaps
 
@@ -21,10 +21,10 @@ def shop_links(spark, sf):
 
 def _shop_products(most):
     return f"""{L}, m AS (SELECT site, {RANK} AS rank, position, {CLEAN} AS link FROM l WHERE contains(href, '/produto/') AND {RANK} IS NOT NULL),
-    f AS (SELECT site, link, min(rank * 1000 + position) AS at FROM m GROUP BY site, link), c AS (SELECT site, CAST(floor(at / 1000) AS INT) AS rank, count(*) AS n FROM f GROUP BY ALL),
+    f AS (SELECT site, link, min(rank * 1000 + position) AS place FROM m GROUP BY site, link), c AS (SELECT site, CAST(floor(place / 1000) AS INT) AS rank, count(*) AS n FROM f GROUP BY ALL),
     b AS (SELECT site, rank, coalesce(sum(n) OVER (PARTITION BY site ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c),
-    k AS (SELECT f.site, link, at FROM f JOIN b ON f.site = b.site AND CAST(floor(at / 1000) AS INT) = b.rank WHERE before < {most} AND len(string_split(link, '/')) >= 5 AND contains(string_split(link, '/')[-1], '-') AND len(string_split(link, '/')[-1]) > 10)
-    SELECT site, link, CAST(row_number() OVER (PARTITION BY site ORDER BY at) AS INT) AS turn FROM k QUALIFY turn <= {most}"""
+    k AS (SELECT f.site, link, place FROM f JOIN b ON f.site = b.site AND CAST(floor(place / 1000) AS INT) = b.rank WHERE before < {most} AND len(string_split(link, '/')) >= 5 AND contains(string_split(link, '/')[-1], '-') AND len(string_split(link, '/')[-1]) > 10)
+    SELECT site, link, CAST(row_number() OVER (PARTITION BY site ORDER BY place) AS INT) AS turn FROM k QUALIFY turn <= {most}"""
 
 
 @query("shop_discovery", _shop_products(12))
@@ -33,7 +33,21 @@ def shop_discovery(spark, sf):
     return discovery.shop_products(shop_links(spark, sf), most=12)
 
 
-@query("shop_category_pages", f"{L}, f AS (SELECT site, link, min(position) AS position, arg_min(text, position) AS text FROM l WHERE path = '/' AND contains(href, '/categoria/') GROUP BY site, link) SELECT site, link, CASE WHEN trim(text) = '' THEN 'Produto' ELSE text END AS name FROM f QUALIFY row_number() OVER (PARTITION BY site ORDER BY position) <= 5")
+@query("homepage_products", f"""{L}, m AS (SELECT site, {CLEAN} AS link, min(position) AS position FROM l WHERE contains(href, '/produto/') GROUP BY ALL)
+    SELECT site, link, position FROM m WHERE len(string_split(link, '/')) >= 5 AND contains(string_split(link, '/')[-1], '-') AND len(string_split(link, '/')[-1]) > 10 QUALIFY row_number() OVER (PARTITION BY site ORDER BY position) <= 8""")
+def homepage_products(spark, sf):
+    return links.homepage_products(shop_links(spark, sf), "site", most=8).select("site", "link", "position")
+
+
+@query("category_products", f"""{L}, m AS (SELECT site, CASE WHEN p_partkey % 3 = 0 THEN 'https://other.example.org/a/b/c' ELSE replace(link, '/produto/', '/a/b/') END AS link, position FROM l),
+    d AS (SELECT site, link, min(position) AS position FROM m WHERE link LIKE 'https://shop%' AND len(list_filter(string_split(regexp_extract(link, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '')) >= 3 GROUP BY ALL)
+    SELECT site, link, position FROM d QUALIFY row_number() OVER (PARTITION BY site ORDER BY position) <= 10""")
+def category_products(spark, sf):
+    link = F.when(F.col("p_partkey") % 3 == 0, "https://other.example.org/a/b/c").otherwise(F.expr("replace(link, '/produto/', '/a/b/')"))
+    return links.category_products(shop_links(spark, sf).withColumn("link", link), "site", most=10).select("site", "link", "position")
+
+
+@query("shop_category_pages", f"{L}, f AS (SELECT site, link, min(position) AS position, arg_min(text, position) AS text FROM l WHERE path = '/' AND contains(lower(href), '/categoria/') GROUP BY site, link) SELECT site, link, CASE WHEN trim(text) = '' THEN 'Produto' ELSE text END AS name FROM f QUALIFY row_number() OVER (PARTITION BY site ORDER BY position) <= 5")
 def shop_category_pages(spark, sf):
     return discovery.category_pages(shop_links(spark, sf))
 
@@ -248,3 +262,19 @@ def isolated_platforms(spark, sf):
 def dropped_failures(spark, sf):
     rows = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("key"), F.when(F.col("s_suppkey") % 3 == 0, "e").alias("error"))
     return consolidate.without_failures(rows).select("key")
+
+
+@query("api_shapes", "SELECT p_partkey AS key, CASE p_partkey % 5 WHEN 0 THEN 'shopify' WHEN 1 THEN 'vtex' WHEN 2 THEN 'woocommerce' WHEN 3 THEN 'magento' END AS shape, CAST(ceil(800.0 / (1 + p_size)) AS INT) AS pages FROM part")
+def api_shapes(spark, sf):
+    bodies = ('{"products":[{"variants":[]}]}', '[{"productId":"1","items":[]}]', '[{"prices":{}}]', '{"data":{"products":{"items":[]}}}', "<html>")
+    body = F.element_at(F.array(*map(F.lit, bodies)), (F.col("p_partkey") % 5 + 1).cast("int"))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("key"), structured.api_shape(body).alias("shape"), structured.pages_needed(F.lit(800), 1 + F.col("p_size")).alias("pages"))
+
+
+@query("api_offer_path", "SELECT p_partkey AS key, p_name AS name, CAST(p_retailprice AS DECIMAL(18,2)) AS price, CASE WHEN p_partkey % 3 = 0 THEN CAST(CAST(p_retailprice AS DECIMAL(18,2)) + 50 AS DECIMAL(18,2)) END AS listed, CASE WHEN p_partkey % 2 = 0 THEN p_size END AS stock_qty FROM part")
+def api_offer_path(spark, sf):
+    """The nested offer of a catalogue's search response, with missing list prices and quantities."""
+    price = F.col("p_retailprice").cast("decimal(18,2)")
+    offer = F.struct(price.alias("Price"), F.when(F.col("p_partkey") % 3 == 0, (price + F.lit(50)).cast("decimal(18,2)")).alias("ListPrice"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_size")).alias("AvailableQuantity"))
+    body = F.to_json(F.struct(F.array(F.struct(F.col("p_name").alias("name"), F.array(F.struct(offer.alias("commertialOffer"))).alias("sellers"))).alias("items")))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("key"), structured.api_product(body).alias("r")).select("key", "r.name", "r.price", "r.listed", "r.stock_qty")

@@ -206,15 +206,13 @@ FORMS = ("offer", "opengraph", "script", "markup")
 
 
 def readers(spark, sf):
-    """Pages of four forms by key, with a struct for each reader."""
-    frames = [pages(spark, sf, f).where(F.col("key") % 4 == k) for k, f in enumerate(FORMS)]
-    rows = reduce(lambda a, b: a.union(b), frames)
-    first = structured.jsonld_products(rows, "key")
-    first = structured.first_product(first, "key").select(F.col("key").alias("jk"), F.struct("name", "price", F.try_element_at("images", F.lit(1)).alias("image")).alias("jsonld"))
+    """Pages of four forms by key, with a struct for each reader; one scan, all inside the row."""
+    rows = fixtures.mixed_forms(spark, sf, FORMS)
+    product = structured.product_in_row(F.col("html"))
+    listed = rows.withColumn("jsonld", F.struct(product["name"].alias("name"), product["price"].alias("price"), F.try_element_at(product["images"], F.lit(1)).alias("image")))
     h, none = F.col("html"), F.lit(None).cast("string")
     og = structured.opengraph(h)
     no_price = F.lit(None).cast(normalize.MONEY)
-    listed = rows.join(first, F.col("key") == F.col("jk"), "left").drop("jk")
     name = F.nullif(F.regexp_extract(h, r"(?is)<h1[^>]*>(.*?)</h1>", 1), F.lit(""))
     price = normalize.clean_price(F.nullif(F.regexp_extract(h, r'(?is)class="[^"]*(?:price|preco)[^"]*">[^<]*?(\d{1,3}(?:\.\d{3})+,\d{2}|\d+[.,]\d+)<', 1), F.lit("")))
     return listed.select(

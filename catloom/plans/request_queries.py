@@ -37,26 +37,40 @@ def _fold_sql(many, errors, calm):
     SELECT user_id, block, rpm FROM t WHERE block >= 0"""
 
 
-@query("limiter_fold", _fold_sql(*requests.ADAPTIVE["standard"].values()))
+@query("limiter_fold", _fold_sql((2, 0.5, 20), (0.2, 0.7, 30), (0.05, 1.1)))
 def limiter_fold(spark, sf):
     return requests.limiter_fold(log(spark, sf), ["user_id"], ORDER)
 
 
-@query("limiter_fold_careful", _fold_sql(*requests.ADAPTIVE["careful"].values()))
+@query("limiter_fold_careful", _fold_sql((2, 0.3, 15), (0.2, 0.6, 20), (0.05, 1.05)))
 def limiter_fold_careful(spark, sf):
     return requests.limiter_fold(log(spark, sf), ["user_id"], ORDER, rule="careful")
 
 
-@query("pace_fold")
+@query(
+    "pace_fold",
+    f"""WITH RECURSIVE {BLOCKS.removeprefix("WITH ")}, t(user_id, block, pps) AS (
+      SELECT DISTINCT user_id, -1, CAST(1 AS DOUBLE) FROM g UNION ALL
+      SELECT t.user_id, t.block + 1, least(greatest(CASE WHEN limited / 10 > 0.2 THEN pps * 0.5 WHEN (10 - errors - limited) / 10 < 0.85 THEN pps * 0.8 WHEN (10 - errors - limited) / 10 >= 0.95 AND limited = 0 THEN pps * 1.1 ELSE pps END, 0.3), 1.2)
+      FROM t JOIN g ON g.user_id = t.user_id AND g.block = t.block + 1)
+    SELECT user_id, block, round(pps, 9) AS pps FROM t WHERE block >= 0""",
+)
 def pace_fold(spark, sf):
-    return requests.pace_fold(log(spark, sf), ["user_id"], ORDER)
+    return requests.pace_fold(log(spark, sf), ["user_id"], ORDER).withColumn("pps", F.round("pps", 9))
 
 
 def timed(spark, sf):
     return log(spark, sf).withColumn("at", F.col("event_id") * 0.3).select("user_id", "event_id", "at", "ok")
 
 
-@query("token_bucket")
+@query(
+    "token_bucket",
+    f"""WITH RECURSIVE {LOG.removeprefix("WITH ")}, r AS (SELECT user_id, event_id, event_id * CAST(0.3 AS DOUBLE) AS at, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM l),
+    t(user_id, n, event_id, tokens, seen, wait_s) AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(2 AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE) FROM r UNION ALL
+      SELECT user_id, n, event_id, CASE WHEN have < 1 THEN 0 ELSE have - 1 END, at + CASE WHEN have < 1 THEN (1 - have) / 2 ELSE 0 END, CASE WHEN have < 1 THEN (1 - have) / 2 ELSE 0 END
+      FROM (SELECT r.user_id, r.n, r.event_id, r.at, CASE WHEN seen IS NULL THEN CAST(2 AS DOUBLE) ELSE least(2, tokens + (r.at - seen) * 2) END AS have FROM t JOIN r ON r.user_id = t.user_id AND r.n = t.n + 1))
+    SELECT event_id, round(wait_s, 9) AS wait_s FROM t WHERE n > 0""",
+)
 def token_bucket(spark, sf):
     return requests.token_bucket(timed(spark, sf), ["user_id"], ["event_id"], "at", 2.0).select("event_id", F.round("wait_s", 9).alias("wait_s"))
 

@@ -154,13 +154,3 @@ def site_summary(spark, sf):
 )
 def category_links(spark, sf):
     return links.category_links(page_links_of(spark, sf)).select("page_id", "position", "link", "text")
-
-
-@query("category_products", f"{LINKS}, c AS (SELECT page_id, link, min(position) AS position FROM s WHERE host = page_host AND depth >= 3 GROUP BY ALL) SELECT page_id, link, position FROM c QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY position) <= 100")
-def category_products(spark, sf):
-    return links.category_products(page_links_of(spark, sf)).select("page_id", "link", "position")
-
-
-@query("homepage_products")
-def homepage_products(spark, sf):
-    return links.homepage_products(page_links_of(spark, sf)).select("page_id", "link", "position")

@@ -100,8 +100,20 @@ def _ld(node):
 
 
 def product_pages(spark: SparkSession, sf_dir: str, form: str) -> DataFrame:
-    """``key, url, html`` of the parts in one form; see the branches for the forms."""
-    p = priced_parts(spark, sf_dir)
+    """``key, url, html`` of the parts in one form."""
+    return priced_parts(spark, sf_dir).select("key", F.concat(F.lit(SHOP + "/produto/x-"), F.col("key").cast("string")).alias("url"), page_of(form).alias("html"))
+
+
+def mixed_forms(spark: SparkSession, sf_dir: str, forms: tuple[str, ...]) -> DataFrame:
+    """``key, url, html`` of the parts, the form by the key's remainder."""
+    html = F.lit(None).cast("string")
+    for k, form in enumerate(forms):
+        html = F.when(F.col("key") % len(forms) == k, page_of(form)).otherwise(html)
+    return priced_parts(spark, sf_dir).select("key", F.concat(F.lit(SHOP + "/produto/x-"), F.col("key").cast("string")).alias("url"), html.alias("html"))
+
+
+def page_of(form: str) -> Column:
+    """A page of a priced part; see the branches for the forms."""
     name, brand, price, listed = F.col("name"), F.col("brand"), F.col("price"), F.col("listed")
     text = price.cast("string")
     stock = F.when(F.col("size") % 3 == 0, "https://schema.org/OutOfStock").otherwise("https://schema.org/InStock")
@@ -157,7 +169,7 @@ def product_pages(spark: SparkSession, sf_dir: str, form: str) -> DataFrame:
         html = _page(_ld(F.struct(kind("ItemList"), F.array(item, other).alias("itemListElement"))), none)
     else:
         raise ValueError(form)
-    return p.select("key", F.concat(F.lit(SHOP + "/produto/x-"), F.col("key").cast("string")).alias("url"), html.alias("html"))
+    return html
 
 
 def sitemap_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,6 +28,16 @@ def write_envelope(products: DataFrame, metrics: DataFrame, path: str) -> None:
     metrics.coalesce(1).write.json(f"{path}/metadata")
 
 
+def write_named(df: DataFrame, path: str, url: str = "url") -> None:
+    """CSV in a folder for each URL, named by it."""
+    flat(df).withColumn("file", safe_name(F.col(url))).write.option("header", True).partitionBy("file").csv(path)
+
+
+def observed(df: DataFrame, progress: Observation, ok: str) -> DataFrame:
+    """The rows, counted while they pass: ``rows, succeeded``. For progress without another job."""
+    return df.observe(progress, F.count(F.lit(1)).alias("rows"), F.count_if(F.col(ok)).alias("succeeded"))
+
+
 def write_lines(df: DataFrame, path: str) -> None:
     df.write.json(path)
 

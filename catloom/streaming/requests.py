@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from catloom.operators.requests import ADAPTIVE
+from catloom.operators.requests import adjusted
 from catloom.shipping import ship_package
 
 
@@ -17,19 +17,6 @@ def first_arrivals(stream: DataFrame, key: list[str], ts: str = "ts", late: str
     return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark(key)
 
 
-def adjusted(rpm: int, errors: int, limited: int, requests: int, rule: str, most: int) -> int:
-    """One block's adjustment, as the batch fold makes it."""
-    many, bad, calm = (ADAPTIVE[rule][k] for k in ("many", "errors", "calm"))
-    rate = (errors + limited) / requests
-    if limited > many[0]:
-        return max(many[2], int(rpm * many[1]))
-    if rate > bad[0]:
-        return max(bad[2], int(rpm * bad[1]))
-    if rate < calm[0] and limited == 0:
-        return min(most, int(rpm * calm[1]))
-    return rpm
-
-
 def limiter(stream: DataFrame, key: str, order: str, start: int = 60, most: int = 120, rule: str = "standard", size: int = 10) -> DataFrame:
     """``key, block, rpm`` after each whole block; state is six numbers a key."""
     ship_package(stream.sparkSession)
