@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DoubleType, IntegerType, StructType
 
 from catloom.operators.ranks import global_positions
 
@@ -80,6 +80,7 @@ def fold_rows(rows: DataFrame, key: list[str], order: list[str], out: str, input
 
     ship_package(rows.sparkSession)
     name, kind = out.split(" ", 1)
+    arrow, spark_type = {"int": (pa.int32(), IntegerType()), "double": (pa.float64(), DoubleType())}[kind]
     dealt = rows.repartition(*key).sortWithinPartitions(*key, *order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,10 +94,9 @@ def fold_rows(rows: DataFrame, key: list[str], order: list[str], out: str, input
                     now, state = k, begin()
                 state, value = step(state, *v)
                 made.append(value)
-            column = pa.array(made, {"int": pa.int32(), "double": pa.float64()}[kind])
-            yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, name])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, arrow)], names=[*batch.schema.names, name])
 
-    return dealt.mapInArrow(run, StructType([*dealt.schema.fields]).add(name, kind))
+    return dealt.mapInArrow(run, StructType([*dealt.schema.fields]).add(name, spark_type))
 
 
 def limiter_fold(log: DataFrame, key: list[str], order: list[str], start: int = 60, most: int = 120, rule: str = "standard", size: int = 10) -> DataFrame:

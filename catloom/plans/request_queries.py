@@ -65,10 +65,10 @@ def timed(spark, sf):
 
 @query(
     "token_bucket",
-    f"""WITH RECURSIVE {LOG.removeprefix("WITH ")}, r AS (SELECT user_id, event_id, event_id * CAST(0.3 AS DOUBLE) AS at, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM l),
+    f"""WITH RECURSIVE {LOG.removeprefix("WITH ")}, r AS (SELECT user_id, event_id, event_id * CAST(0.3 AS DOUBLE) AS sent, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM l),
     t(user_id, n, event_id, tokens, seen, wait_s) AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(2 AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE) FROM r UNION ALL
-      SELECT user_id, n, event_id, CASE WHEN have < 1 THEN 0 ELSE have - 1 END, at + CASE WHEN have < 1 THEN (1 - have) / 2 ELSE 0 END, CASE WHEN have < 1 THEN (1 - have) / 2 ELSE 0 END
-      FROM (SELECT r.user_id, r.n, r.event_id, r.at, CASE WHEN seen IS NULL THEN CAST(2 AS DOUBLE) ELSE least(2, tokens + (r.at - seen) * 2) END AS have FROM t JOIN r ON r.user_id = t.user_id AND r.n = t.n + 1))
+      SELECT user_id, n, event_id, CASE WHEN have < 1 THEN 0 ELSE have - 1 END, sent + CASE WHEN have < 1 THEN (1 - have) / 2 ELSE 0 END, CASE WHEN have < 1 THEN (1 - have) / 2 ELSE 0 END
+      FROM (SELECT r.user_id, r.n, r.event_id, r.sent, CASE WHEN seen IS NULL THEN CAST(2 AS DOUBLE) ELSE least(2, tokens + (r.sent - seen) * 2) END AS have FROM t JOIN r ON r.user_id = t.user_id AND r.n = t.n + 1))
     SELECT event_id, round(wait_s, 9) AS wait_s FROM t WHERE n > 0""",
 )
 def token_bucket(spark, sf):
