@@ -112,14 +112,21 @@ def _close(a: str, b: str, share: tuple[int, int]) -> str:
 
 
 def _alike(a: str, b: str, share: tuple[int, int]) -> Column:
-    """Union-sketch estimate: of the ``WIDE`` smallest of both, enough are in both; exact for unions within ``WIDE``."""
+    """Union-sketch estimate: of the ``WIDE`` smallest of both, enough are in both; exact for unions within ``WIDE``, but for
+    one value, as two of a sketch may fall together."""
     union, least = F.array_sort(F.array_union(a, b)), share[0] / share[1]
     inner = F.array_intersect(a, b)
-    exact = lambda u: F.size(inner) * share[1] >= F.size(u) * share[0]
+    exact = lambda u: (F.size(inner) + 1) * share[1] >= F.size(u) * share[0]
     cut = lambda u: F.slice(u, 1, WIDE)
     return F.exists(F.array(union), lambda u: F.when(F.size(u) <= WIDE, exact(u)).otherwise(F.size(F.array_intersect(cut(u), inner)) >= (least - SLACK) * WIDE))
 
 
+def _sketches(sets: DataFrame) -> DataFrame:
+    """``node, sketch``: the upper halves of the ``WIDE`` smallest hashes, in the same order and at half the bytes."""
+    upper = F.transform(F.slice("hashes", 1, WIDE), lambda x: F.shiftright(x, 32).cast("int"))
+    return sets.select("node", upper.alias("sketch"))
+
+
 def _placed(lists: DataFrame, joined: DataFrame | None) -> DataFrame:
     """List rows ``node, n, v`` with ``c``, the component so far; only lists with several components."""
     rows = lists.withColumn("c", F.col("node")) if joined is None else lists.join(joined, "node", "left").select("node", "n", "v", F.coalesce("component", "node").alias("c"))
@@ -140,8 +147,8 @@ def _stars(rows: DataFrame, turn: int, share: tuple[int, int]) -> DataFrame:
 
 def _estimated(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
     """The ``pairs(a, b)`` whose sketches are alike."""
-    sketch = sets.select("node", F.slice("hashes", 1, WIDE).alias("s"))
-    both = pairs.join(sketch.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sketch.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    sketch = _sketches(sets)
+    both = pairs.join(sketch.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a").join(sketch.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
     return both.where(_alike("sa", "sb", share)).select("a", "b")
 
 
@@ -151,7 +158,7 @@ def _across(rows: DataFrame, suspects: DataFrame, sets: DataFrame, share: tuple[
     A list is dealt into blocks of ``LIST_BLOCK`` members and joined by pairs of
     blocks, so no task holds a long list.
     """
-    sketch = sets.select("node", F.slice("hashes", 1, WIDE).alias("sketch"))
+    sketch = _sketches(sets)
     blocks = rows.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / LIST_BLOCK).cast("int").alias("blocks"))
     dealt = rows.join(blocks, "v").withColumn("block", F.pmod(F.xxhash64("node", "v"), "blocks").cast("int"))
     wide = dealt.join(suspects.select("node", "prefix"), "node").join(sketch, "node")
