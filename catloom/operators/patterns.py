@@ -67,28 +67,30 @@ def template(url: Column) -> Column:
     return F.array_join(F.transform(urls.segments(url), lambda s: F.when(s.rlike(r"\d{3,}"), F.lit("<NUM>")).otherwise(s)), "/")
 
 
-def learn_templates(links: DataFrame, url: str = "url", share: float = 0.2) -> DataFrame:
-    """``template, n``: templates of at least two links and ``share`` of all."""
-    counts = links.select(template(F.col(url)).alias("template")).groupBy("template").agg(F.count(F.lit(1)).alias("n"))
-    total = links.agg(F.count(F.lit(1)).alias("total"))
-    return counts.join(F.broadcast(total)).where("n >= greatest(2, total * %s) AND total >= 3" % share).select("template", "n")
-
-
-def learn_segments(links: DataFrame, url: str = "url", share: float = 0.3, most: int = 5) -> DataFrame:
-    """``segment, n``: of the ``most`` most frequent segments that are no number, those of at least two links and ``share`` of all."""
-    rows = links.select(F.explode(urls.segments(F.col(url))).alias("segment")).where(~F.col("segment").rlike(r"^\d+$"))
-    top = rows.groupBy("segment").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "segment").limit(most)
-    total = links.agg(F.count(F.lit(1)).alias("total"))
-    return top.join(F.broadcast(total)).where("n >= greatest(2, total * %s) AND total >= 3" % share).select("segment", "n")
-
-
-def apply_templates(links: DataFrame, templates: DataFrame, segments: DataFrame, url: str = "url") -> DataFrame:
-    """``links`` with ``matches``: a learned template, or a path that contains a learned segment."""
-    kept = segments.agg(F.coalesce(F.collect_list("segment"), F.array().cast("array<string>")).alias("__kept"))
-    known = templates.select(F.col("template").alias("__t"), F.lit(True).alias("__known"))
-    rows = links.withColumn("__template", template(F.col(url))).join(known, F.col("__template") == F.col("__t"), "left").join(F.broadcast(kept))
-    hit = F.coalesce("__known", F.lit(False)) | F.exists("__kept", lambda s: urls.path(F.col(url)).contains(s))
-    return rows.withColumn("matches", hit).drop("__t", "__known", "__template", "__kept")
+def learn_templates(links: DataFrame, url: str = "url", share: float = 0.2, site: str = "site") -> DataFrame:
+    """``site, template, n``: templates of at least two links and ``share`` of a site's; sites of fewer than three links have none."""
+    counts = links.select(site, template(F.col(url)).alias("template")).groupBy(site, "template").agg(F.count(F.lit(1)).alias("n"))
+    rows = counts.join(site_counts(links, site, "__total"), site)
+    return rows.where("n >= greatest(2, __total * %s) AND __total >= 3" % share).select(site, "template", "n")
+
+
+def learn_segments(links: DataFrame, url: str = "url", share: float = 0.3, most: int = 5, site: str = "site") -> DataFrame:
+    """``site, segment, n``: of a site's ``most`` most frequent segments that are no number, those of at least two links and ``share`` of all."""
+    rows = links.select(site, F.explode(urls.segments(F.col(url))).alias("segment")).where(~F.col("segment").rlike(r"^\d+$"))
+    counts = rows.groupBy(site, "segment").agg(F.count(F.lit(1)).alias("n")).join(site_counts(links, site, "__total"), site)
+    # the ones with a share of all come before the others, so few are ranked
+    kept = counts.where("n >= greatest(2, __total * %s) AND __total >= 3" % share)
+    rank = F.row_number().over(Window.partitionBy(site).orderBy(F.desc("n"), "segment"))
+    return kept.withColumn("__r", rank).where(F.col("__r") <= most).select(site, "segment", "n")
+
+
+def apply_templates(links: DataFrame, templates: DataFrame, segments: DataFrame, url: str = "url", site: str = "site") -> DataFrame:
+    """``links`` with ``matches``: a template learned for the site, or a path that contains one of its learned segments."""
+    kept = segments.groupBy(site).agg(F.collect_list("segment").alias("__kept"))
+    known = templates.select(site, F.col("template").alias("__template"), F.lit(True).alias("__known"))
+    rows = links.withColumn("__template", template(F.col(url))).join(known, [site, "__template"], "left").join(kept, site, "left")
+    hit = F.coalesce("__known", F.lit(False)) | F.coalesce(F.exists("__kept", lambda s: urls.path(F.col(url)).contains(s)), F.lit(False))
+    return rows.select(*links.columns, hit.alias("matches"))
 
 
 def depth_bucket(url: Column) -> Column:

@@ -89,28 +89,24 @@ def pattern_pick_best(spark, sf):
     return patterns.pick_best(fixtures.shop_links(spark, sf))
 
 
-TEMPLATES = rf"""{SHOPS}, s AS (SELECT *, list_filter(string_split({PATH}, '/'), lambda x: x <> '') AS seg FROM l WHERE site IN ('shop1', 'shop3')),
+TEMPLATES = rf"""{SHOPS}, s AS (SELECT *, list_filter(string_split({PATH}, '/'), lambda x: x <> '') AS seg FROM l),
   t AS (SELECT *, array_to_string(list_transform(seg, lambda x: CASE WHEN regexp_matches(x, '\d{{3,}}') THEN '<NUM>' ELSE x END), '/') AS template FROM s),
-  n AS (SELECT count(*) AS total FROM s),
-  learned AS (SELECT template, count(*) AS n FROM t GROUP BY template HAVING count(*) >= greatest(2, (SELECT total FROM n) * 0.2)),
-  seg5 AS (SELECT segment, count(*) AS n FROM (SELECT unnest(seg) AS segment FROM s) WHERE NOT regexp_matches(segment, '^\d+$') GROUP BY segment ORDER BY n DESC, segment LIMIT 5),
-  kept AS (SELECT segment, n FROM seg5 WHERE n >= greatest(2, (SELECT total FROM n) * 0.3))"""
+  n AS (SELECT site, count(*) AS total FROM s GROUP BY site),
+  learned AS (SELECT t.site, template, count(*) AS n FROM t JOIN n ON n.site = t.site GROUP BY t.site, template, total HAVING count(*) >= greatest(2, total * 0.2) AND total >= 3),
+  g AS (SELECT site, segment, count(*) AS n FROM (SELECT site, unnest(seg) AS segment FROM s) WHERE NOT regexp_matches(segment, '^\d+$') GROUP BY site, segment),
+  kept AS (SELECT g.site, segment, n FROM g JOIN n AS m ON m.site = g.site WHERE n >= greatest(2, total * 0.3) AND total >= 3 QUALIFY row_number() OVER (PARTITION BY g.site ORDER BY n DESC, segment) <= 5)"""
 
 
-def two_shops(spark, sf):
-    return fixtures.shop_links(spark, sf).where(F.col("site").isin("shop1", "shop3"))
-
-
-@query("template_learn", f"{TEMPLATES} SELECT 'template' AS kind, template AS value, n FROM learned UNION ALL SELECT 'segment', segment, n FROM kept")
+@query("template_learn", f"{TEMPLATES} SELECT site, 'template' AS kind, template AS value, n FROM learned UNION ALL SELECT site, 'segment', segment, n FROM kept")
 def template_learn(spark, sf):
-    rows = two_shops(spark, sf)
-    t = patterns.learn_templates(rows).select(F.lit("template").alias("kind"), F.col("template").alias("value"), "n")
-    return t.union(patterns.learn_segments(rows).select(F.lit("segment"), "segment", "n"))
+    rows = fixtures.shop_links(spark, sf)
+    t = patterns.learn_templates(rows).select("site", F.lit("template").alias("kind"), F.col("template").alias("value"), "n")
+    return t.union(patterns.learn_segments(rows).select("site", F.lit("segment"), "segment", "n"))
 
 
-@query("template_apply", f"{TEMPLATES} SELECT p_partkey, template IN (SELECT template FROM learned) OR EXISTS (SELECT 1 FROM kept WHERE contains(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), segment)) AS matches FROM t")
+@query("template_apply", f"{TEMPLATES} SELECT p_partkey, (site, template) IN (SELECT (site, template) FROM learned) OR EXISTS (SELECT 1 FROM kept WHERE kept.site = t.site AND contains(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), segment)) AS matches FROM t")
 def template_apply(spark, sf):
-    rows = two_shops(spark, sf)
+    rows = fixtures.shop_links(spark, sf)
     return patterns.apply_templates(rows, patterns.learn_templates(rows), patterns.learn_segments(rows)).select("p_partkey", "matches")
 
 
