@@ -13,18 +13,54 @@ from catloom.sources import fixtures
 SHOPS = f"WITH l AS ({fixtures.ddb(fixtures.SHOPS_SQL)})"
 
 
-def alternation(words) -> str:
-    return "|".join(w.replace(".", r"\.").replace("$", r"\$").replace("+", r"\+") for w in words)
+#: The oracles' own statement of the rules (fixed values), so that a wrong value in the engine shows.
+CATEGORY = (
+    r"/categoria|/category|/collection|/colecao|/busca|/search|/c/|/produtos|/products|/shop|/brincos|/aneis|/colares|/pulseiras|/ouro|/prata|"
+    r"/pedras|/feminino|/masculino|/infantil|/lancamento|/promocao|/outlet"
+)
+NO_PRODUCT = (
+    r"/carrinho|/cart|/checkout|/conta|/account|/login|/blog|/contato|/contact|/sobre|/about|/faq|/ajuda|/help|/politica|/termos|/privacy|"
+    r"/categoria|/category|/collection|/colecao|/c/|/busca|/search|/produtos|/products|/shop|/automotivo|/casa|/ferramentas|/eletrica|/hidraulica"
+)
+DENIED = (
+    r"/categoria|/category|/busca|/search|/institucional|/sobre|/contato|/ajuda|/carrinho|/cart|/checkout|/login|/account|/conta|/perfil|"
+    r"/wishlist|\.pdf|\.jpg|\.png|\.gif|\.css|\.js"
+)
+INSTITUTIONAL = (
+    r"/atendimento|/quemsomos|/contato|/politica|/termos|/duvidas|/trocas|/entrega|/compra|/pagamento|/receita|/carrinho|/checkout|/login|"
+    r"/cadastro|/conta|/pedidos|/favoritos|/home-|/dia-|/outlet|/frete|/formas|/nossos"
+)
+KEYWORDS = (
+    ("Brinquedos", "brinquedo|jogo|boneca|carrinho"),
+    ("Beleza e Cuidado Pessoal", "beleza|cabelo|unha|cuidado"),
+    ("Casa e Decoração", "casa|cozinha|decoracao|movel"),
+    ("Ferramentas", "ferramenta|chave|martelo"),
+)
+FIRST = (
+    (r"/produtos?/[^/]+-\d+/?$", 0.25),
+    (r"/p(roduto)?/[^/]+/\d+", 0.5),
+    (r"^https?://[^/]+/[^/]+/[^/]+/[^/]+/?$", 0.15),
+)
+BEST = (
+    (r"/produtos?/[^/]+-\d+/?$", 0.25),
+    (r"/p(roduto)?/[^/]+/\d+", 0.5),
+    (r"/[^/]+-p-\d+", 0.5),
+    (r"/produto/[^/]+\.html", 0.5),
+    (r"/[^/]+/p/\d+", 0.5),
+    (r"\.com\.br/[^/]+-\d+/", 0.5),
+    (r"^https?://[^/]+/[^/]+/[^/]+/[^/]+/?$", 0.15),
+    (r"^https?://[^/]+/[^/]+/[^/]+/[^/]+/[^/]+/?", 0.1),
+)
 
 
-@query("category_like", f"{SAMPLES} SELECT pos, regexp_matches(lower(url), '{alternation(classify.CATEGORY_MARKS)}') AS category_like FROM u")
+@query("category_like", f"{SAMPLES} SELECT pos, regexp_matches(lower(url), '{CATEGORY}') AS category_like FROM u")
 def category_like(spark, sf):
     return samples(spark, sf).select("pos", classify.category_like(F.col("url")).alias("category_like"))
 
 
 @query(
     "product_like",
-    rf"""{SAMPLES} SELECT pos, NOT regexp_matches(lower(url), '{alternation(classify.NO_PRODUCT_MARKS)}') AND contains(rtrim({PATH}, '/'), '/')
+    rf"""{SAMPLES} SELECT pos, NOT regexp_matches(lower(url), '{NO_PRODUCT}') AND contains(rtrim({PATH}, '/'), '/')
     AND (regexp_matches(rtrim({PATH}, '/'), '\d{{6,}}') OR regexp_matches(rtrim({PATH}, '/'), '/p/\d+|/produto/|/product/|/item/|/look-\d+')) AS product_like FROM u""",
 )
 def product_like(spark, sf):
@@ -36,7 +72,7 @@ def product_like(spark, sf):
     rf"""{SAMPLES} SELECT pos,
       regexp_matches(lower(url), '/produtos?/|/products?/|/p/|-\d{{3,}}') AND NOT regexp_matches(lower(url), '/(categoria|category|blog|contato|contact|carrinho|cart|busca|search|login|account)/')
         AND NOT regexp_matches(lower(url), '^https?://[^/]+/?$') AS simple,
-      contains({AUTH}, 'example.com') AND (regexp_matches(lower(url), '/produto/|/product/|/p/|/item/|/pd/|/dp/|-p-\d+|/[a-z0-9\-]+/p$') OR NOT regexp_matches(lower(url), '{alternation(classify.DENIED)}')) AS allowed,
+      contains({AUTH}, 'example.com') AND (regexp_matches(lower(url), '/produto/|/product/|/p/|/item/|/pd/|/dp/|-p-\d+|/[a-z0-9\-]+/p$') OR NOT regexp_matches(lower(url), '{DENIED}')) AS allowed,
       regexp_matches(lower(url), '/produto/|/product/|/produtos/|/item/|/p/') AS marker FROM u""",
 )
 def product_rule_variants(spark, sf):
@@ -47,7 +83,7 @@ def product_rule_variants(spark, sf):
 @query(
     "keyword_category",
     f"""SELECT category, count(*) AS n, string_agg(CAST(p_partkey AS VARCHAR), ',' ORDER BY p_partkey) AS parts FROM (SELECT p_partkey, CASE
-      {" ".join(f"WHEN regexp_matches(w, '{'|'.join(words)}') THEN '{name}'" for name, words in classify.KEYWORD_CATEGORIES)} ELSE '{classify.OTHER_CATEGORY}' END AS category
+      {" ".join(f"WHEN regexp_matches(w, '{words}') THEN '{name}'" for name, words in KEYWORDS)} ELSE 'Utilidades Domésticas' END AS category
       FROM (SELECT p_partkey, lower(p_name) || CASE p_size % 5 WHEN 0 THEN '/jogo-casa' WHEN 1 THEN '/cabelo' WHEN 2 THEN '/cozinha' WHEN 3 THEN '/martelo' ELSE '' END AS w FROM part)) GROUP BY category""",
 )
 def keyword_category(spark, sf):
@@ -62,7 +98,7 @@ def keyword_category(spark, sf):
     "category_candidates",
     rf"""{SAMPLES}, s AS (SELECT pos, url, list_filter(string_split({PATH}, '/'), lambda x: x <> '') AS seg FROM u)
     SELECT pos, len(seg) = 1 AND NOT regexp_matches(coalesce(seg[1], ''), '-\d+$') AND len(coalesce(seg[1], '')) < 30 AS candidate,
-           regexp_matches(lower({PATH}), '{alternation(classify.INSTITUTIONAL)}') AS institutional FROM s""",
+           regexp_matches(lower({PATH}), '{INSTITUTIONAL}') AS institutional FROM s""",
 )
 def category_candidates(spark, sf):
     u = F.col("url")
@@ -76,14 +112,14 @@ def _scores(pats, take, skip, least, lone) -> str:
       c AS (SELECT site, max(total) AS total, count(*) AS n, {hits} FROM z WHERE CASE WHEN total > {least} THEN position > {skip} AND position <= {skip + take} ELSE position <= {lone} END GROUP BY site), r AS ({rows})"""
 
 
-@query("pattern_pick_first", f"{_scores(patterns.FIRST_PATTERNS, 50, 20, 70, 50)} SELECT site, arg_min(pattern, ord) AS pattern, min(ord) AS ord FROM r WHERE total >= 10 AND ratio >= least GROUP BY site")
+@query("pattern_pick_first", f"{_scores(FIRST, 50, 20, 70, 50)} SELECT site, arg_min(pattern, ord) AS pattern, min(ord) AS ord FROM r WHERE total >= 10 AND ratio >= least GROUP BY site")
 def pattern_pick_first(spark, sf):
     return patterns.pick_first(fixtures.shop_links(spark, sf))
 
 
 @query(
     "pattern_pick_best",
-    f"{_scores(patterns.BEST_PATTERNS, 100, 20, 20, 20)} SELECT site, pattern, ratio FROM r WHERE ratio >= least QUALIFY row_number() OVER (PARTITION BY site ORDER BY ratio DESC, ord) = 1",
+    f"{_scores(BEST, 100, 20, 20, 20)} SELECT site, pattern, ratio FROM r WHERE ratio >= least QUALIFY row_number() OVER (PARTITION BY site ORDER BY ratio DESC, ord) = 1",
 )
 def pattern_pick_best(spark, sf):
     return patterns.pick_best(fixtures.shop_links(spark, sf))
@@ -139,7 +175,7 @@ def adaptive_validation(spark, sf):
     "discovery_planner",
     rf"""{SHOPS}, s AS (SELECT *, count(*) OVER (PARTITION BY site) AS total, len(url) - len(replace(url, '/', '')) >= 4 AS deep FROM l),
     m AS (SELECT *, bool_or(deep) OVER (PARTITION BY site) AS any_deep, sum(CAST(deep AS INT)) OVER (PARTITION BY site ORDER BY position) AS rank FROM s),
-    k AS ({_scores(patterns.FIRST_PATTERNS, 50, 20, 70, 50)} SELECT site, min(ord) AS o FROM r WHERE total >= 10 AND ratio >= least GROUP BY site),
+    k AS ({_scores(FIRST, 50, 20, 70, 50)} SELECT site, min(ord) AS o FROM r WHERE total >= 10 AND ratio >= least GROUP BY site),
     p AS (SELECT m.*, o, CASE WHEN total < 5000 AND o IS NOT NULL THEN 'pattern' WHEN total < 5000 AND any_deep THEN 'deep' WHEN total < 5000 THEN 'all' WHEN m.site = 'shop2' THEN 'categories' ELSE 'fallback' END AS plan FROM m LEFT JOIN k ON m.site = k.site)
     SELECT site, p_partkey, plan FROM p WHERE CASE plan WHEN 'pattern' THEN CASE o WHEN 0 THEN regexp_matches(url, '/produtos?/[^/]+-\d+/?$') WHEN 1 THEN regexp_matches(url, '/p(roduto)?/[^/]+/\d+') ELSE regexp_matches(url, '^https?://[^/]+/[^/]+/[^/]+/[^/]+/?$') END
       WHEN 'deep' THEN deep WHEN 'all' THEN true WHEN 'fallback' THEN deep AND rank <= 500 ELSE false END""",
