@@ -59,7 +59,7 @@ SLACK = 0.13
 STARS = 2
 #: Members of a list that one task joins with as many others.
 LIST_BLOCK = 512
-MAX_BATCH_IDS = 1 << 20
+MAX_BATCH_IDS = 1 << 18
 
 
 def _emit(words: int, k: int, full: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -83,7 +83,8 @@ def _emit(words: int, k: int, full: bool) -> Callable[[Iterator[pa.RecordBatch]]
                 )
 
             for own in shingle_sets(batch.column(1), words):
-                values = own if full else own[:k]
+                # a copy: a view would keep the whole set
+                values = own if full else own[:k].copy()
                 rows.append((len(own), *set_keys(own), values))
                 held += len(values)
                 if held >= MAX_BATCH_IDS:

@@ -21,8 +21,8 @@ FOLD = 0xD1342543DE82EF95
 MIX_A = 0xBF58476D1CE4E5B9
 MIX_B = 0x94D049BB133111EB
 SEPARATORS = bytes([0x20, *range(0x09, 0x0E)])
-WINDOW = 1 << 20
-SLICE = 1 << 21
+WINDOW = 1 << 18
+SLICE = 1 << 19
 
 _lower = np.arange(256, dtype=np.uint8)
 _lower[65:91] += 32
