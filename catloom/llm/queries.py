@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from catloom.llm import bottomk, byte_bpe, embed_graph, exact_dedup, hash_tree, langid, mixing, orc_tokens, quality, secret_scan
+from catloom.llm import bottomk, byte_bpe, embed_graph, exact_dedup, hash_tree, langid, mixing, orc_tokens, quality, secret_scan, token_counts
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_orc_tokens": orc_tokens.op8_orc_tokens,
     "op9_pfair_mixing": mixing.op9_pfair_mixing,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_token_counts": token_counts.op11_token_counts,
 }
 
 ORACLE_SQL = {"op10_exact_dedup": exact_dedup.OP10_SQL}
