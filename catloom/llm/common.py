@@ -33,7 +33,7 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stash(df: DataFrame, name: str = "stash", compression: str | None = None) -> DataFrame:
+def stash(df: DataFrame, name: str = "stash", compression: str | None = None, options: dict[str, str] | None = None) -> DataFrame:
     """Write a frame to the shared folder and read it back.
 
     Cuts the lineage with files that outlive any executor, and keeps the
@@ -41,7 +41,7 @@ def stash(df: DataFrame, name: str = "stash", compression: str | None = None) ->
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path, compression=compression)
+    df.write.options(**(options or {})).parquet(path, compression=compression)
     again = spark.read.schema(df.schema).parquet(path)
     again._catloom_path = path
     return again

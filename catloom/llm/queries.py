@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from catloom.llm import bottomk, byte_bpe, embed_graph, exact_dedup, hash_tree, langid, merkle, mixing, orc_tokens, quality, secret_scan, token_counts
+from catloom.llm import bottomk, byte_bpe, embed_graph, exact_dedup, hash_tree, langid, merkle, mixing, orc_tokens, quality, secret_scan, token_counts, treap_search
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
@@ -16,7 +16,8 @@ QUERIES = {
     "op9_pfair_mixing": mixing.op9_pfair_mixing,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     "op11_token_counts": token_counts.op11_token_counts,
+    "op12_treap_search": treap_search.op12_treap_search,
     "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
 
-ORACLE_SQL = {"op10_exact_dedup": exact_dedup.OP10_SQL, "op13_merkle_manifest": merkle.OP13_SQL}
+ORACLE_SQL = {"op10_exact_dedup": exact_dedup.OP10_SQL, "op12_treap_search": treap_search.OP12_SQL, "op13_merkle_manifest": merkle.OP13_SQL}
