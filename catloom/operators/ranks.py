@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from catloom.shared import shared_dir
+
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint to the folder the session names, else the warehouse; a session of one machine may use its own."""
+    """Checkpoint to the shared folder."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and spark.sparkContext.master.startswith("local["):
-            named = tempfile.mkdtemp(prefix="catloom-checkpoint-")
-        spark.sparkContext.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir"))
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint()
 
 

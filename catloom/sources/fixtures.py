@@ -187,6 +187,23 @@ def sitemap_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.union(pages)
 
 
+def write_sitemaps(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """Sitemap files in a folder ``name=...`` each, as many parts as there are tasks: an index, and a sitemap for each nation, those of odd ones gzip."""
+    key = F.col("n_nationkey").cast("string")
+    index = read(spark, sf_dir, "nation").select(F.lit("sitemap").alias("name"), F.concat(F.lit(SHOP + "/sitemap-"), key, F.lit(".xml")).alias("loc"))
+    page = F.concat(F.lit(SHOP + "/"), F.when(F.col("c_custkey") % 3 == 0, "produto/").otherwise("c/"), F.lit("x-"), F.col("c_custkey").cast("string"))
+    day = F.concat(F.lit("2024-01-"), F.lpad((F.col("c_custkey") % 28 + 1).cast("string"), 2, "0"))
+    pages = read(spark, sf_dir, "customer").select(F.concat(F.lit("sitemap-"), F.col("c_nationkey").cast("string")).alias("name"), page.alias("loc"), day.alias("lastmod"))
+    odd = F.substring_index("name", "-", -1).cast("int") % 2 == 1
+
+    def write(rows: DataFrame, root: str, row: str, **options: str) -> None:
+        rows.write.format("xml").partitionBy("name").mode("append").options(rootTag=root, rowTag=row, **options).save(path)
+
+    write(index, "sitemapindex", "sitemap")
+    write(pages.where(~odd), "urlset", "url")
+    write(pages.where(odd), "urlset", "url", compression="gzip")
+
+
 #: Parts under a longer name, some with a brand that readers know.
 FULL_NAME = "p_name || ' ' || p_brand || CASE WHEN p_partkey % 7 = 0 THEN ' Samsung' ELSE '' END"
 
