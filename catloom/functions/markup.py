@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from catloom.functions import normalize, urls
-from catloom.functions.html import heading, headings
+from catloom.functions.html import Condition, bound, first, first_text, heading, headings, inside, text_of, texts
 
 #: Patterns and words of the readers (fixed values).
 TAGGED_PRICE = r"(?s)R\$\s*(?:<!--.*?-->)?\s*([\d.,]+)"
@@ -28,8 +28,6 @@ KNOWN_BRANDS = ("nadir", "samsung", "apple", "flash limp", "philips", "electrolu
 MAIN_CATEGORIES = ((("utilidades domésticas",), "Utilidades Domésticas"), (("eletrônicos",), "Eletrônicos"), (("casa", "jardim"), "Casa e Jardim"))
 UNKNOWN_BRAND = "Não informado"
 
-Condition = Callable[[Column], Column]
-
 
 def attr(tag: Column, name: str) -> Column:
     return F.coalesce(tag["attrs"][name], F.lit(""))
@@ -40,18 +38,18 @@ def has(name: str, pattern: str) -> Condition:
     return lambda t: attr(t, name).rlike(f"(?i){pattern}")
 
 
-def first(tags: Column, condition: Condition) -> Column:
-    return F.try_element_at(F.filter(tags, condition), F.lit(1))
+def found(text: Column, pattern: str, group: int = 0) -> Column:
+    """The first match, null without one."""
+    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
-def inside(tags: Column, element: Column) -> Column:
-    """The tags within an element, in order."""
-    return F.filter(tags, lambda t: F.array_contains(t["within"], element["pos"]))
+def longer(text: Column, least: int) -> Column:
+    """The text if it has more than ``least`` characters."""
+    return bound(text, lambda x: F.when(F.length(x) > least, x))
 
 
-def found(text: Column, pattern: str, group: int = 0) -> Column:
-    """The first match, null without one."""
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+def texts_in(tags: Column, elements: Column) -> Column:
+    return F.transform(elements, lambda t: text_of(tags, t))
 
 
 def filled(text: Column) -> Column:
@@ -60,11 +58,12 @@ def filled(text: Column) -> Column:
 
 def page_text(tags: Column) -> Column:
     """The text of the page's body, or of its first element."""
-    return F.coalesce(first(tags, lambda t: t["tag"] == "body")["text"], F.try_element_at(tags, F.lit(1))["text"])
+    body = F.coalesce(first(tags, lambda t: t["tag"] == "body"), F.try_element_at(tags, F.lit(1)))
+    return bound(body, lambda e: text_of(tags, e))
 
 
 def title(tags: Column) -> Column:
-    return filled(first(tags, lambda t: t["tag"] == "title")["text"])
+    return filled(first_text(tags, lambda t: t["tag"] == "title"))
 
 
 def source(tag: Column) -> Column:
@@ -119,7 +118,7 @@ def generic(tags: Column, url: Column) -> Column:
     """``name, price, image, description``: heading or title; a price in the first element of each telling class, id and itemprop."""
 
     def priced(element: Column) -> Column:
-        return F.coalesce(*[found(element["text"], p) for p in ELEMENT_PRICES])
+        return bound(element, lambda text: F.coalesce(*[found(text, p) for p in ELEMENT_PRICES]))
 
     places = (has("class", "price|preco|valor"), has("id", "price|preco|valor"), lambda t: t["attrs"]["itemprop"] == "price")
     image = F.coalesce(
@@ -127,7 +126,7 @@ def generic(tags: Column, url: Column) -> Column:
     )
     return F.struct(
         F.coalesce(filled(F.try_element_at(headings(tags), F.lit(1))), title(tags)).alias("name"),
-        normalize.clean_price(F.coalesce(*[priced(first(tags, p)) for p in places])).alias("price"),
+        normalize.clean_price(F.coalesce(*[priced(first_text(tags, p)) for p in places])).alias("price"),
         urls.resolve(url, source(image)).alias("image"),
         first(tags, lambda t: (t["tag"] == "meta") & (t["attrs"]["name"] == "description"))["attrs"]["content"].alias("description"),
     )
@@ -136,8 +135,8 @@ def generic(tags: Column, url: Column) -> Column:
 def long_name(tags: Column) -> Column:
     """The first over 5 characters of: heading, element with a product title's class, with its id, title."""
     titled = "product.*title|title.*product"
-    options = [F.try_element_at(headings(tags), F.lit(1)), first(tags, has("class", titled))["text"], first(tags, has("id", titled))["text"], title(tags)]
-    return F.coalesce(*[F.when(F.length(o) > 5, o) for o in options])
+    options = [F.try_element_at(headings(tags), F.lit(1)), first_text(tags, has("class", titled)), first_text(tags, has("id", titled)), title(tags)]
+    return F.coalesce(*[longer(o, 5) for o in options])
 
 
 def plain_price(text: Column) -> Column:
@@ -155,35 +154,39 @@ def crumb_texts(tags: Column) -> Column:
         lambda t: (t["tag"] == "nav") & has("aria-label", "breadcrumb")(t),
     )
     element = F.coalesce(*[first(tags, p) for p in places])
-    return F.transform(F.filter(inside(tags, element), lambda t: t["tag"].isin("a", "span", "li")), lambda t: t["text"])
+    return bound(element, lambda e: texts_in(tags, F.filter(inside(tags, e), lambda t: t["tag"].isin("a", "span", "li"))))
 
 
 def category_path(tags: Column) -> Column:
     """Category: links of a breadcrumb or navigation, else its other texts; a meta tag; the first three category links."""
 
-    def path(element: Column) -> Column:
-        own = inside(tags, element)
-        useful = lambda x: ~x.isin("Início", "Home", "")
-        links = F.filter(F.transform(F.filter(own, lambda t: t["tag"] == "a"), lambda t: t["text"]), useful)
-        leaves = F.filter(own, lambda t: ~F.exists(own, lambda o: F.array_contains(o["within"], t["pos"])))
-        texts = F.when(F.size(own) > 0, F.transform(leaves, lambda t: t["text"])).otherwise(F.array(element["text"]))
-        texts = F.filter(F.array_distinct(texts), useful)
-        linked = F.when(F.size(links) > 0, F.array_join(links, " > "))
-        return F.when(element.isNotNull(), F.coalesce(linked, F.when((F.length(element["text"]) > 5) & (F.size(texts) > 0), F.array_join(texts, " > "))))
+    useful = lambda x: ~x.isin("Início", "Home", "")
+
+    def joined(names: Column) -> Column:
+        return F.when(F.size(names) > 0, F.array_join(names, " > "))
+
+    def path(e: Column) -> Column:
+        own = inside(tags, e)
+        links = F.filter(texts_in(tags, F.filter(own, lambda t: t["tag"] == "a")), useful)
+        # a tag that stops behind itself has no other in it
+        leaves = F.filter(own, lambda t: (t["stop"] == t["pos"] + 1) | t["text"].isNotNull())
+        names = bound(leaves, lambda x: F.when(F.size(x) > 0, texts_in(tags, x)).otherwise(F.array(text_of(tags, e))))
+        told = F.when(F.length(text_of(tags, e)) > 5, joined(F.filter(F.array_distinct(names), useful)))
+        return F.when(e.isNotNull(), F.coalesce(joined(links), told))
 
     places = (has("class", "breadcrumb"), has("id", "breadcrumb"), has("class", "navigation|nav"))
     named = first(tags, lambda t: (t["tag"] == "meta") & has("name", "category")(t))["attrs"]["content"]
     menu = F.slice(F.filter(tags, lambda t: (t["tag"] == "a") & has("href", "categoria|category")(t)), 1, 3)
-    menu = F.filter(F.transform(menu, lambda t: t["text"]), lambda x: x != "")
-    return F.coalesce(*[path(first(tags, p)) for p in places], filled(named), F.when(F.size(menu) > 0, F.array_join(menu, " | ")))
+    menu = F.filter(texts_in(tags, menu), lambda x: x != "")
+    return F.coalesce(*[bound(first(tags, p), path) for p in places], filled(named), F.when(F.size(menu) > 0, F.array_join(menu, " | ")))
 
 
 def description(tags: Column) -> Column:
     """Text over 20 characters of the first element with a telling class, or id; else the first paragraph over 100."""
     words = "description|desc|details|sobre"
-    options = [first(tags, has(a, words))["text"] for a in ("class", "id")]
-    paragraph = first(tags, lambda t: (t["tag"] == "p") & (F.length(t["text"]) > 100))["text"]
-    return F.coalesce(*[F.when(F.length(o) > 20, o) for o in options], paragraph)
+    options = [longer(first_text(tags, has(a, words)), 20) for a in ("class", "id")]
+    paragraph = F.try_element_at(F.filter(texts(tags, lambda t: t["tag"] == "p"), lambda x: F.length(x) > 100), F.lit(1))
+    return F.coalesce(*options, paragraph)
 
 
 def product_images(tags: Column, url: Column) -> Column:
@@ -197,8 +200,8 @@ def product_images(tags: Column, url: Column) -> Column:
 
 def stock_text(tags: Column) -> Column:
     """A count beside a stock word, else the text of the first element with a stock class."""
-    text = page_text(tags)
-    return F.coalesce(*[found(text, p) for p in STOCK_TEXTS], filled(first(tags, has("class", "stock|estoque|disponib"))["text"]))
+    counted = bound(page_text(tags), lambda text: F.coalesce(*[found(text, p) for p in STOCK_TEXTS]))
+    return F.coalesce(counted, filled(first_text(tags, has("class", "stock|estoque|disponib"))))
 
 
 def known_brand(name: Column, brands: tuple[str, ...] = KNOWN_BRANDS) -> Column:
@@ -221,4 +224,4 @@ def main_category(path: Column) -> Column:
 
 def by_selectors(tags: Column, selectors: list[Condition]) -> Column:
     """Text of the first element of the first selector that has one with text."""
-    return F.coalesce(*[filled(first(tags, s)["text"]) for s in selectors])
+    return F.coalesce(*[filled(first_text(tags, s)) for s in selectors])

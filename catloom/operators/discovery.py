@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from catloom.functions import classify, urls
-from catloom.functions.html import anchors, tag_lists
+from catloom.functions.html import anchors, around, bound, with_tags
 
 #: Category pages that are asked when a shop's home page has too few products, in this order (fixed values).
 CATEGORY_PATHS = ("/ferramentas/", "/casa/", "/cozinha/", "/banheiro/", "/construcao/", "/eletrica/", "/hidraulica/")
@@ -18,6 +18,10 @@ CATEGORY_PATHS = ("/ferramentas/", "/casa/", "/cozinha/", "/banheiro/", "/constr
 NAV_PATTERNS = ("categoria", "categorias", "/c/", "/cat/", "category", "produto", "produtos", "ver-tudo", "ver%20mais")
 NAV_CLASSES = r"(?i)(nav|menu|categoria|category|cat|sidebar|list|menu__|menu-)"
 NAV_TAGS = ("nav", "header", "aside", "footer")
+#: The wide rule's words of links and texts that fit, and of links that never do (fixed values).
+WIDE_PATHS = ("/categoria", "/cat", "/c/", "category")
+WIDE_WORDS = ("categoria", "móveis", "decoração", "brinquedos", "beleza", "ferramentas", "utilidades")
+UTILITY_PATHS = ("/login", "/register", "/account", "/cart", "/checkout", "/politica", "/termos", "/contato", "/sobre")
 #: Forms of product URLs; the first that ``SHARE`` of a shop's links have is its form (fixed values).
 FORMS = ((r"/produto/[^/]+-\d+/?$", "number"), (r"/produto/[^/]+/?$", "slug"), (r"/p/[^/]+/\d+", "p"), (r"/[^/]+/[^/]+-\d+/?$", "level2"))
 SHARE = 0.7
@@ -60,31 +64,45 @@ def category_pages(links: DataFrame, site: str = "site", most: int = 5) -> DataF
     return first.withColumn("turn", turn).where(F.col("turn") <= most).select(site, "link", F.coalesce(F.nullif(F.trim("text"), F.lit("")), F.lit("Produto")).alias("name"))
 
 
-def navigation_links(tag_rows: DataFrame, base: DataFrame, key: str = "page", url: str = "url") -> DataFrame:
-    """``page, link, position``: links on the page's host that stand in navigation, have its class or id, or a category's words."""
-    rows = anchors(tag_rows).join(base.select(F.col(key).alias("__p"), F.col(url).alias("page_url")), F.col("page") == F.col("__p"))
-    rows = rows.withColumn("link", urls.resolve(F.col("page_url"), F.trim("href"))).where(urls.authority(F.col("link")) == urls.authority(F.col("page_url")))
-    words = classify.any_of(F.lower("href"), NAV_PATTERNS) | classify.any_of(F.lower("text"), NAV_PATTERNS)
-    inside = F.exists("ancestors", lambda a: a.isin(*NAV_TAGS))
-    kept = rows.where(inside | F.col("class_id").rlike(NAV_CLASSES) | words)
-    return kept.groupBy("page", "link").agg(F.min("pos").alias("position"))
+def navigation_links(pages: DataFrame, key: str, url: str = "url", html: str = "html", rule: str = "words") -> DataFrame:
+    """``page, link, position``: links on the page's host that may lead to categories.
+
+    ``words``: links that stand in navigation, have its class or id, or a
+    category's words. ``wide``: besides, short paths that end in a slash and
+    texts of one to four words, but no utility, numbered or deep links.
+    """
+    lists = with_tags(pages.select(F.col(key).alias("page"), F.col(url).alias("page_url"), F.col(html).alias("__html")), "__html").drop("__html")
+    rows = anchors(lists).withColumn("href", F.trim("href"))
+    rows = rows.withColumn("link", urls.resolve(F.col("page_url"), F.col("href"))).where(urls.authority(F.col("link")) == urls.authority(F.col("page_url")))
+    href, text = F.lower("href"), F.lower(F.trim("text"))
+    known = F.exists("inside", lambda a: a.isin(*NAV_TAGS)) | F.col("class_id").rlike(NAV_CLASSES)
+    if rule == "words":
+        kept = known | classify.any_of(href, NAV_PATTERNS) | classify.any_of(text, NAV_PATTERNS)
+    elif rule == "wide":
+        parts = F.size(F.split(F.regexp_replace("href", "^/+|/+$", ""), "/"))
+        short = F.when(text != "", F.size(F.split(text, r"\s+"))).otherwise(0)
+        fits = (F.col("href").endswith("/") & (parts <= 2)) | ((short <= 4) & (F.length(text) > 3)) | classify.any_of(href, WIDE_PATHS) | classify.any_of(text, WIDE_WORDS)
+        kept = (known | fits) & ~(classify.any_of(href, UTILITY_PATHS) | F.col("href").rlike(r"/\d+/") | (parts > 4))
+    else:
+        raise ValueError(rule)
+    return rows.where(kept).groupBy("page", "link").agg(F.min("pos").alias("position"))
 
 
 def list_page(pages: DataFrame, key: str, url: str = "url", html: str = "html") -> DataFrame:
     """``page, link, label, priority``: product links of a list page, and its first link to a next page."""
-    tags = tag_lists(pages.withColumn("__k", F.struct(F.col(key).alias("key"), F.col(url).alias("url"))), "__k", html).select("page.key", "page.url", "tags")
+    tags = with_tags(pages.select(F.col(key).alias("page"), F.col(url).alias("url"), F.col(html).alias("__html")), "__html")
     links = F.filter("tags", lambda t: (t["tag"] == "a") & t["attrs"]["href"].isNotNull())
 
     def classed(t: Column, word: str) -> Column:
         return F.array_contains(F.split(F.coalesce(t["attrs"]["class"], F.lit("")), r"\s+"), word)
 
-    def labelled(t: Column) -> Column:
-        paged = F.exists("tags", lambda o: F.array_contains(t["within"], o["pos"]) & classed(o, "pagination"))
-        following = (F.coalesce(t["attrs"]["rel"], F.lit("")) == "next") | classed(t, "next-page") | (classed(t, "next") & paged)
+    def labelled(lists: Column, t: Column) -> Column:
+        following = (F.coalesce(t["attrs"]["rel"], F.lit("")) == "next") | classed(t, "next-page") | (classed(t, "next") & (F.size(around(lists, t)) > 0))
         label = F.when(t["attrs"]["href"].contains("/produto/"), "product").when(following, "list")
         return F.struct(label.alias("label"), t["pos"].alias("pos"), t["attrs"]["href"].alias("href"))
 
-    rows = tags.select(F.col("key").alias("page"), "url", F.inline(F.transform(links, labelled))).where("label IS NOT NULL")
+    found = bound(F.filter("tags", lambda t: classed(t, "pagination")), lambda lists: F.transform(links, lambda t: labelled(lists, t)))
+    rows = tags.select("page", "url", F.inline(found)).where("label IS NOT NULL")
     rows = rows.select("page", "label", "pos", urls.resolve(F.col("url"), F.col("href")).alias("link"))
     first = rows.where("label = 'list'").groupBy("page").agg(F.min_by("link", "pos").alias("link")).select("page", "link", F.lit("list").alias("label"), F.lit(10).alias("priority"))
     return rows.where("label = 'product'").select("page", "link", "label", F.lit(5).alias("priority")).distinct().union(first)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catloom.functions import classify, normalize
-from catloom.functions import html as tags
 from catloom.operators import consolidate, discovery, requests, structured
 from catloom.plans.registry import query, table
 from catloom.sources import fixtures, links, sitemaps
@@ -58,9 +57,20 @@ HOST = "'https://loja.example.com"
 
 @query("navigation_links", f"{LIST} SELECT k AS page, unnest([{HOST}/a-' || t, {HOST}/b-' || t, {HOST}/categoria/' || t, {HOST}/produto/n-' || t]) AS link FROM p")
 def navigation_links(spark, sf):
-    pages = fixtures.list_pages(spark, sf)
-    base = pages.select(F.col("key").alias("page"), "url")
-    return discovery.navigation_links(tags.tag_rows(pages, "key"), base).select("page", "link")
+    return discovery.navigation_links(fixtures.list_pages(spark, sf), "key").select("page", "link")
+
+
+@query(
+    "navigation_links_wide",
+    f"""WITH p AS (SELECT p_partkey AS k, CAST(p_partkey AS VARCHAR) AS t FROM part)
+    SELECT k AS page, link FROM (
+      SELECT k, unnest(list_concat(
+        [{HOST}/n-' || t, {HOST}/f-' || t, {HOST}/s-' || t || '/', {HOST}/w-' || t, {HOST}/cat-x/deep/path/' || t, {HOST}/u-' || t],
+        CASE k % 3 WHEN 0 THEN [{HOST}/a/b-' || t || '/'] WHEN 1 THEN [] ELSE [{HOST}/m-' || t] END)) AS link FROM p)""",
+)
+def navigation_links_wide(spark, sf):
+    """Navigation and short links, without utility, numbered and deep ones."""
+    return discovery.navigation_links(fixtures.menu_pages(spark, sf), "key", rule="wide").select("page", "link")
 
 
 @query(

@@ -19,8 +19,7 @@ NAME_BY_HEADING = "CASE k % 5 WHEN 0 THEN NULL WHEN 1 THEN 'Loja' ELSE full_name
 
 def irregular(spark, sf):
     """Tags, page and URL of the irregular pages."""
-    pages = fixtures.irregular_pages(spark, sf).withColumn("k", F.struct("key", "url", "html"))
-    return tags.tag_lists(pages, "k").select("page.*", "tags")
+    return tags.with_tags(fixtures.irregular_pages(spark, sf))
 
 
 @query(

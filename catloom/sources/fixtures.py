@@ -51,6 +51,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, where its files give fewer tasks: a page is far dearer to render and read than its row is to move."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _sql(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:
     return spark.sql(sql, **{t: read(spark, sf_dir, t) for t in tables})
 
@@ -73,10 +79,10 @@ def ddb(sql: str) -> str:
 
 
 def priced_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts with exact prices: ``key, name, brand, type, size, price, listed``."""
+    """Parts with exact prices: ``key, name, brand, type, size, price, listed, full``."""
     price = F.col("p_retailprice").cast("decimal(18,2)")
-    return read(spark, sf_dir, "part").select(
-        F.col("p_partkey").alias("key"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"), F.col("p_type").alias("type"), F.col("p_size").alias("size"), price.alias("price"), (price + F.lit(50)).cast("decimal(18,2)").alias("listed")
+    return spread(read(spark, sf_dir, "part")).select(
+        F.col("p_partkey").alias("key"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"), F.col("p_type").alias("type"), F.col("p_size").alias("size"), price.alias("price"), (price + F.lit(50)).cast("decimal(18,2)").alias("listed"), F.expr(FULL_NAME).alias("full")
     )
 
 
@@ -227,7 +233,7 @@ def _text(*parts: Column | str) -> Column:
 
 def irregular_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``key, url, html``: product pages by markup alone, with missing, repeated, broken and misplaced fields by the key's remainders."""
-    p = priced_parts(spark, sf_dir).join(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.expr(FULL_NAME).alias("full")), "key")
+    p = priced_parts(spark, sf_dir)
     k, full, kind, name = F.col("key"), F.col("full"), F.col("type"), F.col("name")
     price, listed = local_text(F.col("price")), local_text(F.col("listed"))
     head = _text(
@@ -306,4 +312,24 @@ def list_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         '<nav><a href="/a-', k, '">Home</a></nav><div><a class="Menu-item" href="/b-', k, '">B</a></div><a href="/categoria/', k, '">C</a><a href="https://other.example.org/categoria">D</a>',
         '<p><a href="/x-', k, '">plain</a></p>', following, '<a href="/produto/n-', k, '">P</a><a href="/produto/n-', k, '">again</a><a name="top">T</a>',
     )
-    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), _text(SHOP + "/list/", k).alias("url"), _page(F.lit(""), body).alias("html"))
+    return spread(read(spark, sf_dir, "part")).select(F.col("p_partkey").alias("key"), _text(SHOP + "/list/", k).alias("url"), _page(F.lit(""), body).alias("html"))
+
+
+def menu_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``key, url, html``: pages whose links may lead to categories by place, path, text or word, and some that never do."""
+    k = F.col("p_partkey")
+    t = k.cast("string")
+    long_text = "a text of many more words than four"
+    some = _either(
+        k % 3,
+        _text('<a href="/a/b-', t, '/">', long_text, "</a>"),
+        _text('<a href="/a/b/c-', t, '/">', long_text, '</a><a href="/m-', t, '">abc</a>'),
+        _text('<a href="/m-', t, '">', long_text, ' com decoração</a><a href="/a/b/c/d/e-', t, '">Deep</a>'),
+    )
+    body = _text(
+        '<nav><ul><li><a href="/n-', t, '">', long_text, '</a></li></ul><a href="/login">In</a></nav><footer><div><a href="/f-', t, '"><b>', long_text, "</b></a></div></footer>",
+        '<a href=" /s-', t, '/ ">', long_text, '</a><p><a href="/w-', t, '">two <i>words</i></a></p><a href="/cat-x/deep/path/', t, '">', long_text, "</a>",
+        '<a href="/x/', t, '/y">Casa</a><a href="/minha/cart-', t, '">Cart</a><a href="https://other.example.org/categoria">Casa</a><a href="/z-', t, '">abc</a><a href="/q-', t, '">', long_text, "</a>",
+        '<a class="Top-Menu" href="/u-', t, '">abc</a>', some,
+    )
+    return spread(read(spark, sf_dir, "part")).select(k.alias("key"), _text(SHOP + "/").alias("url"), _page(F.lit(""), body).alias("html"))

@@ -79,9 +79,76 @@ def test_malformed_markup(spark):
 
 
 def test_anchors_with_ancestors(spark):
-    rows = html.tag_rows(spark.createDataFrame([(1, "<nav><a href='/a' class=K>x</a></nav><a>no</a><div><a href=/b id=i>y</a></div>")], "k long, html string"), "k")
-    got = [(r.href, r.in_nav, r.class_id) for r in html.anchors(rows).orderBy("pos").collect()]
-    assert got == [("/a", True, "k"), ("/b", False, "i")]
+    rows = html.tag_lists(spark.createDataFrame([(1, "<nav><a href='/a' class=K>x</a></nav><a>no</a><div><a href=/b id=i>y<b> z</b></a></div>")], "k long, html string"), "k")
+    got = [(r.href, r.in_nav, r.class_id, r.text) for r in html.anchors(rows).orderBy("pos").collect()]
+    assert got == [("/a", True, "k", "x"), ("/b", False, "i", "y z")]
+
+
+def whole(node):
+    """Tags of a page by plain recursion: (name, texts of it and all below, names above)."""
+    from html.parser import HTMLParser
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.rows, self.open = [], []
+
+        def handle_starttag(self, tag, attrs):
+            self.rows.append((tag, [], [self.rows[i][0] for i in self.open]))
+            if tag not in html.VOID:
+                self.open.append(len(self.rows) - 1)
+
+        def handle_endtag(self, tag):
+            for k in reversed(range(len(self.open))):
+                if self.rows[self.open[k]][0] == tag:
+                    del self.open[k:]
+                    return
+
+        def handle_startendtag(self, tag, attrs):
+            self.handle_starttag(tag, attrs)
+            if tag not in html.VOID:
+                self.open.pop()
+
+        def handle_data(self, data):
+            raw = self.open and self.rows[self.open[-1]][0] in ("script", "style")
+            for i in self.open[-1:] if raw else self.open:
+                self.rows[i][1].append(data)
+
+    p = Plain()
+    p.feed(node)
+    p.close()
+    return [(tag, " ".join("".join(parts).split()), above) for tag, parts, above in p.rows]
+
+
+def test_intervals_are_the_tree(spark):
+    """Texts and ancestors by intervals, on pages of random, often broken nesting."""
+    import random
+
+    rng = random.Random(4)
+    bits = ["<div>", "</div>", "<p class=a>", "</p>", "<b>", "</b>", " x ", "\u00a0y\n", "<br>", "<i/>", "<script>a<b>c</script>", "&amp;", "</nav>", "<nav>", "<style>s</style>", "<img/>"]
+    pages = [(k, "".join(rng.choices(bits, k=rng.randrange(1, 60)))) for k in range(150)]
+    lists = html.tag_lists(spark.createDataFrame(pages, "k long, html string"), "k")
+    t = F.col("tags")
+    above = lambda e: F.transform(html.around(t, e), lambda c: c["tag"])
+    rows = F.transform(F.filter(t, lambda e: e["tag"] != html.TEXT), lambda e: F.struct(e["tag"].alias("tag"), html.text_of(t, e).alias("text"), above(e).alias("above")))
+    got = {r.page: [tuple(x) for x in r.rows] for r in lists.select("page", rows.alias("rows")).collect()}
+    for k, page in pages:
+        assert got[k] == whole(page), page
+
+
+def test_large_and_deep_pages_take_seconds(spark):
+    import time
+
+    from catloom.functions import markup
+
+    wide = "<body><div class=breadcrumb>" + "".join(f"<span><a href=/c{i}>n{i}</a> t</span>" for i in range(20_000)) + "</div><ul>" + "".join(f"<li>k{i}: v{i}</li>" for i in range(10_000)) + "</ul></body>"
+    deep = "<body>" + "<div>x" * 5000 + "<h1>end</h1>" + "</div>" * 5000 + "</body>"
+    lists = html.tag_lists(spark.createDataFrame([(1, wide), (2, deep)], "k long, html string"), "k").cache()
+    lists.count()
+    t, began = F.col("tags"), time.time()
+    rows = lists.select("page", F.size(t).alias("n"), F.size(html.specs(t)).alias("s"), F.length(markup.category_path(t)).alias("c"), html.heading(t).alias("h"), F.length(markup.page_text(t)).alias("p")).orderBy("page").collect()
+    assert rows[0].n > 50_000 and rows[0].s == 10_000 and rows[0].c > 100_000 and rows[1].h == "end" and rows[1].p > 5000
+    assert time.time() - began < 20
 
 
 def test_invalid_json_is_skipped(spark):
