@@ -6,13 +6,13 @@ needs no schema. What does not parse is null, never an error.
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catloom.functions import normalize
-from catloom.operators.ranks import cut
+from catloom.functions import normalize, urls
+from catloom.functions.html import bound
 
 PRODUCT_TYPES = ("Product", "IndividualProduct", "ProductGroup")
 
@@ -94,55 +94,88 @@ def jsonld_products(pages: DataFrame, key: str, html: str = "html", types: tuple
     return found.select(key, "script", "item", product_fields(F.col("node")).alias("p")).select(key, "script", "item", "p.*")
 
 
-def product_in_row(html: Column, types: tuple[str, ...] = PRODUCT_TYPES) -> Column:
-    """Fields of the first product of a page's JSON-LD, worked out inside the row; null without one."""
+def opened(v: Column, graph: bool = True) -> Column:
+    """What a script's value holds: the objects of its ``@graph``, of a list, or itself."""
+    inner = [F.try_variant_get(v, "$['@graph']", "array<variant>")] if graph else []
+    return F.coalesce(*inner, F.try_variant_get(v, "$", "array<variant>"), F.array(v))
+
+
+def nodes_in_row(html: Column, graph: bool = True) -> Column:
+    """The objects of all scripts of a page, in order, as in ``jsonld_items``."""
     parsed = F.transform(json_scripts(html), lambda b: F.try_parse_json(F.trim(b)))
+    return F.flatten(F.transform(F.filter(parsed, lambda v: v.isNotNull()), lambda v: opened(v, graph)))
 
-    def opened(v: Column) -> Column:
-        return F.coalesce(F.try_variant_get(v, "$['@graph']", "array<variant>"), F.try_variant_get(v, "$", "array<variant>"), F.array(v))
 
-    nodes = F.flatten(F.transform(F.filter(parsed, lambda v: v.isNotNull()), opened))
-    products = F.filter(nodes, lambda n: is_product(n, types))
+def product_in_row(html: Column, types: tuple[str, ...] = PRODUCT_TYPES) -> Column:
+    """Fields of the first product of a page's JSON-LD, worked out inside the row; null without one."""
+    products = F.filter(nodes_in_row(html), lambda n: is_product(n, types))
     return F.try_element_at(F.transform(F.slice(products, 1, 1), product_fields), F.lit(1))
 
 
-def first_product(products: DataFrame, key: str) -> DataFrame:
-    """The first product of each page."""
-    at = Window.partitionBy(key).orderBy("script", "item")
-    return products.withColumn("__at", F.row_number().over(at)).where("__at = 1").drop("__at", "script", "item")
+def matched_in_row(html: Column, url: Column, types: tuple[str, ...] = PRODUCT_TYPES) -> Column:
+    """``match_rank`` and fields of the product that stands for its page: offer URL, own URL, SKU among the URL's digits, else the first.
 
+    Null without a product; of equal ranks the first in the page counts.
+    """
+    same = lambda own, key: F.coalesce(urls.compare_key(own) == key, F.lit(False))
 
-def matched_product(products: DataFrame, pages: DataFrame, key: str, url: str = "url") -> DataFrame:
-    """The product that stands for its page: offer URL, own URL, SKU among the URL's digits, else the first."""
-    from catloom.functions import urls
+    def ranked(p: Column, i: Column, page: Column) -> Column:
+        rank = F.when(same(p["offer_url"], page["key"]), 1).when(same(p["own_url"], page["key"]), 2).when(F.coalesce(p["sku"] == page["id"], F.lit(False)), 3).otherwise(4)
+        return F.struct(rank.alias("match_rank"), i.alias("at"), p.alias("p"))
 
-    both = products.join(pages.select(key, F.col(url).alias("page_url")), key)
-    same = lambda c: urls.compare_key(F.col(c)) == urls.compare_key(F.col("page_url"))
-    rank = (
-        F.when(F.coalesce(same("offer_url"), F.lit(False)), 1)
-        .when(F.coalesce(same("own_url"), F.lit(False)), 2)
-        .when(F.coalesce(F.col("sku") == urls.trailing_id(F.col("page_url")), F.lit(False)), 3)
-        .otherwise(4)
-    )
-    at = Window.partitionBy(key).orderBy("match_rank", "script", "item")
-    return both.withColumn("match_rank", rank).withColumn("__at", F.row_number().over(at)).where("__at = 1").drop("__at", "script", "item", "page_url")
+    fields = F.transform(F.filter(nodes_in_row(html), lambda n: is_product(n, types)), product_fields)
+    page = F.struct(urls.compare_key(url).alias("key"), urls.trailing_id(url).alias("id"))
+    return bound(page, lambda own: F.array_min(F.transform(fields, lambda p, i: ranked(p, i, own))))
+
+
+def matched_product(pages: DataFrame, key: str, url: str = "url", html: str = "html") -> DataFrame:
+    """``key, match_rank`` and the fields of the product that stands for each page; pages without one are left out."""
+    return pages.select(key, matched_in_row(F.col(html), F.col(url)).alias("m")).where("m IS NOT NULL").select(key, "m.match_rank", "m.p.*")
+
+
+def members(v: Column) -> Column:
+    """The values in an object or list, none for others."""
+    return F.coalesce(F.map_values(F.try_variant_get(v, "$", "map<string,variant>")), F.try_variant_get(v, "$", "array<variant>"), F.array().cast("array<variant>"))
+
+
+def walk(start: Column, most: Column, condition: Callable[[Column], Column]) -> Column:
+    """``level, node`` of everything at or below the variants of the array ``start`` that meets ``condition``, level by level.
+
+    Inside the row, in one expression: at most ``most`` levels are opened, and
+    nothing is done once a level is empty. Objects, lists and their values are
+    looked at once each.
+    """
+
+    def found(nodes: Column, level: Column) -> Column:
+        return F.transform(F.filter(nodes, condition), lambda n: F.struct(level.alias("level"), n.alias("node")))
+
+    def step(state: Column, _: Column) -> Column:
+        def down(nodes: Column) -> Column:
+            level = state["level"] + 1
+            return F.struct(nodes.alias("nodes"), level.alias("level"), F.concat(state["found"], found(nodes, level)).alias("found"))
+
+        return F.when(F.size(state["nodes"]) == 0, state).otherwise(bound(F.flatten(F.transform(state["nodes"], members)), down))
+
+    first = F.struct(start.alias("nodes"), F.lit(0).alias("level"), found(start, F.lit(0)).alias("found"))
+    # a descending sequence would not be empty
+    levels = F.when(most > 0, F.sequence(F.lit(1), most)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(levels, first, step, lambda s: s["found"])
+
+
+def nesting(json: Column) -> Column:
+    """A bound for the depth of a JSON text: the number of its opening signs."""
+    return F.length(F.regexp_replace(json, r"[^\[{]", ""))
 
 
 def nested_products(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
-    """``key, node, level``: every product at any depth, by opening objects and lists until none is left."""
-    spark = pages.sparkSession
-    frontier = cut(jsonld_items(pages, key, html, graph=False).select(key, F.col("node").alias("v")))
-    found, level = [], 0
-    while not found or not frontier.isEmpty():
-        found.append(frontier.where(is_product(F.col("v"))).select(key, F.col("v").alias("node"), F.lit(level).alias("level")))
-        frontier, level = cut(_opened(spark, frontier, key)), level + 1
-    return reduce(DataFrame.union, found)
+    """``key, node, level``: every product at any depth of a page's JSON-LD."""
 
+    def of(body: Column) -> Column:
+        v = F.try_parse_json(F.trim(body))
+        return F.when(v.isNotNull(), bound(opened(v, graph=False), lambda own: walk(own, nesting(body), lambda n: is_product(n))))
 
-def _opened(spark, frame: DataFrame, key: str) -> DataFrame:
-    """The object and list members of the variants of a frame."""
-    opened = spark.sql(f"SELECT t.{key}, e.value AS v FROM {{t}} AS t, LATERAL variant_explode(t.v) AS e", t=frame)
-    return opened.where(F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)"))
+    rows = pages.select(key, F.explode(F.flatten(F.filter(F.transform(json_scripts(F.col(html)), of), lambda x: x.isNotNull()))).alias("f"))
+    return rows.select(key, "f.node", "f.level")
 
 
 def item_list(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
@@ -235,16 +268,11 @@ def payload_fields(payload: Column) -> Column:
 
 def payload_products(frame: DataFrame, key: str, payload: str, levels: int = 3) -> DataFrame:
     """Objects down to ``levels`` that look like a product (a name and a price of any alias): ``key, level, name, price_raw``."""
-    spark = frame.sparkSession
-    now = frame.select(key, F.col(payload).alias("v")).where("v IS NOT NULL")
-    out = None
-    for level in range(levels + 1):
-        own = now.select(key, F.lit(level).alias("level"), text_at(F.col("v"), "$.name", "$.productName", "$.title").alias("name"), text_at(F.col("v"), "$.price", "$.sellingPrice", "$.finalPrice").alias("price_raw"))
-        own = own.where("name IS NOT NULL AND price_raw IS NOT NULL")
-        out = own if out is None else out.union(own)
-        if level < levels:
-            now = _opened(spark, now, key)
-    return out
+    name = lambda v: text_at(v, "$.name", "$.productName", "$.title")
+    price = lambda v: text_at(v, "$.price", "$.sellingPrice", "$.finalPrice")
+    start = F.when(F.col(payload).isNotNull(), F.array(payload))
+    rows = frame.select(key, F.explode(walk(start, F.lit(levels), lambda v: name(v).isNotNull() & price(v).isNotNull())).alias("f"))
+    return rows.select(key, "f.level", name(F.col("f.node")).alias("name"), price(F.col("f.node")).alias("price_raw"))
 
 
 def cache_nodes(frame: DataFrame, key: str, payload: str) -> DataFrame:

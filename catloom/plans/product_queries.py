@@ -21,7 +21,7 @@ def pages(spark, sf, form):
 
 
 def jsonld(spark, sf, form):
-    return structured.first_product(structured.jsonld_products(pages(spark, sf, form), "key"), "key")
+    return pages(spark, sf, form).select("key", structured.product_in_row(F.col("html")).alias("p")).where("p IS NOT NULL").select("key", "p.*")
 
 
 def _jsonld_query(form, extra_sql, *cols):
@@ -66,7 +66,7 @@ def jsonld_match_page(spark, sf):
     one = F.to_json(F.struct(kind, F.lit("one").alias("name"), F.lit("none").alias("sku")))
     two = F.to_json(F.struct(kind, F.lit("two").alias("name"), F.when(k == 1, F.concat(F.col("url"), F.lit("/"))).alias("url"), F.when(k == 2, F.col("key").cast("string")).alias("sku"), F.when(k == 0, F.struct(F.upper("url").alias("url"))).alias("offers")))
     rows = base.withColumn("html", F.concat(F.lit('<script type="application/ld+json">['), one, F.lit(","), two, F.lit("]</script>")))
-    return structured.matched_product(structured.jsonld_products(rows, "key"), rows, "key").select("key", "name", "match_rank")
+    return structured.matched_product(rows, "key").select("key", "name", "match_rank")
 
 
 @query("opengraph", f"{P} SELECT key, name, CAST(price AS VARCHAR) AS price_raw, 'i.jpg' AS image, true AS available FROM p")

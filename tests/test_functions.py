@@ -236,3 +236,35 @@ def test_reach_does_not_end_early(spark):
     with pytest.raises(RuntimeError):
         crawl.reach(seeds, edges, most_rounds=3)
     assert crawl.reach(seeds, edges.where("src < 3"), most_rounds=3).count() == 4
+
+
+def test_products_at_any_depth(spark):
+    """Against plain recursion, with the level of each; one job, no shuffle."""
+    import json
+
+    deep = {"@type": "Product", "name": "deep"}
+    for k in range(60):
+        deep = {"x": deep} if k % 2 else [1, deep, "{["]
+    values = [deep, {"@type": ["A", "Product"], "name": "a", "offers": [{"itemOffered": {"@type": "Product", "name": "b"}}, {"@type": "Product", "name": "c"}]}, [{"@type": "Product", "name": "d"}], 5, "text", {}, []]
+    scripts = [json.dumps(v) for v in values] + ["{broken"]
+    page = "".join(f'<script type="application/ld+json">{x}</script>' for x in scripts)
+
+    def plain(v, level):
+        own = v.get("@type") if isinstance(v, dict) else None
+        if own == "Product" or (isinstance(own, list) and "Product" in own):
+            yield v["name"], level
+        for x in v.values() if isinstance(v, dict) else v if isinstance(v, list) else ():
+            yield from plain(x, level + 1)
+
+    want = sorted(x for v in values for top in (v if isinstance(v, list) else [v]) for x in plain(top, 0))
+    rows = spark.createDataFrame([(1, page), (2, None), (3, "")], "k long, html string")
+    found = structured.nested_products(rows, "k")
+    assert sorted((structured_name, level) for structured_name, level in found.select(structured.text_at(F.col("node"), "$.name"), "level").collect()) == want
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_payload_search_stops_at_its_level(spark):
+    body = '{"name":"top","price":1,"a":{"b":{"c":{"title":"third","finalPrice":"3"},"d":{"e":{"name":"fourth","price":4}}}},"l":[{"productName":"two","sellingPrice":2.5},{"name":"no price"}]}'
+    rows = spark.createDataFrame([(1, body), (2, "no json"), (3, None)], "k long, t string").select("k", F.try_parse_json("t").alias("v"))
+    got = sorted(tuple(r) for r in structured.payload_products(rows, "k", "v").select("k", "level", "name", "price_raw").collect())
+    assert got == [(1, 0, "top", "1"), (1, 2, "two", "2.5"), (1, 3, "third", "3")]
