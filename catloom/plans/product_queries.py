@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from catloom.functions import html as tags
 from catloom.functions import normalize
-from catloom.operators import cascade, consolidate, crawl, metrics, structured
+from catloom.operators import cascade, consolidate, crawl, frontier, metrics, structured
 from catloom.plans.registry import query, table
+from catloom.shared import new_path
 from catloom.sources import fixtures, sitemaps
 
 P = f"WITH p AS ({fixtures.PARTS_SQL})"
@@ -358,7 +359,7 @@ def sitemap_one_level(spark, sf):
 @query(
     "crawl_frontier",
     """WITH RECURSIVE e AS (SELECT o_custkey AS src, o_custkey // 2 AS dst FROM orders UNION ALL SELECT o_custkey // 2, o_custkey // 3 FROM orders),
-    t(node, depth) AS (SELECT CAST(max(c_custkey) AS BIGINT), 0 FROM customer UNION SELECT dst, depth + 1 FROM t JOIN e ON src = node WHERE depth < 20) SELECT node, min(depth) AS depth FROM t GROUP BY node""",
+    t(node, depth) AS (SELECT CAST(max(c_custkey) AS BIGINT), 0 FROM customer UNION SELECT dst, depth + 1 FROM t JOIN e ON src = node WHERE dst <> src) SELECT node, min(depth) AS depth FROM t GROUP BY node""",
 )
 def crawl_frontier(spark, sf):
     o = table(spark, sf, "orders")
@@ -367,6 +368,26 @@ def crawl_frontier(spark, sf):
     return crawl.reach(table(spark, sf, "customer").agg(F.max("c_custkey").alias("node")), edges)
 
 
+@query(
+    "crawl_resumed",
+    """WITH RECURSIVE e AS (SELECT o_custkey AS src, o_custkey // 2 AS dst, o_orderkey % 3 = 0 AS early FROM orders UNION ALL SELECT o_custkey // 2, o_custkey // 3, o_orderkey % 3 = 0 FROM orders),
+    s AS (SELECT c_custkey AS node FROM customer WHERE c_custkey % 50 = 1),
+    one(node) AS (SELECT node FROM s UNION SELECT dst FROM one JOIN e ON src = node WHERE early),
+    both_(node) AS (SELECT node FROM s UNION SELECT dst FROM both_ JOIN e ON src = node)
+    SELECT node, CASE WHEN node IN (SELECT node FROM one) THEN 0 ELSE 1 END AS run FROM both_""",
+)
+def crawl_resumed(spark, sf):
+    """A crawl in two runs: the second gets the edges that are new, and follows them from all that the first has reached."""
+    o = table(spark, sf, "orders")
+    half, third = F.floor(F.col("o_custkey") / 2), F.floor(F.col("o_custkey") / 3)
+    early = F.col("o_orderkey") % 3 == 0
+    edges = lambda rows: rows.select(F.col("o_custkey").alias("src"), half.alias("dst")).union(rows.select(half, third))
+    crawl_state = frontier.Frontier(spark, new_path(spark, "frontier"))
+    crawl_state.advance(edges(o.where(early)), table(spark, sf, "customer").where("c_custkey % 50 = 1").select(F.col("c_custkey").alias("node")))
+    crawl_state.advance(edges(o.where(~early)))
+    return crawl_state.visited().select("node", "run")
+
+
 @query("page_headings", r"""SELECT page_id, trim(replace(replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '&amp;', '&'), '&copy;', '©')) AS heading, len(regexp_extract_all(html, '<a ')) AS links FROM pages""")
 def page_headings(spark, sf):
     rows = tags.tag_lists(table(spark, sf, "pages"), "page_id")
