@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from catloom.functions import urls
+from catloom.operators.ranks import cut, global_positions, join_few
 
 #: Pattern, least ratio; the first list goes by order, the second by the best ratio (fixed values).
 FIRST_PATTERNS = ((r"/produtos?/[^/]+-\d+/?$", 0.25), (r"/p(roduto)?/[^/]+/\d+", 0.5), (r"^https?://[^/]+/[^/]+/[^/]+/[^/]+/?$", 0.15))
@@ -26,8 +27,10 @@ BEST_PATTERNS = (
 
 
 def positions(links: DataFrame, order: list[str], by: list[str] | None = None, out: str = "position") -> DataFrame:
-    """1-based positions in each site (or in all)."""
-    return links.withColumn(out, F.row_number().over(Window.partitionBy(*(by or [F.lit(0)])).orderBy(*order)))
+    """1-based positions in each site, or in all, which are numbered by ranges."""
+    if not by:
+        return global_positions(links, [F.col(c) for c in order], out)
+    return links.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
 
 
 def site_counts(links: DataFrame, site: str, out: str = "__n") -> DataFrame:
@@ -40,7 +43,7 @@ def pattern_scores(links: DataFrame, patterns, site: str = "site", url: str = "u
 
     A site of over ``least`` links gives the ``take`` after the first ``skip``; a smaller one its first ``lone``.
     """
-    sized = links.join(site_counts(links, site), site)
+    sized = join_few(links, site_counts(links, site), [site])
     big = F.col("__n") > least
     inside = F.when(big, (F.col("position") > skip) & (F.col("position") <= skip + take)).otherwise(F.col("position") <= lone)
     sample = sized.where(inside)
@@ -67,29 +70,69 @@ def template(url: Column) -> Column:
     return F.array_join(F.transform(urls.segments(url), lambda s: F.when(s.rlike(r"\d{3,}"), F.lit("<NUM>")).otherwise(s)), "/")
 
 
+#: Buckets of a site's sketch.
+BUCKETS = 1024
+
+
+def heavy(rows: DataFrame, totals: DataFrame, value: str, share: float, site: str = "site", buckets: int = BUCKETS) -> DataFrame:
+    """``site, value, n``: the values that at least two of a site's rows have, and ``share`` of its ``__total``; sites below three have none.
+
+    Two passes, neither of which shuffles what can't be kept. The first counts
+    by a hash bucket of the value, at most ``buckets`` rows a site and task: a
+    value is no more frequent than its bucket, so few buckets can hold one that
+    is kept. The second counts the values of those buckets exactly.
+    """
+    enough = F.col("n") >= F.greatest(F.lit(2), F.col("__total") * share)
+    dealt = rows.select(site, value).withColumn("__b", F.pmod(F.xxhash64(value), F.lit(buckets)).cast("int"))
+    known = totals.where("__total >= 3")
+    sketch = dealt.groupBy(site, "__b").agg(F.count(F.lit(1)).alias("n")).join(known, site).where(enough).select(site, "__b", "__total")
+    counts = join_few(dealt, sketch, [site, "__b"]).groupBy(site, value).agg(F.count(F.lit(1)).alias("n"), F.first("__total").alias("__total"))
+    return counts.where(enough).select(site, value, "n")
+
+
 def learn_templates(links: DataFrame, url: str = "url", share: float = 0.2, site: str = "site") -> DataFrame:
     """``site, template, n``: templates of at least two links and ``share`` of a site's; sites of fewer than three links have none."""
-    counts = links.select(site, template(F.col(url)).alias("template")).groupBy(site, "template").agg(F.count(F.lit(1)).alias("n"))
-    rows = counts.join(site_counts(links, site, "__total"), site)
-    return rows.where("n >= greatest(2, __total * %s) AND __total >= 3" % share).select(site, "template", "n")
+    rows = links.select(site, template(F.col(url)).alias("template"))
+    return heavy(rows, site_counts(links, site, "__total"), "template", share, site)
 
 
 def learn_segments(links: DataFrame, url: str = "url", share: float = 0.3, most: int = 5, site: str = "site") -> DataFrame:
     """``site, segment, n``: of a site's ``most`` most frequent segments that are no number, those of at least two links and ``share`` of all."""
     rows = links.select(site, F.explode(urls.segments(F.col(url))).alias("segment")).where(~F.col("segment").rlike(r"^\d+$"))
-    counts = rows.groupBy(site, "segment").agg(F.count(F.lit(1)).alias("n")).join(site_counts(links, site, "__total"), site)
     # the ones with a share of all come before the others, so few are ranked
-    kept = counts.where("n >= greatest(2, __total * %s) AND __total >= 3" % share)
+    kept = heavy(rows, site_counts(links, site, "__total"), "segment", share, site)
     rank = F.row_number().over(Window.partitionBy(site).orderBy(F.desc("n"), "segment"))
     return kept.withColumn("__r", rank).where(F.col("__r") <= most).select(site, "segment", "n")
 
 
+def learn_prefixes(links: DataFrame, url: str = "url", share: float = 0.2, site: str = "site", most_levels: int | None = None) -> DataFrame:
+    """``site, level, prefix, n``: the trie of a site's path templates down to the prefixes that ``share`` of its links have.
+
+    Level by level: only links below a kept prefix are counted at the next
+    level, so each shuffle is bounded by what is kept. Ends with the deepest
+    kept prefix; ``most_levels`` ends it earlier.
+    """
+    totals = cut(site_counts(links, site, "__total"))
+    parts = F.filter(F.split(template(F.col(url)), "/"), lambda s: s != "")
+    rows = links.select(site, parts.alias("__parts"))
+    found, level = None, 1
+    while True:
+        at = rows.where(F.size("__parts") >= level).select(site, "__parts", F.array_join(F.slice("__parts", 1, level), "/").alias("prefix"))
+        kept = cut(heavy(at, totals, "prefix", share, site).select(site, F.lit(level).alias("level"), "prefix", "n"))
+        found = kept if found is None else found.union(kept)
+        if level == most_levels or not kept.head(1):
+            return found
+        rows = join_few(at, kept.select(site, "prefix"), [site, "prefix"], "left_semi").select(site, "__parts")
+        level += 1
+
+
 def apply_templates(links: DataFrame, templates: DataFrame, segments: DataFrame, url: str = "url", site: str = "site") -> DataFrame:
     """``links`` with ``matches``: a template learned for the site, or a path that contains one of its learned segments."""
-    kept = segments.groupBy(site).agg(F.collect_list("segment").alias("__kept"))
-    known = templates.select(site, F.col("template").alias("__template"), F.lit(True).alias("__known"))
-    rows = links.withColumn("__template", template(F.col(url))).join(known, [site, "__template"], "left").join(kept, site, "left")
-    hit = F.coalesce("__known", F.lit(False)) | F.coalesce(F.exists("__kept", lambda s: urls.path(F.col(url)).contains(s)), F.lit(False))
+    known = templates.groupBy(site).agg(F.collect_set("template").alias("__known"))
+    learned = known.join(segments.groupBy(site).agg(F.collect_list("segment").alias("__kept")), site, "full_outer")
+    # a site has at most a few templates and segments, each with a share of its links
+    rows = join_few(links, learned, [site], "left")
+    hit = F.coalesce(F.array_contains("__known", template(F.col(url))), F.lit(False)) | F.coalesce(F.exists("__kept", lambda s: urls.path(F.col(url)).contains(s)), F.lit(False))
     return rows.select(*links.columns, hit.alias("matches"))
 
 
@@ -111,7 +154,7 @@ def adaptive_validation(links: DataFrame, site: str = "site") -> DataFrame:
     stats = links.groupBy(site).agg(
         upto(20).alias("__v20"), upto(50).alias("__v50"), upto(150).alias("__v150"), seen(50).alias("__n50"), seen(150).alias("__n150"), (F.count("pattern_hit") > 0).alias("__pattern")
     )
-    s = links.join(stats, site)
+    s = join_few(links, stats, [site])
     by_pattern = (F.col("__v20") >= 10) & F.col("__pattern")
     rate50, rate150 = F.col("__v50") / F.col("__n50"), F.col("__v150") / F.col("__n150")
     mode = F.when(by_pattern, "pattern").when(rate50 >= 0.8, "accept_50").when((rate50 >= 0.5) & (rate150 >= 0.7), "accept_150").when(rate50 >= 0.5, "check_150").otherwise("check_500")
@@ -139,7 +182,7 @@ def plan_discovery(links: DataFrame, categories: DataFrame, most: int = 500, sit
     hit = F.lit(False)
     for k, (p, _) in enumerate(FIRST_PATTERNS):
         hit = F.when(F.col("__o") == k, F.col(url).rlike(p)).otherwise(hit)
-    rows = links.join(plans, site)
+    rows = join_few(links, plans, [site])
     keep = F.when(F.col("plan") == "pattern", hit).when(F.col("plan") == "deep", deep).otherwise(F.col("plan") == "all")
     columns = [*links.columns, "plan"]
     # the rank is only worked out where it is asked for

@@ -16,6 +16,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows that are broadcast to a larger frame (some tens of MB); more are joined by a shuffle.
+FEW = 200_000
+
+
+def join_few(rows: DataFrame, few: DataFrame, on: list[str], how: str = "inner", most: int = FEW) -> DataFrame:
+    """``rows`` joined with a frame that should be small: worked out once, counted, and broadcast up to ``most`` rows.
+
+    So a key that holds a large share of ``rows`` stays where it is. Beyond
+    ``most`` rows the keys are many, and the join is left to the planner.
+    """
+    held = cut(few)
+    return rows.join(F.broadcast(held) if held.count() <= most else held, on, how)
+
+
 def global_positions(df: DataFrame, order: list[Column], out: str = "position") -> DataFrame:
     """1-based positions by ``order``: ranges are dealt and numbered apart, a row for each range gives the offsets."""
     dealt = cut(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()))

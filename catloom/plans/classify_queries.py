@@ -146,6 +146,18 @@ def template_apply(spark, sf):
     return patterns.apply_templates(rows, patterns.learn_templates(rows), patterns.learn_segments(rows)).select("p_partkey", "matches")
 
 
+@query(
+    "template_prefixes",
+    f"""{SHOPS}, t AS (SELECT site, list_filter(string_split(regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '[^/]*\\d{{3,}}[^/]*', '<NUM>', 'g'), '/'), lambda x: x <> '') AS parts FROM l),
+    p AS (SELECT site, level, array_to_string(parts[1:level], '/') AS prefix FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS level FROM t)),
+    z AS (SELECT site, count(*) AS total FROM l GROUP BY site), c AS (SELECT site, level, prefix, count(*) AS n FROM p GROUP BY site, level, prefix)
+    SELECT site, CAST(level AS INT) AS level, prefix, n FROM c JOIN z USING (site) WHERE n >= greatest(2, 0.2 * total) AND total >= 3""",
+)
+def template_prefixes(spark, sf):
+    """The trie of each shop's path templates, counted level by level."""
+    return patterns.learn_prefixes(fixtures.shop_links(spark, sf))
+
+
 BUCKET = "CASE WHEN sl = 4 THEN 0 WHEN sl >= 5 THEN 1 WHEN sl = 3 THEN 2 ELSE 3 END"
 
 

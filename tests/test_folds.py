@@ -125,3 +125,51 @@ def test_entity_references(spark):
     got = {r.entity: (r.name, r.price and float(r.price), r.price_original and float(r.price_original)) for r in structured.cached_products(frame, "k", "v").collect()}
     assert got == {"Product:1": ("n", 3.5, 9.0), "Product:2": (None, None, None)}
     assert [r.entity for r in structured.priced_entities(frame, "k", "v").collect()] == ["$price"]
+
+
+def test_trailing_count_of_one_key_over_many_tasks(spark):
+    """The rows of one key in slices with halos, against plain counting; ties, gaps, no time, no key."""
+    import bisect
+    import random
+
+    rng = random.Random(2)
+    times = [rng.randrange(0, 3000) + rng.choice([0.0, 0.5]) for _ in range(800)] + [60.0] * 5 + [600.0, 1200.0, 599.999999, 540.0, -30.0, -700.0]
+    rows = [(k, rng.choice(["a", "b", None]), t) for k, t in enumerate(times)] + [(9000 + k, "a", None) for k in range(3)]
+    log = spark.createDataFrame(rows, "id long, user string, s double").withColumn("ts", F.timestamp_micros((F.col("s") * 1_000_000).cast("long")))
+    by = defaultdict(list)
+    for _, u, t in rows:
+        if t is not None:
+            by[u].append(t)
+    for v in by.values():
+        v.sort()
+    want = {i: 3 if t is None else bisect.bisect_right(by[u], t) - bisect.bisect_left(by[u], t - 60) for i, u, t in rows}
+    for spans in (1, 10):
+        for frame in (log, log.withColumn("ts", F.col("ts").cast("timestamp_ntz"))):
+            got = requests.trailing_count(frame, ["user"], spans=spans)
+            assert {r.id: r.in_window for r in got.collect()} == want and got.columns == [*frame.columns, "in_window"]
+
+
+def test_heavy_values_are_exact(spark):
+    """With few buckets that many values share, the result is the plain count's; a site of many paths shuffles few of them."""
+    import random
+
+    rng = random.Random(3)
+    rows = [(site, rng.choice(["a", "b"]) if rng.random() < p else f"x{rng.randrange(3000)}") for site, p, n in (("s", 0.6, 4000), ("t", 0.1, 500), ("u", 1, 2), ("v", 1, 3)) for _ in range(n)]
+    frame = spark.createDataFrame([(None, "a")] * 4 + rows, "site string, v string")
+    totals = patterns.site_counts(frame, "site", "__total")
+    counts, size = defaultdict(int), defaultdict(int)
+    for site, v in rows:
+        counts[site, v] += 1
+        size[site] += 1
+    want = {(s, v, n) for (s, v), n in counts.items() if n >= max(2, 0.2 * size[s]) and size[s] >= 3}
+    for buckets in (1, 7, 1024):
+        assert {tuple(r) for r in patterns.heavy(frame, totals, "v", 0.2, buckets=buckets).collect()} == want
+
+
+def test_few_rows_are_broadcast_and_many_are_not(spark):
+    from catloom.operators.ranks import join_few
+
+    rows, few = spark.range(1000).select((F.col("id") % 10).alias("k")), spark.range(10).select(F.col("id").alias("k"), F.lit(1).alias("v"))
+    for most, name in ((10, "BroadcastHashJoin"), (9, "Join")):
+        got = join_few(rows, few, ["k"], most=most)
+        assert got.count() == 1000 and name in got._jdf.queryExecution().executedPlan().toString()
