@@ -76,14 +76,15 @@ def product_like(url: Column) -> Column:
     return ~any_of(F.lower(url), NO_PRODUCT_MARKS) & own.contains("/") & strong
 
 
+#: Forms of a product, and pages that are none, of the simple rule (fixed values).
+SIMPLE_PRODUCT = r"/produtos?/|/products?/|/p/|-\d{3,}"
+SIMPLE_OTHER = r"/(categoria|category|blog|contato|contact|carrinho|cart|busca|search|login|account)/"
+
+
 def product_simple(url: Column) -> Column:
     """A product word or three digits after a hyphen, and neither a utility page nor a root."""
     low = F.lower(url)
-    return (
-        low.rlike(r"/produtos?/|/products?/|/p/|-\d{3,}")
-        & ~low.rlike(r"/(categoria|category|blog|contato|contact|carrinho|cart|busca|search|login|account)/")
-        & ~low.rlike(r"^https?://[^/]+/?$")
-    )
+    return low.rlike(SIMPLE_PRODUCT) & ~low.rlike(SIMPLE_OTHER) & ~low.rlike(r"^https?://[^/]+/?$")
 
 
 def product_allowed(url: Column, site: Column) -> Column:

@@ -68,6 +68,21 @@ def from_to(html: Column) -> Column:
     return F.struct(local_price(old).alias("original"), local_price(new).alias("price"))
 
 
+#: Two prices of a page, patterns tried in order, and one alone (fixed values).
+PAIR_RULES = {
+    "near": (r"(?is)de\s+R\$\s*([\d.,]+).*?por.*?R\$\s*([\d.,]+)", r"(?is)de\s+R\$\s*([\d.,]+).*?R\$\s*([\d.,]+)"),
+    "any": (r"(?is)de\s+R\$\s*([\d.,]+).*?por.*?R\$\s*([\d.,]+)", r"(?s)R\$\s*([\d.,]+).*?R\$\s*([\d.,]+)"),
+}
+ANY_PRICE = r"R\$\s*([\d.,]+)"
+
+
+def price_pair(html: Column, rule: str = "near") -> Column:
+    """``(original, price)`` as they stand: a price after ``de`` and one after ``por``, else, by ``near``, any price after that of ``de``, by ``any``, the first two of all; else the first price alone."""
+    found = [F.struct(F.regexp_extract(html, p, 1).alias("a"), F.regexp_extract(html, p, 2).alias("b")) for p in PAIR_RULES[rule]]
+    pair = F.coalesce(*[F.when(x["b"] != "", x) for x in found])
+    return F.struct(local_price(pair["a"]).alias("original"), local_price(F.coalesce(pair["b"], F.nullif(F.regexp_extract(html, ANY_PRICE, 1), F.lit("")))).alias("price"))
+
+
 def first_two(prices: Column) -> Column:
     """The first two prices: the larger is the original; one price has no original, equal ones neither."""
     two = F.slice(prices, 1, 2)

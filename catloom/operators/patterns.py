@@ -192,8 +192,11 @@ def plan_discovery(links: DataFrame, categories: DataFrame, most: int = 500, sit
 
 
 def hash_sample(links: DataFrame, url: str = "url", seed: int = 7, extra: int = 0) -> DataFrame:
-    """A deterministic sample: 1 % of the links, 5 at least and 10 at most, by a seeded hash of the URL; ``extra`` more where the first were too few."""
+    """A deterministic sample: 1 % of the links, 5 at least and 10 at most, by the MD5 of seed and URL; ``extra`` more where the first were too few.
+
+    Null URLs come last; repeated rows count each.
+    """
     total = links.agg(F.count(F.lit(1)).alias("__total"))
-    by_hash = links.withColumn("__h", F.xxhash64(F.lit(seed), F.col(url))).orderBy("__h", url).limit(10 + extra)
-    ranked = by_hash.withColumn("__r", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("__h", url)))
+    by_hash = links.withColumn("__h", F.md5(F.concat(F.lit(f"{seed}:"), F.col(url)).cast("binary"))).orderBy(F.col("__h").asc_nulls_last(), url).limit(10 + extra)
+    ranked = by_hash.withColumn("__r", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("__h").asc_nulls_last(), url)))
     return ranked.join(F.broadcast(total)).where(f"__r <= least(10, greatest(5, cast(__total * 0.01 AS int))) + {int(extra)}").drop("__h", "__r", "__total")

@@ -280,7 +280,7 @@ def marker_shares(spark, sf):
     )
 
 
-@query("hash_sample")
+@query("hash_sample", f"{SAMPLES} SELECT pos, url FROM u QUALIFY row_number() OVER (ORDER BY md5('7:' || url), url) <= least(10, greatest(5, CAST(floor(count(*) OVER () * 0.01) AS INT)))")
 def hash_sample(spark, sf):
     return patterns.hash_sample(samples(spark, sf)).select("pos", "url")
 

@@ -150,6 +150,45 @@ def price_choices(spark, sf):
     return rows.select("key", "f.original", "f.price", F.col("t.original").alias("top_original"), F.col("t.price").alias("top_price"), "lowest")
 
 
+@query(
+    "price_pairs",
+    f"""{P} SELECT key, CASE WHEN key % 5 < 2 THEN listed END AS near_original, CASE WHEN key % 5 IN (0, 1, 3) THEN price WHEN key % 5 = 2 THEN listed END AS near_price,
+     CASE WHEN key % 5 < 3 THEN listed END AS any_original, CASE WHEN key % 5 < 4 THEN price END AS any_price FROM p""",
+)
+def price_pairs(spark, sf):
+    """Two prices of a page by the nearer and the looser rule."""
+    k, price, listed = F.col("key") % 5, fixtures.local_text(F.col("price")), fixtures.local_text(F.col("listed"))
+    text = (
+        F.when(k == 0, F.concat(F.lit("<p>De R$ "), listed, F.lit("</p>\n<p>POR apenas R$ "), price, F.lit(" ou R$ 1,00</p>")))
+        .when(k == 1, F.concat(F.lit("<s>de  R$"), listed, F.lit("</s><b>R$ "), price, F.lit("</b>")))
+        .when(k == 2, F.concat(F.lit("<b>R$ "), listed, F.lit("</b><b>R$ "), price, F.lit("</b>")))
+        .when(k == 3, F.concat(F.lit("<b>R$ "), price, F.lit("</b>")))
+        .otherwise("<b>Sob consulta</b>")
+    )
+    pair = lambda rule: normalize.price_pair(F.col("t"), rule)
+    rows = fixtures.priced_parts(spark, sf).select("key", text.alias("t")).select("key", pair("near").alias("n"), pair("any").alias("a"))
+    return rows.select("key", F.col("n.original").alias("near_original"), F.col("n.price").alias("near_price"), F.col("a.original").alias("any_original"), F.col("a.price").alias("any_price"))
+
+
+@query("spec_tables", f"{P} SELECT key, unnest(['Cor', 'Marca', 'Peso']) AS name, unnest([CASE key % 2 WHEN 0 THEN 'azul' ELSE 'verde' END, brand, CAST(size AS VARCHAR) || ' kg: bruto']) AS value FROM p")
+def spec_tables(spark, sf):
+    """Specifications from rows of two cells and from list items; the later of equal keys wins, other rows count for nothing."""
+    colour = F.when(F.col("key") % 2 == 0, "azul").otherwise("verde")
+    html = F.concat(
+        F.lit("<table><tr><th>Cor</th><td>preta</td></tr><tr><td>Marca</td><td><b>"), F.col("brand"), F.lit("</b></td></tr><tr><td>a</td><td>b</td><td>c</td></tr><tr><td>Cor</td><td>"), colour,
+        F.lit("</td></tr></table><ul><li>Peso: "), F.col("size").cast("string"), F.lit(" kg: bruto</li><li>sem valor</li></ul>"),
+    )
+    rows = tags.tag_lists(fixtures.priced_parts(spark, sf).select("key", html.alias("html")), "key")
+    return rows.select(F.col("page").alias("key"), F.explode(tags.specs(F.col("tags"))).alias("name", "value"))
+
+
+@query("priced_entities", f"{P} SELECT key, '$Range:' || CAST(key AS VARCHAR) AS entity FROM p")
+def priced_entities(spark, sf):
+    """Entities of a page's cache whose key holds a word."""
+    rows = pages(spark, sf, "cache").select("key", structured.assigned_json(F.col("html"), r"window\.__STATE__").alias("v"))
+    return structured.priced_entities(rows, "key", "v", part="range").select("key", "entity")
+
+
 #: Price texts of several forms, as shared SQL.
 TEXTS = """SELECT p_partkey AS key, CASE p_partkey % 8 WHEN 0 THEN 'R$ 1.234,56' WHEN 1 THEN '177.37' WHEN 2 THEN '12,5' WHEN 3 THEN '1.234' WHEN 4 THEN '1.234.567' WHEN 5 THEN 'sob consulta' WHEN 6 THEN '' ELSE 'R$ 0,00 R$ 10,00' END AS t FROM {part}"""
 
@@ -368,6 +407,22 @@ def crawl_frontier(spark, sf):
     return crawl.reach(table(spark, sf, "customer").agg(F.max("c_custkey").alias("node")), edges)
 
 
+@query(
+    "crawl_limited",
+    """WITH RECURSIVE e AS (SELECT o_custkey AS src, o_custkey // 2 AS dst FROM orders UNION ALL SELECT o_custkey // 2, o_custkey // 3 FROM orders),
+    t(node, depth) AS (SELECT c_custkey, 0 FROM customer WHERE c_custkey % 40 = 1 UNION SELECT dst, depth + 1 FROM t JOIN e ON src = node WHERE dst <> src),
+    d AS (SELECT node, min(depth) AS depth FROM t GROUP BY node), n AS (SELECT depth, sum(count(*)) OVER (ORDER BY depth) AS reached FROM d GROUP BY depth)
+    SELECT node, depth FROM d WHERE depth <= coalesce((SELECT min(depth) FROM n WHERE reached >= 1.5 * (SELECT count(*) FROM customer WHERE c_custkey % 40 = 1) AND depth > 0), (SELECT max(depth) FROM d))""",
+)
+def crawl_limited(spark, sf):
+    """A crawl that starts no round once it has reached half as many nodes again as it began with."""
+    o = table(spark, sf, "orders")
+    half, third = F.floor(F.col("o_custkey") / 2), F.floor(F.col("o_custkey") / 3)
+    edges = o.select(F.col("o_custkey").alias("src"), half.alias("dst")).union(o.select(half, third))
+    seeds = table(spark, sf, "customer").where("c_custkey % 40 = 1").select(F.col("c_custkey").alias("node"))
+    return crawl.reach(seeds, edges, most_nodes=-(-3 * seeds.count() // 2))
+
+
 @query(
     "crawl_resumed",
     """WITH RECURSIVE e AS (SELECT o_custkey AS src, o_custkey // 2 AS dst, o_orderkey % 3 = 0 AS early FROM orders UNION ALL SELECT o_custkey // 2, o_custkey // 3, o_orderkey % 3 = 0 FROM orders),

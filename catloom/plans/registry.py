@@ -32,4 +32,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def load() -> None:
     """Import every module of queries."""
-    from catloom.plans import classify_queries, discovery_queries, file_queries, markup_queries, product_queries, request_queries, stream_queries, url_queries  # noqa: F401
+    from catloom.plans import classify_queries, discovery_queries, file_queries, markup_queries, product_queries, request_queries, sink_queries, stream_queries, url_queries  # noqa: F401

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from catloom.functions import urls
 from catloom.functions.normalize import shortened
 from catloom.operators.consolidate import ordered
 
@@ -28,9 +29,14 @@ def write_envelope(products: DataFrame, metrics: DataFrame, path: str) -> None:
     metrics.coalesce(1).write.json(f"{path}/metadata")
 
 
-def write_named(df: DataFrame, path: str, url: str = "url") -> None:
-    """CSV in a folder for each URL, named by it."""
-    flat(df).withColumn("file", safe_name(F.col(url))).write.option("header", True).partitionBy("file").csv(path)
+def write_named(df: DataFrame, path: str, url: str = "url", by: str = "url") -> None:
+    """CSV in a folder ``file=...`` named by each URL, or with ``by="site"`` by its site.
+
+    A folder for each URL is for a few captured addresses; sites are what a
+    large table is split by. A site's rows may be written by many tasks.
+    """
+    own = F.coalesce(urls.authority(F.col(url)), F.lit("")) if by == "site" else F.col(url)
+    flat(df).withColumn("file", safe_name(own)).write.option("header", True).partitionBy("file").csv(path)
 
 
 def observed(df: DataFrame, progress: Observation, ok: str) -> DataFrame:

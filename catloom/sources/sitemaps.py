@@ -113,28 +113,3 @@ def product_children(sitemaps: DataFrame, url: str = "url", body: str = "body")
 def is_gzip(path: Column, encoding: Column, head: Column) -> Column:
     """By name, by header, or by the first two bytes."""
     return path.endswith(".gz") | F.lower(F.coalesce(encoding, F.lit(""))).contains("gzip") | (F.hex(F.substring(head, 1, 2)) == "1F8B")
-
-
-def unzipped(bodies: DataFrame, key: str, content: str = "content") -> DataFrame:
-    """``key, body``: binary bodies as text, gzip opened; what can't be opened is null."""
-    import pyarrow as pa
-
-    from catloom.shipping import ship_package
-
-    ship_package(bodies.sparkSession)
-    kind = bodies.schema[key].dataType.simpleString()
-
-    def run(batches):
-        import gzip
-        import zlib
-
-        for batch in batches:
-            out = []
-            for raw in batch.column(1).to_pylist():
-                try:
-                    out.append(None if raw is None else (gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw).decode("utf-8", "replace"))
-                except (OSError, EOFError, zlib.error):
-                    out.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["key", "body"])
-
-    return bodies.select(key, content).mapInArrow(run, f"`{key}` {kind}, body string")

@@ -170,13 +170,6 @@ def test_sitemap_readers_agree(spark):
     assert one(spark, sitemaps.locs_by_pattern(F.col("t")), t=body) == [" http://a/1 ", "http://a/2"]
 
 
-def test_gzip_bodies(spark):
-    import gzip
-
-    rows = spark.createDataFrame([(1, bytearray(gzip.compress(b"<loc>x</loc>"))), (2, bytearray(b"plain")), (3, bytearray(b"\x1f\x8bbroken")), (4, None)], "k long, content binary")
-    assert {r.k: r.body for r in sitemaps.unzipped(rows, "k").withColumnRenamed("key", "k").collect()} == {1: "<loc>x</loc>", 2: "plain", 3: None, 4: None}
-
-
 def test_recursive_sql_gives_the_tree(spark):
     edges = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("d", "a")], "src string, dst string")
     seeds = spark.createDataFrame([("a",)], "node string")
