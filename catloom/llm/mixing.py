@@ -92,25 +92,28 @@ def fixed(weights: dict) -> dict:
 def exact_schedule(shares: dict, blocks: dict, first: int = 0) -> list[tuple]:
     """``(source, k, slot, release, deadline)`` of all blocks, earliest deadline first, from slot ``first`` on.
 
-    Sources that have run out keep their slots, which stay empty. Once a single
-    source is left, each of its blocks takes the last slot before its deadline.
+    A source that has run out asks for no more slots, and slots for which no
+    block is released yet stay empty and take no time. Once a single source is
+    left, each of its blocks takes the last slot before its deadline.
     """
     whole = sum(shares.values())
     order = sorted(shares, key=lambda s: (s is not None, str(s)))
-    later = [(0, i, 1) for i in range(len(order))]
+    later = [(0, i, 1) for i, s in enumerate(order) if blocks[s] > 0]
     ready: list[tuple[int, int, int, int]] = []
-    done, left, out, slot = {s: 0 for s in order}, sum(blocks[s] > 0 for s in order), [], 0
+    done, left, out, slot = {s: 0 for s in order}, len(later), [], 0
     while left > 1:
+        if not ready and later:
+            slot = max(slot, later[0][0])
         while later and later[0][0] <= slot:
             release, i, k = heapq.heappop(later)
             heapq.heappush(ready, (-(-k * whole // shares[order[i]]), i, k, release))
-        if ready:
-            due, i, k, release = heapq.heappop(ready)
-            s = order[i]
-            if k <= blocks[s]:
-                out.append((s, k, first + slot, first + release, first + due))
-                done[s] = k
-                left -= k == blocks[s]
+        due, i, k, release = heapq.heappop(ready)
+        s = order[i]
+        out.append((s, k, first + slot, first + release, first + due))
+        done[s] = k
+        if k == blocks[s]:
+            left -= 1
+        else:
             heapq.heappush(later, (k * whole // shares[s], i, k + 1))
         slot += 1
     for s in order:
