@@ -7,7 +7,9 @@ grouping key is the hash together with the text itself, so two texts that
 collide fall into two groups: the grouping compares their bytes. Copies are
 combined in the map tasks before the shuffle, so a group that holds a third of
 all rows leaves each map task as one row. Only groups of two rows or more are
-joined back, by MD5 and SHA-256 of the text, without the text.
+joined back, by MD5 and SHA-256 of the text, without the text: those with more
+than ``HOT`` of all rows, which are few, by broadcast, the others by a shuffle
+that deals the rows of the hot ones evenly.
 
 Defined cases: a null text counts as empty, and all empty texts are copies of
 each other; a null id never wins over an id, and a group of null ids keeps
@@ -23,6 +25,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from catloom.llm.common import HOT, stash
+
 
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only."""
@@ -49,12 +53,21 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     rows = docs.select(F.struct("*").alias("__row"), F.col(id_col).alias("__id"), norm.alias("__t")).select(
         "__row", "__id", F.md5(F.col("__t").cast("binary")).alias("h"), F.sha2(F.col("__t").cast("binary"), 256).alias("s")
     )
-    multi = F.col("__group_size").isNotNull()
-    return rows.join(groups, ["h", "s"], "left").select(
+    groups = stash(groups, "groups")
+    least = docs.count() * HOT
+    hot = groups.where(F.col("__group_size") > least).select(F.col("h").alias("hot_h"), F.col("s").alias("hot_s"), F.struct("__keep_id", "__group_size").alias("hot"))
+    # at most 1 / HOT groups can be hot
+    near = rows.join(F.broadcast(hot), (F.col("h") == F.col("hot_h")) & (F.col("s") == F.col("hot_s")), "left")
+    # rows that have found their group are dealt by themselves and meet none
+    near = near.withColumn("__at", F.when(F.col("hot").isNull(), F.col("h")).otherwise(F.concat(F.lit("-"), F.xxhash64("__row").cast("string"))))
+    cold = groups.where(F.col("__group_size") <= least).select(F.col("h").alias("__at"), F.col("s"), F.struct("__keep_id", "__group_size").alias("cold"))
+    found = near.join(cold, ["__at", "s"], "left").withColumn("__found", F.coalesce("hot", "cold"))
+    multi = F.col("__found").isNotNull()
+    return found.select(
         "__row",
-        F.when(multi, F.col("__keep_id")).otherwise(F.col("__id")).alias("__keep_id"),
-        F.coalesce("__group_size", F.lit(1)).cast("long").alias("__group_size"),
-        F.when(multi, F.col("__id").eqNullSafe(F.col("__keep_id"))).otherwise(True).alias("__kept"),
+        F.when(multi, F.col("__found.__keep_id")).otherwise(F.col("__id")).alias("__keep_id"),
+        F.coalesce("__found.__group_size", F.lit(1)).cast("long").alias("__group_size"),
+        F.when(multi, F.col("__id").eqNullSafe(F.col("__found.__keep_id"))).otherwise(True).alias("__kept"),
         F.col("s").alias("__sha256"),
     )
 

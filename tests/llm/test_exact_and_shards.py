@@ -123,3 +123,18 @@ def test_the_descent_is_not_one_draw_of_all_shards(spark):
     flat = {k: min(range(24), key=lambda s: draw(k, 3, s, 1.0)) for k in range(2000)}
     got = placed(spark, Tree.of((1.0,) * 24))
     assert sum(got[k] != flat[k] for k in flat) > 1500
+
+
+def test_a_third_of_all_rows_in_one_group(spark):
+    """The hot group's rows stay where they are or are dealt evenly, with adaptive skew splitting off."""
+    rows = [(i, "Hot text") for i in range(3000)] + [(3000 + i, f"text {i // 2}") for i in range(6000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = exact_groups(frame, keep="max")
+        parts = [n for n in found.rdd.mapPartitions(lambda p: [sum(1 for _ in p)]).collect() if n]
+        got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in found.collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert got == {i: (2999, 3000, i == 2999) if i < 3000 else (3001 + (i - 3000) // 2 * 2, 2, i % 2 == 1) for i, _ in rows}
+    assert max(parts) < 2 * sorted(parts)[len(parts) // 2]
