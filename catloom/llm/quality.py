@@ -9,9 +9,10 @@ difference ``(good - bad) / (good + bad)`` over the whole text becomes a
 probability by logistic regression on the calibration part.
 
 ``fit_rows`` (default 6,000) bounds the sample for each label, taken by a hash
-of the id. What comes to the driver of a sampled text is ``FIT_PARTS`` parts of
-``BLOCK`` characters, spread evenly over the whole of it (a text within that
-length comes whole), so the sample has at most 200 MB whatever the texts.
+of the id; ``fit_blocks`` (default 12,000, some 25 MB) the blocks of a label's
+dictionary, drawn by hash over all blocks of the sampled texts, whole ones
+however long. Dictionaries and calibrating differences are worked out from
+whole texts in the tasks; the driver gets blocks and pairs of numbers.
 
 Defined cases: a null or empty text has the difference 0 and so the score of
 that difference; without rows of both labels every score is the share of label
@@ -33,34 +34,37 @@ from catloom.shipping import ship_package
 
 FIT_ROWS = 6_000
 BLOCK = 2_048
-FIT_PARTS = 4
+FIT_BLOCKS = 12_000
 DICTIONARY = 112_640
 LEVEL = 3
 _loaded: dict[int, tuple] = {}
 
 
-def dictionary(texts: list[list[str]]) -> bytes:
-    """A zstandard dictionary of the texts' parts; their tail as it is where training has too little to go on."""
+def dictionary(samples: list[bytes]) -> bytes:
+    """A zstandard dictionary of blocks; their tail as it is where training has too little to go on."""
     import zstandard
 
-    samples = [b for parts in texts for b in blocks(parts)]
     try:
         return zstandard.train_dictionary(DICTIONARY, samples, level=LEVEL).as_bytes()
     except zstandard.ZstdError:
         return b"".join(samples)[-DICTIONARY:]
 
 
-def blocks(parts: list[str]) -> list[bytes]:
-    """The bytes of each part, cut into blocks."""
-    raw = [t.encode("utf-8", "surrogatepass") for t in parts]
-    return [r[i : i + BLOCK] for r in raw for i in range(0, len(r), BLOCK)]
+def blocks(text: str) -> list[bytes]:
+    """The bytes of a text, cut into blocks."""
+    raw = text.encode("utf-8", "surrogatepass")
+    return [raw[i : i + BLOCK] for i in range(0, len(raw), BLOCK)]
 
 
-def spread_parts(text: Column) -> Column:
-    """The whole text, or ``FIT_PARTS`` parts of ``BLOCK`` characters from its first to its last."""
-    size = F.length(text)
-    starts = [F.floor((size - BLOCK) * k / (FIT_PARTS - 1)).cast("int") + 1 for k in range(FIT_PARTS)]
-    return F.when(size <= FIT_PARTS * BLOCK, F.array(text)).otherwise(F.array(*[F.substring(text, at, F.lit(BLOCK)) for at in starts]))
+def _blocks(batches):
+    import pyarrow as pa
+
+    for batch in batches:
+        for y, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            raw = blocks(text.as_py())
+            for at in range(0, len(raw), 4096):
+                part = raw[at : at + 4096]
+                yield pa.RecordBatch.from_arrays([pa.array([y] * len(part), pa.int32()), pa.array(part, pa.binary())], names=["y", "block"])
 
 
 def compressors(good: bytes, bad: bytes) -> tuple:
@@ -74,9 +78,9 @@ def compressors(good: bytes, bad: bytes) -> tuple:
     return tuple(out)
 
 
-def difference(parts: list[str], pair: tuple) -> float:
-    """Above 0 if the dictionary of bad text compresses the parts of a text better; 0 without any text."""
-    raw = blocks(parts)
+def difference(text: str, pair: tuple) -> float:
+    """Above 0 if the dictionary of bad text compresses a text better; 0 without any text."""
+    raw = blocks(text)
     if not raw:
         return 0.0
     good, bad = (sum(len(c.compress(b)) for b in raw) for c in pair)
@@ -91,13 +95,16 @@ class Model:
     base: float
     ident: int = field(default_factory=lambda: int(np.random.SeedSequence().entropy % (1 << 62)))
 
-    def scores(self, texts) -> np.ndarray:
-        if not self.good or not self.bad:
-            return np.full(len(texts), 1 / (1 + np.exp(-self.base)))
+    def differences(self, texts) -> np.ndarray:
         if self.ident not in _loaded:
             _loaded.clear()
             _loaded[self.ident] = compressors(self.good, self.bad)
-        x = np.array([difference([t or ""], _loaded[self.ident]) for t in texts], dtype=float)
+        return np.array([difference(t or "", _loaded[self.ident]) for t in texts], dtype=float)
+
+    def scores(self, texts) -> np.ndarray:
+        if not self.good or not self.bad:
+            return np.full(len(texts), 1 / (1 + np.exp(-self.base)))
+        x = self.differences(texts)
         return 1 / (1 + np.exp(-np.clip(self.base + self.slope * x, -50, 50)))
 
 
@@ -120,7 +127,7 @@ def calibrated(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0] / scale), float(w[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_blocks: int = FIT_BLOCKS) -> Model:
     """Learn from a bounded sample of ``labels(doc_id, quality)`` outside the held-out fold."""
     known = (
         labels.where("doc_id IS NOT NULL AND quality IN (0, 1)")
@@ -133,25 +140,41 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     share = F.when(F.col("y") == 1, F.lit(fit_rows / max(1, sizes.get(1, 0)))).otherwise(F.lit(fit_rows / max(1, sizes.get(0, 0))))
     # twice fit_rows ids at most on average, whatever the size of the tables
     sample = known.where(draw < share).withColumnRenamed("doc_id", "__id")
+    spark = docs.sparkSession
+    ship_package(spark)
     rows = (
         docs.select(F.col("doc_id"), F.col("text").alias("t"))
         .where(F.length("t") > 0)
         .join(F.broadcast(sample), F.col("doc_id") == F.col("__id"))
-        .select(spread_parts(F.col("t")).alias("parts"), "y", F.pmod(F.xxhash64("__id", F.lit("part")), F.lit(2)).alias("part"))
-        .toArrow()
+        .select("t", "y", F.pmod(F.xxhash64("__id", F.lit("part")), F.lit(2)).alias("part"))
     )
-    text, y, part = rows.column("parts").to_pylist(), rows.column("y").to_numpy().astype(int), rows.column("part").to_numpy()
-    order = sorted(range(len(text)), key=lambda i: (text[i], y[i]))
-    chosen = [[text[i] for i in order if y[i] == label and part[i] == 0] for label in (0, 1)]
+    made = rows.where("part = 0").select("y", "t").mapInArrow(_blocks, "y int, block binary")
+
+    def chosen(label: int) -> list[bytes]:
+        drawn = made.where(F.col("y") == label).orderBy(F.xxhash64("block"), "block").limit(fit_blocks).select("block").toArrow()
+        return drawn.column("block").to_pylist()
+
+    bad_blocks, good_blocks = chosen(0), chosen(1)
     total = sum(sizes.values())
     prior = (sizes.get(1, 0) + 1) / (total + 2)
-    if not chosen[0] or not chosen[1]:
+    if not bad_blocks or not good_blocks:
         return Model(b"", b"", 0.0, float(np.log(prior / (1 - prior))))
-    bad, good = dictionary(chosen[0]), dictionary(chosen[1])
-    pair = compressors(good, bad)
-    rest = [i for i in order if part[i] == 1]
-    slope, base = calibrated(np.array([difference(text[i], pair) for i in rest]), y[rest])
-    return Model(good, bad, slope, base)
+    model = Model(dictionary(good_blocks), dictionary(bad_blocks), 0.0, 0.0)
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def differences(texts):
+        import pandas as pd
+
+        return pd.Series(shared.value.differences(texts))
+
+    pairs = rows.where("part = 1").select(differences("t").alias("x"), "y").toArrow()
+    # the sums go by value, so that the order of tasks changes nothing
+    found = sorted(zip(pairs.column("x").to_pylist(), pairs.column("y").to_pylist(), strict=True))
+    shared.destroy()
+    x, y = np.array([a for a, _ in found], dtype=float), np.array([b for _, b in found], dtype=int)
+    model.slope, model.base = calibrated(x, y)
+    return model
 
 
 def score_quality(docs: DataFrame, model: Model) -> DataFrame:

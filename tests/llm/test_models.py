@@ -113,9 +113,16 @@ def test_sizes_and_calibration_by_brute_force(spark):
 
 
 def test_long_texts_are_learned_from(spark):
-    from pyspark.sql import functions as F
+    """Blocks come from whole texts: a text's only telling passage is learnt wherever it stands in it."""
+    import random
 
-    text = "".join(chr(97 + k % 26) for k in range(1_000_000))
-    parts = spark.createDataFrame([(text,), ("short",)], "t string").select(quality.spread_parts(F.col("t")).alias("p")).collect()
-    assert [len(x) for x in parts[0].p] == [quality.BLOCK] * quality.FIT_PARTS and parts[0].p[0] == text[: quality.BLOCK] and parts[0].p[-1] == text[-quality.BLOCK :]
-    assert parts[1].p == ["short"]
+    draw = random.Random(3)
+    noise = lambda n: " ".join(f"w{draw.randrange(10**6)}" for _ in range(n))
+    rows = [(i, noise(3000) + (" lantern meadow harbour winter" if i % 2 else " click cheap buy free now") * 300 + noise(3000), i % 2) for i in range(40)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    model = quality.fit(docs, spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id long, quality int"))
+    assert b"lantern meadow" in model.good and b"click cheap" in model.bad and b"lantern" not in model.bad
+    asked = spark.createDataFrame([(1, "lantern meadow harbour winter " * 20), (2, "click cheap buy free now " * 20)], "doc_id long, text string")
+    scores = {r.doc_id: r.score for r in quality.score_quality(asked, model).collect()}
+    assert scores[1] > 0.5 > scores[2]
+    assert quality.blocks("é" * 3000)[0] == ("é" * 1024).encode() and quality.blocks("") == []
