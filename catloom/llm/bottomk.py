@@ -41,6 +41,7 @@ import math
 from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,8 +58,10 @@ WIDE = 256
 SLACK = 0.13
 #: Rounds of stars before the pairs across components.
 STARS = 2
-#: Members of a list that one task joins with as many others.
-LIST_BLOCK = 512
+#: Members of a longer list that one task compares with as many others.
+LIST_BLOCK = 2048
+#: Members of a list that is joined with itself as it is.
+FEW = 48
 MAX_BATCH_IDS = 1 << 18
 
 
@@ -156,23 +159,95 @@ def _estimated(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> Dat
 def _across(rows: DataFrame, suspects: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
     """``a, b``: pairs of one list with different labels and alike sketches, each from their first common list.
 
-    A list is dealt into blocks of ``LIST_BLOCK`` members and joined by pairs of
-    blocks, so no task holds a long list.
+    Lists within ``FEW`` members are joined with themselves. A longer list is
+    dealt into blocks of ``LIST_BLOCK`` members, and each pair of blocks is one
+    group of bounded size that compares its members as two matrices.
     """
     sketch = _sketches(sets)
-    blocks = rows.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / LIST_BLOCK).cast("int").alias("blocks"))
-    dealt = rows.join(blocks, "v").withColumn("block", F.pmod(F.xxhash64("node", "v"), "blocks").cast("int"))
-    wide = dealt.join(suspects.select("node", "prefix"), "node").join(sketch, "node")
-    paired = wide.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "v", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "n", "c", "prefix", "sketch"
-    )
-    a, b = paired.alias("a"), paired.alias("b")
-    same = (F.col("a.v") == F.col("b.v")) & (F.col("a.lo") == F.col("b.lo")) & (F.col("a.hi") == F.col("b.hi"))
-    once = (F.col("a.c") < F.col("b.c")) & (F.col("a.lo") == F.col("a.hi")) | (F.col("a.c") != F.col("b.c")) & (F.col("a.block") < F.col("b.block"))
+    lengths = rows.groupBy("v").agg(F.count(F.lit(1)).alias("members"))
+    wide = rows.join(lengths, "v").join(suspects.select("node", "prefix"), "node").join(sketch, "node")
+    few = wide.where(F.col("members") <= FEW).select("v", "node", "n", "c", "prefix", "sketch")
+    a, b = few.alias("a"), few.alias("b")
     first = F.array_min(F.array_intersect("a.prefix", "b.prefix")) == F.col("a.v")
-    sizes = F.expr(_close("a.n", "b.n", share))
-    near = F.when(sizes & first, _alike("a.sketch", "b.sketch", share)).otherwise(False)
-    return a.join(b, same & once & near).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+    near = F.when(F.expr(_close("a.n", "b.n", share)) & first, _alike("a.sketch", "b.sketch", share)).otherwise(False)
+    short = a.join(b, (F.col("a.v") == F.col("b.v")) & (F.col("a.c") < F.col("b.c")) & near).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+
+    blocks = F.ceil(F.col("members") / LIST_BLOCK).cast("int")
+    dealt = wide.where(F.col("members") > FEW).withColumn("block", F.pmod(F.xxhash64("node", "v"), blocks).cast("int"))
+    paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select(
+        "v", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "n", "prefix", "sketch",
+        F.col("node.rep").alias("rep"), F.col("node.k1").alias("k1"), F.col("c.rep").alias("crep"), F.col("c.k1").alias("ck1"),
+    )
+    found = paired.groupBy("v", "lo", "hi").applyInArrow(_compared(share), "arep long, ak1 long, brep long, bk1 long")
+    struct = lambda x: F.struct(F.col(f"{x}rep").alias("rep"), F.col(f"{x}k1").alias("k1"))
+    return short.union(found.select(struct("a").alias("a"), struct("b").alias("b")))
+
+
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many values each list on the left has in common with each on the right; lists have no value twice."""
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    sides = []
+    for own in (left, right):
+        sizes = [len(x) for x in own]
+        sides.append((np.concatenate(own) if own else np.zeros(0, dtype=np.int64), np.repeat(np.arange(len(own)), sizes)))
+    both = np.intersect1d(sides[0][0], sides[1][0])
+    for lo in range(0, len(both), 1024):
+        part = both[lo : lo + 1024]
+        ones = []
+        for (values, owner), own in zip(sides, (left, right), strict=True):
+            at = np.minimum(np.searchsorted(part, values), len(part) - 1)
+            hit = part[at] == values
+            matrix = np.zeros((len(own), len(part)), dtype=np.float32)
+            matrix[owner[hit], at[hit]] = 1
+            ones.append(matrix)
+        out += ones[0] @ ones[1].T
+    return out
+
+
+def _similar(x: np.ndarray, y: np.ndarray, share: tuple[int, int]) -> bool:
+    """``_alike`` for two sketches."""
+    union, inner = np.union1d(x, y), np.intersect1d(x, y)
+    if len(union) <= WIDE:
+        return (len(inner) + 1) * share[1] >= len(union) * share[0]
+    return np.count_nonzero(inner <= union[WIDE - 1]) >= (share[0] / share[1] - SLACK) * WIDE
+
+
+def _compared(share: tuple[int, int]) -> Callable[[pa.Table], pa.Table]:
+    """The alike pairs between two blocks of a list, or inside one, by matrices of common values."""
+
+    def run(table: pa.Table) -> pa.Table:
+        v, lo, hi = (table[c][0].as_py() for c in ("v", "lo", "hi"))
+        block, n, label, label2, rep, k1 = (table[c].to_numpy() for c in ("block", "n", "crep", "ck1", "rep", "k1"))
+
+        def lists(column: str, rows: np.ndarray, below: int | None = None) -> list[np.ndarray]:
+            own = table[column].combine_chunks()
+            offsets, values = own.offsets.to_numpy(), own.values.to_numpy()
+            found = [np.unique(values[offsets[r] : offsets[r + 1]]) for r in rows]
+            return found if below is None else [x[x < below] for x in found]
+
+        left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+        a, b = n[left][:, None].astype(np.int64), n[right][None, :].astype(np.int64)
+        open_ = share[1] * np.minimum(a, b) >= share[0] * np.maximum(a, b)
+        open_ &= (label[left][:, None] != label[right][None, :]) | (label2[left][:, None] != label2[right][None, :])
+        if lo == hi:
+            open_ = np.triu(open_, 1)
+        if open_.any():
+            # pairs with a smaller common value in their prefixes are compared in its list
+            open_ &= _common(lists("prefix", left, v), lists("prefix", right, v)) == 0
+        i = j = np.zeros(0, dtype=np.int64)
+        if open_.any():
+            x, y = lists("sketch", left), lists("sketch", right)
+            inner = _common(x, y)
+            union = np.array([len(s) for s in x])[:, None] + np.array([len(s) for s in y])[None, :] - inner
+            # what is in both of the whole sketches is no less than what is in both of the smallest
+            enough = np.where(union <= WIDE, (inner + 1) * share[1] >= union * share[0], inner >= (share[0] / share[1] - SLACK) * WIDE)
+            i, j = np.nonzero(open_ & enough)
+            kept = np.array([_similar(x[p], y[q], share) for p, q in zip(i, j, strict=True)], dtype=bool)
+            i, j = i[kept], j[kept]
+        i, j = left[i], right[j]
+        return pa.table({"arep": rep[i], "ak1": k1[i], "brep": rep[j], "bk1": k1[j]})
+
+    return run
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:

@@ -110,6 +110,7 @@ def test_long_lists_are_joined_by_blocks(spark, monkeypatch):
     from catloom.llm import bottomk
 
     monkeypatch.setattr(bottomk, "LIST_BLOCK", 3)
+    monkeypatch.setattr(bottomk, "FEW", 2)
     monkeypatch.setattr(bottomk, "STARS", 1)
     draw = random.Random(4)
     seed = ["".join(draw.choices("abcdefgh", k=5)) for _ in range(120)]
@@ -122,6 +123,34 @@ def test_long_lists_are_joined_by_blocks(spark, monkeypatch):
     check(spark.createDataFrame(rows, "doc_id long, text string"))
 
 
+def test_documents_that_share_most_without_linking(spark):
+    """A passage of 70 % in every document: all meet in a few lists, few link, and the comparison is by blocks of matrices."""
+    import time
+
+    draw = random.Random(8)
+    common = ["".join(draw.choices("abcdefgh", k=6)) for _ in range(150)]
+    rows = []
+    for k in range(1500):
+        own = [f"w{k if k % 50 else k + 1}x{j}" for j in range(60)]
+        rows.append((k, " ".join(common + own)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    began = time.time()
+    got = {r.doc_id: r.component_id for r in near_duplicates(frame).collect()}
+    assert got == {k: k - 1 if k % 50 == 1 else k for k, _ in rows}
+    assert time.time() - began < 300
+
+
+def test_matrices_count_common_values():
+    import numpy as np
+
+    from catloom.llm import bottomk
+
+    rng = np.random.default_rng(3)
+    lists = [np.unique(rng.integers(0, 4000, rng.integers(0, 900))) for _ in range(40)] + [np.zeros(0, dtype=np.int64)]
+    got = bottomk._common(lists[:25], lists[20:])
+    assert got.tolist() == [[len(np.intersect1d(x, y)) for y in lists[20:]] for x in lists[:25]]
+
+
 def test_components_with_hubs(spark):
     from catloom.llm.common import components
 
