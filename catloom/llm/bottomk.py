@@ -31,8 +31,9 @@ share a hash with a chance of about 1e-11 even at 20,000 words each.
 
 Defined cases: a null or empty text has an empty set, which links with nothing;
 a row without id links with nothing and has a null component; rows that repeat
-an id are judged each by its own text; an empty table gives an empty result;
-columns other than id and text are ignored.
+an id are judged each by its own text; texts of any length count whole; lists
+and leaders that tie go by hash and change no component; an empty table gives
+an empty result; columns other than id and text are ignored.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ that deals the rows of the hot ones evenly.
 Defined cases: a null text counts as empty, and all empty texts are copies of
 each other; a null id never wins over an id, and a group of null ids keeps
 null; rows that repeat both id and text are one document and share its
-verdict; an empty table gives an empty result; other columns are carried or
+verdict; texts of any length are compared whole; an empty table gives an empty
+result; other columns are carried or
 ignored whatever their names.
 """
 

@@ -15,7 +15,8 @@ others the same number. The priors come from all rows. Everything is scored.
 Defined cases: a null text or one without letters is ``und`` with score 0; if
 there is nothing to learn from every text is ``und``; null languages are not
 learned; languages that tie go to the first in alphabetical order; repeated
-rows are scored each; an empty table gives an empty result; other columns are
+rows are scored each; texts of any length count whole; an empty table gives an
+empty result; other columns are
 carried or ignored whatever their names.
 """
 

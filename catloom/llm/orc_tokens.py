@@ -15,7 +15,8 @@ has the rules ``RULES``. Whole texts go to the library for any other.
 
 Defined cases: a null or empty text has its end id alone; rows that repeat an
 id stand next to each other, in the order of their texts; a null id comes
-first; an empty table gives an empty result; other columns are ignored.
+first; texts of any length are encoded whole; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations

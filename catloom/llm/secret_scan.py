@@ -29,8 +29,10 @@ matches of their patterns, of a least length. The battery adds spans:
    collected p-values.
 
 Offsets are code points, end exclusive. Defined cases: a null or empty text has
-no span; equal candidates count once; an empty table gives an empty
-result; columns other than id and text are ignored.
+no span; texts of any length are searched whole; spans that tie in a place go
+by kind; equal candidates count once in the control; repeated rows and rows
+without id are searched each; an empty table gives an empty result; columns
+other than id and text are ignored.
 """
 
 from __future__ import annotations
