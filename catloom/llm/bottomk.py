@@ -290,6 +290,9 @@ def near_duplicates(
         .select(F.struct("rep", "k1").alias("node"), "n", "k1", "k2", "copies", "sketch")
     )
     classes = stash(classes, "classes")
+    # from here on the sketches of copies are not needed, and further down no sketch is
+    slim_rows = stash(sketched.select("doc_id", "n", "k1", "k2"), "sizes")
+    discard(sketched)
 
     values = classes.select("node", F.explode("sketch").alias("v"))
     shared = values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
@@ -300,6 +303,8 @@ def near_duplicates(
         classes.join(listed, "node").where(room > 0).select("node", "n", F.transform(F.slice("hits", 1, room.cast("int")), lambda h: h["v"]).alias("prefix")),
         "suspects",
     )
+    vertices = stash(classes.drop("sketch"), "vertices")
+    discard(classes)
     lists = suspects.select("node", "n", F.explode("prefix").alias("v"))
     wanted = suspects.select(F.col("node.rep").alias("doc_id")).distinct()
     full = slim.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id", "t"]).mapInArrow(_emit(words, k, True), SCHEMA)
@@ -320,10 +325,9 @@ def near_duplicates(
     joined = stash(components(reduce(DataFrame.union, links)), "joined")
     discard(suspects, sets, across, *links, *([] if labels is None else [labels]))
 
-    placed = stash(classes.join(joined, "node", "left").select("n", "k1", "k2", "copies", F.coalesce("component.rep", "node.rep").alias("c")), "placed")
-    slim_rows = sketched.select("doc_id", "n", "k1", "k2")
+    placed = stash(vertices.join(joined, "node", "left").select("n", "k1", "k2", "copies", F.coalesce("component.rep", "node.rep").alias("c")), "placed")
     linked = F.col("doc_id").isNotNull() & (F.col("n") > 0)
-    grouped = join_by_key(slim_rows.where(linked), placed, ["n", "k1", "k2"], "copies", sketched.count())
+    grouped = join_by_key(slim_rows.where(linked), placed, ["n", "k1", "k2"], "copies", slim_rows.count())
     rows = grouped.select("doc_id", "n", F.col("c").alias("component_id")).union(slim_rows.where(~linked).select("doc_id", "n", "doc_id"))
     return rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
