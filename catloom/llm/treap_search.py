@@ -52,7 +52,7 @@ PATTERN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 TERM = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 BREAK = re.compile(rb"[^0-9A-Za-z\x80-\xff]")
 #: Bytes of text in a segment (one document may have more), and of a text that are cut into terms at once.
-SEGMENT = 4 << 20
+SEGMENT = 8 << 20
 WINDOW = 1 << 20
 #: Queries of one broadcast, and intervals of one step.
 ITEMS = 1000
@@ -178,7 +178,7 @@ def build_index(docs: DataFrame, documents: int, terms: int, id_col: str = "doc_
     ship_package(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
     made = rows.mapInArrow(_segments(size, documents, terms), SEGMENTS)
-    return stash(made, "treaps", "zstd", {"parquet.block.size": str(8 << 20)})
+    return stash(made, "treaps", "zstd", {"parquet.block.size": str(32 << 20)})
 
 
 class Search:
