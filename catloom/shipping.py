@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
 import zipfile
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
 _sent: set[str] = set()
@@ -26,3 +28,12 @@ def ship_package(spark: SparkSession) -> None:
                     z.write(path, os.path.relpath(path, os.path.dirname(home)))
     sc.addPyFile(out)
     _sent.add(sc.applicationId)
+
+
+def by_value(name: str) -> None:
+    """Send a module's classes and functions as they are, not by name.
+
+    Spark also runs Python beside the driver, for planning sources and stateful
+    operators, in processes that get neither the driver's path nor the shipped files.
+    """
+    cloudpickle.register_pickle_by_value(sys.modules[name])

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
-from catloom.shipping import ship_package
+from catloom.shipping import by_value, ship_package
 
 SCHEMA = "site string, url string, status int, body string"
 NO_SITE = "__HIVE_DEFAULT_PARTITION__"
@@ -160,6 +160,7 @@ class Captures(DataSource):
 def register(spark: SparkSession) -> None:
     """Make the format known to a session."""
     ship_package(spark)
+    by_value(__name__)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(Captures)
 

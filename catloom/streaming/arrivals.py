@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from catloom.shipping import ship_package
+from catloom.shipping import by_value, ship_package
 
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -47,6 +47,7 @@ def first_in_window(stream: DataFrame, key: str, ts: str = "ts", seconds: int =
     """
     spark = stream.sparkSession
     ship_package(spark)
+    by_value(__name__)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
     kind = stream.schema[key].dataType.simpleString()
     width = int(seconds)
