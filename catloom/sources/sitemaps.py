@@ -72,7 +72,9 @@ def is_index(body: Column) -> Column:
 
 def edges(sitemaps: DataFrame, url: str = "url", body: str = "body") -> DataFrame:
     """``src, dst, kind``: an index leads to sitemaps, a sitemap to pages."""
-    rows = sitemaps.select(F.col(url).alias("src"), is_index(F.col(body)).alias("index"), F.explode(F.array_distinct(locs(F.col(body)))).alias("dst"))
+    # a body is read once; what stands beside an explode is worked out for each of its rows
+    read = sitemaps.select(F.col(url).alias("src"), is_index(F.col(body)).alias("index"), locs(F.col(body)).alias("locs"))
+    rows = read.select("src", "index", F.explode(F.array_distinct("locs")).alias("dst"))
     kind = F.when(F.col("index") | F.col("dst").rlike(r"\.xml(\.gz)?$"), F.lit("sitemap")).otherwise(F.lit("page"))
     return rows.select("src", "dst", kind.alias("kind"))
 

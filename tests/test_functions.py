@@ -261,3 +261,12 @@ def test_payload_search_stops_at_its_level(spark):
     rows = spark.createDataFrame([(1, body), (2, "no json"), (3, None)], "k long, t string").select("k", F.try_parse_json("t").alias("v"))
     got = sorted(tuple(r) for r in structured.payload_products(rows, "k", "v").select("k", "level", "name", "price_raw").collect())
     assert got == [(1, 0, "top", "1"), (1, 2, "two", "2.5"), (1, 3, "third", "3")]
+
+
+def test_a_sitemap_body_is_not_repeated_for_its_entries(spark):
+    """Above the explode stands nothing that reads a body, so the work is linear in it."""
+    rows = spark.createDataFrame([("i", "<sitemapindex><loc>s</loc></sitemapindex>"), ("s", "<urlset><loc>p</loc><loc>p</loc><loc>q.xml</loc></urlset>"), ("n", None)], "url string, body string")
+    found = sitemaps.edges(rows)
+    assert sorted(tuple(r) for r in found.collect()) == [("i", "s", "sitemap"), ("s", "p", "page"), ("s", "q.xml", "sitemap")]
+    above = found._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]
+    assert "sitemapindex" not in above and "body" not in above
