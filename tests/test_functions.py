@@ -270,3 +270,14 @@ def test_a_sitemap_body_is_not_repeated_for_its_entries(spark):
     assert sorted(tuple(r) for r in found.collect()) == [("i", "s", "sitemap"), ("s", "p", "page"), ("s", "q.xml", "sitemap")]
     above = found._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]
     assert "sitemapindex" not in above and "body" not in above
+
+
+def test_one_level_reads_a_body_once_for_each_use(spark):
+    rows = spark.createDataFrame(
+        [("i", "<sitemapindex><loc>products.xml</loc><loc>other.xml</loc></sitemapindex>"), ("products.xml", "<urlset><loc>a</loc><loc>a</loc></urlset>"), ("other.xml", "<urlset><loc>b</loc><loc>c/p</loc></urlset>"), ("lone", "<urlset><loc>d</loc></urlset>")],
+        "url string, body string",
+    )
+    found = sitemaps.one_level(rows)
+    assert sorted(tuple(r) for r in found.collect()) == [("i", "a"), ("i", "c/p"), ("lone", "d")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("sitemapindex" in branch.split("Generate")[0] for branch in plan.split("LogicalRDD"))
