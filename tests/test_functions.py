@@ -281,3 +281,18 @@ def test_one_level_reads_a_body_once_for_each_use(spark):
     assert sorted(tuple(r) for r in found.collect()) == [("i", "a"), ("i", "c/p"), ("lone", "d")]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert not any("sitemapindex" in branch.split("Generate")[0] for branch in plan.split("LogicalRDD"))
+
+
+def test_page_headings_like_its_sql(spark, tmp_path):
+    """References stay as they stand but for two, also cut ones; pages without a heading give an empty one, null pages null."""
+    import duckdb
+
+    from catloom.plans import registry
+
+    registry.load()
+    pages = ["<h1>a &quot;b&amp;c&amp</h1><a href=x>", "<h1> &copy; &lt;b&gt;  x </h1><a x><a y>", "<H1>no</H1>", "<h1 class=x>no</h1>", "<h1>a\n<b>c</b></h1>", "", None]
+    spark.createDataFrame([(i, f"u{i}", p) for i, p in enumerate(pages)], "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = sorted(db.execute(registry.ORACLE_SQL["page_headings"]).fetchall())
+    assert sorted(tuple(r) for r in registry.QUERIES["page_headings"](spark, str(tmp_path)).collect()) == want
