@@ -296,3 +296,20 @@ def test_page_headings_like_its_sql(spark, tmp_path):
     db.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
     want = sorted(db.execute(registry.ORACLE_SQL["page_headings"]).fetchall())
     assert sorted(tuple(r) for r in registry.QUERIES["page_headings"](spark, str(tmp_path)).collect()) == want
+
+
+def test_a_small_frontier_does_not_shuffle_the_edges(spark, monkeypatch):
+    plans, cut = [], crawl.cut
+    monkeypatch.setattr(crawl, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    monkeypatch.setattr(crawl, "FEW", 3)
+    edges = spark.createDataFrame([(0, i) for i in range(1, 6)] + [(i, 9) for i in range(1, 6)] + [(9, 0), (None, 1)], "src long, dst long")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {(r.node, r.depth) for r in crawl.reach(spark.createDataFrame([(0,)], "node long"), edges).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert got == {(0, 0), (9, 2)} | {(i, 1) for i in range(1, 6)}
+    joins = [(p.count("BroadcastHashJoin"), p.count("SortMergeJoin") + p.count("ShuffledHashJoin")) for p in plans if "Join" in p]
+    # a frontier of one node and then of five; the visited set is too large from the second round on
+    assert joins[:3] == [(2, 0), (0, 2), (1, 1)]
