@@ -60,7 +60,7 @@ def read_sites(pages: DataFrame | Callable[[list[str] | None], DataFrame], route
 
 @reader("jsonld")
 def jsonld(pages: DataFrame) -> DataFrame:
-    found = pages.withColumn("__p", structured.product_in_row(F.col("body")))
+    found = pages.withColumn("__p", structured.product_in_row(F.col("body"), "name", "price"))
     return found.select(*_others(pages), F.col("__p.name").alias("name"), F.col("__p.price").alias("price"))
 
 

@@ -61,37 +61,43 @@ def images(node: Column) -> Column:
     return F.coalesce(many, F.when(one.isNotNull(), F.array(one)), F.array().cast("array<string>"))
 
 
-def product_fields(node: Column) -> Column:
-    """All fields of a product node as one struct."""
+def product_columns(node: Column, *names: str) -> list[Column]:
+    """The fields of a product node: those named, all if none is."""
     first = F.coalesce(F.try_element_at(F.try_variant_get(node, "$.offers", "array<variant>"), F.lit(1)), F.try_variant_get(node, "$.offers", "variant"))
     low, high = text_at(first, "$.lowPrice", "$.price"), text_at(first, "$.highPrice")
     price, top = normalize.clean_price(low), normalize.clean_price(high)
     stock = text_at(first, "$.availability")
     level = F.try_variant_get(first, "$.inventoryLevel.value", "double")
-    return F.struct(
-        text_at(node, "$.name").alias("name"),
-        text_at(node, "$.brand.name", "$.brand").alias("brand"),
-        text_at(node, "$.sku", "$.mpn").alias("sku"),
-        text_at(node, "$.gtin13", "$.gtin", "$.gtin14", "$.gtin8").alias("ean"),
-        normalize.clean_price(offer_price(node)).alias("price"),
-        offer_price(node).alias("price_raw"),
-        normalize.original_price(price, top).alias("price_original"),
-        F.coalesce(text_at(first, "$.priceCurrency"), F.lit("BRL")).alias("currency"),
-        normalize.availability(stock).alias("available"),
-        level.cast("int").alias("stock_qty"),
-        text_at(first, "$.inventoryLevel.value", "$.inventoryLevel").alias("stock_level"),
-        images(node).alias("images"),
-        text_at(node, "$.description").alias("description"),
-        text_at(node, "$.category").alias("category"),
-        text_at(node, "$.url", "$.offers.url", "$.mainEntityOfPage['@id']", "$.mainEntityOfPage").alias("own_url"),
-        text_at(node, "$.offers.url").alias("offer_url"),
-    )
+    fields = {
+        "name": text_at(node, "$.name"),
+        "brand": text_at(node, "$.brand.name", "$.brand"),
+        "sku": text_at(node, "$.sku", "$.mpn"),
+        "ean": text_at(node, "$.gtin13", "$.gtin", "$.gtin14", "$.gtin8"),
+        "price": normalize.clean_price(offer_price(node)),
+        "price_raw": offer_price(node),
+        "price_original": normalize.original_price(price, top),
+        "currency": F.coalesce(text_at(first, "$.priceCurrency"), F.lit("BRL")),
+        "available": normalize.availability(stock),
+        "stock_qty": level.cast("int"),
+        "stock_level": text_at(first, "$.inventoryLevel.value", "$.inventoryLevel"),
+        "images": images(node),
+        "description": text_at(node, "$.description"),
+        "category": text_at(node, "$.category"),
+        "own_url": text_at(node, "$.url", "$.offers.url", "$.mainEntityOfPage['@id']", "$.mainEntityOfPage"),
+        "offer_url": text_at(node, "$.offers.url"),
+    }
+    return [fields[n].alias(n) for n in names or fields]
+
+
+def product_fields(node: Column, *names: str) -> Column:
+    """The same as one struct. A struct is worked out whole where two of its fields are used; columns are not."""
+    return F.struct(*product_columns(node, *names))
 
 
 def jsonld_products(pages: DataFrame, key: str, html: str = "html", types: tuple[str, ...] = PRODUCT_TYPES) -> DataFrame:
     """``key, script, item`` and the fields of every product of a page."""
     found = jsonld_items(pages, key, html).where(is_product(F.col("node"), types))
-    return found.select(key, "script", "item", product_fields(F.col("node")).alias("p")).select(key, "script", "item", "p.*")
+    return found.select(key, "script", "item", *product_columns(F.col("node")))
 
 
 def opened(v: Column, graph: bool = True) -> Column:
@@ -106,31 +112,47 @@ def nodes_in_row(html: Column, graph: bool = True) -> Column:
     return F.flatten(F.transform(F.filter(parsed, lambda v: v.isNotNull()), lambda v: opened(v, graph)))
 
 
-def product_in_row(html: Column, types: tuple[str, ...] = PRODUCT_TYPES) -> Column:
-    """Fields of the first product of a page's JSON-LD, worked out inside the row; null without one."""
-    products = F.filter(nodes_in_row(html), lambda n: is_product(n, types))
-    return F.try_element_at(F.transform(F.slice(products, 1, 1), product_fields), F.lit(1))
+def products_in_row(html: Column, types: tuple[str, ...] = PRODUCT_TYPES) -> Column:
+    """The product nodes of a page's JSON-LD, in order."""
+    return F.filter(nodes_in_row(html), lambda n: is_product(n, types))
+
+
+def product_in_row(html: Column, *names: str) -> Column:
+    """Fields of the first product of a page's JSON-LD, worked out inside the row; null without one. Only those named, all if none is."""
+    return F.try_element_at(F.transform(F.slice(products_in_row(html), 1, 1), lambda n: product_fields(n, *names)), F.lit(1))
+
+
+def first_product(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
+    """``key`` and the fields of the first product of each page; pages without one are left out.
+
+    A page is read once, and only the fields that are asked for are worked out:
+    a test on what was read would read it again, and a lambda works out all.
+    """
+    found = pages.select(key, F.explode(F.slice(products_in_row(F.col(html)), 1, 1)).alias("node"))
+    return found.select(key, *product_columns(F.col("node")))
 
 
-def matched_in_row(html: Column, url: Column, types: tuple[str, ...] = PRODUCT_TYPES) -> Column:
-    """``match_rank`` and fields of the product that stands for its page: offer URL, own URL, SKU among the URL's digits, else the first.
+def matched_product(pages: DataFrame, key: str, url: str = "url", html: str = "html", types: tuple[str, ...] = PRODUCT_TYPES) -> DataFrame:
+    """``key, match_rank`` and the fields of the product that stands for each page; pages without one are left out.
 
-    Null without a product; of equal ranks the first in the page counts.
+    Ranks: offer URL, own URL, SKU among the URL's digits, else the first; of equal ranks the first in the page counts.
     """
     same = lambda own, key: F.coalesce(urls.compare_key(own) == key, F.lit(False))
 
-    def ranked(p: Column, i: Column, page: Column) -> Column:
-        rank = F.when(same(p["offer_url"], page["key"]), 1).when(same(p["own_url"], page["key"]), 2).when(F.coalesce(p["sku"] == page["id"], F.lit(False)), 3).otherwise(4)
-        return F.struct(rank.alias("match_rank"), i.alias("at"), p.alias("p"))
+    def ranked(n: Column, i: Column, page: Column) -> Column:
+        def rank(p: Column) -> Column:
+            return F.when(same(p["offer_url"], page["key"]), 1).when(same(p["own_url"], page["key"]), 2).when(F.coalesce(p["sku"] == page["id"], F.lit(False)), 3).otherwise(4)
 
-    fields = F.transform(F.filter(nodes_in_row(html), lambda n: is_product(n, types)), product_fields)
-    page = F.struct(urls.compare_key(url).alias("key"), urls.trailing_id(url).alias("id"))
-    return bound(page, lambda own: F.array_min(F.transform(fields, lambda p, i: ranked(p, i, own))))
+        return F.struct(bound(product_fields(n, "offer_url", "own_url", "sku"), rank).alias("match_rank"), i.alias("at"))
 
+    def best(nodes: Column, page: Column) -> Column:
+        least = F.array_min(F.transform(nodes, lambda n, i: ranked(n, i, page)))
+        return bound(least, lambda b: F.transform(F.slice(nodes, b["at"] + 1, 1), lambda n: F.struct(b["match_rank"].alias("match_rank"), n.alias("node"))))
 
-def matched_product(pages: DataFrame, key: str, url: str = "url", html: str = "html") -> DataFrame:
-    """``key, match_rank`` and the fields of the product that stands for each page; pages without one are left out."""
-    return pages.select(key, matched_in_row(F.col(html), F.col(url)).alias("m")).where("m IS NOT NULL").select(key, "m.match_rank", "m.p.*")
+    page = F.struct(urls.compare_key(F.col(url)).alias("key"), urls.trailing_id(F.col(url)).alias("id"))
+    one = bound(products_in_row(F.col(html), types), lambda nodes: bound(page, lambda own: best(nodes, own)))
+    found = pages.select(key, F.explode(one).alias("m"))
+    return found.select(key, "m.match_rank", *product_columns(F.col("m.node")))
 
 
 def members(v: Column) -> Column:

@@ -102,7 +102,7 @@ MONEY = normalize.MONEY
 def readers(spark, sf):
     """What each reader finds in the mixed pages, worked out in the row of the page."""
     h, none, no_price = F.col("html"), F.lit(None).cast("string"), F.lit(None).cast(MONEY)
-    ld, og, payload, api = structured.product_in_row(h), structured.opengraph(h), structured.payload_fields(structured.hydration(h)), structured.api_product(F.col("api"))
+    ld, og, payload, api = structured.product_in_row(h, "name", "price", "images"), structured.opengraph(h), structured.payload_fields(structured.hydration(h)), structured.api_product(F.col("api"))
     heading = F.nullif(F.regexp_extract(h, r"(?is)<h1[^>]*>(.*?)</h1>", 1), F.lit(""))
     price = normalize.clean_price(F.nullif(F.regexp_extract(h, markup.TAGGED_PRICE, 1), F.lit("")))
 

@@ -313,3 +313,32 @@ def test_a_small_frontier_does_not_shuffle_the_edges(spark, monkeypatch):
     joins = [(p.count("BroadcastHashJoin"), p.count("SortMergeJoin") + p.count("ShuffledHashJoin")) for p in plans if "Join" in p]
     # a frontier of one node and then of five; the visited set is too large from the second round on
     assert joins[:3] == [(2, 0), (0, 2), (1, 1)]
+
+
+def test_first_product_reads_a_page_once(spark):
+    """One parse, and only the fields that are asked for; what is no product is left out."""
+    page = '<script type="application/ld+json">[{"@type":"Thing","name":"t"},{"@type":"Product","name":"a","sku":"1","offers":{"price":"5"}},{"@type":"Product","name":"b"}]</script>'
+    rows = spark.createDataFrame([(1, page), (2, "<h1>x</h1>"), (3, None), (4, '<script type="application/ld+json">{</script>')], "k long, html string")
+    found = structured.first_product(rows, "k").select("k", "name", "price")
+    assert [(r.k, r.name, str(r.price)) for r in found.collect()] == [(1, "a", "5.00")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(html") == 1 and "gtin13" not in plan
+
+
+def test_matched_product_reads_a_page_once(spark):
+    def page(*own):
+        return '<script type="application/ld+json">[' + ",".join(f'{{"@type":"Product",{x}}}' for x in own) + "]</script>"
+
+    rows = spark.createDataFrame(
+        [
+            (1, "https://a.com/x-77", page('"name":"a"', '"name":"b","sku":"77"', '"name":"c","url":"https://A.com/x-77/"', '"name":"d","offers":{"url":"https://a.com/x-77"}')),
+            (2, "https://a.com/x-77", page('"name":"a"', '"name":"b","sku":"77"', '"name":"c","sku":"77"')),
+            (3, None, page('"name":"a"', '"name":"b"')),
+            (4, "https://a.com/x-77", "<p>"),
+        ],
+        "k long, url string, html string",
+    )
+    found = structured.matched_product(rows, "k").select("k", "name", "match_rank")
+    assert sorted(tuple(r) for r in found.collect()) == [(1, "d", 1), (2, "b", 3), (3, "a", 4)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(html") == 1 and "gtin13" not in plan
