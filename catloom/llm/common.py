@@ -38,10 +38,13 @@ def stash(df: DataFrame, name: str = "stash", compression: str | None = None, op
 
     Cuts the lineage with files that outlive any executor, and keeps the
     compressed columnar form, so that it is smaller than a checkpointed RDD.
+    Row groups end by their size from the first row on: by default the writer
+    looks after a hundred rows, and rows of some MB would all be held, and read
+    back, as one group.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.options(**(options or {})).parquet(path, compression=compression)
+    df.write.options(**{"parquet.page.size.row.check.min": "1", **(options or {})}).parquet(path, compression=compression)
     again = spark.read.schema(df.schema).parquet(path)
     again._catloom_path = path
     return again

@@ -178,7 +178,7 @@ def build_index(docs: DataFrame, documents: int, terms: int, id_col: str = "doc_
     ship_package(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
     made = rows.mapInArrow(_segments(size, documents, terms), SEGMENTS)
-    return stash(made, "treaps", "zstd", {"parquet.block.size": str(32 << 20)})
+    return stash(made, "treaps", "zstd", {"parquet.block.size": str(16 << 20)})
 
 
 class Search:

@@ -112,3 +112,21 @@ def test_sql_says_the_same(docs, items):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     got = con.sql(f"SELECT item_id, rank, doc_id, score FROM ({OP12_SQL})").fetchall()
     assert sorted(map(tuple, got), key=str) == plain(docs.collect(), items.collect())
+
+
+def test_row_groups_end_by_size_whatever_the_number_of_rows(spark):
+    """A task's segments are not one row group: it would be held, and read back, whole."""
+    import glob
+
+    import pyarrow.parquet as pq
+    from pyspark.sql import functions as F
+
+    from catloom.llm.common import stash
+
+    rows = spark.range(40).coalesce(1).select("id", F.transform(F.sequence(F.lit(1), F.lit(50_000)), lambda x: F.xxhash64(x, "id")).alias("v"))
+    kept = stash(rows, "groups", "zstd", {"parquet.block.size": str(2 << 20)})
+    assert kept.agg(F.count("v"), F.sum(F.size("v"))).first() == (40, 2_000_000)
+    (file,) = glob.glob(kept._catloom_path.removeprefix("file://") + "/*.parquet")
+    found = pq.ParquetFile(file).metadata
+    groups = [found.row_group(i) for i in range(found.num_row_groups)]
+    assert len(groups) > 3 and all(g.total_byte_size < 8 << 20 for g in groups)
