@@ -14,24 +14,27 @@ from catloom.shipping import by_value, ship_package
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: Windows of a key that share a list of state: a list is read and extended once a batch, and stays this short.
+SPAN = 256
+
+
 class FirstInWindow(StatefulProcessor):
-    """Which windows of a key were seen; each is forgotten ``ttl_ms`` after it was."""
+    """Which windows of a key and span were seen; each is forgotten ``ttl_ms`` after it was."""
 
-    def __init__(self, key: str, ttl_ms: int | None):
+    def __init__(self, key: str, ttl_ms: int):
         self.key, self.ttl_ms = key, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getMapState("seen", "w long", "at long", self.ttl_ms)
+        self.seen = handle.getListState("seen", "w long", self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for frame in rows:
-            out = []
-            for w in frame.iloc[:, -1].drop_duplicates():
-                if not self.seen.containsKey((int(w),)):
-                    self.seen.updateValue((int(w),), (int(w),))
-                    out.append(int(w))
-            if out:
-                yield pd.DataFrame({self.key: [key[0]] * len(out), "window_s": out})
+        # each call of the state is a round trip to the JVM: two for a key and span, however many windows it has
+        asked = dict.fromkeys(int(w) for frame in rows for w in frame.iloc[:, -1].unique())
+        known = {w for (w,) in self.seen.get()}
+        out = [w for w in asked if w not in known]
+        if out:
+            self.seen.appendList([(w,) for w in out])
+            yield pd.DataFrame({self.key: [key[0]] * len(out), "window_s": out})
 
     def close(self) -> None:
         pass
@@ -55,6 +58,10 @@ def first_in_window(stream: DataFrame, key: str, ts: str = "ts", seconds: int =
     zoneless = stream.schema[ts].dataType.simpleString() == "timestamp_ntz"
     at = F.expr(f"timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', `{ts}`)") if zoneless else F.unix_seconds(F.col(ts))
     window = (F.floor(at / width) * width).cast("long")
-    rows = stream.where(F.col(ts).isNotNull()).select(F.col(key), window.alias("__w"))
-    processor = FirstInWindow(key, None if ttl_seconds is None else ttl_seconds * 1000)
-    return rows.groupBy(key).transformWithStateInPandas(processor, f"`{key}` {kind}, window_s long", "Append", "ProcessingTime" if ttl_seconds else "None")
+    span = F.floor(window / (width * SPAN)).alias("__span")
+    rows = stream.where(F.col(ts).isNotNull()).select(F.col(key), span, window.alias("__w"))
+    if ttl_seconds is None:
+        # nothing is forgotten: Spark's own state by key and window, without a round trip to Python
+        return rows.select(F.col(key), F.col("__w").alias("window_s")).dropDuplicates([key, "window_s"])
+    processor = FirstInWindow(key, ttl_seconds * 1000)
+    return rows.groupBy(key, "__span").transformWithStateInPandas(processor, f"`{key}` {kind}, window_s long", "Append", "ProcessingTime")

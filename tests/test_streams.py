@@ -114,3 +114,24 @@ def test_state_outlives_restarts(spark, tmp_path):
 
     assert put([("a", 5), ("a", 99), ("a", 100), ("b", 350), (None, 1), ("c", None)]) == [("", 0), ("a", 0), ("a", 100), ("b", 300)]
     assert put([("a", 7), ("b", 1), ("b", 399), (None, 2)]) == [("", 0), ("a", 0), ("a", 100), ("b", 0), ("b", 300)]
+
+
+def test_arrivals_with_and_without_ttl(spark, tmp_path):
+    """The same windows by Spark's state as by lists that are forgotten; without a time to live no row goes to Python."""
+    src = str(tmp_path / "in")
+    rows = [("a" if i % 3 else None, i * 37 % 5000) for i in range(400)]
+    frame = spark.createDataFrame(rows, "user string, s long").select("user", F.timestamp_seconds("s").alias("ts"))
+    frame.repartition(3).write.parquet(src)
+    stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    want = sorted({(u or "", s // 10 * 10) for u, s in rows})
+    for ttl in (None, 3600):
+        found = arrivals.first_in_window(stream, "user", "ts", 10, ttl)
+        assert ("TransformWithState" in found._jdf.queryExecution().analyzed().toString()) == (ttl is not None)
+        out = str(tmp_path / f"out{ttl}")
+        # a state that can run out asks for batches without data for ever
+        spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+        try:
+            epochs.write_epochs(found, out, str(tmp_path / f"state{ttl}"))
+        finally:
+            spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+        assert sorted((r.user or "", r.window_s) for r in epochs.read_epochs(spark, out, "user string, window_s long").collect()) == want
