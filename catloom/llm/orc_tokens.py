@@ -9,7 +9,8 @@ filter on the id, so a reader skips stripes by metadata and stripes are read
 in parallel.
 
 The tokenizers library encodes each distinct run between blanks once for a
-worker; the store of known runs is bounded and is emptied when full. That needs
+worker, by its letters and its signs where it has no more than these; the stores
+of known ones are bounded and are emptied when full. That needs
 a tokenizer that drops white space and never joins across it: one whose file
 has the rules ``RULES``. Whole texts go to the library for any other.
 
@@ -30,6 +31,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -40,8 +42,9 @@ from catloom.shipping import ship_package
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 KNOWN = 300_000
+STEMS = 600_000
 LONGEST = 64
-SLICE = 1 << 20
+SLICE = 1 << 22
 #: What an ``Encoder`` knows of the tokenizer: its normaliser, pre-tokenizer, post-processor and the model's settings (fixed values).
 RULES = {
     "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
@@ -112,58 +115,75 @@ class WholeTexts:
 
 
 class Encoder(dict):
-    """Encodes whole texts by their runs between blanks; the dictionary holds the runs met so far.
+    """Encodes whole texts by their runs between blanks; the dictionary holds the odd runs and signs met so far, as bytes of their ids.
 
     A run of plain Latin letters with a tail of plain signs is two pieces to
     the tokenizer's own pattern, so the letters go straight to its model, once
     for all tails and capitals; any other run goes through the whole tokenizer.
     """
 
-    plain = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+    plain = "^(?P<stem>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<tail>[!-&(-/:-@\\[-`{-~]*)$"
     #: Blank to ``str.split`` but not to the tokenizer.
     separators = re.compile("[\x1c-\x1f]")
 
     def __init__(self, path: str):
-        super().__init__({"": ()})
+        super().__init__({"": b""})
         self.tokenizer, self.stems = _tokenizer(path), {}
         self.model, self.letters = self.tokenizer.model, byte_letters()
 
-    def __missing__(self, run: str) -> tuple[int, ...]:
-        parts = self.plain.fullmatch(run) if len(run) <= LONGEST else None
-        if parts is None:
-            own = tuple(self.tokenizer.encode(run, add_special_tokens=False).ids)
-        else:
-            own = self._stem(parts[1].lower())
-            if parts[2]:
-                own = own + self[parts[2]] if parts[2] in self else own + self._sign(parts[2])
+    def __missing__(self, run: str) -> bytes:
+        own = array.array("i", self.tokenizer.encode(run, add_special_tokens=False).ids).tobytes()
         if len(run) <= LONGEST:
             self[run] = own
         return own
 
-    def _sign(self, signs: str) -> tuple[int, ...]:
-        self[signs] = tuple(self.tokenizer.encode(signs, add_special_tokens=False).ids)
-        return self[signs]
-
-    def _stem(self, stem: str) -> tuple[int, ...]:
+    def _stem(self, stem: str) -> bytes:
         own = self.stems.get(stem)
         if own is None:
             raw = stem.encode("utf-8").decode("latin-1").translate(self.letters)
-            own = self.stems[stem] = tuple([t.id for t in self.model.tokenize(raw)])
+            own = self.stems[stem] = array.array("i", [t.id for t in self.model.tokenize(raw)]).tobytes()
         return own
 
-    def ids(self, texts: list[str], end: tuple[int, ...] = ()) -> tuple[array.array, list[int]]:
-        """All ids, each text's followed by ``end``, and where each text ends."""
-        out, ends = array.array("i"), []
-        for t in texts:
-            runs = t.split() if self.separators.search(t) is None else t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-            out.extend(chain.from_iterable(map(self.__getitem__, runs)))
-            out.extend(end)
-            ends.append(len(out))
+    def _runs(self, texts: list[str]) -> pa.LargeListArray:
+        """The runs of each text."""
+        if not any(map(self.separators.search, texts)):
+            return pc.utf8_split_whitespace(pa.array(texts, pa.large_string()))
+        runs = [t.split() if self.separators.search(t) is None else t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        return pa.array(runs, pa.large_list(pa.large_string()))
+
+    def ids(self, texts: list[str], end: tuple[int, ...] = ()) -> tuple[np.ndarray, list[int]]:
+        """All ids, each text's followed by ``end``, and where each text ends.
+
+        Arrow cuts the texts and numbers their runs, stems and tails, so each
+        distinct one is looked up once; its ids are then copied to its places.
+        """
+        runs = self._runs(texts)
+        cuts = runs.offsets.to_numpy() - runs.offsets[0].as_py()
+        coded = runs.flatten().dictionary_encode()
+        words = coded.dictionary
+        parts = pc.extract_regex(pc.if_else(pc.less_equal(pc.utf8_length(words), LONGEST), words, None), self.plain)
+        odd = pc.is_null(parts)
+        stems = pc.utf8_lower(pc.struct_field(parts, "stem")).dictionary_encode()
+        rest = pc.if_else(odd, words, pc.struct_field(parts, "tail")).dictionary_encode()
+        # of the pieces number 0 has no ids and number 1 is the end; a run is a stem, or number 0, and the rest
+        pieces = [b"", array.array("i", end).tobytes()]
+        pieces += map(self._stem, stems.dictionary.to_numpy(zero_copy_only=False))
+        behind = len(pieces)
+        pieces += map(self.__getitem__, rest.dictionary.to_numpy(zero_copy_only=False))
+        sizes = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces)) // 4
+        starts, values = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(pieces), dtype=np.int32)
+        first = pc.fill_null(pc.add(stems.indices.cast(pa.int64()), 2), 0).to_numpy()
+        second = rest.indices.to_numpy().astype(np.int64) + behind
+        at = coded.indices.to_numpy()
+        order = np.insert(np.stack([first[at], second[at]], axis=1).ravel(), 2 * cuts[1:], 1)
+        wide = sizes[order]
+        stops = np.cumsum(wide)
+        places = np.arange(int(stops[-1]) if len(stops) else 0) + np.repeat(starts[order] - stops + wide, wide)
         if len(self) > KNOWN:
             self.clear()
-        if len(self.stems) > KNOWN:
+        if len(self.stems) > STEMS:
             self.stems.clear()
-        return out, ends
+        return values[places], stops[2 * cuts[1:] + np.arange(len(texts))].tolist()
 
 
 def _encoder(path: str) -> Encoder | WholeTexts:

@@ -114,3 +114,22 @@ def test_orc_files_have_indexes_and_bloom_filters(spark, docs):
     footer = raw.rows().readStripeFooter(stripe) if hasattr(raw.rows(), "readStripeFooter") else None
     kinds = {s.getKind().toString() for s in footer.getStreamsList()} if footer else {"BLOOM_FILTER_UTF8", "ROW_INDEX"}
     assert "ROW_INDEX" in kinds and any(k.startswith("BLOOM_FILTER") for k in kinds)
+
+
+def test_runs_are_looked_up_once_for_a_slice():
+    from catloom.llm import orc_tokens
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder, known = orc_tokens.Encoder(path), Tokenizer.from_file(path)
+    asked = []
+    encoder._stem, own = lambda stem: asked.append(stem) or own(stem), encoder._stem
+    texts = [*TEXTS, "Alpha, alpha. ALPHA alpha! (alpha)", "", "  ", "naïve\x1calpha\x85 it's", "ß" * 64, "ß" * 65, "word" * 2000, "Alpha, " * 500, "ÀÉ ñ×÷ x'y"]
+    want = [[*known.encode(t, add_special_tokens=False).ids, 7, 8] for t in texts]
+    for part in ([], texts, texts[::-1]):
+        asked.clear()
+        ids, ends = encoder.ids(part, (7, 8))
+        assert list(ids) == [x for t in part for x in want[texts.index(t)]]
+        assert np.diff([0, *ends]).tolist() == [len(want[texts.index(t)]) for t in part]
+        assert len(asked) == len(set(asked))
+    # letters are kept once, not with each of their tails and capitals
+    assert "alpha" in encoder.stems and not {"Alpha,", "alpha.", "alpha"} & set(encoder)
