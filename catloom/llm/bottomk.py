@@ -12,10 +12,11 @@
    ``size - least_overlap + 1`` rarest values need a list (the prefix rule,
    rarest first by the number of sketches that retain a value). Values of
    passages that many documents share are the least rare and drop out.
-3. Each list is a star at first: a leader, drawn by a hash of list and member,
-   against the others. A document of a large group of near copies so meets as
-   many leaders as it has lists, and the group is joined in a round or two, at
-   the cost of its list rows and not of its pairs. After ``STARS`` rounds,
+3. Each list is a star at first: a leader against the others. Leaders are drawn
+   by a hash of the member and of one of ``DRAWS`` numbers that the list has, so
+   lists with the same members mostly share one: a document of a large group of
+   near copies meets about ``DRAWS`` leaders, whatever the number of its lists,
+   and the group is joined in a round or two. After ``STARS`` rounds,
    each followed by labels of the least node within three hops, the lists that
    still hold several labels give the pairs of different labels; the join
    itself asks for alike sketches and for the pair's first common list, so it
@@ -57,8 +58,9 @@ DEVIATIONS = 4.6
 #: Length of the sketches that the estimate compares, and its slack: 4.8 standard deviations at the threshold.
 WIDE = 256
 SLACK = 0.13
-#: Rounds of stars before the pairs across components.
+#: Rounds of stars before the pairs across components, and the different draws of leaders in a round.
 STARS = 2
+DRAWS = 8
 #: Members of a longer list that one task compares with as many others.
 LIST_BLOCK = 2048
 #: Members of a list that is joined with itself as it is.
@@ -133,19 +135,23 @@ def _sketches(sets: DataFrame) -> DataFrame:
 
 
 def _placed(lists: DataFrame, joined: DataFrame | None) -> DataFrame:
-    """List rows ``node, n, v`` with ``c``, the component so far; only lists with several components."""
+    """List rows ``node, n, v`` with ``c``, the component so far, and ``members``, the length of the list; only lists with several components.
+
+    Stashed, as the plans on top use them several times over.
+    """
     rows = lists.withColumn("c", F.col("node")) if joined is None else lists.join(joined, "node", "left").select("node", "n", "v", F.coalesce("component", "node").alias("c"))
-    open_ = rows.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("v")
-    return rows.join(open_, "v")
+    open_ = rows.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("members")).where("lo <> hi").select("v", "members")
+    return stash(rows.join(open_, "v"), "lists")
 
 
 def _stars(rows: DataFrame, turn: int, share: tuple[int, int]) -> DataFrame:
     """``a, b``: each list's leader with its members of other components.
 
-    Leaders are drawn by a hash of list and node, so a document meets as many
-    different leaders as it has lists.
+    Leaders are drawn by a hash of node and one of ``DRAWS`` numbers, not by
+    list: a group that shares dozens of lists would give dozens of links a member.
     """
-    lead = rows.groupBy("v").agg(F.min_by(F.struct("node", "n", "c"), F.xxhash64("v", "node", F.lit(turn))).alias("lead"))
+    draw = F.xxhash64(F.pmod("v", F.lit(DRAWS)), "node", F.lit(turn))
+    lead = rows.groupBy("v").agg(F.min_by(F.struct("node", "n", "c"), draw).alias("lead"))
     pairs = rows.join(lead, "v").where("c <> lead.c").where(_close("n", "lead.n", share))
     return pairs.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
 
@@ -165,8 +171,7 @@ def _across(rows: DataFrame, suspects: DataFrame, sets: DataFrame, share: tuple[
     group of bounded size that compares its members as two matrices.
     """
     sketch = _sketches(sets)
-    lengths = rows.groupBy("v").agg(F.count(F.lit(1)).alias("members"))
-    wide = rows.join(lengths, "v").join(suspects.select("node", "prefix"), "node").join(sketch, "node")
+    wide = rows.join(suspects.select("node", "prefix"), "node").join(sketch, "node")
     few = wide.where(F.col("members") <= FEW).select("v", "node", "n", "c", "prefix", "sketch")
     a, b = few.alias("a"), few.alias("b")
     first = F.array_min(F.array_intersect("a.prefix", "b.prefix")) == F.col("a.v")
@@ -312,15 +317,18 @@ def near_duplicates(
 
     links, labels = [], None
     for turn in range(STARS):
-        pairs = _stars(_placed(lists, labels), turn, share)
-        new = stash(_verified(_estimated(pairs, sets, share), sets, share), "links")
+        placed = _placed(lists, labels)
+        new = stash(_verified(_estimated(_stars(placed, turn, share), sets, share), sets, share), "links")
+        discard(placed)
         links.append(new)
         if new.isEmpty():
             break
         if labels is not None:
             discard(labels)
         labels = _labels(reduce(DataFrame.union, links))
-    across = stash(_across(_placed(lists, labels), suspects, sets, share), "across")
+    placed = _placed(lists, labels)
+    across = stash(_across(placed, suspects, sets, share), "across")
+    discard(placed)
     links.append(stash(_verified(across, sets, share), "links"))
     joined = stash(components(reduce(DataFrame.union, links)), "joined")
     discard(suspects, sets, across, *links, *([] if labels is None else [labels]))

@@ -158,3 +158,18 @@ def test_components_with_hubs(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert all(got[i] == 0 for i in range(3000)) and all(got[5000 + i] == 5000 for i in range(41)) and len(got) == 3041
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_members_of_a_group_meet_few_leaders(spark):
+    """A group that shares all its lists gives a member as many links as there are draws, whatever the number of lists."""
+    from pyspark.sql import functions as F
+
+    from catloom.llm import bottomk
+
+    node = F.struct(F.col("id").alias("rep"), F.lit(0).cast("long").alias("k1"))
+    rows = spark.range(400).select(node.alias("node"), F.lit(100).alias("n"), F.explode(F.sequence(F.lit(1).cast("long"), F.lit(120).cast("long"))).alias("v"))
+    placed = bottomk._placed(rows, None)
+    assert placed.count() == 400 * 120 and placed.agg(F.min("members")).first()[0] == 400
+    assert 399 <= bottomk._stars(placed, 0, (75, 100)).count() <= 400 * bottomk.DRAWS
+    # what is used several times over is read from files
+    assert "Exchange" not in placed._jdf.queryExecution().executedPlan().toString()
