@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from catloom.functions import urls
@@ -85,12 +85,16 @@ def one_level(sitemaps: DataFrame, url: str = "url", body: str = "body") -> Data
     Children whose name has ``product`` give all their pages, the others only product forms.
     """
     own = edges(sitemaps, url, body)
-    child = own.where("kind = 'sitemap'").select(F.col("src").alias("root"), F.col("dst").alias("child"))
-    pages = own.where("kind = 'page'")
-    below = child.join(pages, child.child == pages.src).select("root", "child", F.col("dst").alias("loc"))
-    keep = F.lower("child").contains("product") | F.col("loc").rlike(r"/p$|/produto|/p/")
-    direct = pages.join(child.select(F.col("child").alias("src")), "src", "left_anti").select(F.col("src").alias("root"), F.col("dst").alias("loc"))
-    return below.where(keep).select("root", "loc").union(direct).distinct()
+    # the pages of a sitemap meet the links that lead to it, so that bodies are read once for both
+    key = F.when(F.col("kind") == "sitemap", F.col("dst")).otherwise(F.col("src"))
+    # structs, as a set of strings would drop a null URL
+    above = F.collect_set(F.when(F.col("kind") == "sitemap", F.struct("src"))).over(Window.partitionBy("key"))
+    pages = own.withColumn("key", key).withColumn("above", above).where("kind = 'page'")
+    # (?i) and not lower(), whose tables of case take seconds to load
+    keep = F.col("src").rlike("(?i)product") | F.col("dst").rlike(r"/p$|/produto|/p/")
+    below = pages.where((F.size("above") == 0) | keep)
+    roots = F.when(F.size("above") == 0, F.array(F.struct("src"))).otherwise(F.col("above"))
+    return below.select(F.explode(roots).alias("root"), F.col("dst").alias("loc")).select("root.src", "loc").toDF("root", "loc").distinct()
 
 
 def first_child(sitemaps: DataFrame, url: str = "url", body: str = "body", least_slashes: int = 4) -> DataFrame:

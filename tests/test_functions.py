@@ -283,6 +283,16 @@ def test_one_level_reads_a_body_once_for_each_use(spark):
     assert not any("sitemapindex" in branch.split("Generate")[0] for branch in plan.split("LogicalRDD"))
 
 
+def test_one_level_reads_bodies_once_in_all(spark):
+    """A child of two indexes goes to both, a sitemap that leads to itself is its own child, and a null URL is a root like others."""
+    rows = spark.createDataFrame(
+        [("i", "<sitemapindex><loc>x/PRODUCTS.xml</loc><loc>gone.xml</loc></sitemapindex>"), ("j", "<sitemapindex><loc>x/PRODUCTS.xml</loc></sitemapindex>"), (None, "<sitemapindex><loc>x/PRODUCTS.xml</loc></sitemapindex>"), ("x/PRODUCTS.xml", "<urlset><loc>a</loc><loc>a</loc></urlset>"), ("self.xml", "<urlset><loc>self.xml</loc><loc>b</loc><loc>c/p</loc></urlset>"), (None, "<urlset><loc>d</loc></urlset>"), ("n", None)],
+        "url string, body string",
+    )
+    found = sitemaps.one_level(rows)
+    assert sorted((tuple(r) for r in found.collect()), key=str) == sorted([("i", "a"), ("j", "a"), (None, "a"), ("self.xml", "c/p"), (None, "d")], key=str)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+
 def test_page_headings_like_its_sql(spark, tmp_path):
     """References stay as they stand but for two, also cut ones; pages without a heading give an empty one, null pages null."""
     import duckdb
