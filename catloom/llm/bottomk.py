@@ -141,7 +141,7 @@ def _placed(lists: DataFrame, joined: DataFrame | None) -> DataFrame:
     """
     rows = lists.withColumn("c", F.col("node")) if joined is None else lists.join(joined, "node", "left").select("node", "n", "v", F.coalesce("component", "node").alias("c"))
     open_ = rows.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("members")).where("lo <> hi").select("v", "members")
-    return stash(rows.join(open_, "v"), "lists")
+    return stash(rows.join(open_, "v"), "lists", narrow=True)
 
 
 def _stars(rows: DataFrame, turn: int, share: tuple[int, int]) -> DataFrame:
@@ -275,7 +275,7 @@ def _labels(links: DataFrame, hops: int = 3) -> DataFrame:
     for _ in range(hops - 1):
         near = both.join(out, both.v == out.node).groupBy("u").agg(F.min("component").alias("c"))
         out = near.select(F.col("u").alias("node"), F.least("c", "u").alias("component"))
-    return stash(out, "labels")
+    return stash(out, "labels", narrow=True)
 
 
 def near_duplicates(
@@ -296,7 +296,7 @@ def near_duplicates(
     )
     classes = stash(classes, "classes")
     # from here on the sketches of copies are not needed, and further down no sketch is
-    slim_rows = stash(sketched.select("doc_id", "n", "k1", "k2"), "sizes")
+    slim_rows = stash(sketched.select("doc_id", "n", "k1", "k2"), "sizes", narrow=True)
     discard(sketched)
 
     values = classes.select("node", F.explode("sketch").alias("v"))
@@ -308,7 +308,7 @@ def near_duplicates(
         classes.join(listed, "node").where(room > 0).select("node", "n", F.transform(F.slice("hits", 1, room.cast("int")), lambda h: h["v"]).alias("prefix")),
         "suspects",
     )
-    vertices = stash(classes.drop("sketch"), "vertices")
+    vertices = stash(classes.drop("sketch"), "vertices", narrow=True)
     discard(classes)
     lists = suspects.select("node", "n", F.explode("prefix").alias("v"))
     wanted = suspects.select(F.col("node.rep").alias("doc_id")).distinct()
@@ -318,7 +318,7 @@ def near_duplicates(
     links, labels = [], None
     for turn in range(STARS):
         placed = _placed(lists, labels)
-        new = stash(_verified(_estimated(_stars(placed, turn, share), sets, share), sets, share), "links")
+        new = stash(_verified(_estimated(_stars(placed, turn, share), sets, share), sets, share), "links", narrow=True)
         discard(placed)
         links.append(new)
         if new.isEmpty():
@@ -327,13 +327,13 @@ def near_duplicates(
             discard(labels)
         labels = _labels(reduce(DataFrame.union, links))
     placed = _placed(lists, labels)
-    across = stash(_across(placed, suspects, sets, share), "across")
+    across = stash(_across(placed, suspects, sets, share), "across", narrow=True)
     discard(placed)
-    links.append(stash(_verified(across, sets, share), "links"))
-    joined = stash(components(reduce(DataFrame.union, links)), "joined")
+    links.append(stash(_verified(across, sets, share), "links", narrow=True))
+    joined = stash(components(reduce(DataFrame.union, links)), "joined", narrow=True)
     discard(suspects, sets, across, *links, *([] if labels is None else [labels]))
 
-    placed = stash(vertices.join(joined, "node", "left").select("n", "k1", "k2", "copies", F.coalesce("component.rep", "node.rep").alias("c")), "placed")
+    placed = stash(vertices.join(joined, "node", "left").select("n", "k1", "k2", "copies", F.coalesce("component.rep", "node.rep").alias("c")), "placed", narrow=True)
     linked = F.col("doc_id").isNotNull() & (F.col("n") > 0)
     grouped = join_by_key(slim_rows.where(linked), placed, ["n", "k1", "k2"], "copies", slim_rows.count())
     rows = grouped.select("doc_id", "n", F.col("c").alias("component_id")).union(slim_rows.where(~linked).select("doc_id", "n", "doc_id"))

@@ -33,7 +33,7 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stash(df: DataFrame, name: str = "stash", compression: str | None = None, options: dict[str, str] | None = None) -> DataFrame:
+def stash(df: DataFrame, name: str = "stash", compression: str | None = None, options: dict[str, str] | None = None, narrow: bool = False) -> DataFrame:
     """Write a frame to the shared folder and read it back.
 
     Cuts the lineage with files that outlive any executor, and keeps the
@@ -41,9 +41,16 @@ def stash(df: DataFrame, name: str = "stash", compression: str | None = None, op
     Row groups end by their size from the first row on: by default the writer
     looks after a hundred rows, and rows of some MB would all be held, and read
     back, as one group.
+
+    ``narrow``: rows of a few numbers go to a file for each core, and not for
+    each shuffle partition. Where Hadoop's native library is missing, its local
+    file system starts a chmod process for each file and folder that it makes,
+    which for a moment counts as a second executor of the same memory.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
+    if narrow:
+        df = df.repartition(spark.sparkContext.defaultParallelism)
     df.write.options(**{"parquet.page.size.row.check.min": "1", **(options or {})}).parquet(path, compression=compression)
     again = spark.read.schema(df.schema).parquet(path)
     again._catloom_path = path
@@ -107,7 +114,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     frame gives an empty result; nodes without an edge are not in the result;
     null nodes have no edges, repeated edges count once.
     """
-    stars = stash(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    stars = stash(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges", narrow=True)
 
     def state(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first())
@@ -117,11 +124,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         both = stars.union(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
         near = join_by_key(both, least, ["u"], "n", 2 * seen[0])
-        large = stash(near.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
+        large = stash(near.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large", narrow=True)
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
         joined = join_by_key(large, least, ["u"], "n", seen[0])
         small = joined.select(F.greatest("v", "m").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        after = stash(small.where("u <> v").distinct(), "small")
+        after = stash(small.where("u <> v").distinct(), "small", narrow=True)
         discard(stars, large)
         now, stars = state(after), after
         if now == seen:

@@ -173,3 +173,20 @@ def test_members_of_a_group_meet_few_leaders(spark):
     assert 399 <= bottomk._stars(placed, 0, (75, 100)).count() <= 400 * bottomk.DRAWS
     # what is used several times over is read from files
     assert "Exchange" not in placed._jdf.queryExecution().executedPlan().toString()
+
+
+def test_components_write_a_file_for_each_core(spark):
+    """Whatever the number of shuffle partitions: each file costs a process where Hadoop's native library is missing."""
+    from catloom.llm.common import components
+
+    held = {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        found = components(spark.range(400).selectExpr("id AS u", "id - id % 4 AS v"))
+        assert {(r["node"], r["component"]) for r in found.collect()} == {(i, i - i % 4) for i in range(400)}
+        assert len(found.inputFiles()) <= spark.sparkContext.defaultParallelism
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
