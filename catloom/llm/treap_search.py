@@ -40,6 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -51,6 +52,9 @@ from catloom.shipping import ship_package
 PATTERN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 TERM = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 BREAK = re.compile(rb"[^0-9A-Za-z\x80-\xff]")
+#: Whether a byte is in a term, by its value; and the texts that are counted at once.
+IN_TERM = np.array([bool(TERM.match(bytes([b]))) for b in range(256)])
+COUNTED = 512
 #: Bytes of text in a segment (one document may have more), and of a text that are cut into terms at once.
 SEGMENT = 8 << 20
 WINDOW = 1 << 20
@@ -66,10 +70,33 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents with a term, and terms, of each batch of texts: a term starts at a byte of one that follows none in its text."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        texts = pc.fill_null(batch.column(0), "").cast(pa.large_string())
+        offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)
+        documents, terms = 0, 0
+        for first in range(0, len(texts), COUNTED):
+            own = offsets[first : first + COUNTED + 1]
+            inside = IN_TERM[data[own[0] : own[-1]]]
+            starts = inside.copy()
+            starts[1:] &= ~inside[:-1]
+            # a text starts anew, whatever stands before it
+            heads = own[:-1][own[:-1] < own[1:]] - own[0]
+            starts[heads] = inside[heads]
+            at = np.searchsorted(np.flatnonzero(starts), own - own[0])
+            documents, terms = documents + np.count_nonzero(np.diff(at)), terms + at[-1]
+        yield pa.RecordBatch.from_arrays([pa.array([documents], pa.int64()), pa.array([terms], pa.int64())], names=["documents", "terms"])
+
+
 def corpus_size(docs: DataFrame, text_col: str = "text") -> tuple[int, int]:
     """Documents with a term, and terms of all documents."""
-    n = docs.select(F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(PATTERN)).alias("n"))
-    row = n.agg(F.count(F.when(F.col("n") > 0, 1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    ship_package(docs.sparkSession)
+    n = docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(_counted, "documents long, terms long")
+    row = n.agg(F.coalesce(F.sum("documents"), F.lit(0)), F.coalesce(F.sum("terms"), F.lit(0))).first()
     return row[0], row[1]
 
 
