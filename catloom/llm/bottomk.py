@@ -48,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catloom.llm.common import components, discard, join_by_key, stash
+from catloom.llm.common import components, discard, giving_back, join_by_key, stash
 from catloom.llm.shingles import set_keys, shingle_sets
 from catloom.shipping import ship_package
 
@@ -287,7 +287,7 @@ def near_duplicates(
     """
     ship_package(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    sketched = stash(slim.mapInArrow(_emit(words, k, False), SCHEMA), "sketches")
+    sketched = stash(slim.mapInArrow(giving_back(_emit(words, k, False)), SCHEMA), "sketches")
     classes = (
         sketched.where("n > 0 AND doc_id IS NOT NULL")
         .groupBy("n", "k1", "k2")
@@ -312,7 +312,7 @@ def near_duplicates(
     discard(classes)
     lists = suspects.select("node", "n", F.explode("prefix").alias("v"))
     wanted = suspects.select(F.col("node.rep").alias("doc_id")).distinct()
-    full = slim.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id", "t"]).mapInArrow(_emit(words, k, True), SCHEMA)
+    full = slim.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id", "t"]).mapInArrow(giving_back(_emit(words, k, True)), SCHEMA)
     sets = stash(full.select(F.struct(F.col("doc_id").alias("rep"), "k1").alias("node"), "hashes"), "sets")
 
     links, labels = [], None

@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructType
 
-from catloom.llm.common import discard, stash
+from catloom.llm.common import discard, giving_back, stash
 from catloom.shipping import ship_package
 
 BLOCK_BYTES = 1 << 23
@@ -325,13 +325,13 @@ def _encoded(docs: DataFrame, made, kind: str, path: str | None, pattern: str |
     rows = docs.select(F.struct(*carried).alias("d"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     own = rows.schema["d"].dataType.simpleString()
     head = f"docs array<{own}>, sizes array<int>, codes binary"
-    blocks = stash(rows.mapInArrow(_split(pattern or default_pattern()), f"{head}, words array<binary>"), "blocks", "zstd")
+    blocks = stash(rows.mapInArrow(giving_back(_split(pattern or default_pattern())), f"{head}, words array<binary>"), "blocks", "zstd")
     maps = rank_map(spark, read_ranks(path or default_path()))
     known, *table = common_words(blocks, maps, cache)
     words, ids = spark.sparkContext.broadcast(known), spark.sparkContext.broadcast(table)
-    found = blocks.mapInArrow(_looked_up(words), f"{head}, at array<int>, lacking array<binary>")
+    found = blocks.mapInArrow(giving_back(_looked_up(words)), f"{head}, at array<int>, lacking array<binary>")
     rare = let(maps, lambda m: F.transform("lacking", lambda w: folded(w, m)))
-    return found.select("docs", "sizes", "codes", "at", rare.alias("rare")).mapInArrow(_filled(ids, made), f"d {own}, {kind}")
+    return found.select("docs", "sizes", "codes", "at", rare.alias("rare")).mapInArrow(giving_back(_filled(ids, made)), f"d {own}, {kind}")
 
 
 def encode(

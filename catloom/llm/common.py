@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -67,6 +71,31 @@ def discard(*frames: DataFrame) -> None:
             hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def give_back() -> None:
+    """Return freed memory of this Python process to the system.
+
+    Spark keeps Python workers for later tasks. What Arrow's pool and the C
+    library hold in reserve for them counts for the executor meanwhile, through
+    all stages that run no Python.
+    """
+    pa.default_memory_pool().release_unused()
+    # only glibc has it
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def giving_back(run: Callable) -> Callable:
+    """``run``, a function from batches to batches, that gives memory back at a task's end."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        yield from run(batches)
+        give_back()
+
+    return wrapped
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the fold that no model learns from: crc32 of the id as text, mod 3, is 1."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))

@@ -31,13 +31,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catloom.llm.common import held_out
+from catloom.llm.common import give_back, giving_back, held_out
 from catloom.shipping import ship_package
 
 BUCKETS = 1 << 16
 FIT_ROWS = 20_000
 SMOOTH = 0.5
-CHARS = 1 << 20
+CHARS = 1 << 18
 UND = "und"
 _table: list[np.ndarray] = []
 
@@ -156,7 +156,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     counts = (
         rows.where(draw < F.element_at(shares, F.col("lang")))
         .select("lang", F.coalesce("t", F.lit("")).alias("t"))
-        .mapInArrow(_count, "lang string, bucket long, n long")
+        .mapInArrow(giving_back(_count), "lang string, bucket long, n long")
         .groupBy("lang", "bucket")
         .agg(F.sum("n").alias("n"))
         .toArrow()
@@ -184,6 +184,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> tuple[Data
         import pandas as pd
 
         pred, p = shared.value.scored([None if t is None or t != t else t for t in texts])
+        give_back()
         return pd.DataFrame({"lang_pred": pred, "score": p})
 
     return docs.withColumn("__lang", score(F.col(text_col)))

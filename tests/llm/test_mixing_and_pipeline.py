@@ -181,3 +181,53 @@ def test_blocks_grow_so_that_the_plan_stays_bounded(spark, monkeypatch):
     assert sorted(r["__position"] for r in found) == list(range(1000)) and max(r["__block"] for r in found) < 10
     with pytest.raises(ValueError):
         mixed(spark.createDataFrame([(i, str(i)) for i in range(11)], "doc_id long, source string"))
+
+
+def test_idle_workers_give_memory_back(spark):
+    """What a stage's Python workers had is not held through the next stages, which run none."""
+    import re
+    from pathlib import Path
+
+    import numpy as np
+
+    from catloom.llm import bottomk, byte_bpe, langid
+    from catloom.llm.common import give_back, giving_back
+
+    def held():
+        return int(re.search(r"\nAnonymous:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())[1]) / 1024
+
+    def run(batches):
+        for batch in batches:
+            # freed but for the last piece, which keeps the C library from giving back what lies below it
+            pieces = [bytes(60_000) for _ in range(3000)]
+            kept.append(pieces[-1])
+            del pieces
+            before.append(held())
+            yield batch
+
+    kept, before = [], []
+    give_back()
+    least = held()
+    assert list(giving_back(run)(iter([1, 2]))) == [1, 2]
+    assert before[-1] - least > 100 and held() - least < 50
+    # each text is scored by itself, so the length of a slice doesn't matter
+    rng = np.random.default_rng(4)
+    model = langid.Model(["a", "b"], np.zeros(2), rng.random((2, langid.BUCKETS)).astype(np.float32))
+    texts = ["some words here", None, "", "x" * 5000, "ümlaut 漢字"] * 30
+    whole, was = model.scored(texts), langid.CHARS
+    try:
+        langid.CHARS = 50
+        short = model.scored(texts)
+    finally:
+        langid.CHARS = was
+    assert was <= 1 << 18 and whole[0] == short[0] and whole[1].tolist() == short[1].tolist()
+    # the stages' functions are wrapped where they are handed to Spark
+    found = []
+    frame = spark.createDataFrame([(i, f"some text number {i} of a few words") for i in range(5)], "doc_id long, text string")
+    real = type(frame).mapInArrow
+    try:
+        type(frame).mapInArrow = lambda self, f, *a, **b: found.append(hasattr(f, "__wrapped__")) or real(self, f, *a, **b)
+        byte_bpe.encode(frame).count(), bottomk.near_duplicates(frame).count()
+    finally:
+        type(frame).mapInArrow = real
+    assert len(found) == 5 and all(found)
